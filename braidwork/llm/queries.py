@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
-from braidwork.llm import warc
+from braidwork.llm import decontaminate, html, lines, warc
 
-QUERIES = {"op9_warc": warc.op9_warc}
+QUERIES = {
+    "op1_html": html.op1_html,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_lines": lines.op6_lines,
+    "op9_warc": warc.op9_warc,
+}
 
-ORACLE_SQL = {"op9_warc": warc.OP9_SQL}
+ORACLE_SQL = {
+    "op5_decontaminate": decontaminate.OP5_SQL,
+    "op6_lines": lines.OP6_SQL,
+    "op9_warc": warc.OP9_SQL,
+}
