@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from braidwork.llm import decontaminate, html, lines, warc
+from braidwork.llm import ctph, decontaminate, html, langid, lines, toxicity, warc
 
 QUERIES = {
     "op1_html": html.op1_html,
+    "op2_fingerprints": ctph.op2_fingerprints,
+    "op4_langid": langid.op4_langid,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_lines": lines.op6_lines,
     "op9_warc": warc.op9_warc,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE_SQL = {
