@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from braidwork.llm import ctph, decontaminate, html, langid, lines, tokens, toxicity, warc
+from braidwork.llm import ctph, decontaminate, html, langid, lines, mixing, tokens, toxicity, warc
 
 QUERIES = {
     "op1_html": html.op1_html,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_langid": langid.op4_langid,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_lines": lines.op6_lines,
+    "op7_mixing": mixing.op7_mixing,
     "op8_tokens": tokens.op8_tokens,
     "op9_warc": warc.op9_warc,
     "op10_toxicity": toxicity.op10_toxicity,
