@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from braidwork.llm import ctph, decontaminate, html, langid, lines, mixing, tokens, toxicity, warc
+from braidwork.llm import ctph, decontaminate, html, langid, lines, minhash, mixing, tokens, toxicity, warc
 
 QUERIES = {
     "op1_html": html.op1_html,
     "op2_fingerprints": ctph.op2_fingerprints,
+    "op3_minhash": minhash.op3_minhash,
     "op4_langid": langid.op4_langid,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_lines": lines.op6_lines,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_minhash": minhash.OP3_SQL,
     "op5_decontaminate": decontaminate.OP5_SQL,
     "op6_lines": lines.OP6_SQL,
     "op9_warc": warc.OP9_SQL,
