@@ -21,6 +21,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +32,10 @@ HEAD = struct.Struct("<4sIQQQ")
 END_ID = 2
 #: Ids of a block, about: a document of more has a block of its own.
 BLOCK_IDS = 1 << 18
-#: Pre-tokens that a worker remembers; once full, others are encoded each time.
-REMEMBERED = 1_000_000
+#: Words, and pre-tokens, that a worker remembers; once full, others are encoded each time.
+REMEMBERED = 1_200_000
+#: Documents that are encoded together: each batch meets the memory once per distinct word.
+BATCH_DOCS = 1024
 #: Chunks are cut at these only: whatever else counts as white space is left to the tokenizer.
 CUT = re.compile(r"[ \t\r\n]+")
 #: Lengths of the four ranks of each control byte, and their offsets in the data.
@@ -95,21 +98,31 @@ def read_blocks(content: bytes):
         at = end + 4 + len(SEPARATOR)
 
 
-#: Texts of these alone are cut into pre-tokens here; others only at blanks, and the tokenizer does the rest.
-PLAIN = re.compile(r"[\t\n\r -~\xa1-\xff]*")
+#: Texts without these are cut into pre-tokens here; others only at blanks, and the tokenizer does the rest.
+NOT_PLAIN = r"[^\t\n\r -~\x{a1}-\x{ff}]"
 #: The pre-token pattern of CLIP-like vocabularies, in terms of lower-case Latin-1 text.
 CLIP_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-PRE_TOKEN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\t\n\r a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
+PRE_TOKEN = re.compile(r"[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|'(?:s|t|re|ve|m|ll|d)|[^\t\n\r a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """Characters from 128 to 255 as the byte-level letters of their UTF-8 bytes: printable bytes are themselves, the n-th other byte is the letter 256 + n."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    letter = {b: chr(b) if b in printable else chr(256 + others.index(b)) for b in range(256)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(128, 256)}
 
 
 class Encoder:
-    """Whole texts to ids, with a memory of pre-tokens. Exact for tokenizers whose pre-tokens never hold a blank."""
+    """Whole texts to ids, with a memory of words and pre-tokens. Exact for tokenizers whose pre-tokens never hold a blank."""
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
+        self.bare = None
         self.tokenizer = Tokenizer.from_str(definition)
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {}
         parts = json.loads(definition)
         steps = (parts.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         lower = any(x.get("type") == "Lowercase" for x in (parts.get("normalizer") or {}).get("normalizers") or [])
@@ -123,34 +136,75 @@ class Encoder:
         if suffix and self.plain:
             self.ends[[i for token, i in vocab.items() if token.endswith(suffix)]] = True
 
+            # pre-tokens are lower-case Latin-1 by then: the model alone, on their bytes as byte-level letters, gives the same ids
+            if all(x.get("type") == "ByteLevel" and not x.get("add_prefix_space") for x in steps[1:]) and len(steps) == 2:
+                self.bare = Tokenizer(self.tokenizer.model)
+                self.bare.pre_tokenizer = CharDelimiterSplit(" ")
+                self.letters = byte_letters()
+
     def _learn(self, pieces: list[str], whole: bool) -> list[bytes]:
         """Ids of each piece; whole: each is one pre-token."""
         if whole:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+            text, by = (" ".join(pieces), self.tokenizer) if self.bare is None else (" ".join([p if p.isascii() else p.translate(self.letters) for p in pieces]), self.bare)
+            ids = np.array(by.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             at = np.flatnonzero(self.ends[ids]) + 1
             if len(at) == len(pieces) and (not len(at) or at[-1] == len(ids)):
                 data, cuts = ids.tobytes(), [0, *(4 * at).tolist()]
                 return [data[a:b] for a, b in zip(cuts, cuts[1:])]
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a column of strings, one text after the other, and the number of ids of each text (0 for a null).
+
+        Words are cut and numbered by Arrow, so Python sees a distinct word of the column once.
+        """
+        known = self.known  # a pre-token is the word of itself alone
+        texts = pc.fill_null(texts, "")
+        odd = np.ones(len(texts), bool)
+        if self.plain:
+            odd = np.array(pc.match_substring_regex(texts, NOT_PLAIN))
+            for x in self.special:
+                odd |= np.array(pc.match_substring(texts, x))
+        plain = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
+        cut = pc.ascii_split_whitespace(pc.utf8_lower(plain))
+        coded = cut.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        own = list(map(known.get, words))
+        new = [i for i, ids in enumerate(own) if ids is None]
+        parts = [PRE_TOKEN.findall(words[i]) for i in new]
+        pieces = list({c for part in parts for c in part if c not in known})
+        learned = {}
+        for i in range(0, len(pieces), 20_000):
+            some = pieces[i : i + 20_000]
+            learned.update(zip(some, self._learn(some, True)))
+        for i, part in zip(new, parts):
+            own[i] = b"".join([learned[c] if c in learned else known[c] for c in part])
+        if len(known) < REMEMBERED:
+            known.update(learned)
+            known.update((words[i], own[i]) for i in new)
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        starts = np.cumsum(sizes) - sizes
+        flat = np.frombuffer(b"".join(own), "<u4")
+        at = coded.indices.to_numpy()
+        n = sizes[at]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(starts[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)] if len(flat) else np.zeros(0, "<u4")
+        places = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        before = np.concatenate([[0], ends])[places]
+        counts = np.diff(before)
+        if odd.any():
+            held = [ids[a:b] for a, b in zip(before, before[1:])]
+            for i in np.flatnonzero(odd):
+                chunks = [c for c in CUT.split(texts[int(i)].as_py()) if c]
+                held[i] = np.frombuffer(b"".join(self._learn(chunks, False)), "<u4")
+            ids, counts = np.concatenate(held), np.array([len(x) for x in held])
+        return ids, counts
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids as little-endian 32-bit integers."""
-        known, own, split = self.known, {}, []
-        fresh: tuple[set[str], set[str]] = (set(), set())  # chunks between blanks, pre-tokens
-        for t in texts:
-            whole = bool(t) and self.plain and PLAIN.fullmatch(t) is not None and not any(x in t for x in self.special)
-            chunks = PRE_TOKEN.findall(t.lower()) if whole else CUT.split(t) if t else []
-            fresh[whole].update(c for c in chunks if c not in known)
-            split.append(chunks)
-        for whole in (True, False):
-            new = list(fresh[whole])
-            for i in range(0, len(new), 20_000):
-                part = new[i : i + 20_000]
-                own.update(zip(part, self._learn(part, whole)))
-        if len(known) + len(own) <= REMEMBERED:
-            known.update(own)
-            return [b"".join([known[c] for c in chunks]) for chunks in split]
-        return [b"".join([own[c] if c in own else known[c] for c in chunks]) for chunks in split]
+        """Ids of each text as little-endian 32-bit integers."""
+        ids, counts = self.encode_column(pa.array(texts, pa.string()))
+        at = np.concatenate([[0], np.cumsum(counts)])
+        return [ids[a:b].tobytes() for a, b in zip(at, at[1:])]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -166,7 +220,10 @@ def encoder_of(definition: str) -> Encoder:
 
 
 def tokenize(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, ids BINARY) of every row: the ids of the whole text (a null is empty), with end_id after them, as 16-bit integers where the vocabulary allows and 32-bit ones else; also n."""
+    """(doc_id, n, ids, counts): a row with the ids of the whole text (a null is empty) and end_id for every row of docs, and a row with the counts of all ids for each task.
+
+    Ids are 16-bit integers where the vocabulary allows and 32-bit ones else; counts are 64-bit, one per id.
+    """
     with open(vocabulary, encoding="utf-8") as f:
         definition = f.read()
     from tokenizers import Tokenizer
@@ -174,22 +231,31 @@ def tokenize(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFram
     size = max(Tokenizer.from_str(definition).get_vocab_size(), end_id + 1)
     sent = docs.sparkSession.sparkContext.broadcast(definition)
     kind = "<u2" if size <= 1 << 16 else "<u4"
+    schema = "doc_id bigint, n bigint, ids binary, counts binary"
+    arrow = common.arrow_schema(common.T._parse_datatype_string(schema))
+    common.small_batches(docs.sparkSession, BATCH_DOCS)
+    width = np.dtype(kind).itemsize
 
-    def make():
+    def run(batches):
         encoder = encoder_of(sent.value)
-
-        def each(rows):
-            ids = [np.append(np.frombuffer(x, "<u4"), np.uint32(end_id)) for x in encoder.encode(rows["text"])]
-            return {"doc_id": rows["doc_id"], "n": [len(x) for x in ids], "ids": [x.astype(kind).tobytes() for x in ids]}
-
-        return each
-
-    out = common.map_rows(docs.select("doc_id", "text"), make, "doc_id bigint, n bigint, ids binary")
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            ids, counts = encoder.encode_column(batch.column(1))
+            total += np.bincount(ids, minlength=size)
+            total[end_id] += len(counts)
+            ends = np.cumsum(counts)
+            data = np.insert(ids.astype(kind), ends, end_id)
+            at = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]) * width
+            cells = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(at.astype("<i8").tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts + 1), cells, pa.nulls(len(ends), pa.binary())], schema=arrow)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([0]), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], schema=arrow)
+
+    out = docs.select("doc_id", "text").mapInArrow(run, schema)
     out.kind, out.size = kind, size
     return out
 
 
-def ranking(tokens: DataFrame, kind: str, size: int) -> np.ndarray:
+def ranking(tokens: DataFrame, size: int) -> np.ndarray:
     """Ids by descending count over all documents (ties by id): one number per id of the vocabulary reaches the driver."""
     arrow = common.arrow_schema(common.T._parse_datatype_string("id bigint, n bigint"))
 
@@ -197,12 +263,13 @@ def ranking(tokens: DataFrame, kind: str, size: int) -> np.ndarray:
         total = np.zeros(size, np.int64)
         for batch in batches:
             for cell in batch.column(0):
-                total += np.bincount(np.frombuffer(cell.as_py(), kind), minlength=size)
+                total += np.frombuffer(cell.as_py(), np.int64)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], schema=arrow)
 
     count = np.zeros(size, np.int64)
-    for r in tokens.select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n")).toLocalIterator():
+    counts = tokens.filter("counts IS NOT NULL").select("counts").mapInArrow(run, "id bigint, n bigint")
+    for r in counts.groupBy("id").agg(F.sum("n")).toLocalIterator():
         count[r[0]] = r[1]
     return np.lexsort((np.arange(size), -count)).astype(np.uint32)
 
@@ -220,7 +287,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
     made = tokenize(docs, vocabulary, end_id)
     kind, size = made.kind, made.size
     tokens = common.stored(made, "ids")
-    id_of = ranking(tokens, kind, size)
+    id_of = ranking(tokens, size)
+    tokens = tokens.filter("ids IS NOT NULL").select("doc_id", "n", "ids")
     rank_of = np.empty(size, np.uint32)
     rank_of[id_of] = np.arange(size, dtype=np.uint32)
     sent = spark.sparkContext.broadcast(rank_of)
