@@ -135,9 +135,9 @@ def read_layout(spark: SparkSession, path: str) -> DataFrame:
 
 def read_tsplib(spark: SparkSession, path: str) -> DataFrame:
     """(row, values) of the full matrix of one instance file."""
-    text = F.regexp_extract("value", r"(?s)EDGE_WEIGHT_SECTION\s+(.*?)(?:EOF|$)", 1)
-    n = F.regexp_extract("value", r"DIMENSION\s*:?\s*(\d+)", 1).cast("int")
-    raw = spark.read.option("wholetext", True).text(path).select(n.alias("n"), F.transform(F.split(F.trim(text), r"\s+"), lambda x: x.cast("int")).alias("all"))
+    text = F.regexp_extract("value", r"(?s)EDGE_WEIGHT_SECTION\s+(.*?)\s*(?:EOF|$)", 1)
+    n = F.regexp_extract("value", r"DIMENSION\s*:?\s*(\d+)", 1).try_cast("int")
+    raw = spark.read.option("wholetext", True).text(path).filter("value <> ''").select(n.alias("n"), F.transform(F.split(F.trim(text), r"\s+"), lambda x: x.cast("int")).alias("all"))
     return raw.select("n", "all", F.explode(F.sequence(F.lit(0), c("n") - 1)).alias("row")).select(c("row").cast("bigint").alias("row"), F.slice("all", c("row") * c("n") + 1, c("n")).alias("values"))
 
 
