@@ -153,7 +153,7 @@ def links(docs: DataFrame, nodes: DataFrame, size: int = SHINGLE, percent: int =
     cands = common.stored(candidates(nodes), "cands")
     sets = common.stored(full_sets(docs, cands, size), "sets")
     posted = cands.select("node", "score", F.explode("prefix").alias("t"))
-    lists = posted.groupBy("t").agg(F.max(F.struct("score", -F.col("node"))).alias("top"), F.count("*").alias("m")).filter("m > 1").select("t", (-F.col("top.col2")).alias("pivot"))
+    lists = posted.groupBy("t").agg(F.max(F.struct("score", -F.col("node"))).alias("top"), F.count("*").alias("m")).filter("m > 1").select("t", (-F.col("top.col2")).alias("pivot"), "m")
     stars = posted.join(lists, "t").filter("node <> pivot").select("node", "pivot").distinct()
     signed = nodes.select("node", "tokens")
     stars = stars.join(signed, "node").join(signed.select(F.col("node").alias("pivot"), F.col("tokens").alias("pivot_tokens")), "pivot").filter(F.size(F.array_intersect("tokens", "pivot_tokens")) >= T)
@@ -168,10 +168,10 @@ def links(docs: DataFrame, nodes: DataFrame, size: int = SHINGLE, percent: int =
     comp = F.coalesce(F.col("root"), F.col("node"))
     placed = posted.select("t", "node").join(first, "node", "left").select("t", "node", comp.alias("comp"))
     split = placed.groupBy("t", "comp").agg(F.count("*").alias("c")).groupBy("t").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps")).filter("comps > 1").select("t", F.col("top.comp").alias("main"))
-    apart = common.stored(placed.join(split, "t").join(lists, "t").select("t", "node", "comp", "main", "pivot"), "apart")
-    # a node's group is its component or, alone, the pivot of one of its lists; groups fall into blocks
-    home = apart.groupBy("node", "comp").agg(F.min("pivot").alias("pivot"), F.max(F.col("comp") != F.col("node")).alias("x"))
-    sized = first.select(F.col("root").alias("comp")).distinct().withColumn("grown", F.lit(True))
+    apart = common.stored(placed.join(split, "t").join(lists, "t").select("t", "node", "comp", "main", "pivot", "m"), "apart")
+    # a node's group is its component, if that is large, or the pivot of its longest list, so the nodes of a list share few groups; groups fall into blocks
+    home = apart.groupBy("node", "comp").agg(F.max(F.struct("m", "pivot")).alias("longest")).select("node", "comp", F.col("longest.pivot").alias("pivot"))
+    sized = home.groupBy("comp").agg(F.count("*").alias("c")).filter(F.col("c") >= BLOCK // 2).select("comp", F.lit(True).alias("grown"))
     home = home.join(sized, "comp", "left").select("node", "comp", F.when(F.col("grown"), F.col("comp")).otherwise(F.col("pivot")).alias("home"), F.coalesce("grown", F.lit(False)).alias("grown"))
     blocks = home.groupBy("home", "grown").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     home = common.stored(home.join(blocks, ["home", "grown"]).select("node", "comp", F.xxhash64("home", "grown", F.pmod(F.xxhash64("node"), "parts")).alias("g")), "home")
