@@ -32,7 +32,7 @@ HEAD = struct.Struct("<4sIQQQ")
 END_ID = 2
 #: Ids of a block, about: a document of more has a block of its own.
 BLOCK_IDS = 1 << 18
-#: Words, and pre-tokens, that a worker remembers; once full, others are encoded each time.
+#: Words, and pre-tokens, that a worker remembers, about 700 bytes each; once full, others are encoded each time.
 REMEMBERED = 1_200_000
 #: Documents that are encoded together: each batch meets the memory once per distinct word.
 BATCH_DOCS = 1024
@@ -116,11 +116,12 @@ def byte_letters() -> dict[int, str]:
 class Encoder:
     """Whole texts to ids, with a memory of words and pre-tokens. Exact for tokenizers whose pre-tokens never hold a blank."""
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.bare = None
+        self.remembered = remembered
         self.tokenizer = Tokenizer.from_str(definition)
         self.known: dict[str, bytes] = {}
         parts = json.loads(definition)
@@ -179,7 +180,7 @@ class Encoder:
             learned.update(zip(some, self._learn(some, True)))
         for i, part in zip(new, parts):
             own[i] = b"".join([learned[c] if c in learned else known[c] for c in part])
-        if len(known) < REMEMBERED:
+        if len(known) < self.remembered:
             known.update(learned)
             known.update((words[i], own[i]) for i in new)
         sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
@@ -207,19 +208,20 @@ class Encoder:
         return [ids[a:b].tobytes() for a, b in zip(at, at[1:])]
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder_of(definition: str) -> Encoder:
+def encoder_of(definition: str, remembered: int = REMEMBERED) -> Encoder:
     """One for each worker process, so what it remembers outlives a task."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if definition not in _encoders:
+    key = definition, remembered
+    if key not in _encoders:
         _encoders.clear()
-        _encoders[definition] = Encoder(definition)
-    return _encoders[definition]
+        _encoders[key] = Encoder(definition, remembered)
+    return _encoders[key]
 
 
-def tokenize(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
+def tokenize(docs: DataFrame, vocabulary: str, end_id: int = END_ID, remembered: int = REMEMBERED) -> DataFrame:
     """(doc_id, n, ids, counts): a row with the ids of the whole text (a null is empty) and end_id for every row of docs, and a row with the counts of all ids for each task.
 
     Ids are 16-bit integers where the vocabulary allows and 32-bit ones else; counts are 64-bit, one per id.
@@ -237,7 +239,7 @@ def tokenize(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFram
     width = np.dtype(kind).itemsize
 
     def run(batches):
-        encoder = encoder_of(sent.value)
+        encoder = encoder_of(sent.value, remembered)
         total = np.zeros(size, np.int64)
         for batch in batches:
             ids, counts = encoder.encode_column(batch.column(1))
@@ -281,10 +283,10 @@ class Stored:
         self.path, self.id_of, self.cuts, self.before = path, id_of, cuts, before
 
 
-def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID) -> Stored:
+def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, remembered: int = REMEMBERED) -> Stored:
     """Tokenizes docs (doc_id, text) and writes the files under path in ascending doc_id order."""
     spark = docs.sparkSession
-    made = tokenize(docs, vocabulary, end_id)
+    made = tokenize(docs, vocabulary, end_id, remembered)
     kind, size = made.kind, made.size
     tokens = common.stored(made, "ids")
     id_of = ranking(tokens, size)
@@ -363,14 +365,14 @@ def read_tokens(spark: SparkSession, stored: Stored) -> DataFrame:
     return spark.read.format("binaryFile").load(stored.path).select("content").mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID) -> DataFrame:
+def round_trip(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, remembered: int = REMEMBERED) -> DataFrame:
     """Writes docs and reads the files back: doc_id, start, n_tokens, ids_crc32 and ids of every row.
 
     A null or empty text is the end id alone. Null doc_ids come first. Rows that repeat a doc_id are each written,
     in any order among themselves. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    stored = write_tokens(docs, common.scratch_path(spark, "tokens"), vocabulary or public_vocabulary(), end_id)
+    stored = write_tokens(docs, common.scratch_path(spark, "tokens"), vocabulary or public_vocabulary(), end_id, remembered)
     return read_tokens(spark, stored)
 
 
