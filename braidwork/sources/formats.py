@@ -137,7 +137,7 @@ def read_tsplib(spark: SparkSession, path: str) -> DataFrame:
     """(row, values) of the full matrix of one instance file."""
     text = F.regexp_extract("value", r"(?s)EDGE_WEIGHT_SECTION\s+(.*?)\s*(?:EOF|$)", 1)
     n = F.regexp_extract("value", r"DIMENSION\s*:?\s*(\d+)", 1).try_cast("int")
-    raw = spark.read.option("wholetext", True).text(path).filter("value <> ''").select(n.alias("n"), F.transform(F.split(F.trim(text), r"\s+"), lambda x: x.cast("int")).alias("all"))
+    raw = spark.read.text(path, wholetext=True).filter("value <> ''").select(n.alias("n"), F.transform(F.split(F.trim(text), r"\s+"), lambda x: x.cast("int")).alias("all"))
     return raw.select("n", "all", F.explode(F.sequence(F.lit(0), c("n") - 1)).alias("row")).select(c("row").cast("bigint").alias("row"), F.slice("all", c("row") * c("n") + 1, c("n")).alias("values"))
 
 
@@ -151,7 +151,7 @@ def write_tsplib(matrix: DataFrame, path: str, name: str = "instance") -> None:
 
 def read_breakpoints(spark: SparkSession, path: str) -> DataFrame:
     """(name, start, end) of a JSON object of lists of pairs."""
-    m = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", "map<string,array<array<bigint>>>")).alias("name", "l"))
+    m = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,array<array<bigint>>>")).alias("name", "l"))
     return m.select("name", F.explode("l").alias("p")).select("name", F.get("p", F.lit(0)).alias("start"), F.get("p", F.lit(1)).alias("end"))
 
 
