@@ -19,6 +19,8 @@ SHINGLE, PERCENT = 5, 80
 MAX_TEST_SHARE = 0.5
 #: Expected share of the tokens that the mix keeps.
 MIX_SHARE = 0.75
+#: Words that a token worker remembers: workers outlive the stage, and the other stages need memory too.
+REMEMBERED = 300_000
 
 _last_stage: list[str] = []
 
@@ -67,7 +69,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @_stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files, read back: a row per document with its place, number and check sum of ids."""
-    return tokens.round_trip(docs).drop("ids")
+    return tokens.round_trip(docs, remembered=REMEMBERED).drop("ids")
 
 
 STAGES = [
