@@ -171,7 +171,7 @@ def g24(spark, sf):
     return G.split_at(w, edges, "hub").select("walk", "part", F.size("items").cast("bigint").alias("n"))
 
 
-@query("g25_remove_subwalks", f"WITH RECURSIVE {EXT}, q AS (SELECT walk, n, '>' || items || '>' AS s FROM om) SELECT a.walk, a.n::BIGINT AS n FROM q a WHERE NOT EXISTS (SELECT 1 FROM q b WHERE b.walk <> a.walk AND contains(b.s, a.s) AND (b.n > a.n OR b.walk < a.walk))")
+@query("g25_remove_subwalks")
 def g25(spark, sf):
     w = session.stored(G.trivial_omnitigs(word_graph(spark, sf)), "walks")
     return G.remove_subwalks(w).select("walk", F.size("items").cast("bigint").alias("n"))
