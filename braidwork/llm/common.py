@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from braidwork.session import delete, drop_scratch, scratch_path, shared_dir, stored  # noqa: F401
+from braidwork.session import delete, discard, drop_scratch, scratch_path, shared_dir, stored  # noqa: F401
 
 #: Rows of an Arrow batch: bounds a Python worker's memory where texts are long.
 BATCH_ROWS = 256

@@ -82,26 +82,71 @@ def rake(cells: list[tuple[str, str, str, int]], targets: list[dict[str, float]]
         for code, want in zip(codes, wanted):
             have = np.bincount(code, tokens * factor, len(want))
             scale = np.divide(want, have, out=np.zeros_like(want), where=have > 0)
-            worst = max(worst, float(np.abs(scale - 1).max(initial=0)))
+            worst = max(worst, float(np.abs(scale - 1)[have > 0].max(initial=0)))
             factor *= scale[code]
         if worst < tolerance:
             break
     return factor
 
 
-def rake_table(cells: DataFrame, targets: list[dict[str, float]], passes: int = 20) -> DataFrame:
-    """rake() for more cells than the driver should hold: (_source, _lang, _topic, factor). Cells stay distributed; a step is an aggregation and a join."""
+def shares_table(sums: DataFrame, target: dict[str, float] | None, power: float) -> DataFrame:
+    """shares() as a table: (value, share) for sums of (value, n)."""
+    if target is None:
+        raised = sums.select("value", F.pow(F.col("n").cast("double"), F.lit(power)).alias("raised"))
+    else:
+        given = sums.sparkSession.createDataFrame([(k, float(v)) for k, v in target.items()], "value string, given double")
+        joined = sums.join(given, "value", "left")
+        known, rest = joined.agg(F.sum("given"), F.sum(F.when(F.col("given").isNull(), F.col("n")))).first()
+        left = max(0.0, 1.0 - (known or 0.0)) if rest else 0.0
+        raised = joined.select("value", F.coalesce("given", F.lit(left) * F.col("n") / F.lit(float(rest or 1))).alias("raised"))
+    total = raised.agg(F.sum("raised")).first()[0] or 0.0
+    return raised.select("value", (F.col("raised") / F.lit(total) if total else F.lit(0.0)).alias("share"))
+
+
+def rake_table(cells: DataFrame, targets: list[dict[str, float] | DataFrame], passes: int = 200, tolerance: float = 1e-9) -> DataFrame:
+    """rake() for more cells than the driver should hold: (_source, _lang, _topic, n, factor), with the same steps and the same end.
+
+    A cell's factor is the product of one scale a dimension: cells stay as they are, and a step writes the scales of
+    one dimension anew (as logarithms: where no exact fit exists they grow without bound while their product doesn't).
+    Targets are dicts or tables of (value, share).
+    """
     spark = cells.sparkSession
-    total = cells.agg(F.sum("n")).first()[0] or 0
-    out = cells.withColumn("factor", F.lit(1.0))
-    for i in range(passes):
-        for d, target in zip(("_source", "_lang", "_topic"), targets):
-            want = spark.createDataFrame([(k, float(v * total)) for k, v in target.items()], f"{d} string, want double")
-            have = out.groupBy(d).agg(F.sum(F.col("n") * F.col("factor")).alias("have"))
-            scale = have.join(want, d).select(d, F.when(F.col("have") > 0, F.col("want") / F.col("have")).otherwise(0.0).alias("scale"))
-            # a written table: a checkpoint would hand on size estimates that square with every step
-            out = common.stored(out.join(scale, d).select("_source", "_lang", "_topic", "n", (F.col("factor") * F.col("scale")).alias("factor")), "rake")
-    return out
+    columns = [f"_{d}" for d in DIMENSIONS]
+    total = float(cells.agg(F.sum("n")).first()[0] or 0)
+    tables, paths = [], []
+
+    def write(df: DataFrame) -> tuple[DataFrame, str]:
+        # a written table: a checkpoint would hand on size estimates that square with every step
+        path = common.scratch_path(spark, "rake")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path), path
+
+    def factored() -> DataFrame:
+        out = cells
+        for d, table in zip(columns, tables):
+            out = out.join(table.select(d, f"log{d}"), d)
+        return out.select(*columns, "n", F.exp(sum((F.col(f"log{d}") for d in columns[1:]), F.col(f"log{columns[0]}"))).alias("factor"))
+
+    for d, target in zip(columns, targets):
+        share = target if isinstance(target, DataFrame) else spark.createDataFrame([(k, float(v)) for k, v in target.items()], "value string, share double")
+        share = share.select(F.col("value").alias(d), (F.col("share") * total).alias("want"), F.lit(0.0).alias(f"log{d}"), F.lit(0.0).alias("off"))
+        table, path = write(share)
+        tables.append(table)
+        paths.append(path)
+    for _ in range(passes):
+        worst = 0.0
+        for i, d in enumerate(columns):
+            have = factored().groupBy(d).agg(F.sum(F.col("n") * F.col("factor")).alias("have"))
+            scale = F.when(F.col("have") > 0, F.col("want") / F.col("have")).otherwise(0.0)
+            log = F.when(scale > 0, F.log(scale)).otherwise(F.lit(float("-inf")))
+            off = F.when(F.col("have") > 0, F.abs(scale - 1)).otherwise(0.0)
+            table, path = write(tables[i].join(have, d).select(d, "want", (F.col(f"log{d}") + log).alias(f"log{d}"), off.alias("off")))
+            common.discard(spark, paths[i])
+            tables[i], paths[i] = table, path
+            worst = max(worst, table.agg(F.max("off")).first()[0] or 0.0)
+        if worst < tolerance:
+            break
+    return factored()
 
 
 def calibrated(cells: list[tuple[str, str, str, int]], factor: np.ndarray, share: float) -> np.ndarray:
@@ -122,6 +167,23 @@ def calibrated(cells: list[tuple[str, str, str, int]], factor: np.ndarray, share
     return p
 
 
+def calibrated_table(raked: DataFrame, share: float) -> DataFrame:
+    """calibrated() as a table: raked with _probability. Cells at probability 1 are those with limit * factor >= 1; c only grows, so one number tells them."""
+    factor = F.col("factor")
+    want = share * (raked.agg(F.sum("n")).first()[0] or 0)
+    limit = c = 0.0
+    while True:
+        full = factor * F.lit(limit) >= 1
+        capped, free, most = raked.agg(F.sum(F.when(full, F.col("n"))), F.sum(F.when(~full, F.col("n") * factor)), F.max(F.when(~full, factor))).first()
+        if not free:
+            break
+        c = (want - (capped or 0)) / free
+        if c * most < 1:
+            break
+        limit = c
+    return raked.withColumn("_probability", F.when(factor * F.lit(limit) >= 1, 1.0).otherwise(F.greatest(F.lit(0.0), factor * F.lit(c))))
+
+
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, share: float = 0.5, topic: Column | None = None, seed: int = 17, driver_cells: int = DRIVER_CELLS) -> DataFrame:
     """All columns of docs and _source, _lang, _topic, _tokens, _weight, _probability, _kept, for every row.
 
@@ -142,17 +204,15 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, sha
                 sums[d][r[d]] = sums[d].get(r[d], 0) + r[3]
     else:
         cells = common.stored(cells, "cells")
-        sums = [{r[0]: r[1] for r in cells.groupBy(f"_{d}").agg(F.sum("n")).collect()} for d in DIMENSIONS]
-    wanted = [shares(s, (targets or {}).get(d), POWERS[d]) for d, s in zip(DIMENSIONS, sums)]
+        sums = [cells.groupBy(F.col(f"_{d}").alias("value")).agg(F.sum("n").alias("n")) for d in DIMENSIONS]
+    wanted = [(shares if small else shares_table)(s, (targets or {}).get(d), POWERS[d]) for d, s in zip(DIMENSIONS, sums)]
     if small:
         factor = rake(rows, wanted)
         p = calibrated(rows, factor, share)
         weights = F.broadcast(spark.createDataFrame([(*r[:3], float(f), float(q)) for r, f, q in zip(rows, factor, p)], "_source string, _lang string, _topic string, _weight double, _probability double"))
     else:
         raked = common.stored(rake_table(cells, wanted), "raked")
-        # the scale meets the share without the part that cells at probability 1 pass on
-        ratio = share * raked.agg(F.sum("n")).first()[0] / raked.agg(F.sum(F.col("n") * F.col("factor"))).first()[0]
-        weights = raked.select("_source", "_lang", "_topic", F.col("factor").alias("_weight"), F.least(F.lit(1.0), F.col("factor") * ratio).alias("_probability"))
+        weights = calibrated_table(raked, share).select("_source", "_lang", "_topic", F.col("factor").alias("_weight"), "_probability")
     draw = F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id"), F.lit(-1))), F.lit(1 << 40)) / float(1 << 40)
     return table.join(weights, ["_source", "_lang", "_topic"], "left").withColumn("_kept", F.coalesce(draw < F.col("_probability"), F.lit(False)))
 

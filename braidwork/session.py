@@ -62,6 +62,12 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes one scratch table that no frame reads any more."""
+    delete(spark, path)
+    _scratch.remove(path)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Deletes all scratch tables; only for when no frame that reads them is still needed."""
     while _scratch:

@@ -225,6 +225,22 @@ def test_mixing_keeps_every_row_and_all_columns(spark):
     assert mixing.sample(df).columns == df.columns
 
 
+def test_both_forms_of_mixing_give_the_same(spark):
+    """Raking that takes more than 20 passes, and cells at probability 1 that pass on what they lack."""
+    counts = [("a", "en", 60), ("a", "de", 16), ("b", "en", 14), ("b", "de", 30), ("c", "de", 11), ("c", "fr", 40), ("b", "fr", 12)]
+    rows = [(i, "one two three", lang, source, 13) for i, (source, lang) in enumerate((s, g) for s, g, n in counts for _ in range(n))]
+    df = spark.createDataFrame(rows, DOCS)
+    targets = {"source": {"a": 0.2, "b": 0.5}}
+    near, far = ({x.doc_id: x for x in mixing.mix(df, targets, 0.8, driver_cells=n).collect()} for n in (1000, 0))
+    assert len(near) == len(far) == len(rows)
+    for i, x in near.items():
+        assert far[i]._weight == pytest.approx(x._weight, rel=1e-8) and far[i]._probability == pytest.approx(x._probability, rel=1e-8) and far[i]._kept == x._kept
+    capped = sum(x._probability == 1 for x in near.values())
+    assert 0 < capped < len(rows)
+    assert sum(x._probability * x._tokens for x in far.values()) == pytest.approx(0.8 * 3 * len(rows))
+    assert sum(x._weight * x._tokens for x in far.values() if x.source == "b") == pytest.approx(0.5 * 3 * len(rows), rel=1e-8)
+
+
 # 8
 
 
