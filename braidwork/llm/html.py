@@ -3,10 +3,11 @@
 A page is cut into blocks (text between block-level tags), each with its root-to-leaf tag path. Per path the
 text length, the punctuation and the number of nodes are summed; length per node and punctuation per node are
 smoothed over the page (each block takes a share of its neighbours' ratios), fused by multiplication, and paths
-at or over a share of the standard deviation of all paths are content. Content paths vote, by their text, for
-the container that holds them; blocks in that container are the main text, so short headings and one-word
-paragraphs of an article stay. Elements that never hold an article (menus, headers, footers, sidebars, forms,
-scripts, reader comments, adverts) are cut before the ratios are taken.
+at or over a share of the standard deviation of all paths are content. The main text is every block on a content
+path and every block in the containers of content paths, so short headings and one-word paragraphs of an article
+stay. Elements that never hold an article (menus, headers, footers, sidebars, forms, scripts, reader comments,
+adverts) are cut before the ratios are taken; those that only a class, id or role tells stay where they hold an
+article or, on a page without one elsewhere, most of the text.
 """
 
 from __future__ import annotations
@@ -31,42 +32,49 @@ CLOSES = {k: frozenset(v.split()) for k, v in CLOSES.items()}
 #: Where looking for an element to close stops.
 SCOPE = {"li": frozenset("ul ol menu".split()), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "tr": frozenset(["table"]), "td": frozenset(["table"]), "th": frozenset(["table"])}
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
-#: Words of class, id and role that mark what isn't the article.
-BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|advertising|adsense|sponsor|sponsored|promo|banner|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|"
-    r"footer|header|masthead|comment|comments|commentlist|disqus|respond|reply|replies|cookie|cookies|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|"
-    r"signup|login|share|sharing|social|related|recommended|widget|toolbar|pagination|pager|complementary|contentinfo|search|skip)(?:$|[\s_-])",
-    re.I,
+#: Words that mark what isn't the article, where a whole class, id or role consists of them (cookie-notice, but not has-sidebar).
+READER_WORDS = "comment|comments|commentlist|disqus|respond|reply|replies"
+WORDS = (
+    "ad|ads|advert|advertisement|advertising|adsense|sponsor|sponsored|promo|banner|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumb|breadcrumbs|"
+    f"footer|header|masthead|{READER_WORDS}|cookie|cookies|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|"
+    "signup|login|share|sharing|social|related|recommended|widget|toolbar|pagination|pager|complementary|contentinfo|search|skip"
 )
+BOILERPLATE = re.compile(rf"(?:^|\s)(?:{WORDS})(?:[_-]+(?:{WORDS}))*(?:$|\s)", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-#: What still cuts an article or main element, whose class often names parts of the page around it.
-READERS = re.compile(r"(?:^|[\s_-])(?:comment|comments|commentlist|disqus|respond|reply|replies)(?:$|[\s_-])", re.I)
+#: What also marks an article or main element, whose class often names parts of the page around it.
+READERS = re.compile(rf"(?:^|\s)(?:{READER_WORDS})(?:[_-]+(?:{READER_WORDS}))*(?:$|\s)", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？]")
 
 
 def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
     """(tag path, text) of each block that isn't in a cut element, in page order; the path holds block-level tags and the class of each."""
-    out: list[tuple[tuple[str, ...], str]] = []
+    out: list[tuple[tuple[str, ...], list[tuple[tuple[int, ...], str]]]] = []
     stack: list[tuple[str, bool, str]] = []  # tag, cut, path step
     cut = 0
-    text: list[str] = []
+    text: list[tuple[tuple[int, ...], str]] = []  # pieces with the marked elements around them: which of these are cut is known at the end
+    around: tuple[int, ...] = ()
+    marked: list[bool] = []  # by number: is it marked as reader comments
+    depths: list[int] = []
+    holds: set[int] = set()
+    stays = False  # an article or main that isn't cut
 
     def flush() -> None:
         if text:
-            line = " ".join(entities.unescape("".join(text)).split())
+            out.append((tuple(step for tag, _, step in stack if tag not in INLINE), text[:]))
             text.clear()
-            if line:
-                out.append((tuple(step for tag, _, step in stack if tag not in INLINE), line))
 
     def pop_to(n: int) -> None:
-        nonlocal cut
+        nonlocal cut, around
         if any(tag not in INLINE for tag, _, _ in stack[n:]):
             flush()
         for _, off, _ in stack[n:]:
             cut -= off
         del stack[n:]
+        while depths and depths[-1] >= n:
+            depths.pop()
+            around = around[:-1]
 
     def close_open(tags: frozenset, stop: frozenset) -> None:
         for i in range(len(stack) - 1, -1, -1):
@@ -82,7 +90,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
         if not cut:
             piece = page[at : m.start() if m else size]
             if piece:
-                text.append(piece)
+                text.append((around, piece))
         if not m:
             break
         at = m.end()
@@ -102,22 +110,55 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
             close_open(CLOSES[name], SCOPE.get(name, frozenset()))
         if name == "br":
             if not cut:
-                text.append(" ")
+                text.append((around, " "))
             continue
         if name not in INLINE:
             flush()
         if name in VOID or m[3].endswith("/") and name not in INLINE and name not in ENDS_P:
             continue
         marks = " ".join(x[1] or x[2] or x[3] for x in ATTRIBUTE.findall(m[3])) if m[3] else ""
-        off = name not in ("html", "body") and (name in NEVER or bool(marks and (READERS if name in ("article", "main") else BOILERPLATE).search(marks)) or bool(m[3] and HIDDEN.search(m[3])))
+        whole = name in ("article", "main")
+        off = name not in ("html", "body") and (name in NEVER or bool(m[3] and HIDDEN.search(m[3])))
+        mark = bool(marks) and not off and not cut and name not in ("html", "body") and bool((READERS if whole else BOILERPLATE).search(marks))
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = end.end() if end else size
             continue
-        stack.append((name, off, f"{name}.{marks.split()[0]}" if marks else name))
+        if whole and not (off or cut or mark):
+            # articles among reader comments are comments
+            holds.update(k for k in around if name == "main" or not marked[k])
+            stays = stays or name == "main" or not any(marked[k] for k in around)
+        if mark:
+            depths.append(len(stack))
+            around += (len(marked),)
+            marked.append(bool(READERS.search(marks)))
+        stack.append((name, off, f"{name}.{marks.split()[0]}" if marks.split() else name))
         cut += off
     if not cut:
         flush()
+    return unmarked(out, marked, holds, stays)
+
+
+def unmarked(found: list[tuple[tuple[str, ...], list[tuple[tuple[int, ...], str]]]], marked: list[bool], holds: set[int], stays: bool) -> list[tuple[tuple[str, ...], str]]:
+    """The blocks without the pieces in marked elements.
+
+    A marked element stays if it holds an article or main or, where the page has none that stays, over half of
+    the page's text; reader comments, often longer than the article, only if they hold a main or all of the text.
+    """
+    sizes = [0] * len(marked)
+    total = 0
+    for _, pieces in found:
+        for around, piece in pieces:
+            n = len("".join(piece.split())) if marked else 0
+            total += n
+            for k in around:
+                sizes[k] += n
+    cut = {k for k, readers in enumerate(marked) if k not in holds and (stays or (sizes[k] < total if readers else sizes[k] * 2 <= total))}
+    out = []
+    for path, pieces in found:
+        line = " ".join(entities.unescape("".join(piece for around, piece in pieces if cut.isdisjoint(around))).split())
+        if line:
+            out.append((path, line))
     return out
 
 
@@ -145,7 +186,9 @@ def content(found: list[tuple[tuple[str, ...], str]], smooth: float = 0.25, stre
     for path in chosen:
         votes[container(path)] += length[path]
     best = max(votes, key=lambda p: (votes[p], -len(p)))
-    return [line for path, line in found if path[: len(best)] == best]
+    # beside an article elsewhere, the body itself is the container of its own blocks only
+    whole = {p for p in votes if p == best or p and p[-1].split(".")[0] not in ("html", "body")}
+    return [line for path, line in found if path in chosen or path[:-1] in votes or any(path[:n] in whole for n in range(len(path) + 1))]
 
 
 def container(path: tuple[str, ...]) -> tuple[str, ...]:

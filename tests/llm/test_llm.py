@@ -38,6 +38,23 @@ def test_pages(spark):
     assert html.main_text("<div id=c><p>One, two, three.</p><p>Four.</p></div><div class='sidebar x'><p>No.</p></div>") == "One, two, three.\nFour."
 
 
+def test_pages_of_several_containers():
+    line = "Long, long text. It goes on, and on; to the end of it."
+    p = f"<p>{line}</p>"
+    assert html.main_text(f"<div class=lead>{p * 2}</div><div class=story>{p * 3}<p>End</p></div>") == "\n".join([line] * 5 + ["End"])
+    assert html.main_text(f"<body><article id=p1>{p}</article><article id=p2>{p}</article></body>") == "\n".join([line] * 2)
+
+
+def test_only_whole_classes_cut_and_never_the_article():
+    line = "Long, long text. It goes on, and on; to the end of it."
+    p = f"<p>{line}</p>"
+    assert html.main_text(f"<div class='page has-sidebar no-header'><h2>Top</h2>{p}</div><div class='box sidebar'>{p}</div>") == f"Top\n{line}"
+    assert html.main_text(f"<div id=menu><article class=has-comments>{p}</article></div><div class=ad>{p * 3}</div>") == line
+    assert html.main_text(f"<div class=widget>{p * 2}</div><div class=cookie-notice>{p}</div>") == f"{line}\n{line}"
+    assert html.main_text(f"<article>{p}<div class=comments>{p * 3}<article>{p}</article></div></article><div class=ad>{p * 5}</div>") == line
+    assert html.main_text(f"<p class=' '>a <span class=ad>no</span> b, {line}</p>") == f"a b, {line}"
+
+
 # 2
 
 
