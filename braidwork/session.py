@@ -54,7 +54,17 @@ def stored(df: DataFrame, label: str = "table") -> DataFrame:
     """Writes df to the shared folder and reads it back: the lineage is cut and survives lost executors."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def drop_stored(*tables: DataFrame | None) -> None:
+    """Deletes what stored() wrote for these tables, once no frame reads them any more; others are left alone."""
+    for df in tables:
+        path = getattr(df, "stored_at", None)
+        if path in _scratch:
+            discard(df.sparkSession, path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
