@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from braidwork.session import delete, discard, drop_scratch, scratch_path, shared_dir, stored  # noqa: F401
+from braidwork.session import delete, discard, drop_scratch, drop_stored, scratch_path, shared_dir, stored  # noqa: F401
 
-#: Rows of an Arrow batch: bounds a Python worker's memory where texts are long.
-BATCH_ROWS = 256
+#: Rows, and about as many bytes, that a Python worker takes up at once.
+BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -20,23 +20,49 @@ def load(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
     return df.select(*columns) if columns else df
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most `rows` rows and about BATCH_BYTES. Spark bounds a batch in bytes itself, so no setting of the session is touched."""
+    for batch in batches:
+        n = batch.num_rows
+        step = max(1, min(rows, n * BATCH_BYTES // max(batch.nbytes, 1)))
+        for at in range(0, n, step):
+            yield batch.slice(at, step)
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
-    """Arrow batches through a function of column lists; make() runs once a task and returns that function."""
-    small_batches(df.sparkSession, rows)
-    fields = T._parse_datatype_string(schema)
-    arrow = arrow_schema(fields)
+def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str, rows: int = BATCH_ROWS, keep: tuple[str, ...] = (), read: tuple[str, ...] = ()) -> DataFrame:
+    """Arrow batches through a function of column lists; make() runs once a task and returns that function.
+
+    Columns in keep are passed on as they are, whatever their type. The function sees those in read, by default all
+    that aren't in keep.
+    """
+    made = T._parse_datatype_string(schema)
+    arrow = arrow_schema(made)
+    out_type = T.StructType([*made.fields, *(T.StructField(k, df.schema[k].dataType) for k in keep)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
-        for batch in batches:
-            out = each({k: batch.column(i).to_pylist() for i, k in enumerate(batch.schema.names)})
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+        for batch in pieces(batches, rows):
+            at = {k: i for i, k in enumerate(batch.schema.names)}
+            out = each({k: batch.column(i).to_pylist() for k, i in at.items() if (k in read if read else k not in keep)})
+            columns = [pa.array(out[f.name], f.type) for f in arrow] + [batch.column(at[k]) for k in keep]
+            yield pa.RecordBatch.from_arrays(columns, names=[*arrow.names, *keep])
+
+    return df.mapInArrow(run, out_type)
+
+
+#: The one column that holds a row's other columns while an operator works, so that no name can clash.
+REST = "_row"
+
 
-    return df.mapInArrow(run, fields)
+def packed(df: DataFrame, *inner: str) -> DataFrame:
+    """The inner columns, and all columns of df, of any name and type, as one struct REST (null where there are no others)."""
+    others = [F.col(f"`{x}`") for x in df.columns if x not in inner]
+    return df.select(*inner, (F.struct(*others) if others else F.lit(None).cast("int")).alias(REST))
+
+
+def unpacked(df: DataFrame, columns: list[str], own: dict[str, Column]) -> DataFrame:
+    """The columns in their order: those in own by their expressions, others out of REST."""
+    return df.select(*(own[x].alias(x) if x in own else F.col(REST).getField(x).alias(x) for x in columns))
 
 
 def arrow_schema(fields: T.StructType) -> pa.Schema:
@@ -67,13 +93,9 @@ def parts_of(spark: SparkSession) -> int:
 
 
 def range_index(column: Column, at: list[int]) -> Column:
-    """How many of the cuts are <= the value; 0 for a null."""
-    tree = _tree(column, at, 0, len(at))
-    return F.when(column.isNull(), F.lit(0)).otherwise(tree)
-
-
-def _tree(column: Column, at: list[int], low: int, high: int) -> Column:
-    if low == high:
-        return F.lit(low)
-    mid = (low + high) // 2
-    return F.when(column < F.lit(at[mid]), _tree(column, at, low, mid)).otherwise(_tree(column, at, mid + 1, high))
+    """How many of the ascending cuts are <= the value (0 for a null): a binary search in a literal array, so the plan doesn't deepen with the number of ranges."""
+    if not at:
+        return F.lit(0)
+    cuts_ = F.expr(f"array({', '.join(f'{x}L' if x > -(1 << 63) else 'long(-9223372036854775808)' for x in at)})")
+    powers = F.array(*(F.lit(1 << k) for k in reversed(range(len(at).bit_length()))))
+    return F.aggregate(powers, F.lit(0), lambda place, p: F.when(F.get(cuts_, place + p - 1) <= column, place + p).otherwise(place))
