@@ -23,9 +23,9 @@ from braidwork.llm import common
 
 #: Element names by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-NEVER = frozenset("head nav header footer aside form menu dialog button select option fieldset input object applet audio video canvas map datalist".split()) | RAW
+RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math semantics mrow mi mn mo ms mtext msup msub msubsup mfrac msqrt mroot mover munder munderover mfenced mspace mstyle mpadded mphantom mtable mtr mtd".split())
+NEVER = frozenset("head nav header footer aside form menu dialog button select option fieldset input object applet audio video canvas map datalist annotation annotation-xml".split()) | RAW
 #: Elements that a start tag of the key closes when one is open.
 CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "p": "p"}
 CLOSES = {k: frozenset(v.split()) for k, v in CLOSES.items()}
@@ -41,42 +41,87 @@ WORDS = (
 )
 BOILERPLATE = re.compile(rf"(?:^|\s)(?:{WORDS})(?:[_-]+(?:{WORDS}))*(?:$|\s)", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+#: One attribute: its name, and its value in double quotes, single quotes or none.
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 #: What also marks an article or main element, whose class often names parts of the page around it.
 READERS = re.compile(rf"(?:^|\s)(?:{READER_WORDS})(?:[_-]+(?:{READER_WORDS}))*(?:$|\s)", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，、！？]")
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
-    """(tag path, text) of each block that isn't in a cut element, in page order; the path holds block-level tags and the class of each."""
-    out: list[tuple[tuple[str, ...], list[tuple[tuple[int, ...], str]]]] = []
-    stack: list[tuple[str, bool, str]] = []  # tag, cut, path step
+class Paths:
+    """Tag paths as a tree of numbers: a path is its parent and its last step, so deep nesting costs no copies. 0 is the empty path."""
+
+    def __init__(self):
+        self.parent, self.step = [-1], [""]
+        self.known: dict[tuple[int, str], int] = {}
+
+    def child(self, path: int, step: str) -> int:
+        key = path, step
+        if key not in self.known:
+            self.known[key] = len(self.parent)
+            self.parent.append(path)
+            self.step.append(step)
+        return self.known[key]
+
+    def tag(self, path: int) -> str:
+        return self.step[path].split(".")[0]
+
+    def containers(self) -> list[int]:
+        """Of each path the article or main element it is in, else the element around its last block. Parents have smaller numbers than their children."""
+        whole, out = [-1], [0]
+        for i in range(1, len(self.parent)):
+            up = self.parent[i]
+            whole.append(i if self.tag(i) in ("article", "main") else whole[up])
+            out.append(whole[i] if whole[i] >= 0 else up if up and self.tag(i) not in ("body", "html", "div", "section") else i)
+        return out
+
+
+def attributes(source: str) -> tuple[str, bool]:
+    """What class, id and role say, and whether the element is hidden (by attribute or style); values of other attributes don't matter."""
+    marks, hidden = [], False
+    for m in ATTRIBUTE.finditer(source):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name in ("class", "id", "role"):
+            marks.append(value)
+        elif name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name == "style" and NO_DISPLAY.search(value):
+            hidden = True
+    return " ".join(marks), hidden
+
+
+def blocks(page: str) -> tuple[Paths, list[tuple[int, str]]]:
+    """The tag paths, and (path, text) of each block that isn't in a cut element, in page order; paths hold block-level tags and the class of each. Time grows with the page, however deep its elements stand."""
+    paths = Paths()
+    out: list[tuple[int, list[tuple[int, str]]]] = []
+    stack: list[tuple[str, bool, int, int]] = []  # tag, cut, path, marked element around
+    open_: dict[str, int] = defaultdict(int)
     cut = 0
-    text: list[tuple[tuple[int, ...], str]] = []  # pieces with the marked elements around them: which of these are cut is known at the end
-    around: tuple[int, ...] = ()
-    marked: list[bool] = []  # by number: is it marked as reader comments
-    depths: list[int] = []
-    holds: set[int] = set()
+    text: list[tuple[int, str]] = []  # pieces with the innermost marked element around: which of these are cut is known at the end
+    # marked elements, each with the one around it (-1: none), whether it is reader comments, or inside such, and what it holds
+    above: list[int] = []
+    readers: list[bool] = []
+    among: list[bool] = []
+    articles: set[int] = set()
+    mains: set[int] = set()
     stays = False  # an article or main that isn't cut
 
     def flush() -> None:
         if text:
-            out.append((tuple(step for tag, _, step in stack if tag not in INLINE), text[:]))
+            out.append((stack[-1][2] if stack else 0, text[:]))
             text.clear()
 
     def pop_to(n: int) -> None:
-        nonlocal cut, around
-        if any(tag not in INLINE for tag, _, _ in stack[n:]):
+        nonlocal cut
+        if any(tag not in INLINE for tag, *_ in stack[n:]):
             flush()
-        for _, off, _ in stack[n:]:
+        for tag, off, *_ in stack[n:]:
             cut -= off
+            open_[tag] -= 1
         del stack[n:]
-        while depths and depths[-1] >= n:
-            depths.pop()
-            around = around[:-1]
 
     def close_open(tags: frozenset, stop: frozenset) -> None:
+        if not any(open_[t] for t in tags):
+            return
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in tags:
                 pop_to(i)
@@ -87,6 +132,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
     at, size = 0, len(page)
     while at < size:
         m = TOKEN.search(page, at)
+        around = stack[-1][3] if stack else -1
         if not cut:
             piece = page[at : m.start() if m else size]
             if piece:
@@ -99,15 +145,17 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
             continue
         name = name.lower()
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    pop_to(i)
-                    break
+            if open_[name]:
+                i = len(stack) - 1
+                while stack[i][0] != name:
+                    i -= 1
+                pop_to(i)
             continue
         if name in ENDS_P:
             close_open(CLOSES["p"], frozenset())
         if name in CLOSES and name != "p":
             close_open(CLOSES[name], SCOPE.get(name, frozenset()))
+        around = stack[-1][3] if stack else -1
         if name == "br":
             if not cut:
                 text.append((around, " "))
@@ -116,9 +164,9 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
             flush()
         if name in VOID or m[3].endswith("/") and name not in INLINE and name not in ENDS_P:
             continue
-        marks = " ".join(x[1] or x[2] or x[3] for x in ATTRIBUTE.findall(m[3])) if m[3] else ""
+        marks, hidden = attributes(m[3]) if m[3] else ("", False)
         whole = name in ("article", "main")
-        off = name not in ("html", "body") and (name in NEVER or bool(m[3] and HIDDEN.search(m[3])))
+        off = name not in ("html", "body") and (name in NEVER or hidden)
         mark = bool(marks) and not off and not cut and name not in ("html", "body") and bool((READERS if whole else BOILERPLATE).search(marks))
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
@@ -126,55 +174,72 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
             continue
         if whole and not (off or cut or mark):
             # articles among reader comments are comments
-            holds.update(k for k in around if name == "main" or not marked[k])
-            stays = stays or name == "main" or not any(marked[k] for k in around)
+            if around >= 0:
+                (mains if name == "main" else articles).add(around)
+            stays = stays or name == "main" or around < 0 or not among[around]
         if mark:
-            depths.append(len(stack))
-            around += (len(marked),)
-            marked.append(bool(READERS.search(marks)))
-        stack.append((name, off, f"{name}.{marks.split()[0]}" if marks.split() else name))
+            above.append(around)
+            readers.append(bool(READERS.search(marks)))
+            among.append(readers[-1] or around >= 0 and among[around])
+            around = len(above) - 1
+        path = stack[-1][2] if stack else 0
+        if name not in INLINE:
+            path = paths.child(path, f"{name}.{marks.split()[0]}" if marks.split() else name)
+        stack.append((name, off, path, around))
+        open_[name] += 1
         cut += off
     if not cut:
         flush()
-    return unmarked(out, marked, holds, stays)
+    return paths, unmarked(out, above, readers, articles, mains, stays)
 
 
-def unmarked(found: list[tuple[tuple[str, ...], list[tuple[tuple[int, ...], str]]]], marked: list[bool], holds: set[int], stays: bool) -> list[tuple[tuple[str, ...], str]]:
+def unmarked(found: list[tuple[int, list[tuple[int, str]]]], above: list[int], readers: list[bool], articles: set[int], mains: set[int], stays: bool) -> list[tuple[int, str]]:
     """The blocks without the pieces in marked elements.
 
     A marked element stays if it holds an article or main or, where the page has none that stays, over half of
     the page's text; reader comments, often longer than the article, only if they hold a main or all of the text.
     """
-    sizes = [0] * len(marked)
+    sizes = [0] * len(above)
     total = 0
-    for _, pieces in found:
-        for around, piece in pieces:
-            n = len("".join(piece.split())) if marked else 0
-            total += n
-            for k in around:
-                sizes[k] += n
-    cut = {k for k, readers in enumerate(marked) if k not in holds and (stays or (sizes[k] < total if readers else sizes[k] * 2 <= total))}
+    if above:
+        for _, pieces in found:
+            for around, piece in pieces:
+                n = len("".join(piece.split()))
+                total += n
+                if around >= 0:
+                    sizes[around] += n
+        for k in range(len(above) - 1, -1, -1):  # what is inside counts outside
+            if above[k] >= 0:
+                sizes[above[k]] += sizes[k]
+                for held in (articles, mains):
+                    if k in held:
+                        held.add(above[k])
+    gone: list[bool] = []
+    for k, comments in enumerate(readers):
+        holds = k in mains or k in articles and not comments
+        own = not holds and (stays or (sizes[k] < total if comments else sizes[k] * 2 <= total))
+        gone.append(own or above[k] >= 0 and gone[above[k]])
     out = []
     for path, pieces in found:
-        line = " ".join(entities.unescape("".join(piece for around, piece in pieces if cut.isdisjoint(around))).split())
+        line = " ".join(entities.unescape("".join(piece for around, piece in pieces if around < 0 or not gone[around])).split())
         if line:
             out.append((path, line))
     return out
 
 
-def content(found: list[tuple[tuple[str, ...], str]], smooth: float = 0.25, strength: float = 0.5) -> list[str]:
+def content(paths: Paths, found: list[tuple[int, str]], smooth: float = 0.25, strength: float = 0.5) -> list[str]:
     """The blocks that tag-path ratios choose, in page order."""
     if not found:
         return []
-    length: dict[tuple, int] = defaultdict(int)
-    marks: dict[tuple, int] = defaultdict(int)
-    nodes: dict[tuple, int] = defaultdict(int)
+    length: dict[int, int] = defaultdict(int)
+    marks: dict[int, int] = defaultdict(int)
+    nodes: dict[int, int] = defaultdict(int)
     for path, line in found:
         length[path] += len(line)
         marks[path] += len(PUNCTUATION.findall(line))
         nodes[path] += 1
     ratios = [(length[p] / nodes[p], (1 + marks[p]) / nodes[p]) for p, _ in found]
-    fused: dict[tuple, float] = defaultdict(float)
+    fused: dict[int, float] = defaultdict(float)
     for i, (path, _) in enumerate(found):
         before, here, after = ratios[max(i - 1, 0)], ratios[i], ratios[min(i + 1, len(found) - 1)]
         text_ratio, mark_ratio = (smooth * a + (1 - 2 * smooth) * b + smooth * c for a, b, c in zip(before, here, after))
@@ -182,25 +247,23 @@ def content(found: list[tuple[tuple[str, ...], str]], smooth: float = 0.25, stre
     mean = sum(fused.values()) / len(fused)
     spread = math.sqrt(sum((x - mean) ** 2 for x in fused.values()) / len(fused))
     chosen = {p for p, x in fused.items() if x >= strength * spread} or set(fused)
-    votes: dict[tuple, int] = defaultdict(int)
+    container = paths.containers()
+    votes: dict[int, int] = defaultdict(int)
     for path in chosen:
-        votes[container(path)] += length[path]
-    best = max(votes, key=lambda p: (votes[p], -len(p)))
+        votes[container[path]] += length[path]
+    depth = [0]
+    for up in paths.parent[1:]:
+        depth.append(depth[up] + 1)
+    best = max(votes, key=lambda p: (votes[p], -depth[p]))
     # beside an article elsewhere, the body itself is the container of its own blocks only
-    whole = {p for p in votes if p == best or p and p[-1].split(".")[0] not in ("html", "body")}
-    return [line for path, line in found if path in chosen or path[:-1] in votes or any(path[:n] in whole for n in range(len(path) + 1))]
-
-
-def container(path: tuple[str, ...]) -> tuple[str, ...]:
-    """The article or main element of the path, else the element around its last block."""
-    for i in range(len(path) - 1, -1, -1):
-        if path[i].split(".")[0] in ("article", "main"):
-            return path[: i + 1]
-    return path[:-1] if len(path) > 1 and path[-1].split(".")[0] not in ("body", "html", "div", "section") else path
+    inside = [0 in votes and (0 == best)]
+    for i in range(1, len(paths.parent)):
+        inside.append(inside[paths.parent[i]] or i in votes and (i == best or paths.tag(i) not in ("html", "body")))
+    return [line for path, line in found if path in chosen or path and paths.parent[path] in votes or inside[path]]
 
 
 def main_text(page: str | None) -> str:
-    return "\n".join(content(blocks(page))) if page else ""
+    return "\n".join(content(*blocks(page))) if page else ""
 
 
 def extract(pages: DataFrame) -> DataFrame:
