@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 from braidwork.llm import common
 
 WINDOW, LEAST, LEVELS = 7, 40, 32
-#: A run of equal signs longer than this is cut to it, so repetitive texts keep short signatures.
+#: A run of equal signs longer than this is cut to it, and a chunk that comes again more often is left out: repetitive texts keep short signatures.
 RUN = 3
+#: Chunks of a signature at most. Of more (no block size has between LEAST and this), those stay whose hash has the most trailing zero bits.
+MOST = 2048
 SIGNS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 ROLL = np.uint64(0x9E3779B97F4A7C15)
 STEP = 0x5851F42D4C957F2D
@@ -62,6 +64,17 @@ def signature(prefix: np.ndarray, down: np.ndarray, ends: np.ndarray) -> str:
     h = (prefix[ends] - prefix[starts]) * down[starts]
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
+    if len(h) > LEAST * 4:
+        order = np.argsort(h, kind="stable")
+        first = np.r_[True, h[order][1:] != h[order][:-1]]
+        place = np.arange(len(h)) - np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
+        again = np.empty(len(h), np.int64)
+        again[order] = place
+        h = h[again < RUN]
+        bits = 0
+        while len(h) > MOST:
+            bits += 1
+            h = h[h & np.uint64((1 << bits) - 1) == 0]
     sign = (h >> np.uint64(58)).astype(np.int64)
     if len(sign) > RUN:
         same = sign[1:] == sign[:-1]
@@ -144,20 +157,18 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """(part, doc_id, text, ahead): rows dealt by ranges of doc_id, the first document of a range also sent to the range before it (ahead), the first of all to the last."""
+    """(part, ahead, doc_id, text): rows dealt by ranges of doc_id, the first document of a range also sent to the range before it (ahead), the first of all to the last."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     at = common.cuts(docs, "doc_id", common.parts_of(docs.sparkSession))
-    part = docs.withColumn("part", common.range_index(F.col("doc_id"), at))
-    firsts = part.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("low")).orderBy("part").collect()  # a row per range
-    known = [r["part"] for r in firsts]
-    back = {r["part"]: known[i - 1] for i, r in enumerate(firsts)}
-    copies = F.array(F.struct(F.col("part"), F.lit(False).alias("ahead")))
-    for r in firsts:
-        first = (F.col("part") == r["part"]) & F.col("doc_id").eqNullSafe(F.lit(r["low"]["doc_id"]).cast("bigint"))
-        r_copy = F.struct(F.lit(back[r["part"]]).alias("part"), F.lit(True).alias("ahead"))
-        copies = F.when(first, F.array(F.struct(F.col("part"), F.lit(False).alias("ahead")), r_copy)).otherwise(copies)
-    sent = part.select("doc_id", "text", F.explode(copies).alias("c")).select("c.part", "c.ahead", "doc_id", "text")
-    return sent.repartition(max(1, len(known)), "part").sortWithinPartitions("part", "ahead", "doc_id", "text")
+    dealt = docs.withColumn("part", common.range_index(F.col("doc_id"), at))
+    firsts = [(r["part"], r["low"]["doc_id"]) for r in dealt.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("low")).orderBy("part").collect()]  # a row per range
+    back = [(part, low, firsts[i - 1][0]) for i, (part, low) in enumerate(firsts)]
+    where = F.broadcast(docs.sparkSession.createDataFrame(back, "part int, low bigint, back int"))  # a row per range
+    own, ahead = F.struct(F.col("part").alias("part"), F.lit(False).alias("ahead")), F.struct(F.col("back").alias("part"), F.lit(True).alias("ahead"))
+    copies = F.when(F.col("doc_id").eqNullSafe(F.col("low")), F.array(own, ahead)).otherwise(F.array(own))
+    sent = dealt.join(where, "part").select("doc_id", "text", F.explode(copies).alias("c")).select("c.part", "c.ahead", "doc_id", "text")
+    # a range is a partition: its number is the partition's
+    return sent.repartitionById(max(1, len(at) + 1), "part").sortWithinPartitions("part", "ahead", "doc_id", "text")
 
 
 def edit_study(docs: DataFrame) -> DataFrame:
@@ -170,7 +181,6 @@ def edit_study(docs: DataFrame) -> DataFrame:
     schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     arrow = common.arrow_schema(common.T._parse_datatype_string(schema))
     rows = with_next(docs)
-    common.small_batches(docs.sparkSession)
 
     def finish(held, text, mark):
         doc_id, own, own_mark = held
@@ -182,7 +192,7 @@ def edit_study(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         part, held = None, None
-        for batch in batches:
+        for batch in common.pieces(batches):
             out = []
             for p, ahead, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if p != part:
