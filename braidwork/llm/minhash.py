@@ -23,13 +23,13 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from braidwork.llm import common
-from braidwork.llm.components import components
+from braidwork.operators.components import components
 
 SHINGLE, PERCENT = 4, 80
 #: Coordinates, and how many have to agree.
-K, T = 24, 9
-#: Members of a block.
-BLOCK = 256
+K, T = 48, 24
+#: Held nodes of a block, and the asking nodes that one task takes to it, about.
+BLOCK, ASKING = 256, 2048
 _odd = np.random.RandomState(20200101)
 MULTIPLIERS = (_odd.randint(0, 1 << 62, K, dtype=np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 PLACES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0x85EBCA77C2B2AE63, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9], np.uint64)
@@ -57,9 +57,12 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
 
 def signature(s: np.ndarray) -> list[int]:
     """Tokens: coordinate and 32 bits of its minimum, as one integer."""
-    m = s[None, :] * MULTIPLIERS[:, None]
-    m ^= m >> np.uint64(32)
-    low = mixed(m.min(1)) >> np.uint64(32)
+    least = np.full(K, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(s), 1 << 14):  # long texts in slices
+        m = s[None, i : i + (1 << 14)] * MULTIPLIERS[:, None]
+        m ^= m >> np.uint64(32)
+        np.minimum(least, m.min(1), out=least)
+    low = mixed(least) >> np.uint64(32)
     return (low | np.arange(K, dtype=np.uint64) << np.uint64(32)).astype(np.int64).tolist()
 
 
@@ -97,16 +100,18 @@ def candidates(nodes: DataFrame) -> DataFrame:
 
 
 def meet(held: DataFrame, asking: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between nodes asking (g, node, comp) and nodes held (g, node, comp) of the same g, of different comp, confirmed on full sets. Of a group the held nodes are in memory (the caller bounds them), the asking ones are a stream."""
+    """Links (a, b) between nodes asking (g, node, comp) and nodes held (g, node, comp) of the same g, of different comp, confirmed on full sets. Of a group the held nodes are in memory (the caller bounds them), the asking ones are a stream; where many ask, they are dealt to several copies of the held ones."""
     cols = ["g", "kind", "node", "comp"]
-    rows = held.select("g", F.lit(0).alias("kind"), "node", "comp").unionByName(asking.select("g", F.lit(1).alias("kind"), "node", "comp"))
+    many = asking.groupBy("g").agg(F.ceil(F.count("*") / ASKING).cast("int").alias("parts"))
+    copies = held.join(many, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "node", "comp").select(F.xxhash64("g", "part").alias("g"), F.lit(0).alias("kind"), "node", "comp")
+    dealt = asking.join(many, "g").select(F.xxhash64("g", F.pmod(F.xxhash64("node"), "parts").cast("int")).alias("g"), F.lit(1).alias("kind"), "node", "comp")
+    rows = copies.unionByName(dealt)
     full = rows.join(sets, "node").select(*cols, "s").repartition("g").sortWithinPartitions("g", "kind", "node")
     arrow = common.arrow_schema(common.T._parse_datatype_string("a bigint, b bigint"))
-    common.small_batches(held.sparkSession)
 
     def run(batches):
         group, nodes, comps, sets, index = None, [], [], [], None
-        for batch in batches:
+        for batch in common.pieces(batches):
             a, b = [], []
             for g, kind, node, comp, cell in zip(*(batch.column(i) for i in range(5))):
                 g, kind, node, comp, s = g.as_py(), kind.as_py(), node.as_py(), comp.as_py(), np.frombuffer(cell.as_py(), "<u8")
@@ -182,6 +187,7 @@ def links(docs: DataFrame, nodes: DataFrame, size: int = SHINGLE, percent: int =
     of = first.select(F.col("node").alias("a"), F.col("root").alias("x")), first.select(F.col("node").alias("b"), F.col("root").alias("y"))
     contracted = more.join(of[0], "a", "left").join(of[1], "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
     second = components(contracted).select(F.col("node").alias("root"), F.col("root").alias("higher"))
+    common.drop_stored(cands, sets, stars, apart, home)  # all that follows reads the two tables of components
     return first.join(second, "root", "full").select(F.coalesce("node", "root").alias("node"), F.coalesce("higher", "root").alias("root")).unionByName(second.select(F.col("root").alias("node"), F.col("higher").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
 
 
@@ -189,10 +195,15 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text).
 
     Texts that are null, empty or without words have an empty set and are linked with nothing. Rows with a null
-    doc_id get a null component and are not kept. Rows that share a doc_id count as linked.
+    doc_id get a null component and are not kept. Rows that share a doc_id count as linked. An empty table gives no
+    rows; other columns than doc_id and text are not read.
     """
+    return grouped(docs, common.stored(sets_of(docs, size), "sets_of"), size, percent)
+
+
+def grouped(docs: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """near_duplicates() of the rows (doc_id, n, s1, s2, tokens) of docs."""
     docs = docs.select("doc_id", "text")
-    rows = common.stored(sets_of(docs, size), "sets_of")
     nodes = common.stored(rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("tokens").alias("tokens")), "nodes")
     root = links(docs, nodes.select("node", "tokens"), size, percent)
     named = nodes.select("s1", "s2", "node").join(root, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("component_id"))
@@ -202,11 +213,18 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 
 
 def dedup(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id; columns as in docs. Rows with a null doc_id stay; of rows that repeat a doc_id one stays."""
-    near = near_duplicates(docs, size, percent)
+    """One document of each group, the one with the smallest doc_id; columns as in docs, of any name and type.
+
+    Rows with a null doc_id stay. Of rows that repeat a doc_id and text one stays. A doc_id that stands for texts of
+    different sets names no document: its rows are compared with nothing and stay, each text once. Texts that are
+    null, empty or without words stay.
+    """
+    rows = common.stored(sets_of(docs, size), "sets_of")
+    unclear = rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count_distinct("s1", "s2").alias("k")).filter("k > 1").select("doc_id")
+    near = grouped(docs, rows.join(unclear, "doc_id", "left_anti"), size, percent)
     gone = near.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     named = docs.filter("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
+    return named.dropDuplicates(["doc_id", "text"]).unionByName(docs.filter("doc_id IS NULL")).select(*(f"`{x}`" for x in docs.columns))
 
 
 def op3_minhash(spark, sf_dir: str) -> DataFrame:
