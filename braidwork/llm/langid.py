@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidwork.llm import common
@@ -27,13 +27,22 @@ FAMILIES = {
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 DIM = 1 << 12
-#: Labelled rows for training at most, per language (chosen by a hash of the id).
-SAMPLE_PER_LANGUAGE = 1500
-LETTER = re.compile(r"[^\W\d_]")
+#: Labelled rows for training, about: of each language at most, and of all languages together (each then gets fewer, none is left out).
+SAMPLE_PER_LANGUAGE, SAMPLE_ROWS = 1500, 30_000
 WORDS = re.compile(r"[^\W\d_]+")
+ASCII_LETTER = re.compile("[A-Za-z]")
 UNDETERMINED = "und"
 
 
+def has_letter(text: str | None) -> bool:
+    """A letter by Unicode category (L*): superscripts, fractions and number forms are none."""
+    return bool(text) and (ASCII_LETTER.search(text) is not None or any(map(str.isalpha, text)))
+
+
+def with_letter(text: Column) -> Column:
+    return F.coalesce(text.rlike("\\p{L}"), F.lit(False))
+
+
 def features(text: str, dim: int = DIM) -> np.ndarray:
     """The whole text as a unit vector; texts without a letter are all zeros."""
     data = (" " + " ".join(WORDS.findall(text.lower())) + " ").encode("utf-8", "surrogatepass")
@@ -91,7 +100,7 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         langs, scores = [], []
-        rows = [features(t) if t and LETTER.search(t) else None for t in texts]
+        rows = [features(t) if has_letter(t) else None for t in texts]
         margins = {}
         good = [i for i, r in enumerate(rows) if r is not None]
         if good:
@@ -129,8 +138,8 @@ class Model:
         return langs, scores
 
 
-def fit(texts: list[str], langs: list[str], family_of: dict[str, str] = FAMILY_OF) -> Model:
-    x = np.stack([features(t) for t in texts]) if texts else np.zeros((0, DIM), np.float32)
+def fit(x: np.ndarray, langs: list[str], family_of: dict[str, str] = FAMILY_OF) -> Model:
+    """x: a row of features() for each language in langs."""
     lang = np.array(langs)
     family = np.array([family_of.get(a, a) for a in langs])
     families = {f: sorted(str(a) for a in set(lang[family == f])) for f in sorted(map(str, set(family)))}
@@ -150,47 +159,60 @@ def fit(texts: list[str], langs: list[str], family_of: dict[str, str] = FAMILY_O
     return Model(families, family_w, pair_w)
 
 
-def sample(labelled: DataFrame, per_language: int) -> DataFrame:
-    """(text, lang): about per_language rows of each language at most, chosen by a hash of the id and text."""
-    size = labelled.groupBy("lang").count()
-    share = {r["lang"]: min(1.0, per_language / r["count"]) for r in size.orderBy(F.desc("count"), "lang").limit(200).collect()}
-    if not share:
-        return labelled.select("text", "lang").limit(0)
-    pick = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) / 1e6
-    rule = F.coalesce(*[F.when(F.col("lang") == a, F.lit(s)) for a, s in share.items()])
-    return labelled.filter(pick < rule).select("text", "lang")
+def sample(labelled: DataFrame, per_language: int, rows: int) -> DataFrame:
+    """(doc_id, text, lang): about per_language rows of each language at most, fewer where all languages would come to more than `rows`; chosen by a hash of the id and text, and of every language at least the row with the least hash."""
+    picked = labelled.select("doc_id", "text", "lang", F.xxhash64("doc_id", "text").alias("h"))
+    sizes = picked.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least"))
+    sizes = sizes.withColumn("languages", F.count("*").over(Window.partitionBy(F.lit(0))))  # a row per language
+    wanted = F.greatest(F.lit(1.0), F.least(F.lit(float(per_language)), F.lit(float(rows)) / F.col("languages")))
+    chosen = picked.select("doc_id", "h", "lang").join(sizes, "lang").filter((F.col("h") == F.col("least")) | (F.pmod("h", F.lit(1 << 40)) / float(1 << 40) < wanted / F.col("n")))
+    # bounded by `rows` and the number of languages: a semi-join without a shuffle of texts
+    return picked.join(F.broadcast(chosen.select("doc_id", "h", "lang")), ["doc_id", "h", "lang"], "left_semi").select("doc_id", "text", "lang")
+
 
+def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, holdout: bool = True, rows: int = SAMPLE_ROWS) -> Model:
+    """Learns from rows with an id, a text that has a letter and a lang; with holdout, not from rows whose crc32(doc_id) mod 4 is 2.
 
-def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, holdout: bool = True) -> Model:
-    """Learns from rows with a text that has a letter and a lang; with holdout, not from rows whose crc32(doc_id) mod 4 is 2. At most 200 languages, the most frequent."""
-    known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    Every language is learned. Tasks make the features, so of each sampled row DIM numbers reach the driver. Rows
+    that repeat count as often as they are there. Without such rows the model knows no language.
+    """
+    known = docs.select("doc_id", "text", "lang").filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & with_letter(F.col("text")))
     if holdout:
         known = known.filter(common.id_crc() % 4 != 2)
-    rows = [(r["text"], r["lang"]) for r in sample(known, per_language).toLocalIterator() if LETTER.search(r["text"])]
-    return fit([t for t, _ in rows], [a for _, a in rows])
+
+    def make():
+        return lambda rows: {"lang": rows["lang"], "x": [features(t).astype("<f2").tobytes() for t in rows["text"]]}
+
+    found = [(r["lang"], r["x"]) for r in common.map_rows(sample(known, per_language, rows).select("text", "lang"), make, "lang string, x binary").toLocalIterator()]
+    found.sort()  # the same order for the same rows: training is repeatable
+    x = np.frombuffer(b"".join(v for _, v in found), "<f2").reshape(-1, DIM).astype(np.float32)
+    return fit(x, [a for a, _ in found])
 
 
-def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, lang_pred, score and the columns in keep for every row of docs, from the whole text alone.
+def identify(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang_pred and score for every row of docs (doc_id, text), from the whole text alone.
 
-    Texts that are null or have no letter are 'und' with score 0, as are all if nothing was learned. One pass,
-    no shuffle.
+    Texts that are null, empty or have no letter are 'und' with score 0, as are all if nothing was learned. Rows
+    that repeat a doc_id, and those with a null one, get a row each; an empty table gives none. Other columns are
+    not read. One pass, no shuffle.
     """
+    return predicted(docs, model).select("doc_id", "lang_pred", "score")
+
+
+def predicted(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, text, lang_pred, score) and the other columns of docs packed, whatever their names and types."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    keep = tuple(c for c in keep if c != "doc_id")
-    source = docs.select(*dict.fromkeys(("doc_id", "text", *keep)))
-    schema = "doc_id bigint, lang_pred string, score double" + "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def make():
         model = sent.value
 
         def each(rows):
             langs, scores = model.predict(rows["text"])
-            return {"doc_id": rows["doc_id"], "lang_pred": langs, "score": scores} | {c: rows[c] for c in keep}
+            return {"lang_pred": langs, "score": scores}
 
         return each
 
-    return common.map_rows(source, make, schema)
+    return common.map_rows(common.packed(docs, "doc_id", "text"), make, "lang_pred string, score double", keep=("doc_id", "text", common.REST), read=("text",))
 
 
 def op4_langid(spark, sf_dir: str) -> DataFrame:
