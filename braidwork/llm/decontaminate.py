@@ -7,8 +7,10 @@ shorter than a window are found as marked states on the chain of suffix links.
 
 from __future__ import annotations
 
-import hashlib
+import functools
+import itertools
 import re
+import uuid
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
@@ -19,7 +21,7 @@ from braidwork.llm import common
 #: Bytes of a word: ASCII letters and digits, and all bytes of non-ASCII characters.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 WINDOW = 10
-#: Words of the items in one automaton; more items go into further automata, each of which sees all documents.
+#: Words of the items in one automaton. More items make further blocks, and a pass over all documents for each block: one automaton is alive at a time, on the driver and in each worker.
 BLOCK_WORDS = 400_000
 
 
@@ -171,44 +173,80 @@ def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterato
         yield block
 
 
-def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = (), clean: bool = False, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, n_words, starts and ends (hit word spans), items, and the columns in keep, for every row of docs.
+_automata: dict[str, Automaton] = {}
 
-    With clean, also clean_text: the text without the characters from the first to the last word of each span.
-    A null or empty text has no words; items without words are never found; with an empty benchmark nothing is
-    hit. Documents pass all automata one after the other within a task; each is broadcast, and holds at most
-    block_words words (an item of more has one of its own).
-    """
-    spark = docs.sparkSession
-    sent = [spark.sparkContext.broadcast(block) for block in item_blocks(benchmark, block_words)]
-    keep = tuple(c for c in keep if c not in ("doc_id", "text"))
-    schema = "doc_id bigint, n_words bigint, starts array<bigint>, ends array<bigint>, items array<bigint>" + ", clean_text string" * clean + "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+
+def automaton_of(key: str, block: list[tuple[int, list[bytes]]], window: int) -> Automaton:
+    """One for each worker process, so it outlives a task; the one of another block goes."""
+    if key not in _automata:
+        _automata.clear()
+        _automata[key] = Automaton(block, window)
+    return _automata[key]
+
+
+FOUND = "n_words bigint, starts array<bigint>, ends array<bigint>, items array<bigint>"
+
+
+def scan_block(rows: DataFrame, block: list[tuple[int, list[bytes]]], window: int, keep: tuple[str, ...]) -> DataFrame:
+    """FOUND and the columns in keep for every row of rows (text, …): hit word spans and items of one block. The broadcast holds at most BLOCK_WORDS words, or one item."""
+    sent, key = rows.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
     def make():
-        automata = [Automaton(b.value, window) for b in sent]
+        automaton = automaton_of(key, sent.value, window)
 
         def each(rows):
-            out = {k: [] for k in ("doc_id", "n_words", "starts", "ends", "items")} | ({"clean_text": []} if clean else {})
-            out["doc_id"] = rows["doc_id"]
+            out = {k: [] for k in ("n_words", "starts", "ends", "items")}
             for text in rows["text"]:
                 seq = words(text)
-                spans, found = set(), set()
-                for automaton in automata:
-                    more, items = automaton.scan(seq)
-                    spans.update(more)
-                    found |= items
-                spans = merged(sorted(spans)) if len(automata) > 1 else sorted(spans)
+                spans, found = automaton.scan(seq)
                 out["n_words"].append(len(seq))
                 out["starts"].append([a for a, _ in spans])
                 out["ends"].append([b for _, b in spans])
                 out["items"].append(sorted(found))
-                if clean:
-                    out["clean_text"].append(without(text, spans) if spans else text)
-            return out | {c: rows[c] for c in keep}
+            return out
 
         return each
 
-    return common.map_rows(docs.select("doc_id", "text", *keep), make, schema)
+    return common.map_rows(rows, make, FOUND, keep=keep, read=("text",))
+
+
+def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, text, n_words, starts and ends (hit word spans), items, and the other columns of docs packed, for every row of docs.
+
+    A null or empty text has no words; items without words are never found; with an empty benchmark nothing is
+    hit; rows that repeat an id, and those with a null one, get a row each. One block of items takes one pass without
+    a shuffle. More blocks take a pass each, which writes the spans of the texts that it hits; these meet the
+    documents by the hash of the text.
+    """
+    rows = common.packed(docs, "doc_id", "text")
+    keep = ("doc_id", "text", common.REST)
+    blocks = item_blocks(benchmark, block_words)
+    first = next(blocks, [])
+    second = next(blocks, None)
+    if second is None:
+        return scan_block(rows, first, window, keep)
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    texts, hits = rows.select("text", digest.alias("h")), []
+    for block in itertools.chain([first, second], blocks):
+        hits.append(common.stored(scan_block(texts, block, window, ("h",)).filter("size(items) > 0").select("h", "starts", "ends", "items"), "hits").dropDuplicates(["h"]))
+    every = functools.reduce(DataFrame.unionByName, hits).groupBy("h").agg(*(F.flatten(F.collect_list(x)).alias(x) for x in ("starts", "ends", "items")))
+    # word counts, and the union of spans, without an automaton
+    joined = rows.withColumn("h", digest).join(every, "h", "left").select("doc_id", "text", common.REST, *(F.col(x).alias(f"all_{x}") for x in ("starts", "ends", "items")))
+
+    def make():
+        def each(rows):
+            out = {k: [] for k in ("n_words", "starts", "ends", "items")}
+            for text, a, b, items in zip(rows["text"], rows["all_starts"], rows["all_ends"], rows["all_items"]):
+                spans = merged(sorted(zip(a or [], b or [])))
+                out["n_words"].append(len(words(text)))
+                out["starts"].append([x for x, _ in spans])
+                out["ends"].append([x for _, x in spans])
+                out["items"].append(sorted(set(items or [])))
+            return out
+
+        return each
+
+    return common.map_rows(joined, make, FOUND, keep=keep, read=("text", "all_starts", "all_ends", "all_items"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -243,15 +281,30 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_share: float = 0.5, max_words: int | None = None) -> DataFrame:
-    """docs without test passages, columns as in docs: hit spans are cut out of the texts; documents of which more than max_share of the words, or more than max_words words, are hit go."""
-    found = scan_documents(docs, benchmark, window, tuple(docs.columns), clean=True)
+    """docs without test passages, columns as in docs, of any name and type: hit spans are cut out of the texts; documents of which more than max_share of the words, or more than max_words words, are hit go.
+
+    n_chars, where there is such a column, follows the text. Null and empty texts stay as they are; repeated rows and
+    null ids are treated like any others; an empty table gives none.
+    """
+    found = scan_documents(docs, benchmark, window)
     hit = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("bigint"), lambda a, x: a + x)
     rule = hit <= F.col("n_words") * F.lit(max_share)
     if max_words is not None:
         rule &= hit <= max_words
-    kept = found.filter(rule)
-    columns = {"text": F.col("clean_text").alias("text"), "n_chars": F.when(hit > 0, F.length("clean_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType).alias("n_chars")} if "n_chars" in docs.columns else {"text": F.col("clean_text").alias("text")}
-    return kept.select(*(columns.get(c, F.col(c)) for c in docs.columns))
+
+    def make():
+        def each(rows):
+            spans = ([*zip(a, b)] for a, b in zip(rows["starts"], rows["ends"]))
+            return {"clean": [without(t, s) if s else t for t, s in zip(rows["text"], spans)]}
+
+        return each
+
+    cut = common.map_rows(found.filter(rule), make, "clean string", keep=("doc_id", "starts", common.REST), read=("text", "starts", "ends"))
+    own = {"doc_id": F.col("doc_id"), "text": F.col("clean")}
+    if "n_chars" in docs.columns:
+        given = F.col(common.REST).getField("n_chars")
+        own["n_chars"] = F.when(F.size("starts") > 0, F.length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(given)
+    return common.unpacked(cut, docs.columns, own)
 
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:
