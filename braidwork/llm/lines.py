@@ -1,13 +1,16 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-Batches of documents arrive newest first. A batch's lines become 128-bit hashes of their keys; these are merged
-with the sorted runs so far by an anti-join (which lines are new) and added as a run of their own. When a level
-holds `fanout` runs they are compacted into one run of the next level, as in a log-structured merge tree. Runs
-are Parquet tables in the shared folder, so a lost executor loses nothing.
+Batches of documents arrive newest first. A batch's lines become 128-bit hashes of their keys. They meet the sorted
+runs so far in an anti-join: a key that no run holds is new, and the batch's largest doc_id with it is its last one of
+all; a known key only counts further. Both go into a run of the batch's own. When a level holds more than `fanout`
+runs they are compacted into one run of the next level, as in a log-structured merge tree. Runs are tables in the
+shared folder, bucketed by key and sorted within a bucket, so joins and merges of runs move no rows between tasks.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,10 +43,9 @@ def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, h1, h2): each key of a document once."""
     schema = "doc_id bigint, h1 bigint, h2 bigint"
     arrow = common.arrow_schema(common.T._parse_datatype_string(schema))
-    common.small_batches(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
+        for batch in common.pieces(batches, 1024):
             ids, sizes, found = batch.column(0), [], []
             for cell in batch.column(1):
                 own = {k for k in keys(cell.as_py(), min_chars) if k is not None}
@@ -57,67 +59,91 @@ def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 class LineRuns:
-    """Runs (h1, h2, n, last): in how many documents a key is, and the largest doc_id with it."""
+    """Runs (h1, h2, n, last): in how many documents of some batches a key is; last, the largest doc_id with it, stands in the run that saw the key first."""
 
     def __init__(self, spark: SparkSession, fanout: int = 2, min_chars: int = MIN_CHARS):
         self.spark, self.fanout, self.min_chars = spark, fanout, min_chars
+        self.buckets = common.parts_of(spark)
         self.levels: list[list[str]] = [[]]
-        self.schema = None
+        self.retired: list[str] = []
+        self.paths: dict[str, str] = {}
+
+    def names(self) -> list[str]:
+        return [name for level in self.levels for name in level]
 
-    def _write(self, run: DataFrame, level: int) -> None:
-        path = common.scratch_path(self.spark, f"run{level}")
-        run.sortWithinPartitions("h1", "h2").write.option("compression", "none").parquet(path)
-        self.schema = run.schema
+    def _write(self, run: DataFrame, level: int) -> DataFrame:
+        name = f"braidwork_run_{uuid.uuid4().hex}"
+        self.paths[name] = common.scratch_path(self.spark, f"run{level}")
+        run.write.format("parquet").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("compression", "none").option("path", self.paths[name]).saveAsTable(name)
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(path)
-
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(*paths)
+        self.levels[level].append(name)
+        return self.spark.table(name)
 
-    def _merge(self, runs: DataFrame) -> DataFrame:
-        return runs.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
-
-    def seen(self) -> DataFrame | None:
-        paths = [p for level in self.levels for p in level]
-        return self._read(paths) if paths else None
+    def _merge(self, runs: list[str]) -> DataFrame:
+        """One row per key. Tables of the same buckets are joined in pairs without a shuffle (a union would lose the buckets)."""
+        out = self.spark.table(runs[0])
+        for name in runs[1:]:
+            other = self.spark.table(name).select("h1", "h2", F.col("n").alias("n2"), F.col("last").alias("last2"))
+            out = out.join(other, ["h1", "h2"], "full").select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.coalesce("n2", F.lit(0))).alias("n"), F.coalesce("last", "last2").alias("last"))
+        return out
 
     def add(self, docs: DataFrame) -> DataFrame:
-        """Adds a batch. The result: (h1, h2, n, last) of its keys that no earlier run holds; computed only when used."""
-        seen = self.seen()
+        """Adds a batch whose doc_ids are all under those of earlier batches. The result: (h1, h2, n, last) of its keys that no earlier run holds, readable until release()."""
         batch = line_hashes(docs, self.min_chars).groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))
-        self._write(batch, 0)
-        own = self._read([self.levels[0][-1]])
-        fresh = own if seen is None else own.join(seen.select("h1", "h2"), ["h1", "h2"], "left_anti")
+        for name in self.names():
+            # an anti-join that keeps the known keys too, for their counts: only what no run holds keeps its last
+            held = self.spark.table(name).select("h1", "h2", F.lit(True).alias("held"))
+            batch = batch.join(held, ["h1", "h2"], "left").select("h1", "h2", "n", F.when(F.col("held").isNull(), F.col("last")).alias("last"))
+        own = self._write(batch, 0)
         self.compact()
-        return fresh
+        return own.filter(F.col("last").isNotNull())
 
     def compact(self) -> None:
-        """Merges every full level into one run of the next; the old runs are deleted."""
+        """Merges every level of more than fanout runs into one run of the next. What was merged is deleted by release()."""
         for level in range(len(self.levels)):
             if len(self.levels[level]) > self.fanout:
-                old = self.levels[level]
-                self._write(self._merge(self._read(old)), level + 1)
-                for path in old:
-                    common.delete(self.spark, path)
-                self.levels[level] = []
+                old, self.levels[level] = self.levels[level], []
+                self._write(self._merge(old), level + 1)
+                self.retired += old
 
     def totals(self) -> DataFrame | None:
-        seen = self.seen()
-        return None if seen is None else self._merge(seen)
+        """(h1, h2, n, last) of all keys."""
+        return self._merge(self.names()) if self.names() else None
+
+    def pairs(self) -> int:
+        """Of all documents the numbers of distinct keys, summed."""
+        return sum(self.spark.table(name).agg(F.sum("n")).first()[0] or 0 for name in self.names())
+
+    def release(self) -> None:
+        """Deletes the runs that were merged into others: no frame of add() may be read after it."""
+        for name in self.retired:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            common.discard(self.spark, self.paths.pop(name))
+        self.retired = []
+
+
+#: A key in more than 1 / HOT of all (document, key) pairs is hot. There are at most HOT such keys, so they can be broadcast at any size of the corpus.
+HOT = 10_000
+
+
+def gone_lines(found: DataFrame, repeated: DataFrame, pairs: int) -> DataFrame:
+    """(doc_id, h1, h2) of the found lines that are in repeated (h1, h2, n, last) and not in the last document. Hot keys meet their lines by a broadcast of HOT rows at most; the others by a merge join, where no key has many rows."""
+    hot = repeated.filter(F.col("n") > F.lit(pairs / HOT)).select("h1", "h2", F.col("last").alias("hot_last"))
+    met = found.join(F.broadcast(hot), ["h1", "h2"], "left")
+    # what is hot takes no part in the second join: its key becomes one that no run has, dealt by document
+    away = F.col("hot_last").isNotNull()
+    met = met.select("doc_id", "h1", "h2", "hot_last", F.when(away, F.xxhash64("doc_id", "h1")).otherwise(F.col("h1")).alias("k1"), F.when(~away, F.col("h2")).alias("k2"))
+    rest = repeated.filter(F.col("n") <= F.lit(pairs / HOT)).select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "last")
+    last = F.coalesce("hot_last", "last")
+    return met.join(rest, ["k1", "k2"], "left").filter(F.col("doc_id") < last).select("doc_id", "h1", "h2")
 
 
 def drop_lines(docs: DataFrame, runs: LineRuns, min_docs: int = MIN_DOCS) -> DataFrame:
-    """doc_id, n_lines, n_dropped and kept (text) of every row: the runs, merged, meet the documents' lines in a merge join, and lines in min_docs documents or more go, but for those of the largest doc_id."""
+    """doc_id, n_lines, n_dropped and kept (text) of every row: lines in min_docs documents or more go, but for those of the largest doc_id."""
     docs = docs.select("doc_id", "text")
-    totals = runs.totals().filter(F.col("n") >= min_docs).select("h1", "h2", "last")
-    gone = (
-        line_hashes(docs, runs.min_chars)
-        .join(totals, ["h1", "h2"])
-        .filter(F.col("doc_id") < F.col("last"))
-        .groupBy("doc_id")
-        .agg(F.flatten(F.collect_set(F.array("h1", "h2"))).alias("gone"))
-    )
+    repeated = common.stored(runs.totals().filter(F.col("n") >= min_docs), "repeated")
+    gone = gone_lines(line_hashes(docs, runs.min_chars), repeated, runs.pairs()).groupBy("doc_id").agg(F.flatten(F.collect_set(F.array("h1", "h2"))).alias("gone"))
     schema = "doc_id bigint, n_lines bigint, n_dropped bigint, kept string"
     min_chars = runs.min_chars
 
@@ -146,6 +172,7 @@ def dedup(docs: DataFrame, batches: int = 4, min_docs: int = MIN_DOCS, min_chars
 
     Null and empty texts are one empty line, which is too short to go. Documents with a null doc_id keep all
     lines. Rows that repeat a doc_id count as documents of their own and, if that is the largest, all keep the line.
+    An empty table gives no rows; other columns than doc_id and text are not read.
     """
     docs = docs.select("doc_id", "text")
     runs = LineRuns(docs.sparkSession, fanout, min_chars)
@@ -155,6 +182,7 @@ def dedup(docs: DataFrame, batches: int = 4, min_docs: int = MIN_DOCS, min_chars
         part = docs.filter(F.col("doc_id").isNotNull())
         part = part if low is None else part.filter(F.col("doc_id") >= low)
         runs.add(part if high is None else part.filter(F.col("doc_id") < high))
+        runs.release()
     return drop_lines(docs, runs, min_docs)
 
 
