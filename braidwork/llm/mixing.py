@@ -41,15 +41,17 @@ def tokens_of(text: Column) -> Column:
     return F.greatest(F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\S+")), F.lit(1)).cast("bigint")
 
 
-def with_cells(docs: DataFrame, topic: Column | None = None) -> DataFrame:
-    """docs with _tokens and the cell columns _source, _lang, _topic (nulls are a value of their own)."""
-    return docs.withColumns(
-        {
-            "_source": F.coalesce(F.col("source"), F.lit(NONE)),
-            "_lang": F.coalesce(F.col("lang"), F.lit(NONE)),
-            "_topic": F.coalesce(topic if topic is not None else topic_of(F.col("text")), F.lit(NONE)),
-            "_tokens": tokens_of(F.col("text")),
-        }
+def with_cells(docs: DataFrame, topic: Column | None = None, seed: int = 17) -> DataFrame:
+    """doc_id, the cell columns _source, _lang, _topic (nulls are a value of their own), _tokens, _draw (0 to 1, by a hash of id and text), and all columns of docs packed."""
+    draw = F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id"), F.lit(-1)), F.coalesce("text", F.lit(""))), F.lit(1 << 40)) / float(1 << 40)
+    return docs.select(
+        "doc_id",
+        F.coalesce(F.col("source"), F.lit(NONE)).alias("_source"),
+        F.coalesce(F.col("lang"), F.lit(NONE)).alias("_lang"),
+        F.coalesce(topic if topic is not None else topic_of(F.col("text")), F.lit(NONE)).alias("_topic"),
+        tokens_of(F.col("text")).alias("_tokens"),
+        draw.alias("_draw"),
+        F.struct(*(F.col(f"`{x}`") for x in docs.columns)).alias(common.REST),
     )
 
 
@@ -185,14 +187,15 @@ def calibrated_table(raked: DataFrame, share: float) -> DataFrame:
 
 
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, share: float = 0.5, topic: Column | None = None, seed: int = 17, driver_cells: int = DRIVER_CELLS) -> DataFrame:
-    """All columns of docs and _source, _lang, _topic, _tokens, _weight, _probability, _kept, for every row.
+    """doc_id, _source, _lang, _topic, _tokens, _weight, _probability, _kept, and all columns of docs as one struct (common.REST), for every row of docs (doc_id, text, lang, source, …).
 
-    Sums are over all documents. Rows that repeat an id and text are kept or dropped together. An empty table
-    gives no rows. No text is shuffled: documents meet the cells' weights by a broadcast join while there are at
-    most driver_cells cells, by a shuffle join beyond.
+    Sums are over all documents. Rows that repeat an id and text are kept or dropped together; a null id is a value
+    like any other, and a null text an empty one, of one token. An empty table gives no rows. Columns of docs may
+    have any name and type. No text is shuffled: documents meet the cells' weights by a broadcast join while there
+    are at most driver_cells cells, by a shuffle join beyond, with the same weights and probabilities.
     """
     spark = docs.sparkSession
-    table = with_cells(docs, topic)
+    table = with_cells(docs, topic, seed)
     cells = table.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("n"))
     head = cells.limit(driver_cells + 1).collect()
     small = len(head) <= driver_cells
@@ -213,13 +216,12 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, sha
     else:
         raked = common.stored(rake_table(cells, wanted), "raked")
         weights = calibrated_table(raked, share).select("_source", "_lang", "_topic", F.col("factor").alias("_weight"), "_probability")
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id"), F.lit(-1))), F.lit(1 << 40)) / float(1 << 40)
-    return table.join(weights, ["_source", "_lang", "_topic"], "left").withColumn("_kept", F.coalesce(draw < F.col("_probability"), F.lit(False)))
+    return table.join(weights, ["_source", "_lang", "_topic"], "left").withColumn("_kept", F.coalesce(F.col("_draw") < F.col("_probability"), F.lit(False))).drop("_draw")
 
 
 def sample(docs: DataFrame, share: float = 0.5, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """The documents that mix keeps, columns as in docs."""
-    return mix(docs, targets, share).filter("_kept").select(*docs.columns)
+    return mix(docs, targets, share).filter("_kept").select(f"{common.REST}.*")
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
