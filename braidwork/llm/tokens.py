@@ -5,7 +5,7 @@ a control byte, four ids to a byte, and control bytes stand apart from data byte
 bytes up in a table of lengths and gathers all data with numpy. A file is a sequence of blocks, each with whole
 documents, and ends as Spark's text writer ends it, with the separator after each block:
 
-    magic "BWTK", version, number of documents, of ids, of data bytes (little-endian 64-bit)
+    magic "BWTK", version, number of documents, of ids, of data bytes, of ids before the block (little-endian 64-bit)
     doc ids (64-bit), ids per document (64-bit), control bytes, data bytes, crc32 of all before it (32-bit)
 
 Files hold ascending ranges of doc_id; the order of their names is the order of the documents.
@@ -27,11 +27,13 @@ from pyspark.sql import functions as F
 
 from braidwork.llm import common
 
-MAGIC, VERSION, SEPARATOR = b"BWTK", 1, "\n"
-HEAD = struct.Struct("<4sIQQQ")
+MAGIC, VERSION, SEPARATOR = b"BWTK", 2, "\n"
+HEAD = struct.Struct("<4sIQQQQ")
 END_ID = 2
 #: Ids of a block, about: a document of more has a block of its own.
 BLOCK_IDS = 1 << 18
+#: Blocks of a file at most: about 64 MB, since an id takes two bytes or less on average.
+FILE_BLOCKS = 128
 #: Words, and pre-tokens, that a worker remembers, about 700 bytes each; once full, others are encoded each time.
 REMEMBERED = 1_200_000
 #: Documents that are encoded together: each batch meets the memory once per distinct word.
@@ -74,17 +76,17 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def write_block(doc_ids: list[int], sizes: list[int], ranks: np.ndarray) -> bytes:
+def write_block(doc_ids: list[int], sizes: list[int], ranks: np.ndarray, before: int = 0) -> bytes:
     control, data = encode_ranks(ranks)
-    out = HEAD.pack(MAGIC, VERSION, len(doc_ids), len(ranks), len(data)) + np.array(doc_ids, "<i8").tobytes() + np.array(sizes, "<i8").tobytes() + control + data
+    out = HEAD.pack(MAGIC, VERSION, len(doc_ids), len(ranks), len(data), before) + np.array(doc_ids, "<i8").tobytes() + np.array(sizes, "<i8").tobytes() + control + data
     return out + struct.pack("<I", zlib.crc32(out))
 
 
 def read_blocks(content: bytes):
-    """(doc ids, ids per document, ranks) of each block of a file; ValueError where a check sum doesn't hold."""
+    """(doc ids, ids per document, ranks, ids before) of each block of a file; ValueError where a check sum doesn't hold."""
     at = 0
     while at < len(content):
-        magic, version, docs, n, size = HEAD.unpack_from(content, at)
+        magic, version, docs, n, size, before = HEAD.unpack_from(content, at)
         if magic != MAGIC or version != VERSION:
             raise ValueError(f"no block at byte {at}")
         a = at + HEAD.size
@@ -94,7 +96,7 @@ def read_blocks(content: bytes):
         end = d + size
         if zlib.crc32(content[at:end]) != struct.unpack_from("<I", content, end)[0]:
             raise ValueError(f"the block at byte {at} is damaged")
-        yield np.frombuffer(content[a:b], "<i8"), np.frombuffer(content[b:c], "<i8"), decode_ranks(content[c:d], content[d:end], n)
+        yield np.frombuffer(content[a:b], "<i8"), np.frombuffer(content[b:c], "<i8"), decode_ranks(content[c:d], content[d:end], n), before
         at = end + 4 + len(SEPARATOR)
 
 
@@ -114,7 +116,7 @@ def byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """Whole texts to ids, with a memory of words and pre-tokens. Exact for tokenizers whose pre-tokens never hold a blank."""
+    """Whole texts to ids. With the one pre-token pattern known here, whose pre-tokens never hold a blank, words and pre-tokens are remembered; with any other tokenizer whole texts go through it."""
 
     def __init__(self, definition: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
@@ -161,11 +163,12 @@ class Encoder:
         """
         known = self.known  # a pre-token is the word of itself alone
         texts = pc.fill_null(texts, "")
-        odd = np.ones(len(texts), bool)
-        if self.plain:
-            odd = np.array(pc.match_substring_regex(texts, NOT_PLAIN))
-            for x in self.special:
-                odd |= np.array(pc.match_substring(texts, x))
+        if not self.plain:
+            held = self._learn(texts.to_pylist(), False)
+            return np.frombuffer(b"".join(held), "<u4"), np.array([len(x) // 4 for x in held], np.int64)
+        odd = np.array(pc.match_substring_regex(texts, NOT_PLAIN))
+        for x in self.special:
+            odd |= np.array(pc.match_substring(texts, x))
         plain = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
         cut = pc.ascii_split_whitespace(pc.utf8_lower(plain))
         coded = cut.flatten().dictionary_encode()
@@ -235,13 +238,12 @@ def tokenize(docs: DataFrame, vocabulary: str, end_id: int = END_ID, remembered:
     kind = "<u2" if size <= 1 << 16 else "<u4"
     schema = "doc_id bigint, n bigint, ids binary, counts binary"
     arrow = common.arrow_schema(common.T._parse_datatype_string(schema))
-    common.small_batches(docs.sparkSession, BATCH_DOCS)
     width = np.dtype(kind).itemsize
 
     def run(batches):
         encoder = encoder_of(sent.value, remembered)
         total = np.zeros(size, np.int64)
-        for batch in batches:
+        for batch in common.pieces(batches, BATCH_DOCS):
             ids, counts = encoder.encode_column(batch.column(1))
             total += np.bincount(ids, minlength=size)
             total[end_id] += len(counts)
@@ -277,14 +279,14 @@ def ranking(tokens: DataFrame, size: int) -> np.ndarray:
 
 
 class Stored:
-    """What write_tokens left: files under path, the id of each rank, and per range of doc_id the ids before it."""
+    """What write_tokens left: files under path, and the id of each rank."""
 
-    def __init__(self, path: str, id_of: np.ndarray, cuts: list[int], before: dict[int, int]):
-        self.path, self.id_of, self.cuts, self.before = path, id_of, cuts, before
+    def __init__(self, path: str, id_of: np.ndarray):
+        self.path, self.id_of = path, id_of
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, remembered: int = REMEMBERED) -> Stored:
-    """Tokenizes docs (doc_id, text) and writes the files under path in ascending doc_id order."""
+    """Tokenizes docs (doc_id, text) and writes the files under path in ascending doc_id order: a task per range of ids, FILE_BLOCKS blocks a file."""
     spark = docs.sparkSession
     made = tokenize(docs, vocabulary, end_id, remembered)
     kind, size = made.kind, made.size
@@ -301,22 +303,25 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
     for r in sums:
         before[r["part"]] = total
         total += r["n"]
+    starts = spark.sparkContext.broadcast(before)
     arrow = pa.schema([pa.field("part", pa.int64()), pa.field("block", pa.binary())])
 
     def run(batches):
         rank = sent.value
-        part, ids, sizes, held, n = None, [], [], [], 0
+        part, ids, sizes, held, n, at = None, [], [], [], 0, 0
 
         def block():
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([write_block(ids, sizes, rank[np.concatenate(held)])], pa.binary())], schema=arrow)
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([write_block(ids, sizes, rank[np.concatenate(held)], at)], pa.binary())], schema=arrow)
 
-        for batch in batches:
+        for batch in common.pieces(batches, BATCH_DOCS):
             for p, doc_id, cell in zip(*(batch.column(i) for i in range(3))):
                 p, doc_id, own = p.as_py(), doc_id.as_py(), np.frombuffer(cell.as_py(), kind)
                 if ids and (p != part or n + len(own) > BLOCK_IDS):
                     yield block()
+                    at += n
                     ids, sizes, held, n = [], [], [], 0
-                part = p
+                if p != part:
+                    part, at = p, starts.value[p]
                 ids.append(NO_ID if doc_id is None else doc_id)
                 sizes.append(len(own))
                 held.append(own)
@@ -324,12 +329,11 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
         if ids:
             yield block()
 
-    common.small_batches(spark)
-    # ranges are numbered in order, so range partitioning by that number gives ascending files
-    dealt = parts.select("part", "doc_id", "ids").repartitionByRange(max(1, len(sums)), "part").sortWithinPartitions("part", "doc_id")
+    # ranges are numbered in order, and a range's number is its partition's, so files ascend
+    dealt = parts.select("part", "doc_id", "ids").repartitionById(len(at) + 1, "part").sortWithinPartitions("part", "doc_id")
     blocks = dealt.mapInArrow(run, "part bigint, block binary")
-    blocks.select(F.col("block").cast("string").alias("value")).write.option("lineSep", SEPARATOR).option("compression", "none").text(path)
-    return Stored(path, id_of, at, before)
+    blocks.select(F.col("block").cast("string").alias("value")).write.option("lineSep", SEPARATOR).option("compression", "none").option("maxRecordsPerFile", FILE_BLOCKS).text(path)
+    return Stored(path, id_of)
 
 
 #: Stands for a null doc_id in files.
@@ -338,30 +342,24 @@ NO_ID = -(1 << 63)
 
 def read_tokens(spark: SparkSession, stored: Stored) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 and ids (BINARY, little-endian 32-bit) of every document in the files."""
-    sent = spark.sparkContext.broadcast((stored.id_of, stored.cuts, stored.before))
+    sent = spark.sparkContext.broadcast(stored.id_of)
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids binary"
     arrow = common.arrow_schema(common.T._parse_datatype_string(schema))
 
     def run(batches):
-        id_of, cuts, before = sent.value
+        id_of = sent.value
         for batch in batches:
             for cell in batch.column(0):
-                starts: dict[int, int] = {}
-                for doc_ids, sizes, ranks in read_blocks(cell.as_py()):
+                for doc_ids, sizes, ranks, start in read_blocks(cell.as_py()):
                     ids = id_of[ranks].astype("<u4")
                     out, at = [], 0
                     for doc_id, n in zip(doc_ids.tolist(), sizes.tolist()):
-                        known = doc_id != NO_ID
-                        part = int(np.searchsorted(cuts, doc_id, side="right")) if known else 0
                         own = ids[at : at + n].tobytes()
+                        out.append((None if doc_id == NO_ID else doc_id, start + at, n, zlib.crc32(own), own))
                         at += n
-                        start = starts.get(part, before[part])
-                        starts[part] = start + n
-                        out.append((doc_id if known else None, start, n, zlib.crc32(own), own))
                     for i in range(0, len(out), common.BATCH_ROWS):
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[i : i + common.BATCH_ROWS]), arrow)], schema=arrow)
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     return spark.read.format("binaryFile").load(stored.path).select("content").mapInArrow(run, schema)
 
 
