@@ -3,17 +3,19 @@
 ARC version 1 has five header fields (URL, IP, date, type, length), version 2 ten (URL, IP, date, type, result
 code, checksum, location, offset, file name, length). The version is in the second line of the leading
 ``filedesc:`` record. Bodies are cut by the declared length, never by looking for the next header, so a body
-may hold anything. Archives are written through Spark's own writers: records joined by CR LF CR LF, which is
-how a WARC file ends a record, so any file system of the cluster takes them and lost tasks are repeated.
+may hold anything. Archives are written through Spark's own writers, so any file system of the cluster takes them
+and lost tasks are repeated. Every record is a gzip member of its own, as WARC readers expect.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from datetime import datetime
 
@@ -48,7 +50,7 @@ def arc_archive(records: list[tuple[str | None, bytes]], version: int = 1, date:
     out = io.BytesIO()
 
     def put(url: str, kind: str, body: bytes) -> None:
-        more = {1: "", 2: f"200 - - {out.tell()} braidwork.arc "}[version]
+        more = f"200 - - {out.tell()} braidwork.arc " if version == 2 else ""
         out.write(f"{url} {ip} {date} {kind} {more}{len(body)}\n".encode() + body + b"\n")
 
     put("filedesc://braidwork.arc", "text/plain", about)
@@ -57,8 +59,8 @@ def arc_archive(records: list[tuple[str | None, bytes]], version: int = 1, date:
     return out.getvalue()
 
 
-def parse_arc(data: bytes) -> Iterator[dict]:
-    """The records after the leading description, as dicts of header fields with the body; raises ValueError on a broken header or a body cut short."""
+def parse_arc(data: bytes, description: bool = False) -> Iterator[dict]:
+    """The records after the leading description (with it, where asked), as dicts of header fields with the body; raises ValueError on a broken header or a body cut short."""
     at, version = 0, 0
     while at < len(data):
         if data[at : at + 1] == b"\n":  # blank lines between records
@@ -75,6 +77,10 @@ def parse_arc(data: bytes) -> Iterator[dict]:
             version = int(about[:1]) if about[:1] in (b"1", b"2") else 0
             if not version:
                 raise ValueError("unknown ARC version")
+            if len(parts) not in map(len, ARC_FIELDS.values()) or len(about) != int(parts[-1]):
+                raise ValueError("broken filedesc record")
+            if description:  # writers of either version give its header five or ten fields
+                yield dict(zip(ARC_FIELDS[1], [*parts[:4], parts[-1]])) | {"version": version, "body": about}
             at = end + 1 + int(parts[-1])
             continue
         names = ARC_FIELDS[version]
@@ -112,7 +118,7 @@ def warc_record(arc: dict, key: str = "", refers_to: str | None = None) -> bytes
     """One WARC record without the closing CR LF CR LF. key names the row (it makes the id); refers_to is the key of the response that a revisit repeats."""
     head, payload = split_http(arc["body"])
     http = bool(head)
-    kind = "revisit" if refers_to is not None else "response" if http else "resource"
+    kind = "revisit" if refers_to is not None else "warcinfo" if arc["url"].startswith("filedesc:") else "response" if http else "resource"
     block = head if refers_to is not None else arc["body"]
     lines = [
         "WARC/1.1",
@@ -182,40 +188,122 @@ def convert_pages(pages: DataFrame, min_bytes: int = 0, version: int = 1) -> Dat
     return common.map_rows(joined, make, "page_id bigint, record binary")
 
 
-def write_warc(records: DataFrame, path: str, file_records: int = 1000) -> None:
-    """WARC files under path: whole records, at most file_records in a file, gzip-coded."""
-    records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
+#: Compressed bytes of a file, about: a record of more has a file of its own.
+FILE_BYTES = 32 << 20
+
+
+def member(record: bytes) -> bytes:
+    """A record with its closing CR LF CR LF as a gzip member, less the last byte, a zero, which the writer's separator puts back. (The last four bytes are the length: from 16 MB on it takes an empty member to end in zero.)"""
+    out = gzip.compress(record + CRLF * 2, 6, mtime=0)
+    if out[-1]:
+        out += gzip.compress(b"", 6, mtime=0)
+    return out[:-1]
+
+
+def members(data: bytes) -> Iterator[bytes]:
+    """What the gzip members of a file hold, one by one; ValueError where the last is cut short."""
+    at, view = 0, memoryview(data)
+    while at < len(data):
+        inflate, out = zlib.decompressobj(31), []
+        while not inflate.eof:
+            if at >= len(data):
+                raise ValueError("a gzip member is cut short")
+            piece = view[at : at + 8192]
+            out.append(inflate.decompress(piece))
+            at += len(piece)
+        at -= len(inflate.unused_data)
+        yield b"".join(out)
+
+
+def write_warc(records: DataFrame, path: str) -> None:
+    """WARC files of about FILE_BYTES under path: whole records, each gzip-coded by itself."""
+
+    def run(batches):
+        held, n = [], 0
+        for batch in common.pieces(batches):
+            for cell in batch.column(0):
+                held.append(member(cell.as_py()))
+                n += len(held[-1])
+                if n >= FILE_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"\0".join(held)], pa.binary())], names=["file"])
+                    held, n = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"\0".join(held)], pa.binary())], names=["file"])
+
+    files = records.select("record").mapInArrow(run, "file binary")
+    files.select(F.col("file").cast("string").alias("value")).write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", 1).text(path)
 
 
 def read_warc(spark, path: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, url, warc_date, payload) of all records; raises where a stored payload doesn't match its digest."""
-    import zlib
-
     files = spark.read.format("binaryFile").load(path).select("content")
     schema = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string, warc_date string, payload binary"
     arrow = common.arrow_schema(common.T._parse_datatype_string(schema))
 
+    def row(x: dict) -> tuple:
+        h = x["header"]
+        digest, revisit = h["warc-payload-digest"].removeprefix("sha1:"), h["warc-type"] == "revisit"
+        payload = split_http(x["block"])[1]
+        if not revisit and (base32_sha1(payload) != digest or len(payload) != int(h["x-payload-length"])):
+            raise ValueError(f"payload of {h['warc-record-id']} doesn't match its digest")
+        return (int(h["x-row-key"]) if h["x-row-key"] else None, int(h["x-payload-length"]), digest, h["warc-type"], int(h["x-refers-to-key"]) if revisit else None, h["warc-target-uri"], h["warc-date"], payload)
+
     def run(batches):
         for batch in batches:
             for cell in batch.column(0):
+                rows, n = [], 0
+                for data in members(cell.as_py()):
+                    for x in parse_warc(data):
+                        rows.append(row(x))
+                        n += len(x["block"])
+                    if len(rows) >= common.BATCH_ROWS or n >= common.BATCH_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+                        rows, n = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+
+    return files.mapInArrow(run, schema)
+
+
+def read_arc(spark, path: str) -> DataFrame:
+    """(key, url, ip, date, mime, digest, n, body) of all records of ARC files of either version, plain or gzip-coded (as a whole or by record), the descriptions included.
+
+    key is the file's name and the record's place in it, with leading zeros, so keys ascend with the records; digest
+    and n are of the payload. A file is read as one row, as archives of 100 MB or so allow.
+    """
+    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "([^/]*)$", 1).alias("file"), "content")
+    schema = "key string, url string, ip string, date string, mime string, digest string, n bigint, body binary"
+    arrow = common.arrow_schema(common.T._parse_datatype_string(schema))
+
+    def run(batches):
+        for batch in batches:
+            for name, cell in zip(batch.column(0), batch.column(1)):
                 data = cell.as_py()
-                data = zlib.decompress(data, 31) if data[:2] == b"\x1f\x8b" else data
-                rows = []
-                for x in parse_warc(data):
-                    h = x["header"]
-                    digest, revisit = h["warc-payload-digest"].removeprefix("sha1:"), h["warc-type"] == "revisit"
-                    payload = split_http(x["block"])[1]
-                    if not revisit and (base32_sha1(payload) != digest or len(payload) != int(h["x-payload-length"])):
-                        raise ValueError(f"payload of {h['warc-record-id']} doesn't match its digest")
-                    rows.append((int(h["x-row-key"]) if h["x-row-key"] else None, int(h["x-payload-length"]), digest, h["warc-type"], int(h["x-refers-to-key"]) if revisit else None, h["warc-target-uri"], h["warc-date"], payload))
-                for i in range(0, len(rows), common.BATCH_ROWS):
-                    part = list(zip(*rows[i : i + common.BATCH_ROWS]))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(part, arrow)], schema=arrow)
-
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+                data = b"".join(members(data)) if data[:2] == b"\x1f\x8b" else data
+                for i, x in enumerate(parse_arc(data, description=True)):
+                    payload = split_http(x["body"])[1]
+                    values = (f"{name.as_py()}:{i:012d}", x["url"], x["ip"], x["date"], x["mime"], base32_sha1(payload), len(payload), x["body"])
+                    yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, arrow)], schema=arrow)
+
     return files.mapInArrow(run, schema)
 
 
+def convert_archives(arcs: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """(key, record): a WARC record for each row of read_arc(). Of HTTP responses with equal payloads of at least min_bytes bytes that with the largest key is the response, others revisit it; a file's description is a warcinfo record."""
+    http = F.substring("body", 1, 5) == F.lit(b"HTTP/")
+    of = arcs.filter((F.col("n") >= min_bytes) & http).groupBy("digest").agg(F.max("key").alias("response"), F.count("*").alias("copies")).filter("copies > 1")
+    refers = arcs.filter(http).select("key", "digest").join(of, "digest").filter("key < response").select("key", "response")
+
+    def make():
+        def each(rows):
+            arc = (dict(zip(("url", "ip", "date", "mime", "body"), x)) for x in zip(rows["url"], rows["ip"], rows["date"], rows["mime"], rows["body"]))
+            return {"record": [warc_record(a, k, r) for a, k, r in zip(arc, rows["key"], rows["response"])]}
+
+        return each
+
+    return common.map_rows(arcs.join(refers, "key", "left").select("key", "url", "ip", "date", "mime", "body", "response"), make, "record binary", keep=("key",), read=("key", "url", "ip", "date", "mime", "body", "response"))
+
+
 def archive(pages: DataFrame, path: str, min_bytes: int = 0) -> DataFrame:
     """Writes all pages as WARC under path and reads them back."""
     write_warc(convert_pages(pages, min_bytes), path)
