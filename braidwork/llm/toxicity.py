@@ -12,6 +12,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,25 +95,29 @@ def features(text: str | None, lexicon: dict[str, float]) -> list[float]:
     ]
 
 
-def learn_lexicon(rows: list[tuple[str, int]]) -> dict[str, float]:
-    """Words by the log of how much larger their share of toxic rows is. Equal texts count once."""
-    toxic: dict[str, int] = {}
-    clean: dict[str, int] = {}
-    n = [0, 0]
-    for text, label in dict.fromkeys(rows):
-        n[label] += 1
-        into = toxic if label else clean
-        lower = text.lower()
-        for w in {*WORD.findall(lower), *map(plain, obfuscated(lower))}:
-            into[w] = into.get(w, 0) + 1
-    found = {}
-    for w, k in toxic.items():
-        if k >= LEXICON_MIN_ROWS:
-            ratio = ((k + 0.5) / (n[1] + 1)) / ((clean.get(w, 0) + 0.5) / (n[0] + 1))
-            if ratio >= LEXICON_RATIO:
-                found[w] = (k, float(np.log(ratio)))
-    best = sorted(found, key=lambda w: (-found[w][0] * found[w][1], w))[:LEXICON_SIZE]
-    return {w: found[w][1] for w in best}
+def words_of(text: str) -> set[str]:
+    """Distinct words of a text, obfuscated ones as they are meant."""
+    lower = text.lower()
+    return {*WORD.findall(lower), *map(plain, obfuscated(lower))}
+
+
+def learn_lexicon(rows: DataFrame) -> dict[str, float]:
+    """Words of rows (text, toxic) by the log of how much larger their share of toxic rows is. Equal texts of a label count once. Counted on Spark: at most LEXICON_SIZE words reach the driver."""
+
+    def run(batches):
+        for batch in common.pieces(batches):
+            found = [sorted(words_of(t)) for t in batch.column(0).to_pylist()]
+            toxic = np.repeat(np.array(batch.column(1).to_pylist(), np.int64), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([pa.array([w for x in found for w in x], pa.string()), pa.array(toxic)], names=["word", "toxic"])
+
+    rows = rows.select("text", F.col("toxic").cast("bigint").alias("toxic")).dropDuplicates(["text", "toxic"])
+    n = rows.agg(F.sum("toxic"), F.count("*") - F.sum("toxic")).first()
+    toxic_rows, clean_rows = n[0] or 0, n[1] or 0
+    counts = rows.mapInArrow(run, "word string, toxic bigint").groupBy("word").agg(F.sum("toxic").alias("k"), (F.count("*") - F.sum("toxic")).alias("others"))
+    ratio = ((F.col("k") + 0.5) / (toxic_rows + 1)) / ((F.col("others") + 0.5) / (clean_rows + 1))
+    known = counts.filter((F.col("k") >= LEXICON_MIN_ROWS) & (ratio >= LEXICON_RATIO)).select("word", F.log(ratio).alias("weight"), "k")
+    best = known.orderBy(F.desc(F.col("k") * F.col("weight")), "word").limit(LEXICON_SIZE)
+    return {r["word"]: r["weight"] for r in best.collect()}
 
 
 @dataclass
@@ -219,33 +224,39 @@ class Model:
         return np.clip(np.interp(m, xs, ps), 0, 1).tolist()
 
 
-def fit(rows: list[tuple[str, int]], folds: list[int]) -> Model:
-    """rows of (text, label) and the fold of each: 0 lexicon, 1 trees, 2 calibration."""
-    part = [[r for r, f in zip(rows, folds) if f == k] for k in range(3)]
-    lexicon = learn_lexicon(part[0])
-    table = lambda rows: (np.array([features(t, lexicon) for t, _ in rows]).reshape(-1, len(FEATURES)), np.array([y for _, y in rows], float))
-    trees = boost(*table(part[1]))
-    x, y = table(part[2])
-    return Model(lexicon, trees, isotonic(trees.margin(x), y))
+def fit(rows: DataFrame) -> Model:
+    """rows (text, toxic, fold); the fold is 0 for the lexicon, 1 for the trees, 2 for calibration. Tasks make the features, so of a row a few numbers reach the driver."""
+    lexicon = learn_lexicon(rows.filter("fold = 0"))
+
+    def make():
+        return lambda x: {"x": [features(t, lexicon) for t in x["text"]]}
+
+    found = sorted((r["fold"], r["toxic"], *r["x"]) for r in common.map_rows(rows.filter("fold > 0").select("fold", "toxic", "text"), make, "x array<double>", keep=("fold", "toxic"), read=("text",)).toLocalIterator())
+    table = np.array(found, float).reshape(-1, 2 + len(FEATURES))
+    part = [table[table[:, 0] == k] for k in (1, 2)]
+    trees = boost(part[0][:, 2:], part[0][:, 1])
+    return Model(lexicon, trees, isotonic(trees.margin(part[1][:, 2:]), part[1][:, 1]))
+
 
+def train(docs: DataFrame, labels: DataFrame, holdout: bool = True, rows: tuple[int, int, int] = (LEXICON_ROWS, TREE_ROWS, CALIBRATION_ROWS)) -> Model:
+    """Learns from rows with a text and a toxic label of 0 or 1 (of a doc_id with both, 1); with holdout, not from rows whose crc32(doc_id) mod 5 is 0.
 
-def train(docs: DataFrame, labels: DataFrame, holdout: bool = True) -> Model:
-    """Learns from rows with a text and a non-null toxic label; with holdout, not from rows whose crc32(doc_id) mod 5 is 0. Each fold takes at most its bound of rows, about, chosen by a hash of the text."""
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("toxic IN (0, 1)").dropDuplicates(["doc_id"])
+    About as many rows as `rows` says are taken for lexicon, trees and calibration, chosen by a hash of the id; the
+    fold follows from the text, so equal texts share one. Null ids are not used.
+    """
+    known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     if holdout:
         known = known.filter(common.id_crc() % 5 != 0)
-    n = known.count()
-    bounds = (LEXICON_ROWS, TREE_ROWS, CALIBRATION_ROWS)
-    share = min(1.0, sum(bounds) / max(n, 1))
-    known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
-    ids = F.broadcast(known)  # at most about sum(bounds) rows, by the share above
-    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(ids, "doc_id").select("text", "toxic", F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(10)).alias("k"))
-    found = [(r[0], r[1], 0 if r[2] < 5 else 1 if r[2] < 8 else 2) for r in rows.toLocalIterator()]
-    return fit([(t, y) for t, y, _ in found], [k for _, _, k in found])
+    share = min(1.0, sum(rows) / max(known.count(), 1))
+    ids = F.broadcast(known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 52)) / float(1 << 52) < F.lit(share)))  # at most about sum(rows) rows
+    cuts = [sum(rows[:i]) / sum(rows) for i in (1, 2)]
+    place = F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(1 << 40)) / float(1 << 40)
+    fold = F.when(place < cuts[0], 0).when(place < cuts[1], 1).otherwise(2)
+    return fit(docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(ids, "doc_id").select("text", "toxic", fold.alias("fold")))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score and predicted for every row of docs, from the whole text; null and empty texts are scored as zeros. One pass, no shuffle."""
+    """doc_id, score and predicted for every row of docs, from the whole text; null and empty texts are scored as zeros. Rows that repeat a doc_id, and those with a null one, get a row each; an empty table gives none; other columns are not read. One pass, no shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
