@@ -32,42 +32,28 @@ def is_dna(seq: Column) -> Column:
     return F.coalesce(seq.rlike("^[ACGT]+$"), F.lit(False))
 
 
-def circularise(seq: Column, size: int = 1000) -> Column:
-    """The sequence with its own first `size` characters appended; a shorter sequence fails the query."""
+def circularise(seq: Column, size: int = 1000, strict: bool = True) -> Column:
+    """The sequence with its own first `size` characters appended; a shorter sequence fails the query, or is null where not strict."""
     if size < 1:
         raise ValueError("the size must be positive")
-    short = F.raise_error(F.concat(F.lit("record shorter than the circularisation size: "), F.length(seq).cast("string")))
+    short = F.raise_error(F.concat(F.lit("record shorter than the circularisation size: "), F.length(seq).cast("string"))) if strict else F.lit(None)
     return F.when(F.length(seq) < size, short.cast("string")).otherwise(F.concat(seq, F.substring(seq, 1, size)))
 
 
 def resolve_iupac(seq: Column, seed: Column | int = 0) -> Column:
-    """Each ambiguous code becomes one of its bases, chosen by a hash of seed and place."""
+    """Each ambiguous code becomes one of its bases, chosen by the md5 of seed and 0-based place."""
     seed = F.lit(seed) if isinstance(seed, int) else seed
     options = F.create_map(*[x for k, v in IUPAC.items() for x in (F.lit(k), F.lit(v))])
 
     def pick(c: Column, i: Column) -> Column:
         among = F.try_element_at(options, c)
-        at = F.pmod(F.xxhash64(seed, i), F.length(among)).cast("int") + 1
+        draw = F.conv(F.substring(F.md5(F.concat_ws(":", seed.cast("string"), i.cast("string"))), 1, 8), 16, 10).cast("bigint")
+        at = (draw % F.length(among)).cast("int") + 1
         return F.when(among.isNull(), c).otherwise(F.substring(among, at, F.lit(1)))
 
     return F.array_join(F.transform(F.filter(F.split(seq, ""), lambda c: c != ""), pick), "")
 
 
-def break_at_gaps(seq: Column, min_length: int) -> Column:
-    """Array of struct(offset, piece): the pieces between runs of N or -, upper case, of min_length or more, with their 0-based offsets. Another character than ACGTN- fails the query."""
-    upper = F.upper(seq)
-    checked = F.when(upper.rlike("[^ACGTN-]"), F.raise_error(F.lit("unknown character")).cast("string")).otherwise(upper)
-    pieces = F.split(checked, "[N-]", -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<offset:int,piece:string>>").alias("out"))
-
-    def step(acc: Column, piece: Column) -> Column:
-        own = F.array(F.struct(acc["at"].alias("offset"), piece.alias("piece")))
-        out = F.when((F.length(piece) >= min_length) & (piece != ""), F.concat(acc["out"], own)).otherwise(acc["out"])
-        return F.struct((acc["at"] + F.length(piece) + 1).alias("at"), out.alias("out"))
-
-    return F.aggregate(pieces, zero, step, lambda acc: acc["out"])
-
-
 def kmers(seq: Column, k: int) -> Column:
     """Array of the k-mers of the sequence in order; empty where it is shorter than k. One scan: substrings by index would start from the front each time."""
     return F.regexp_extract_all(seq, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
@@ -83,6 +69,11 @@ def dna_of(text: Column) -> Column:
     return F.translate(F.regexp_replace(F.lower(text), "[^a-z]", ""), letters, ("ACGT" * 7)[:26])
 
 
+def ascii_upper(seq: Column) -> Column:
+    """Only a-z change."""
+    return F.translate(seq, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
 def escape_url(url: Column) -> Column:
     """A URL as a directory name: / ? = & as marked letters, a / after every 200 characters that others follow."""
     out = url

@@ -14,7 +14,7 @@ from braidwork.operators.components import components
 
 c = F.col
 #: Edges of a weak component up to which one task finds its strong components.
-TASK_EDGES = 1_000_000
+TASK_EDGES = 200_000
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -104,11 +104,25 @@ def strong_components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFra
     large = size.filter(c("n") > task_edges).select("wcc")
     if not large.limit(1).count():
         return small
-    rest = weak.join(large, "wcc", "left_semi").select("node")
-    coloured = colour(rest, placed.join(large, "wcc", "left_semi").select("src", "dst")).join(weak, "node").select("node", "wcc", "scc")
+    coloured = contracted_colour(placed.join(large, "wcc", "left_semi").select("src", "dst")).join(weak, "node").select("node", "wcc", "scc")
     return small.unionByName(coloured)
 
 
+def contracted_colour(edges: DataFrame) -> DataFrame:
+    """colour() with an arc for each unitig, so chains cost no rounds: what lies inside a unitig is of the strong component of its ends, if that is one, and else of its own."""
+    edges = session.stored(edges.select(F.struct("src", "dst").alias("edge"), "src", "dst"), "large")
+    placed = session.stored(unitigs(edges).join(edges, "edge"), "placed")
+    ends = session.stored(placed.groupBy("unitig").agg(F.min_by("src", "pos").alias("first"), F.max_by("dst", "pos").alias("last"), F.max("pos").alias("top")), "ends")
+    arcs = ends.select(c("first").alias("src"), c("last").alias("dst")).distinct()
+    nodes = arcs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    found = session.stored(colour(nodes, arcs), "ends_scc")
+    of = lambda name, key: found.select(c("node").alias(name), c("scc").alias(key))
+    joined = ends.join(of("first", "x"), "first").join(of("last", "y"), "last").select("unitig", "top", "x", F.when(c("x") == c("y"), c("x")).alias("scc"))
+    inner = placed.join(joined, "unitig").filter(c("pos") < c("top")).select(c("dst").alias("node"), F.coalesce("scc", "dst").alias("scc"))
+    every = found.unionByName(inner)
+    return every.join(every.groupBy("scc").agg(F.min("node").alias("least")), "scc").select("node", c("least").alias("scc"))
+
+
 def spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """labels (node, x), each the least of its own and those of nodes with a path to it."""
     while True:
@@ -158,18 +172,25 @@ def component_stats(found: DataFrame) -> DataFrame:
 
 
 def ranked(links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """links (edge, prev): (edge, head, pos) of what starts at an edge without prev, and (edge, prev, low) of what runs in circles, low being the least edge of the circle."""
+    """links (edge, prev): (edge, head, pos) of what starts at an edge without prev, and (edge, prev, low) of what runs in circles, low being the least edge of the circle. A round writes only what isn't finished yet."""
     s = session.stored(links.select("edge", c("prev").alias("up"), F.when(c("prev").isNull(), c("edge")).alias("head"), F.when(c("prev").isNull(), 0).otherwise(1).cast("bigint").alias("pos"), F.least("edge", "prev").alias("low")), "chain")
-    open_before, low_before = -1, None
+    done, moving = s.filter("head IS NOT NULL"), s.filter("head IS NULL")
+    before = None
     while True:
-        open_now, low_now = s.filter("head IS NULL").agg(F.count("*"), F.sum(F.xxhash64("edge", "low").cast("decimal(38,0)"))).first()
-        if not open_now or (open_now == open_before and low_now == low_before):
+        now = moving.agg(F.count("*"), F.sum(F.xxhash64("edge", "low").cast("decimal(38,0)"))).first()
+        if not now[0] or now == before:
             break
-        open_before, low_before = open_now, low_now
-        t = s.select(c("edge").alias("up"), c("up").alias("up2"), c("head").alias("head2"), c("pos").alias("pos2"), c("low").alias("low2"))
-        moving = s.filter("head IS NULL").drop("head").join(t, "up").select("edge", c("up2").alias("up"), c("head2").alias("head"), (c("pos") + c("pos2")).alias("pos"), F.least("low", "low2").alias("low"))
-        s = session.stored(s.filter("head IS NOT NULL").unionByName(moving), "chain")
-    return s.filter("head IS NOT NULL").select("edge", "head", "pos"), s.filter("head IS NULL").select("edge", "low").join(links, "edge")
+        before = now
+        t = done.unionByName(moving).select(c("edge").alias("up"), c("up").alias("up2"), c("head").alias("head2"), c("pos").alias("pos2"), c("low").alias("low2"))
+        step = session.stored(moving.drop("head").join(t, "up").select("edge", c("up2").alias("up"), c("head2").alias("head"), (c("pos") + c("pos2")).alias("pos"), F.least("low", "low2").alias("low")), "chain")
+        done, moving = done.unionByName(step.filter("head IS NOT NULL")), step.filter("head IS NULL")
+    return done.select("edge", "head", "pos"), moving.select("edge", "low").join(links, "edge")
+
+
+def circles(links: DataFrame) -> DataFrame:
+    """(edge, head, pos) of links (edge, prev) that all run in circles: ranked from the least edge of each."""
+    round_ = ranked(links)[1]
+    return ranked(session.stored(round_.select("edge", F.when(c("edge") != c("low"), c("prev")).alias("prev")), "cut"))[0]
 
 
 def unitigs(edges: DataFrame) -> DataFrame:
@@ -179,8 +200,7 @@ def unitigs(edges: DataFrame) -> DataFrame:
     links = session.stored(edges.select("edge", c("src").alias("node")).join(before, "node", "left").select("edge", "prev"), "prev")
     straight, round_ = ranked(links)
     if round_.limit(1).count():
-        cut = round_.select("edge", F.when(c("edge") != c("low"), c("prev")).alias("prev"))
-        straight = straight.unionByName(ranked(session.stored(cut, "cut"))[0])
+        straight = straight.unionByName(circles(round_.select("edge", "prev")))
     return straight.select("edge", c("head").alias("unitig"), "pos")
 
 
@@ -189,24 +209,48 @@ def walks_of(placed: DataFrame, walk: str = "unitig") -> DataFrame:
     return placed.groupBy(c(walk).alias("walk")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "edge"))), lambda x: x["edge"]).alias("items"))
 
 
-def univocal(edges: DataFrame, ahead: bool = True) -> DataFrame:
-    """(edge, chain): the edges that follow (or, going back, precede) while there is no choice, nearest first; a walk that comes back to an edge ends before it."""
-    deg = degrees(edges)
-    at, side, n = ("dst", "src", "n_out") if ahead else ("src", "dst", "n_in")
-    only = edges.join(deg.filter(f"{n} = 1").select(c("node").alias(side)), side).select(c(side).alias("node"), c("edge").alias("next"))
-    step = edges.select("edge", c(at).alias("node")).join(only, "node", "left").select("edge", "next")
-    s = session.stored(step.select("edge", "next", F.when(c("next").isNull(), F.array().cast(f"array<{dict(edges.dtypes)['edge']}>")).otherwise(F.array("next")).alias("chain")), "univocal")
-    before = None
-    while True:
-        now = s.filter("next IS NOT NULL").agg(F.count("*"), F.sum(F.size(F.array_distinct(F.concat(F.array("edge"), "chain"))))).first()
-        if not now[0] or now == before:
-            break
-        before = now
-        t = s.select(c("edge").alias("next"), c("next").alias("next2"), c("chain").alias("more"))
-        moving = s.filter("next IS NOT NULL").join(t, "next").select("edge", c("next2").alias("next"), F.concat("chain", "more").alias("chain"))
-        s = session.stored(s.filter("next IS NULL").unionByName(moving), "univocal")
-    distinct = F.array_distinct(F.concat(F.array("edge"), "chain"))
-    return s.select("edge", F.slice(distinct, F.lit(2), F.greatest(F.size(distinct) - 1, F.lit(0))).alias("chain"))
+def doubled(step: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
+    """Tables (x, y) of 1, 2, 4, … steps of step (x, y), as long as any go so far, and the items that lie on circles (None where there are no circles)."""
+    levels = [session.stored(step.select("x", "y"), "steps")]
+    n = levels[0].agg(F.count_distinct("y")).first()[0]
+    while n:
+        last = levels[-1]
+        level = session.stored(last.join(last.select(c("x").alias("y"), c("y").alias("z")), "y").select("x", c("z").alias("y")), "steps")
+        m = level.agg(F.count_distinct("y")).first()[0]
+        if m == n:  # what so many steps end at doesn't get less any more: that is the circles
+            return levels, level.select("y").distinct()
+        if m:
+            levels.append(level)
+        n = m
+    return levels, None
+
+
+def orbits(step: DataFrame, starts: DataFrame) -> DataFrame:
+    """(x, p, item): for each of starts (x) what follows it in step (x, y), nearest first (p from 1), until an item comes again. step has one y per x at most.
+
+    Only rows of the result are made: a row's place in binary says which of the tables of 1, 2, 4, … steps it takes.
+    """
+    levels, on_circle = doubled(step)
+    if on_circle is not None:
+        on_circle = session.stored(on_circle.select(c("y").alias("x")), "circle")
+        inside = step.join(on_circle, "x", "left_semi")
+        ring = session.stored(circles(session.stored(inside.select(c("y").alias("edge"), c("x").alias("prev")), "ring")).select(c("edge").alias("x"), c("head").alias("ring"), c("pos").alias("at")), "rings")
+        levels, _ = doubled(step.join(on_circle, "x", "left_anti"))
+    end = starts.select("x").distinct().select("x", c("x").alias("cur"), F.lit(0).cast("bigint").alias("p"))
+    for k in reversed(range(len(levels))):
+        end = end.join(levels[k].select(c("x").alias("cur"), c("y").alias("to")), "cur", "left").select("x", F.coalesce("to", "cur").alias("cur"), (c("p") + F.when(c("to").isNotNull(), 1 << k).otherwise(0)).alias("p"))
+    end = session.stored(end, "ends")
+    rows = end.filter("p > 0").select("x", c("x").alias("cur"), F.explode(F.sequence(F.lit(1).cast("bigint"), c("p"))).alias("p"))
+    for k, level in enumerate(levels):
+        taken = F.shiftright(c("p"), k).bitwiseAND(F.lit(1)).cast("int")
+        rows = rows.withColumn("bit", taken).join(level.select(c("x").alias("cur"), c("y").alias("to"), F.lit(1).alias("bit")), ["cur", "bit"], "left").select("x", F.coalesce("to", "cur").alias("cur"), "p")
+    rows = rows.select("x", "p", c("cur").alias("item"))
+    if on_circle is None:
+        return rows
+    size = ring.groupBy("ring").agg(F.count("*").alias("n"))
+    into = end.join(ring.select(c("x").alias("cur"), "ring", c("at").alias("first")), "cur").join(size, "ring")
+    around = into.join(ring.select(c("x").alias("item"), "ring", "at"), "ring").select("x", "item", "p", F.pmod(c("at") - c("first"), c("n")).alias("more")).filter("more > 0")
+    return rows.unionByName(around.select("x", (c("p") + c("more")).alias("p"), "item"))
 
 
 def trivial_omnitigs(edges: DataFrame, strongly_connected: bool = False) -> DataFrame:
@@ -214,15 +258,19 @@ def trivial_omnitigs(edges: DataFrame, strongly_connected: bool = False) -> Data
     if strongly_connected and not is_strongly_connected(edges).first()["connected"]:
         raise ValueError("the graph is not strongly connected: use the variant for other graphs")
     deg = session.stored(degrees(edges), "degrees")
-    placed = unitigs(edges)
-    ends = placed.join(edges, "edge").groupBy("unitig").agg(F.min_by("src", "pos").alias("src"), F.max_by("dst", "pos").alias("dst"), F.max_by("edge", "pos").alias("last"))
+    placed = session.stored(unitigs(edges).join(edges, "edge"), "placed")
+    ends = session.stored(placed.groupBy("unitig").agg(F.min_by("src", "pos").alias("src"), F.max_by("dst", "pos").alias("dst")), "ends")
     tail = deg.select(c("node").alias("src"), ((c("n_out") > 1) | (c("n_in") == 0)).alias("from_split"))
     head = deg.select(c("node").alias("dst"), ((c("n_in") > 1) | (c("n_out") == 0)).alias("to_join"))
-    cores = ends.join(tail, "src").join(head, "dst").filter("from_split AND to_join").select("unitig", "last")
-    left = univocal(edges, False).select(c("edge").alias("unitig"), c("chain").alias("before"))
-    right = univocal(edges, True).select(c("edge").alias("last"), c("chain").alias("after"))
-    inner = walks_of(placed).select(c("walk").alias("unitig"), "items")
-    return cores.join(inner, "unitig").join(left, "unitig").join(right, "last").select(c("unitig").alias("walk"), F.concat(F.reverse("before"), "items", "after").alias("items"))
+    cores = session.stored(ends.join(tail, "src").join(head, "dst").filter("from_split AND to_join").select(c("unitig").alias("x")), "cores")
+    # a unitig's one follower: the extension runs over whole unitigs. Circles of their own have no core to start from
+    into, out = ends.select(c("unitig").alias("x"), c("dst").alias("node")), ends.select(c("unitig").alias("y"), c("src").alias("node"))
+    met = into.join(out, "node").join(deg, "node").filter("NOT (n_in = 1 AND n_out = 1)")
+    after = orbits(met.filter("n_out = 1").select("x", "y"), cores)
+    before = orbits(met.filter("n_in = 1").select(c("y").alias("x"), c("x").alias("y")), cores)
+    parts = cores.select("x", F.lit(0).cast("bigint").alias("o"), c("x").alias("unitig")).unionByName(after.select("x", c("p").alias("o"), c("item").alias("unitig"))).unionByName(before.select("x", (-c("p")).alias("o"), c("item").alias("unitig")))
+    items = parts.join(placed.select("unitig", "pos", "edge"), "unitig")
+    return items.groupBy(c("x").alias("walk")).agg(F.transform(F.sort_array(F.collect_list(F.struct("o", "pos", "edge"))), lambda x: x["edge"]).alias("items"))
 
 
 def walk_stats(lengths: DataFrame, name: str = "n") -> DataFrame:
@@ -238,15 +286,21 @@ def canonical_walks(walks: DataFrame, mirror) -> DataFrame:
 
 
 def remove_subwalks(walks: DataFrame) -> DataFrame:
-    """walks (walk, items) that are in no other: a walk is in another where all its items meet it at one shift. Of equal walks the least id stays. Candidates share an item: each walk is looked up by the item that the fewest walks have."""
-    items = walks.select("walk", F.posexplode("items").alias("pos", "item"))
+    """walks (walk, items) that are in no other: a walk is in another where all its items meet it at one shift. Of equal walks the least id stays.
+
+    A walk looks for others by the item that the fewest walks have; each pair found, with its shift, then counts the
+    items that agree. No walk is sent as a whole.
+    """
+    items = session.stored(walks.select("walk", F.posexplode("items").alias("pos", "item"), F.size("items").alias("n")), "items")
     common = items.groupBy("item").agg(F.count("*").alias("c"))
-    rare = items.join(common, "item").groupBy("walk").agg(F.min(F.struct("c", "pos", "item")).alias("r")).select("walk", c("r.pos").alias("pos"), c("r.item").alias("item"))
-    a = rare.join(walks, "walk").select(c("walk").alias("a"), c("pos").alias("p"), "item", c("items").alias("x"))
-    b = items.join(walks, "walk").select(c("walk").alias("b"), c("pos").alias("q"), "item", c("items").alias("y"))
-    longer = (F.size("y") > F.size("x")) | ((F.size("y") == F.size("x")) & (c("b") < c("a")))
-    inside = a.join(b, "item").filter(longer & (c("q") >= c("p")) & (F.slice(c("y"), c("q") - c("p") + 1, F.size("x")) == c("x")))
-    return walks.join(inside.select(c("a").alias("walk")), "walk", "left_anti")
+    rare = items.join(common, "item").groupBy("walk").agg(F.min(F.struct("c", "pos", "item", "n")).alias("r")).select(c("walk").alias("a"), c("r.pos").alias("p"), c("r.item").alias("item"), c("r.n").alias("size"))
+    b = items.select(c("walk").alias("b"), c("pos").alias("q"), "item", c("n").alias("other"))
+    longer = (c("other") > c("size")) | ((c("other") == c("size")) & (c("b") < c("a")))
+    pairs = rare.join(b, "item").filter(longer & (c("q") >= c("p")) & (c("q") - c("p") + c("size") <= c("other"))).select("a", "b", (c("q") - c("p")).alias("shift"), "size")
+    pairs = session.stored(pairs, "pairs")
+    own = items.select(c("walk").alias("a"), "pos", "item").join(pairs, "a").select("a", "b", "shift", "size", (c("pos") + c("shift")).alias("at"), "item")
+    agree = own.join(items.select(c("walk").alias("b"), c("pos").alias("at"), "item"), ["b", "at", "item"]).groupBy("a", "b", "shift", "size").agg(F.count("*").alias("k")).filter("k = size")
+    return walks.join(agree.select(c("a").alias("walk")), "walk", "left_anti")
 
 
 def linear_reduction(edges: DataFrame, hub) -> DataFrame:
@@ -308,10 +362,11 @@ def arcs_of(matrix: DataFrame) -> DataFrame:
 
 
 def random_arcs(spark, n: int, factor: float, seed: int) -> DataFrame:
-    """(src, dst): n nodes and about factor * n arcs without loops, drawn by hash."""
+    """(src, dst): n nodes and int(factor * n) arcs without loops (fewer only where the draws repeat too often), drawn by md5: the ends of draw i are the first and second eight digits of md5('seed:i'), and the first draws that differ are taken."""
     m = int(n * factor)
-    draws = spark.range(2 * m)
-    ends = draws.select(F.pmod(F.xxhash64(F.lit(seed), F.lit(0), "id"), F.lit(n)).alias("src"), F.pmod(F.xxhash64(F.lit(seed), F.lit(1), "id"), F.lit(n)).alias("dst"), "id")
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), c("id").cast("string")))
+    end = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint") % n
+    ends = spark.range(2 * m).select(end(1).alias("src"), end(9).alias("dst"), "id")
     return ends.filter("src <> dst").groupBy("src", "dst").agg(F.min("id").alias("id")).orderBy("id").limit(m).select("src", "dst")
 
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,18 +56,34 @@ def downsample(records: DataFrame, fraction: float, seed: int = 3252457) -> Data
     return with_ordinal(records.withColumn("_key", key), "_key", "rec_ix").filter(F.col("ordinal") < wanted).drop("_key", "ordinal")
 
 
+def break_at_gaps(records: DataFrame, min_length: int) -> DataFrame:
+    """(rec_ix, offset, piece): the pieces between runs of N or -, upper case, of min_length or more, with their 0-based offsets. Another character than ACGTN- fails the query. One scan of each sequence."""
+    piece = re.compile("[^N-]+")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rec, cell in zip(batch.column(0).to_pylist(), batch.column(1)):
+                seq = (cell.as_py() or "").upper()
+                if re.search("[^ACGTN-]", seq):
+                    raise ValueError("unknown character")
+                found = [(m.start(), m[0]) for m in piece.finditer(seq) if m.end() - m.start() >= min_length]
+                yield pa.RecordBatch.from_arrays([pa.array([rec] * len(found), pa.int64()), pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.string())], names=["rec_ix", "offset", "piece"])
+
+    return records.select("rec_ix", "seq").mapInArrow(run, "rec_ix bigint, offset bigint, piece string")
+
+
 def cut_reads(records: DataFrame, coverage: float, shortest: int, longest: int, seed: int = 0) -> DataFrame:
-    """(read_ix, id, seq): simulated error-free reads. Each of int(coverage) repetitions of a record starts up to shortest - 1 bases before it and is cut into pieces of hash-drawn lengths; pieces are clipped, those of at least shortest stay, half are reverse-complemented (start and end swap places in the name)."""
+    """(id, seq): simulated error-free reads. Each of int(coverage) repetitions of a record starts up to shortest - 1 bases before it and is cut into pieces of hash-drawn lengths; pieces are clipped, those of at least shortest stay, half are reverse-complemented (start and end swap places in the name)."""
     rounds = F.explode(F.sequence(F.lit(1), F.lit(max(int(coverage), 1)))).alias("round")
     base = records.select("rec_ix", "id", "seq", rounds).filter(F.lit(int(coverage) >= 1))
-    draw = lambda name, n, *more: F.pmod(F.xxhash64(F.lit(seed), F.lit(name), "rec_ix", "round", *more), F.lit(n))
-    first = -draw("first", shortest)
+    draw = lambda name, n, *more: F.pmod(F.xxhash64(F.lit(seed), F.lit(name), "rec_ix", "id", "round", *more), F.lit(n))
     most = F.ceil((F.length("seq") + shortest) / F.lit(shortest)).cast("int") + 1
     sizes = F.transform(F.sequence(F.lit(1), most), lambda i: F.lit(shortest) + draw("size", longest - shortest + 1, i))
-    zero = F.struct(first.alias("at"), F.array().cast("array<struct<a:bigint,b:bigint>>").alias("out"))
-    step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("a"), (acc["at"] + x).alias("b")))).alias("out"))
-    pieces = base.select("*", F.posexplode(F.aggregate(sizes, zero, step, lambda acc: acc["out"])).alias("k", "p"))
-    start, end = F.greatest(F.col("p.a"), F.lit(0)), F.least(F.col("p.b"), F.length("seq"))
+    lengths = base.select("rec_ix", "id", "round", F.posexplode(sizes).alias("k", "size"))
+    ends = F.sum("size").over(Window.partitionBy("rec_ix", "id", "round").orderBy("k")) - draw("first", shortest)
+    placed = lengths.withColumn("b", ends).withColumn("a", F.col("b") - F.col("size"))
+    pieces = placed.join(base, ["rec_ix", "id", "round"])
+    start, end = F.greatest(F.col("a"), F.lit(0)), F.least(F.col("b"), F.length("seq"))
     cut = pieces.withColumns({"start": start, "end": end}).filter((F.col("end") - F.col("start")).between(shortest, longest))
     back = draw("strand", 2, F.col("k")) == 1
     piece = F.substring(F.col("seq"), (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
@@ -70,12 +91,46 @@ def cut_reads(records: DataFrame, coverage: float, shortest: int, longest: int,
     return cut.select(name.alias("id"), F.when(back, S.reverse_complement(piece)).otherwise(piece).alias("seq"))
 
 
+#: Places of a sequence that are counted together: bounds a task's memory where sequences are long.
+SLICE = 1 << 20
+
+
+def kmer_table(records: DataFrame, k: int) -> DataFrame:
+    """(kmer, n): the distinct k-mers of each batch of records with their counts there, to be summed. Windows of code points are counted as fixed-size values, so no k-mer becomes a string before it is counted."""
+
+    def count(points: np.ndarray, starts: np.ndarray) -> tuple[list[str], np.ndarray]:
+        windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(points, k)[starts])
+        values, n = np.unique(windows.view(f"V{windows.itemsize * k}").ravel(), return_counts=True)
+        code = "utf-32-le" if points.itemsize == 4 else "ascii"
+        return [v.tobytes().decode(code, "surrogatepass" if points.itemsize == 4 else "strict") for v in values], n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size = [], 0
+            for cell in [*batch.column(0), None]:
+                seq = cell.as_py() if cell is not None else None
+                if seq and len(seq) >= k:
+                    held.append(seq)
+                    size += len(seq)
+                if held and (size >= SLICE or cell is None):
+                    text = "".join(held)
+                    points = np.frombuffer(text.encode("ascii"), np.uint8) if text.isascii() else np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+                    good = np.ones(len(points), bool)
+                    for end in np.cumsum([len(x) for x in held]):
+                        good[max(end - k + 1, 0) : end] = False  # windows that would reach into the next sequence
+                    places = np.flatnonzero(good)
+                    for i in range(0, len(places), SLICE):
+                        kmers, n = count(points, places[i : i + SLICE])
+                        yield pa.RecordBatch.from_arrays([pa.array(kmers, pa.string()), pa.array(n, pa.int64())], names=["kmer", "n"])
+                    held, size = [], 0
+
+    return records.select("seq").mapInArrow(run, "kmer string, n bigint")
+
+
 def kmer_counts(records: DataFrame, k: int, symmetric: bool = False) -> DataFrame:
-    """(kmer, n); symmetric counts a k-mer and its reverse complement as one."""
-    each = records.select(F.explode(S.kmers(F.col("seq"), k)).alias("kmer"))
-    if symmetric:
-        each = each.select(S.canonical(F.col("kmer")).alias("kmer"))
-    return each.groupBy("kmer").agg(F.count("*").alias("n"))
+    """(kmer, n); symmetric counts a k-mer and its reverse complement as one: after counting, so each distinct k-mer is turned once."""
+    counts = kmer_table(records, k).groupBy("kmer").agg(F.sum("n").alias("n"))
+    return counts.groupBy(S.canonical(F.col("kmer")).alias("kmer")).agg(F.sum("n").alias("n")) if symmetric else counts
 
 
 def kmer_histogram(counts: DataFrame, cap: int = 10_000, weighted: bool = False) -> DataFrame:
@@ -98,13 +153,23 @@ def kmer_bands(counts: DataFrame, error_at: int, low: int, high: int) -> DataFra
 
 
 def kmer_validation(contigs: DataFrame, reference: DataFrame, k: int) -> DataFrame:
-    """One row: distinct k-mers of each side, common ones, precision and recall."""
-    a, b = (x.select(F.explode(S.kmers(F.col("seq"), k)).alias("kmer")).distinct() for x in (contigs, reference))
-    both = a.withColumn("a", F.lit(1)).join(b.withColumn("b", F.lit(1)), "kmer", "full")
-    sums = both.agg(F.count("a").alias("n_contigs"), F.count("b").alias("n_reference"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("n_common"))
+    """One row: distinct k-mers of each side, common ones, precision and recall. Both sides are one aggregation over flagged k-mers."""
+    both = kmer_table(contigs, k).select("kmer", F.lit(True).alias("a")).unionByName(kmer_table(reference, k).select("kmer", F.lit(False).alias("a")))
+    flags = both.groupBy("kmer").agg(F.bool_or("a").alias("a"), F.bool_or(~F.col("a")).alias("b"))
+    sums = flags.agg(F.count_if("a").alias("n_contigs"), F.count_if("b").alias("n_reference"), F.count_if(F.col("a") & F.col("b")).alias("n_common"))
     return sums.withColumns({"precision": F.try_divide("n_common", "n_contigs"), "recall": F.try_divide("n_common", "n_reference")})
 
 
+def contig_shares(contigs: DataFrame, reference: DataFrame, k: int) -> DataFrame:
+    """One row: n_contigs, and in percent exact (contigs all of whose k-mers are in the reference) and aligned (contigs of which some are). Contigs shorter than k count as neither."""
+    known = kmer_table(reference, k).select("kmer").distinct().withColumn("known", F.lit(True))
+    own = contigs.select("rec_ix", F.explode(S.kmers(F.col("seq"), k)).alias("kmer")).distinct()
+    per = own.join(known, "kmer", "left").groupBy("rec_ix").agg(F.count("*").alias("n"), F.count("known").alias("m"))
+    met = per.agg(F.count_if(F.col("m") == F.col("n")).alias("e"), F.count_if(F.col("m") > 0).alias("al"))
+    every = contigs.agg(F.count("*").alias("n_contigs"))
+    return every.crossJoin(met).select("n_contigs", F.try_divide(F.col("e") * 100.0, "n_contigs").alias("exact"), F.try_divide(F.col("al") * 100.0, "n_contigs").alias("aligned"))  # one row each
+
+
 def assembly_stats(contigs: DataFrame, genome_length: int | None = None) -> DataFrame:
     """One row: n_contigs, total, longest, n50, n75, e_size. N50 comes from a histogram of lengths, so the running sum is over distinct lengths."""
     by_length = contigs.groupBy(F.length("seq").alias("len")).agg(F.count("*").alias("c"))

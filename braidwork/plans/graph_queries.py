@@ -16,7 +16,7 @@ c = F.col
 def word_graph(spark, sf):
     w = F.split(F.regexp_replace("text", "\n", " "), " ")
     pairs = F.arrays_zip(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))).alias("src"), F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))).alias("dst"))
-    e = table(spark, sf, "documents", "text").select(F.explode(F.array_distinct(pairs)).alias("p")).select("p.src", "p.dst").distinct()
+    e = table(spark, sf, "documents", "text").select(F.explode(pairs).alias("p")).select("p.src", "p.dst").distinct()
     return session.stored(e.select(F.concat_ws(" ", "src", "dst").alias("edge"), "src", "dst"), "words")
 
 
@@ -54,7 +54,7 @@ KG = """g AS (SELECT DISTINCT k[1:5] AS src, k[2:6] AS dst FROM (SELECT unnest(l
 
 @query("g2_mirror", f"WITH {DNA_SQL}, {KG}, m AS (SELECT src, dst, reverse(translate(dst, 'ACGT', 'TGCA')) AS a, reverse(translate(src, 'ACGT', 'TGCA')) AS b FROM g) SELECT m.src, m.dst, m.a AS mirror_src, m.b AS mirror_dst, x.src IS NOT NULL AS present FROM m LEFT JOIN g x ON x.src = m.a AND x.dst = m.b")
 def g2(spark, sf):
-    k = dna(spark, sf).select(F.explode(F.array_distinct(S.kmers(c("seq"), 6))).alias("k")).distinct()
+    k = dna(spark, sf).select(F.explode(S.kmers(c("seq"), 6)).alias("k")).distinct()
     e = session.stored(k.select(F.substring("k", 1, 5).alias("src"), F.substring("k", 2, 5).alias("dst")), "kmers")
     there = e.select(c("src").alias("mirror_src"), c("dst").alias("mirror_dst"), F.lit(True).alias("present"))
     return G.mirrored(e, S.reverse_complement).join(there, ["mirror_src", "mirror_dst"], "left").withColumn("present", F.coalesce("present", F.lit(False)))
@@ -171,7 +171,13 @@ def g24(spark, sf):
     return G.split_at(w, edges, "hub").select("walk", "part", F.size("items").cast("bigint").alias("n"))
 
 
-@query("g25_remove_subwalks")
+SUB = EXT + """, w AS (SELECT walk, array_to_string(items, '>') AS k, items FROM (SELECT unitig AS walk, list_concat(list_concat(list_reverse(la.p[2:]), inner_list), ra.p[2:]) AS items FROM co JOIN (SELECT unitig, list(un.edge ORDER BY pos) AS inner_list FROM un GROUP BY unitig) USING (unitig) JOIN la ON la.s = unitig JOIN ra ON ra.s = last)),
+it AS (SELECT walk, len(items) AS n, unnest(items) AS item, unnest(range(1, len(items) + 1)) AS pos FROM w), cm AS (SELECT item, count(*) AS c FROM it GROUP BY item),
+ra2 AS (SELECT walk, n, min({'c': c, 'pos': pos, 'item': item}) AS r FROM it JOIN cm USING (item) GROUP BY walk, n),
+gone AS (SELECT DISTINCT a.walk FROM ra2 a JOIN it b ON b.item = a.r.item JOIN w x ON x.walk = a.walk JOIN w y ON y.walk = b.walk WHERE (b.n > a.n OR b.n = a.n AND b.walk < a.walk) AND b.pos >= a.r.pos AND y.items[b.pos - a.r.pos + 1:b.pos - a.r.pos + a.n] = x.items)"""
+
+
+@query("g25_remove_subwalks", f"WITH RECURSIVE {SUB} SELECT walk, len(items)::BIGINT AS n FROM w WHERE walk NOT IN (SELECT walk FROM gone)")
 def g25(spark, sf):
     w = session.stored(G.trivial_omnitigs(word_graph(spark, sf)), "walks")
     return G.remove_subwalks(w).select("walk", F.size("items").cast("bigint").alias("n"))
@@ -191,7 +197,11 @@ def g27(spark, sf):
     return G.walk_ends(G.walks_of(G.unitigs(e)), e)
 
 
-@query("g28_random_graph")
+@query("g28_random_graph", """WITH RECURSIVE sd AS (SELECT unnest(range(11, 31)) AS seed), dr AS (SELECT seed, i, ('0x' || md5(seed || ':' || i)[1:8])::BIGINT % 40 AS src, ('0x' || md5(seed || ':' || i)[9:16])::BIGINT % 40 AS dst FROM sd, range(0, 320) t(i)),
+u AS (SELECT seed, src, dst, min(i) AS i FROM dr WHERE src <> dst GROUP BY seed, src, dst), k AS (SELECT seed, src, dst FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY i) AS r FROM u) WHERE r <= 160),
+rc AS (SELECT seed, src AS a, dst AS b FROM k UNION SELECT rc.seed, rc.a, k.dst FROM rc JOIN k ON k.seed = rc.seed AND k.src = rc.b),
+ok AS (SELECT seed FROM rc GROUP BY seed HAVING count(*) = 1600)
+SELECT src, dst FROM k WHERE seed = (SELECT min(seed) FROM ok)""")
 def g28(spark, sf):
     return G.random_strong_arcs(spark, 40, 4.0, 11)
 
@@ -201,28 +211,24 @@ def g31(spark, sf):
     return G.unhamiltonian(spark)
 
 
-NG = "a AS (SELECT DISTINCT c_nationkey::BIGINT AS src, s_nationkey::BIGINT AS dst FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE c_nationkey <> s_nationkey AND l_quantity = 50 AND l_discount = 0)"
-
-
-#: The rows that the SQL of s18 and g33 takes; the queries without SQL take all.
-NG_ROWS = "l_quantity = 50 AND l_discount = 0"
+NG = "a AS (SELECT DISTINCT c_nationkey::BIGINT AS src, s_nationkey::BIGINT AS dst FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE c_nationkey <> s_nationkey)"
 
 
-def nation_arcs(spark, sf, rows="true"):
+def nation_arcs(spark, sf):
     """(src, dst): customers of nation src bought from suppliers of nation dst, by the rows of lineitem."""
-    o = table(spark, sf, "customer").join(table(spark, sf, "orders"), c("c_custkey") == c("o_custkey")).join(table(spark, sf, "lineitem").filter(rows), c("o_orderkey") == c("l_orderkey")).join(table(spark, sf, "supplier"), c("s_suppkey") == c("l_suppkey"))
+    o = table(spark, sf, "customer").join(table(spark, sf, "orders"), c("c_custkey") == c("o_custkey")).join(table(spark, sf, "lineitem"), c("o_orderkey") == c("l_orderkey")).join(table(spark, sf, "supplier"), c("s_suppkey") == c("l_suppkey"))
     return o.filter("c_nationkey <> s_nationkey").select(c("c_nationkey").cast("bigint").alias("src"), c("s_nationkey").cast("bigint").alias("dst")).distinct()
 
 
 @query("s18_g33_hamiltonian_matrix", f"""WITH {NG}, n AS (SELECT max(greatest(src, dst)) + 1 AS n FROM a), r AS (SELECT unnest(range(0, 2 * n)) AS row, n FROM n), x AS (SELECT row, n, unnest(range(0, 2 * n)) AS col FROM r)
 SELECT row, list(CASE WHEN (row < n) = (col < n) THEN 1000 WHEN abs(row - col) = n THEN 0 WHEN EXISTS (SELECT 1 FROM a WHERE (src = row - n AND dst = col) OR (src = col - n AND dst = row)) THEN 10 ELSE 12 END ORDER BY col) AS "values" FROM x GROUP BY row""")
 def s18(spark, sf):
-    return G.hamiltonian_matrix(nation_arcs(spark, sf, NG_ROWS))
+    return G.hamiltonian_matrix(nation_arcs(spark, sf))
 
 
 @query("g33_adjacency", f"WITH {NG} SELECT src, dst FROM a")
 def g33(spark, sf):
-    return G.arcs_of(G.hamiltonian_matrix(nation_arcs(spark, sf, NG_ROWS)))
+    return G.arcs_of(G.hamiltonian_matrix(nation_arcs(spark, sf)))
 
 
 @query("s12_spell_walks", f"WITH RECURSIVE {UNI} SELECT unitig AS walk, string_agg(CASE WHEN pos = 0 THEN e.edge ELSE e.edge[3:] END, '' ORDER BY pos) AS seq FROM un JOIN e USING (edge) GROUP BY unitig")

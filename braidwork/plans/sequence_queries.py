@@ -48,9 +48,10 @@ def f7(spark, sf):
     return R.verify_genome(dna(spark, sf))
 
 
-@query("f8_circularise", f"WITH {DNA_SQL} SELECT rec_ix, seq || seq[1:20] AS seq FROM dna WHERE length(seq) >= 20")
+@query("f8_circularise", f"WITH {DNA_SQL} SELECT rec_ix, CASE WHEN length(seq) >= 20 THEN seq || seq[1:20] END AS seq FROM dna")
 def f8(spark, sf):
-    return dna(spark, sf).filter(F.length("seq") >= 20).select("rec_ix", S.circularise(c("seq"), 20).alias("seq"))
+    """Records that are too short are null here; in strict form they fail the query."""
+    return dna(spark, sf).select("rec_ix", S.circularise(c("seq"), 20, strict=False).alias("seq"))
 
 
 @query("f9_uniquify", f"WITH {RECORDS_SQL} SELECT rec_ix, row_number() OVER (ORDER BY rec_ix) - 1 || '_' || id AS id FROM rec")
@@ -90,14 +91,18 @@ def f15(spark, sf):
     return R.downsample(records(spark, sf).select("rec_ix", "id"), 0.3)
 
 
-@query("f16_uppercase", f"WITH {RECORDS_SQL} SELECT rec_ix, upper(regexp_replace(seq, '[^ -~]', '', 'g')) AS seq FROM rec WHERE \"desc\" = 'en'")
+@query("f16_uppercase", f"WITH {RECORDS_SQL} SELECT rec_ix, translate(seq, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS seq FROM rec")
 def f16(spark, sf):
-    return records(spark, sf).filter(c("desc") == "en").select("rec_ix", F.upper(F.regexp_replace("seq", "[^ -~]", "")).alias("seq"))
+    return records(spark, sf).select("rec_ix", S.ascii_upper(c("seq")).alias("seq"))
 
 
-@query("f17_resolve_iupac")
+@query("f17_resolve_iupac", f"""WITH {RECORDS_SQL}, t AS (SELECT rec_ix, regexp_replace(translate(seq, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^ACGTRYKMSWBDHV]', '', 'g') AS s FROM rec),
+o AS (SELECT map {{'R': 'AG', 'Y': 'CT', 'K': 'GT', 'M': 'AC', 'S': 'CG', 'W': 'AT', 'B': 'CGT', 'D': 'AGT', 'H': 'ACT', 'V': 'ACG'}} AS m),
+x AS (SELECT rec_ix, i, s[i + 1] AS ch, m[s[i + 1]] AS among FROM (SELECT rec_ix, s, unnest(range(0, length(s))) AS i FROM t), o),
+y AS (SELECT rec_ix, string_agg(CASE WHEN among IS NULL THEN ch ELSE among[1 + ('0x' || md5(rec_ix || ':' || i)[1:8])::BIGINT % length(among)] END, '' ORDER BY i) AS seq FROM x GROUP BY rec_ix)
+SELECT rec_ix, coalesce(y.seq, '') AS seq FROM t LEFT JOIN y USING (rec_ix)""")
 def f17(spark, sf):
-    seq = F.translate(F.regexp_replace(F.upper("seq"), "[^ACGTRYKMSWBDHV]", ""), "", "")
+    seq = F.regexp_replace(S.ascii_upper(F.coalesce("seq", F.lit(""))), "[^ACGTRYKMSWBDHV]", "")
     return records(spark, sf).select("rec_ix", S.resolve_iupac(seq, c("rec_ix")).alias("seq"))
 
 
@@ -109,8 +114,7 @@ SELECT rec_ix, "offset", piece FROM s WHERE length(piece) >= 6""")
 def f18(spark, sf):
     letters = "abcdefghijklmnopqrstuvwxyz "
     seq = F.translate(F.regexp_replace(F.lower("seq"), "[^a-z ]", ""), letters, ("ACGT" * 7)[:26] + "N")
-    cut = records(spark, sf).select("rec_ix", F.explode(S.break_at_gaps(seq, 6)).alias("p"))
-    return cut.select("rec_ix", c("p.offset").cast("bigint").alias("offset"), c("p.piece").alias("piece"))
+    return R.break_at_gaps(records(spark, sf).select("rec_ix", seq.alias("seq")), 6)
 
 
 @query("f19_cut_reads")
@@ -208,6 +212,21 @@ def k7(spark, sf):
     return R.assembly_stats(dna(spark, sf)).withColumn("e_size", F.round("e_size", 6))
 
 
-@query("k10_bcalm_to_gfa", f"WITH {DNA_SQL} SELECT rec_ix, 'S' || chr(9) || id || chr(9) || seq AS line FROM dna")
+@query("k6_contig_shares", """WITH b AS (SELECT DISTINCT unnest(list_transform(range(1, greatest(length(text) - 4, 0) + 1), lambda i: text[i:i + 4])) AS k FROM benchmark),
+a AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(length(text) - 4, 0) + 1), lambda i: text[i:i + 4])) AS k FROM documents),
+p AS (SELECT doc_id, count(*) AS n, count(b.k) AS m FROM a LEFT JOIN b USING (k) GROUP BY doc_id)
+SELECT n_contigs, count(*) FILTER (n = m) * 100.0 / n_contigs AS exact, count(*) FILTER (m > 0) * 100.0 / n_contigs AS aligned FROM p, (SELECT count(*) AS n_contigs FROM documents) GROUP BY n_contigs""")
+def k6_shares(spark, sf):
+    return R.contig_shares(records(spark, sf), table(spark, sf, "benchmark").withColumn("seq", c("text")), 5)
+
+
+@query("k10_bcalm_to_gfa", """SELECT 'H' || chr(9) || 'VN:Z:1.0' AS line UNION ALL SELECT 'S' || chr(9) || o_orderkey || chr(9) || o_orderpriority FROM orders
+UNION ALL SELECT DISTINCT 'L' || chr(9) || l_orderkey || chr(9) || CASE WHEN l_returnflag = 'R' THEN '-' ELSE '+' END || chr(9) || l_partkey || chr(9) || CASE WHEN l_linestatus = 'F' THEN '-' ELSE '+' END || chr(9) || '4M' FROM lineitem""")
 def k10(spark, sf):
-    return dna(spark, sf).select("rec_ix", F.concat_ws("\t", F.lit("S"), "id", "seq").alias("line"))
+    """Orders as unitigs, their lines as links."""
+    from braidwork.sources.formats import gfa_lines
+
+    link = F.struct(F.when(c("l_returnflag") == "R", "-").otherwise("+").alias("own"), c("l_partkey").alias("target"), F.when(c("l_linestatus") == "F", "-").otherwise("+").alias("other"))
+    links = table(spark, sf, "lineitem").groupBy(c("l_orderkey").alias("unitig")).agg(F.collect_set(link).alias("links"))
+    unitigs = table(spark, sf, "orders").select(c("o_orderkey").alias("unitig"), c("o_orderpriority").alias("seq")).join(links, "unitig", "left")
+    return gfa_lines(unitigs, 5).select("line")

@@ -2,20 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from braidwork.operators.records import with_ordinal
+
 c = F.col
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(rec_ix, id, desc, seq): multi-line records; rec_ix ascends with the file order. Text before the first > must be empty, and every record needs a sequence."""
-    raw = spark.read.option("lineSep", ">").text(path).filter(F.trim("value") != "")
+    """(rec_ix, id, desc, seq): multi-line records; rec_ix ascends with the order of the records, files in the order of their names.
+
+    A record starts with > at the start of a line; descriptions may hold one. Text before the first record, and a
+    record without a sequence, are errors.
+    """
+    # records are told apart by the line break before their >; only the first of a file still has its own
+    raw = spark.read.option("lineSep", "\n>").text(path).select("value", c("_metadata.file_path").alias("file"), c("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+    raw = raw.filter(F.trim(F.regexp_replace("value", r"\s", "")) != "")
+    first = F.row_number().over(Window.partitionBy("file").orderBy("block", "place")) == 1
+    raw = raw.withColumn("first", first)
+    orphan = F.when(c("first") & ~F.ltrim("value").startswith(">"), F.raise_error(F.lit("text before the first record")).cast("string")).otherwise(c("value"))
+    value = F.when(c("first"), F.regexp_replace(orphan, r"^\s*>", "")).otherwise(c("value"))
+    r = raw.select("file", "block", "place", value.alias("value"))
     head = F.regexp_extract("value", r"^([^\r\n]*)", 1)
     seq = F.regexp_replace(F.regexp_replace("value", r"^[^\r\n]*", ""), r"\s", "")
-    bad = F.when(seq == "", F.raise_error(F.concat(F.lit("empty record: "), head)).cast("string")).otherwise(seq)
+    checked = F.when(seq == "", F.raise_error(F.concat(F.lit("empty record: "), head)).cast("string")).otherwise(seq)
     desc = F.regexp_extract(head, r"^\S+\s+(.*)$", 1)
-    return raw.select(F.monotonically_increasing_id().alias("rec_ix"), F.regexp_extract(head, r"^(\S*)", 1).alias("id"), F.when(desc != "", desc).alias("desc"), bad.alias("seq"))
+    parsed = r.select("file", "block", "place", F.regexp_extract(head, r"^(\S*)", 1).alias("id"), F.when(desc != "", desc).alias("desc"), checked.alias("seq"))
+    return with_ordinal(parsed, "file", "block", "place").select(c("ordinal").alias("rec_ix"), "id", "desc", "seq")
 
 
 def write_fasta(records: DataFrame, path: str) -> None:
@@ -86,6 +100,22 @@ def write_compacted(unitigs: DataFrame, path: str) -> None:
     unitigs.select(F.concat(head, F.lit("\n"), "seq").alias("value")).write.text(path)
 
 
+def gfa_lines(unitigs: DataFrame, k: int) -> DataFrame:
+    """(kind, line) of a compacted graph (unitig, seq, links) as GFA: the header, S lines, and an L line per link, with an overlap of k - 1."""
+    spark = unitigs.sparkSession
+    head = spark.createDataFrame([("H", "H\tVN:Z:1.0")], "kind string, line string")
+    u = c("unitig").cast("string")
+    segments = unitigs.select(F.lit("S").alias("kind"), F.concat_ws("\t", F.lit("S"), u, "seq").alias("line"))
+    links = unitigs.select(u.alias("u"), F.explode("links").alias("l")).select(F.lit("L").alias("kind"), F.concat_ws("\t", F.lit("L"), "u", "l.own", c("l.target").cast("string"), "l.other", F.lit(f"{k - 1}M")).alias("line"))
+    return head.unionByName(segments).unionByName(links)
+
+
+def write_gfa(unitigs: DataFrame, path: str, k: int) -> None:
+    """The header stands in the first file, segments before links in each."""
+    order = F.when(c("kind") == "H", 0).when(c("kind") == "S", 1).otherwise(2)
+    gfa_lines(unitigs, k).orderBy(order, "line").select(c("line").alias("value")).write.text(path)
+
+
 def read_gfa(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """segments (name, seq) and links (src, own, dst, other, overlap)."""
     t = spark.read.text(path).select(F.split("value", "\t").alias("f"))
@@ -124,8 +154,6 @@ def read_layout(spark: SparkSession, path: str) -> DataFrame:
     """(contig, edge, offset, n1, d1, n2, d2, read, dir, at, len, seq) of S lines, each with the edge and contig it stands under. A record per contig is read as one row, so lines stay together."""
     raw = spark.read.option("lineSep", ">").text(path).filter(F.trim("value") != "")
     lines = raw.select(F.regexp_extract("value", r"^(\S+)", 1).alias("contig"), F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("contig").orderBy("pos")
     e = lines.withColumn("edge", F.sum(c("line").startswith("E\t").cast("int")).over(w)).withColumn("head", F.last(F.when(c("line").startswith("E\t"), c("line")), ignorenulls=True).over(w)).filter(c("line").startswith("S\t"))
     h, s = F.split("head", "\t"), F.split("line", "\t")

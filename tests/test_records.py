@@ -1,3 +1,5 @@
+from collections import Counter
+
 import random
 
 import pytest
@@ -39,8 +41,26 @@ def test_verify_genome(spark):
 
 
 def test_break_at_gaps(spark):
-    got = values(spark, ["acNNgtaN-c", "", "NN"], S.break_at_gaps(c("s"), 1))
-    assert [[(x.offset, x.piece) for x in g] for g in got] == [[(0, "AC"), (4, "GTA"), (9, "C")], [], []]
+    df = spark.createDataFrame([(1, "acNNgtaN-c"), (2, ""), (3, "NN"), (4, None)], "rec_ix long, seq string")
+    got = sorted(map(tuple, R.break_at_gaps(df, 1).collect()))
+    assert got == [(1, 0, "AC"), (1, 4, "GTA"), (1, 9, "C")]
+    assert [tuple(x) for x in R.break_at_gaps(df, 3).collect()] == [(1, 4, "GTA")]
+    with pytest.raises(Exception, match="unknown character"):
+        R.break_at_gaps(spark.createDataFrame([(1, "ACX")], "rec_ix long, seq string"), 1).collect()
+
+
+def test_kmer_counts_match_slices(spark):
+    texts = ["", "A", "ACGTACGT", "é\nxyzé\nxyz", None, "AC", "TTT"]
+    df = spark.createDataFrame(list(enumerate(texts)), "rec_ix long, seq string")
+    want = Counter(t[i : i + 3] for t in texts if t for i in range(len(t) - 2))
+    assert {r.kmer: r.n for r in R.kmer_counts(df, 3).collect()} == want
+    dna = df.filter("rec_ix IN (2, 6)")
+    turned = Counter()
+    for k, n in Counter({"ACG": 2, "CGT": 2, "GTA": 1, "TAC": 1, "TTT": 1}).items():
+        turned[min(k, k[::-1].translate(str.maketrans("ACGT", "TGCA")))] += n
+    assert {r.kmer: r.n for r in R.kmer_counts(dna, 3, symmetric=True).collect()} == turned
+    got = R.contig_shares(df, df.filter("rec_ix = 2"), 3).first()
+    assert (got.n_contigs, round(got.exact, 4), round(got.aligned, 4)) == (7, round(100 / 7, 4), round(100 / 7, 4))
 
 
 def test_kmers_match_slices(spark):
