@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from braidwork import session
 from braidwork.functions import seq as S
 from braidwork.operators import reports as P
 from braidwork.plans.registry import query, table
+from braidwork.sources.formats import read_labelled_xy
 
 c = F.col
 
 
-@query("r2_argument_matrix", "SELECT r_name, o_orderpriority, l_returnflag FROM region, (SELECT DISTINCT o_orderpriority FROM orders), (SELECT DISTINCT l_returnflag FROM lineitem)")
+@query("r2_argument_matrix", "SELECT r_name, p AS priority, f AS flag FROM region, (VALUES ('high'), ('low')) p(p), (VALUES ('A'), ('N'), ('R')) f(f)")
 def r2(spark, sf):
-    """The product of three small dimensions, as an argument matrix expands."""
-    p, f = table(spark, sf, "orders").select("o_orderpriority").distinct(), table(spark, sf, "lineitem").select("l_returnflag").distinct()
-    return table(spark, sf, "region").select("r_name").crossJoin(p).crossJoin(f)
+    """The regions, a fixed table, by two options: a matrix of nested lists, expanded."""
+    regions = [r[0] for r in table(spark, sf, "region").select("r_name").collect()]
+    m = P.matrix_rows(spark, {"region": regions, "priority": ["high", ["low"]], "flag": ["A", ["N", "R"]]})
+    return m.select(c("arguments")["region"].alias("r_name"), c("arguments")["priority"].alias("priority"), c("arguments")["flag"].alias("flag"))
 
 
 @query("r5_defaults", "SELECT event_id, coalesce(CASE WHEN event_type = 'error' THEN NULL ELSE event_type END, 'none') AS kind, coalesce(CASE WHEN value < 10 THEN NULL ELSE value END, 10.0) AS value FROM events")
@@ -23,20 +26,28 @@ def r5(spark, sf):
     return table(spark, sf, "events").select("event_id", F.coalesce(F.when(c("event_type") != "error", c("event_type")), F.lit("none")).alias("kind"), F.coalesce(F.when(c("value") >= 10, c("value")), F.lit(10.0)).alias("value"))
 
 
-@query("r6_experiments_join", "SELECT n_name, r_name, count(*) AS suppliers FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")
+@query("r6_experiments_join", "SELECT c_nationkey * 10 + c_custkey % 10 AS \"column\", s_suppkey AS experiment FROM (SELECT DISTINCT c_nationkey, c_custkey % 10 AS c_custkey FROM customer) JOIN supplier ON s_nationkey = c_nationkey AND s_suppkey % 10 = c_custkey % 10")
 def r6(spark, sf):
-    j = table(spark, sf, "supplier").join(table(spark, sf, "nation"), c("s_nationkey") == c("n_nationkey")).join(table(spark, sf, "region"), c("n_regionkey") == c("r_regionkey"))
-    return j.groupBy("n_name", "r_name").agg(F.count("*").alias("suppliers"))
-
-
-@query("r7_merge_metrics", """WITH l AS (SELECT c_nationkey AS ord, 'n' || c_nationkey AS key, count(*)::VARCHAR AS value FROM customer WHERE c_acctbal > 0 AND c_nationkey <> 3 GROUP BY c_nationkey),
-r AS (SELECT s_nationkey AS ord, 'n' || s_nationkey AS key, count(*)::VARCHAR AS value FROM supplier WHERE s_nationkey <> 7 GROUP BY s_nationkey)
-SELECT coalesce(l.ord, r.ord) AS ord, key, coalesce(l.value, 'N/A') AS a, coalesce(r.value, 'N/A') AS b FROM l FULL JOIN r USING (key)""")
+    """Columns by nation and last digit, experiments with the same arguments in another order."""
+    cu, su = table(spark, sf, "customer"), table(spark, sf, "supplier")
+    entry = lambda k, v: (F.lit(k), v.cast("string"))
+    columns = cu.select("c_nationkey", (c("c_custkey") % 10).alias("d")).distinct()
+    columns = columns.select((c("c_nationkey") * 10 + c("d")).alias("column"), F.create_map(*entry("nation", c("c_nationkey")), *entry("digit", c("d"))).alias("arguments"))
+    runs = su.select(c("s_suppkey").alias("experiment"), F.create_map(*entry("digit", c("s_suppkey") % 10), *entry("nation", c("s_nationkey"))).alias("arguments"))
+    return P.columns_of_experiments(columns, runs)
+
+
+@query("r7_merge_metrics", """WITH n AS (SELECT n_regionkey AS report, n_nationkey AS k, 'n' || n_nationkey AS key, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey)::VARCHAR AS a,
+  (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey)::VARCHAR AS b FROM nation)
+SELECT report, row_number() OVER (PARTITION BY report ORDER BY k) - 1 AS ord, key, CASE WHEN k % 3 = 0 THEN '' ELSE a END || '|' || b || '|' || CASE WHEN k % 5 = 1 THEN 'N/A' ELSE a END AS line FROM n""")
 def r7(spark, sf):
-    l = table(spark, sf, "customer").filter("c_acctbal > 0 AND c_nationkey <> 3").groupBy(c("c_nationkey").alias("ord")).agg(F.count("*").cast("string").alias("value"))
-    r = table(spark, sf, "supplier").filter("s_nationkey <> 7").groupBy(c("s_nationkey").alias("ord")).agg(F.count("*").cast("string").alias("value"))
-    key = F.concat(F.lit("n"), c("ord").cast("string"))
-    return P.merge_metrics(l.withColumn("key", key), r.withColumn("key", key))
+    """Three tables a region: the first lacks some nations, the third others."""
+    nation = table(spark, sf, "nation")
+    count = lambda t, key: table(spark, sf, t).groupBy(c(key).alias("n_nationkey")).agg(F.count("*").alias("n"))
+    metrics = lambda df: nation.join(df, "n_nationkey", "left").select(c("n_regionkey").alias("report"), c("n_nationkey").alias("ord"), F.concat(F.lit("n"), "n_nationkey").alias("key"), F.coalesce("n", F.lit(0)).cast("string").alias("value"))
+    a, b = metrics(count("customer", "c_nationkey")), metrics(count("supplier", "s_nationkey"))
+    merged = P.merge_metrics([a.filter("ord % 3 <> 0"), b, a.filter("ord % 5 <> 1")])
+    return merged.select("report", "ord", "key", F.array_join("values", "|").alias("line"))
 
 
 @query("r8_number_format", """SELECT o_orderkey, format('{:t,}', (o_orderkey * 7919)::BIGINT) AS whole, format('{:,.2f}', o_totalprice) AS price, o_orderpriority AS raw FROM orders""".replace("{:t,}", "{:,}"))
@@ -73,44 +84,99 @@ def r14(spark, sf):
     return P.last_metric(table(spark, sf, "events").select(c("user_id").alias("source"), c("event_id").alias("ord"), kind.alias("kind"), c("value").cast("string").alias("text")))
 
 
-@query("r16_s20_labelled_union", "SELECT 'orders' AS label, o_orderkey AS x, o_totalprice AS y FROM orders UNION ALL SELECT 'parts', p_partkey, p_retailprice FROM part")
-def r16(spark, sf):
-    o = table(spark, sf, "orders").select(F.lit("orders").alias("label"), c("o_orderkey").alias("x"), c("o_totalprice").alias("y"))
-    return o.unionByName(table(spark, sf, "part").select(F.lit("parts").alias("label"), c("p_partkey").alias("x"), c("p_retailprice").alias("y")))
+@query("r15_metric_pairs", """WITH v AS (SELECT l_orderkey AS source, l_returnflag AS key, max_by(l_quantity::BIGINT::VARCHAR, l_linenumber * 1000000 + l_partkey) AS value FROM lineitem GROUP BY ALL),
+q AS (SELECT source, title, x, y FROM (SELECT DISTINCT source FROM v), (VALUES ('A/R', 'A', 'R'), ('N/A', 'N', 'A')) g(title, x, y))
+SELECT q.source, title, coalesce(a.value, 'N/A') || '/' || coalesce(b.value, 'N/A') AS value FROM q LEFT JOIN v a ON a.source = q.source AND a.key = x LEFT JOIN v b ON b.source = q.source AND b.key = y""")
+def r15(spark, sf):
+    rows = table(spark, sf, "lineitem").select(c("l_orderkey").alias("source"), (c("l_linenumber") * 1000000 + c("l_partkey")).alias("ord"), c("l_returnflag").alias("key"), c("l_quantity").cast("bigint").cast("string").alias("value"))
+    return P.metric_pairs(rows, [("A", "R"), ("N", "A")])
 
 
-@query("r17_hamiltonian_report", "SELECT p_partkey, p_size * 5 = (p_size + p_partkey % 2) * 5 AS hamiltonian FROM part")
+@query("r16_s20_labelled_union", "SELECT 'orders' AS label, o_orderkey::DOUBLE AS x, o_totalprice AS y FROM orders UNION ALL SELECT 'parts', p_partkey, p_retailprice FROM part")
+def r16(spark, sf):
+    """Both tables as headerless CSV files, read back with their labels."""
+    at = {"orders": session.scratch_path(spark, "csv"), "parts": session.scratch_path(spark, "csv")}
+    table(spark, sf, "orders").select("o_orderkey", "o_totalprice").write.csv(at["orders"])
+    table(spark, sf, "part").select("p_partkey", "p_retailprice").write.csv(at["parts"])
+    return read_labelled_xy(spark, at)
+
+
+#: The logs of a run for each part: five times the nodes is the optimum of even parts; preprocessing solves every eleventh odd one; every seventh part lacks a value, and in every thirteenth the graphs disagree.
+RUNS = """r AS (SELECT p_partkey AS run, p_size AS n, CASE WHEN p_partkey % 2 = 0 THEN 0 ELSE 3 END AS more, p_retailprice AS t FROM part),
+h AS (SELECT run, CASE WHEN run % 7 = 0 THEN 'missing raw_time' WHEN run % 13 = 0 THEN 'raw and preprocessed graph disagree' END AS error, n AS raw_nodes, 5 * n + more AS raw_optimum, CASE WHEN run % 7 <> 0 THEN round(t, 2) END AS raw_time,
+  run % 2 = 1 AND run % 11 = 0 AS solved, CASE WHEN NOT (run % 2 = 1 AND run % 11 = 0) THEN (run % 50)::DOUBLE END AS removed_nodes, CASE WHEN NOT (run % 2 = 1 AND run % 11 = 0) THEN (run % 30)::DOUBLE END AS removed_arcs,
+  (n + 5)::DOUBLE AS safe_walks, (n + 2)::DOUBLE AS long_safe_walks, n::DOUBLE AS non_trivial_safe_walks, round(t / 10, 2) AS preprocessing_time, round(t / 2, 2) AS preprocessed_time, more = 0 AS ham FROM r)"""
+
+
+def run_logs(spark, sf):
+    k, n = c("p_partkey"), c("p_size")
+    more = F.when(k % 2 == 0, 0).otherwise(3)
+    solved = (k % 2 == 1) & (k % 11 == 0)
+    two = lambda x: F.format_string("%.2f", F.round(x, 2))
+    t = c("p_retailprice")
+    line = lambda log, *parts: F.struct(F.lit(log).alias("log"), F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts)).alias("line"))
+    lines = F.array(
+        line("preprocess", "[INFO] Preprocessing took ", two(t / 10), " seconds"),
+        F.when(~solved, line("preprocess", "[INFO] Preprocessing removed ", k % 50, ".0% of nodes and ", k % 30, ".0% of arcs")),
+        F.when(solved, line("preprocess", "[WARN] Preprocessing the graph revealed that it is not hamiltonian")),
+        line("preprocess", "Found ", n + 5, " safe walks"),
+        line("preprocess", "Found ", n + 2, " safe walks of length > 2"),
+        line("preprocess", "Found ", n, " non-trivial safe walks"),
+        line("raw", "Number of Nodes: ", n),
+        line("raw", "Optimal Solution: ", 5 * n + more, ".00"),
+        F.when(k % 7 != 0, line("raw", "Total Running Time: ", two(t), " (seconds)")),
+        line("preprocessed", "Number of Nodes: ", n),
+        line("preprocessed", "Optimal Solution: ", 5 * n + F.when(k % 13 == 0, 3 - more).otherwise(more), ".00"),
+        line("preprocessed", "Total Running Time: ", two(t / 2), " (seconds)"),
+    )
+    return table(spark, sf, "part").select(k.alias("run"), F.posexplode(lines).alias("ord", "l")).filter("l IS NOT NULL").select("run", "ord", "l.log", "l.line")
+
+
+@query("r17_hamiltonian_report", f"WITH {RUNS} SELECT run, error, raw_nodes::BIGINT AS raw_nodes, raw_optimum::BIGINT AS raw_optimum, raw_time, solved, removed_nodes, removed_arcs, CASE WHEN error IS NULL THEN ham END AS hamiltonian FROM h")
 def r17(spark, sf):
-    runs = table(spark, sf, "part").select("p_partkey", c("p_size").alias("nodes"), ((c("p_size") + c("p_partkey") % 2) * 5).alias("optimum"))
-    return P.hamiltonian_report(runs).select("p_partkey", "hamiltonian")
+    return P.hamiltonian_report(run_logs(spark, sf), strict=False).select("run", "error", "raw_nodes", "raw_optimum", "raw_time", "solved", "removed_nodes", "removed_arcs", "hamiltonian")
 
 
-@query("r18_hamiltonian_averages", "SELECT count(*) AS runs, avg(p_size) AS nodes, avg(p_retailprice) FILTER (p_size % 3 <> 0) AS removed, avg((p_size % 3 = 0)::INT) AS solved FROM part")
+@query("r18_hamiltonian_averages", f"""WITH {RUNS}, g AS (SELECT * FROM h WHERE error IS NULL)
+SELECT count(*) AS runs, round(avg(ham::INT) * 100, 6) AS hamiltonian, round(avg(preprocessing_time), 6) AS preprocessing_time, round(avg(preprocessed_time), 6) AS preprocessed_time, round(avg(preprocessing_time + preprocessed_time), 6) AS preprocessed_total_time,
+  round(avg(raw_time), 6) AS raw_time, round(avg(solved::INT) * 100, 6) AS solved, round(sum(removed_nodes) / count(*) FILTER (NOT solved), 6) AS removed_nodes, round(sum(removed_arcs) / count(*) FILTER (NOT solved), 6) AS removed_arcs,
+  round(avg(safe_walks - long_safe_walks), 6) AS strong_bridges, round(avg(long_safe_walks - non_trivial_safe_walks), 6) AS trivial_safe_walks, round(avg(non_trivial_safe_walks), 6) AS non_trivial_safe_walks FROM g""")
 def r18(spark, sf):
-    solved = c("p_size") % 3 == 0
-    return table(spark, sf, "part").agg(F.count("*").alias("runs"), F.avg("p_size").alias("nodes"), F.avg(F.when(~solved, c("p_retailprice"))).alias("removed"), F.avg(solved.cast("int")).alias("solved"))
+    """Over the runs without an error."""
+    one = P.hamiltonian_averages(P.hamiltonian_report(run_logs(spark, sf), strict=False).filter("error IS NULL"))
+    return one.select("runs", *(F.round(x, 6).alias(x) for x in one.columns if x != "runs"))
+
+
+@query("r13_resource_inputs", """WITH o AS (SELECT o_orderkey AS run, CASE o_orderkey % 3 WHEN 0 THEN 'wtdbg2' WHEN 1 THEN 'hifiasm' ELSE 'flye' END AS a, o_orderstatus = 'F' AS tig, o_orderkey % 5 = 0 AS hod FROM orders)
+SELECT run, step FROM o, (VALUES ('hoco'), ('hodeco'), ('trivial_omnitigs'), ('assembly'), ('wtdbg2_extract'), ('contig_assembly'), ('wtdbg2_consensus')) s(step)
+WHERE step = 'assembly' OR a = 'wtdbg2' AND (step IN ('wtdbg2_extract', 'wtdbg2_consensus') OR tig AND step IN ('trivial_omnitigs', 'contig_assembly') OR hod AND step IN ('hoco', 'hodeco')) OR a = 'hifiasm' AND tig AND step = 'trivial_omnitigs'""")
+def r13(spark, sf):
+    k, injected = c("o_orderkey"), c("o_orderstatus") == "F"
+    runs = table(spark, sf, "orders").select(k.alias("run"), F.when(k % 3 == 0, "wtdbg2").when(k % 3 == 1, "hifiasm").otherwise("flye").alias("assembler"), F.when(injected, "unitigs").otherwise("none").alias("tig"), F.lit(None).cast("string").alias("frg"), F.when(k % 5 == 0, "simple").otherwise("none").alias("hodeco"), F.when(injected, "trivial_omnitigs_a").otherwise("builtin").alias("contigs"))
+    return P.resource_inputs(runs)
 
 
 @query("r19_superfluous_files", """WITH f AS (SELECT DISTINCT regexp_replace(url, '[?#].*$', '') AS path FROM pages), q AS (SELECT DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder FROM f WHERE contains(path, '/en/'))
-SELECT path FROM f WHERE NOT EXISTS (SELECT 1 FROM q WHERE starts_with(f.path, q.folder || '/'))""")
+SELECT path FROM f WHERE NOT EXISTS (SELECT 1 FROM q WHERE starts_with(f.path, q.folder))""")
 def r19(spark, sf):
     f = table(spark, sf, "pages").select(F.regexp_replace("url", "[?#].*$", "").alias("path")).distinct()
     return P.superfluous(f, f.filter(c("path").contains("/en/")))
 
 
-@query("r20_unsuccessful_logs", "SELECT user_id || '' AS path FROM events GROUP BY user_id HAVING NOT bool_or(event_type = 'signup' AND value > 90)")
+@query("r20_unsuccessful_logs", "SELECT user_id || '' AS path FROM events WHERE contains(user_id || '', '1') GROUP BY user_id HAVING NOT bool_or(event_type = 'signup' AND value > 90)")
 def r20(spark, sf):
     line = F.when((c("event_type") == "signup") & (c("value") > 90), "1 of 1 steps (100%) done").otherwise(c("event_type"))
-    return P.unsuccessful(table(spark, sf, "events").select(c("user_id").cast("string").alias("path"), line.alias("line")))
+    return P.unsuccessful(table(spark, sf, "events").select(c("user_id").cast("string").alias("path"), line.alias("line")), tag="1")
 
 
-@query("r21_unfinished_outputs", """WITH w AS (SELECT user_id, event_id, event_type, value, min(event_id) FILTER (event_type = 'view') OVER p AS s1, bool_or(event_type = 'signup' AND value > 90) OVER p AS done FROM events WINDOW p AS (PARTITION BY user_id)),
-x AS (SELECT *, min(event_id) FILTER (event_type = 'click' AND event_id >= s1) OVER (PARTITION BY user_id) AS s2 FROM w), y AS (SELECT *, min(event_id) FILTER (event_type = 'error' AND event_id >= s2) OVER (PARTITION BY user_id) AS s3 FROM x)
-SELECT user_id || '' AS path, unnest(['out' || event_id, 'log' || event_id]) AS output FROM y WHERE NOT done AND s3 IS NOT NULL AND event_id = s2""")
+@query("r21_unfinished_outputs", """WITH w AS (SELECT user_id, event_id, event_type, value, min(event_id) FILTER (event_type = 'view') OVER p AS s1, bool_or(event_type = 'signup' AND value > 90) OVER p AS done FROM events WHERE contains(user_id || '', '1') WINDOW p AS (PARTITION BY user_id)),
+x AS (SELECT *, min(event_id) FILTER (event_type = 'click' AND event_id >= s1) OVER (PARTITION BY user_id) AS s2 FROM w), y AS (SELECT *, min(event_id) FILTER (event_type = 'error' AND event_id >= s2) OVER (PARTITION BY user_id) AS s3 FROM x),
+z AS (SELECT user_id || '' AS path, unnest(['a/out' || event_id || '/f', 'log' || event_id]) AS output FROM y WHERE NOT done AND s3 IS NOT NULL AND event_id = s2)
+SELECT path, output, regexp_extract(output, '^(.*)/[^/]*$', 1) AS folder FROM z""")
 def r21(spark, sf):
     e, i = c("event_type"), c("event_id").cast("string")
-    line = F.when((e == "signup") & (c("value") > 90), "1 of 1 steps (100%) done").when(e == "view", "Select jobs to execute...").when(e == "click", F.concat(F.lit("output: out"), i, F.lit(", log"), i)).when(e == "error", "jobid: 3").otherwise("x")
-    return P.unfinished_outputs(table(spark, sf, "events").select(c("user_id").cast("string").alias("path"), c("event_id").alias("ord"), line.alias("line")))
+    line = F.when((e == "signup") & (c("value") > 90), "1 of 1 steps (100%) done").when(e == "view", "Select jobs to execute...").when(e == "click", F.concat(F.lit("output: a/out"), i, F.lit("/f, log"), i)).when(e == "error", "jobid: 3").otherwise("x")
+    return P.unfinished_outputs(table(spark, sf, "events").select(c("user_id").cast("string").alias("path"), c("event_id").alias("ord"), line.alias("line")), tag="1")
 
 
 @query("r22_job_status", """SELECT o_custkey AS job, CASE WHEN bool_and(o_orderstatus = 'F') THEN 'success' WHEN bool_or(o_orderstatus = 'P' AND o_orderpriority = '1-URGENT') THEN 'running'
@@ -126,9 +192,12 @@ def r25(spark, sf):
     return table(spark, sf, "documents").filter(c("source").startswith("src1")).select("source").distinct()
 
 
-@query("r27_log_extraction", "SELECT page_id, regexp_extract(url, '//([^/]+)/', 1) AS host, try_cast(nullif(regexp_extract(url, 'page=([0-9]+)', 1), '') AS BIGINT) AS number FROM pages")
+@query("r27_log_extraction", "SELECT user_id || '' AS path, event_id AS ord, event_id % 7 || '' AS coverage FROM events WHERE event_type = 'click'")
 def r27(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.regexp_extract("url", "//([^/]+)/", 1).alias("host"), F.regexp_extract("url", "page=([0-9]+)", 1).try_cast("bigint").alias("number"))
+    """Events as lines of a log for each user; clicks set the edge coverage."""
+    e = table(spark, sf, "events")
+    line = F.when(c("event_type") == "click", F.concat(F.lit("[note] Set --edge-cov to "), (c("event_id") % 7).cast("string"))).otherwise(F.concat(F.lit("--edge-cov is "), (c("event_id") % 7).cast("string")))
+    return P.edge_coverage(e.select(c("user_id").cast("string").alias("path"), c("event_id").alias("ord"), line.alias("line")))
 
 
 @query("s7_canonical_links", """WITH t AS (SELECT l_orderkey, 'L:' || CASE WHEN l_returnflag = 'R' THEN '-' ELSE '+' END || ':' || l_partkey || ':' || CASE WHEN l_linestatus = 'F' THEN '-' ELSE '+' END AS link,

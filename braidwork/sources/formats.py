@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -177,6 +179,12 @@ def write_tsplib(matrix: DataFrame, path: str, name: str = "instance") -> None:
     rows.select(F.concat(F.lit(head), "m", F.lit("\nEOF")).alias("value")).write.text(path)
 
 
+def read_labelled_xy(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """(label, x, y) of headerless CSV files of pairs, by label."""
+    one = lambda label, path: spark.read.schema("x double, y double").csv(path).select(F.lit(label).alias("label"), "x", "y")
+    return functools.reduce(DataFrame.unionByName, [one(k, v) for k, v in paths.items()])
+
+
 def read_breakpoints(spark: SparkSession, path: str) -> DataFrame:
     """(name, start, end) of a JSON object of lists of pairs."""
     m = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,array<array<bigint>>>")).alias("name", "l"))

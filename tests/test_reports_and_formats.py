@@ -21,10 +21,74 @@ def test_argument_trees():
         P.numeric_argument(["1", "2"])
 
 
+def test_more_of_the_matrix(spark):
+    m = {"k": [1, {"one": None}], "m": ["a", "b", ["c"]]}
+    assert {"k": "one", "m": "c"} in P.expand_matrix(m) and len(P.expand_matrix(m)) == P.matrix_size(m) == 6
+    got = [r.arguments for r in P.matrix_rows(spark, {"k": [1, 2], "f": None}).orderBy("ix").collect()]
+    assert got == [{"k": "1", "f": None}, {"k": "2", "f": None}]
+    assert P.format_product("{a}-{b}-{c}", a=[1, 2], b="x") == ["1-x-{c}", "2-x-{c}"]
+    assert P.short_name({"wtdbg2": {"mode": "a b", "-x": True, "no": False}}) == "ab_-x"
+    assert P.evaluation_arguments("normal_hoco") == "--fragmented --minimap-hoco"
+    with pytest.raises(ValueError):
+        P.evaluation_arguments("other")
+    cols = spark.createDataFrame([("c1", {"a": "1", "b": "2"}), ("c2", {"a": "2"})], "column string, arguments map<string,string>")
+    runs = spark.createDataFrame([(1, {"b": "2", "a": "1"}), (2, {"b": "2"})], "experiment int, arguments map<string,string>")
+    assert [tuple(r) for r in P.columns_of_experiments(cols, runs).collect()] == [("c1", 1)]
+
+
+def metrics(spark, *keys):
+    return spark.createDataFrame([(1, i, k, f"{k}{len(keys)}") for i, k in enumerate(keys)], "report int, ord int, key string, value string")
+
+
+def merged(spark, *tables):
+    return [(r.key, r["values"]) for r in P.merge_metrics([metrics(spark, *t) for t in tables]).orderBy("ord").collect()]
+
+
 def test_merge_metrics(spark):
-    a = spark.createDataFrame([(0, "n", "1"), (1, "m", "2")], "ord int, key string, value string")
-    b = spark.createDataFrame([(0, "n", "3"), (1, "z", "4")], "ord int, key string, value string")
-    assert sorted(tuple(r)[1:] for r in P.merge_metrics(a, b).collect()) == [("m", "2", "N/A"), ("n", "1", "3"), ("z", "N/A", "4")]
+    assert merged(spark, "ab", "ab") == [("a", ["a2", "a2"]), ("b", ["b2", "b2"])]
+    # what only the second has stands where it stands there, with blanks; what it lacks is N/A
+    assert merged(spark, "ac", "abcd") == [("a", ["a2", "a4"]), ("b", ["", "b4"]), ("c", ["c2", "c4"]), ("d", ["", "d4"])]
+    assert merged(spark, "xab", "b") == [("x", ["x3", "N/A"]), ("a", ["a3", "N/A"]), ("b", ["b3", "b1"])]
+    assert merged(spark, "a", "ab", "b") == [("a", ["a1", "a2", "N/A"]), ("b", ["", "b2", "b1"])]
+    for tables in (("a", "b"), ("axb", "ayb"), ("ab", "ba")):
+        with pytest.raises(Exception, match="mismatching keys|another order"):
+            merged(spark, *tables)
+
+
+def test_superfluous_files(spark):
+    of = lambda *paths: spark.createDataFrame([(p,) for p in paths], "path string")
+    files = of("a/b/c", "a/bc/d", "x/y", "a", "", "a/b/c")
+    assert sorted(r.path for r in P.superfluous(files, of("a/b/q", "")).collect()) == ["a", "x/y"]
+    assert P.superfluous(files, of("bare")).count() == 0
+    assert P.superfluous(files, of()).count() == 4
+    folders = of("/f", "f", "a//f", "a/b/").select(P.folder_of(F.col("path"))).collect()
+    assert [r[0] for r in folders] == ["/", "", "a", "a/b"]
+
+
+def test_logs(spark):
+    rows = [("p1", 0, "Select jobs to execute..."), ("p1", 1, " output: a/b/x, y"), ("p1", 2, "jobid: 3"), ("p2", 0, "Select jobs to execute..."), ("p2", 1, "output: z"), ("p2", 2, "jobid: 1"), ("p2", 3, "1 of 1 steps (100%) done"), ("q", 0, "output: w"), ("q", 1, "Set --edge-cov to 4")]
+    lines = spark.createDataFrame(rows, "path string, ord int, line string")
+    assert sorted(map(tuple, P.unfinished_outputs(lines).collect())) == [("p1", "a/b/x", "a/b"), ("p1", "y", "")]
+    assert P.unfinished_outputs(lines, "q").count() == 0
+    assert sorted(r.path for r in P.unsuccessful(lines).collect()) == ["p1", "q"]
+    assert [r.path for r in P.unsuccessful(lines, tag="p").collect()] == ["p1"]
+    assert [tuple(r) for r in P.edge_coverage(lines).collect()] == [("q", 1, "4")]
+
+
+def test_hamiltonian_reports(spark):
+    whole = [("preprocess", "Preprocessing took 2.5 seconds"), ("preprocess", "Preprocessing removed 10.0% of nodes and 5.5% of edges"), ("preprocess", "Found 7 safe walks"), ("preprocess", "Found 4 safe walks of length > 2"), ("preprocess", "Found 1 non-trivial safe walks"),
+             ("raw", "Number of Nodes: 4"), ("raw", "Optimal Solution: 20.00"), ("raw", "Total Running Time: 3.0 (seconds)"), ("preprocessed", "Number of Nodes: 3"), ("preprocessed", "Optimal Solution: 15.00"), ("preprocessed", "Total Running Time: 1.5 (seconds)")]
+    table = lambda runs: spark.createDataFrame([(k, i, *x) for k, lines in runs.items() for i, x in enumerate(lines)], "run int, ord int, log string, line string")
+    r = P.hamiltonian_report(table({1: whole})).first()
+    assert r.hamiltonian and (r.raw_nodes, r.raw_optimum, r.removed_nodes, r.removed_arcs, r.safe_walks, r.long_safe_walks, r.non_trivial_safe_walks) == (4, 20, 10.0, 5.5, 7.0, 4.0, 1.0)
+    other = [("preprocessed", "Optimal Solution: 16.00") if "15.00" in x[1] else x for x in whole]
+    for lines in (whole[1:], other):
+        with pytest.raises(Exception, match="run 1"):
+            P.hamiltonian_report(table({1: lines})).collect()
+    solved = [("preprocess", "Preprocessing the graph revealed that it is not hamiltonian"), ("raw", "Optimal Solution: 21")]
+    two = table({1: whole, 2: [x for x in whole if "removed" not in x[1] and "Optimal" not in x[1]] + solved + [("preprocessed", "Optimal Solution: 17")]})
+    a = P.hamiltonian_averages(P.hamiltonian_report(two)).first()
+    assert (a.runs, a.hamiltonian, a.solved, a.removed_nodes, a.preprocessed_total_time, a.strong_bridges, a.trivial_safe_walks) == (2, 50.0, 50.0, 10.0, 4.0, 3.0, 3.0)
 
 
 def test_job_status(spark):
@@ -41,6 +105,11 @@ def test_fasta_round_trip(spark, tmp_path):
     assert [(r.id, r.desc, r.seq) for r in got] == rows
     (tmp_path / "m.fa").write_text(">x y z\nAC\nGT\n>w\nA\n")
     assert [(r.id, r.desc, r.seq) for r in S.read_fasta(spark, str(tmp_path / "m.fa")).orderBy("rec_ix").collect()] == [("x", "y z", "ACGT"), ("w", None, "A")]
+    (tmp_path / "d.fa").write_text(">s1 kinase a->b\nAC\n>s2 >x\nGG\n")
+    assert [(r.rec_ix, r.id, r.desc, r.seq) for r in S.read_fasta(spark, str(tmp_path / "d.fa")).orderBy("rec_ix").collect()] == [(0, "s1", "kinase a->b", "AC"), (1, "s2", ">x", "GG")]
+    (tmp_path / "o.fa").write_text("AC\n>s\nGG\n")
+    with pytest.raises(Exception, match="before the first record"):
+        S.read_fasta(spark, str(tmp_path / "o.fa")).collect()
     (tmp_path / "e.fa").write_text(">x\n>w\nA\n")
     with pytest.raises(Exception, match="empty record"):
         S.read_fasta(spark, str(tmp_path / "e.fa")).collect()
