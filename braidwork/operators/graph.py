@@ -273,6 +273,47 @@ def trivial_omnitigs(edges: DataFrame, strongly_connected: bool = False) -> Data
     return items.groupBy(c("x").alias("walk")).agg(F.transform(F.sort_array(F.collect_list(F.struct("o", "pos", "edge"))), lambda x: x["edge"]).alias("items"))
 
 
+def node_unitigs(nodes: DataFrame, arcs: DataFrame) -> DataFrame:
+    """(edge, unitig, pos) with nodes for edges: maximal node walks whose steps are the only way out of one node and the only way into the next."""
+    deg = session.stored(nodes.join(degrees(arcs), "node", "left").select("node", F.coalesce("n_in", F.lit(0)).alias("n_in"), F.coalesce("n_out", F.lit(0)).alias("n_out")), "degrees")
+    one_out, one_in = deg.filter("n_out = 1").select(c("node").alias("src")), deg.filter("n_in = 1").select(c("node").alias("dst"))
+    only = arcs.join(one_out, "src", "left_semi").join(one_in, "dst", "left_semi").select(c("dst").alias("edge"), c("src").alias("prev"))
+    links = session.stored(nodes.select(c("node").alias("edge")).join(only, "edge", "left"), "prev")
+    straight, round_ = ranked(links)
+    if round_.limit(1).count():
+        straight = straight.unionByName(circles(round_.select("edge", "prev")))
+    return straight.select("edge", c("head").alias("unitig"), "pos")
+
+
+def node_trivial_omnitigs(nodes: DataFrame, arcs: DataFrame, strongly_connected: bool = False) -> DataFrame:
+    """(walk, items): maximal univocal extensions of nodes: every walk that covers all nodes goes on from a node the only way there is, and came the only way there is.
+
+    A node unitig is the core of one unless the only way out of another leads to its first node, or the only way into
+    another comes from its last. With strongly_connected the graph is checked.
+    """
+    arcs = session.stored(arcs.select("src", "dst").distinct(), "arcs")
+    if strongly_connected and not is_strongly_connected(arcs.withColumn("edge", F.struct("src", "dst"))).first()["connected"]:
+        raise ValueError("the graph is not strongly connected: use the variant for other graphs")
+    placed = session.stored(node_unitigs(nodes, arcs), "placed")
+    ends = session.stored(placed.groupBy("unitig").agg(F.min_by("edge", "pos").alias("first"), F.max_by("edge", "pos").alias("last")), "ends")
+    deg = degrees(arcs)
+    a, b = ends.select(c("unitig").alias("x"), c("last").alias("src")), ends.select(c("unitig").alias("y"), c("first").alias("dst"))
+    steps = arcs.join(a, "src").join(b, "dst").join(deg.select(c("node").alias("src"), "n_out"), "src").join(deg.select(c("node").alias("dst"), "n_in"), "dst").filter("NOT (n_out = 1 AND n_in = 1)")
+    steps = session.stored(steps.select("x", "y", "n_out", "n_in"), "between")
+    inner = steps.filter("n_out = 1").select(c("y").alias("unitig")).unionByName(steps.filter("n_in = 1").select(c("x").alias("unitig")))
+    cores = session.stored(ends.join(inner, "unitig", "left_anti").select(c("unitig").alias("x")), "cores")
+    after, before = orbits(steps.filter("n_out = 1").select("x", "y"), cores), orbits(steps.filter("n_in = 1").select(c("y").alias("x"), c("x").alias("y")), cores)
+    parts = cores.select("x", F.lit(0).cast("bigint").alias("o"), c("x").alias("unitig")).unionByName(after.select("x", c("p").alias("o"), c("item").alias("unitig"))).unionByName(before.select("x", (-c("p")).alias("o"), c("item").alias("unitig")))
+    return parts.join(placed, "unitig").groupBy(c("x").alias("walk")).agg(F.transform(F.sort_array(F.collect_list(F.struct("o", "pos", "edge"))), lambda x: x["edge"]).alias("items"))
+
+
+def not_empty(walks: DataFrame) -> DataFrame:
+    """walks, or an error where there are none."""
+    if not walks.limit(1).count():
+        raise ValueError("no walks were found")
+    return walks
+
+
 def walk_stats(lengths: DataFrame, name: str = "n") -> DataFrame:
     """One row of a column of lengths: count, least, most, median (whole), mean (one decimal); 0 where there are none."""
     zero = lambda x: F.coalesce(x, F.lit(0))
@@ -343,6 +384,17 @@ def spell(walks: DataFrame, sequences: DataFrame, overlap: int) -> DataFrame:
     return items.groupBy("walk").agg(F.array_join(ordered, "").alias("seq"))
 
 
+def spell_nodes(walks: DataFrame, nodes: DataFrame, arcs: DataFrame) -> DataFrame:
+    """(walk, seq): the sequences of a walk's nodes (node, seq), each after the first without the overlap of the arc (src, dst, overlap) that leads to it (the longest, where arcs repeat)."""
+    w = Window.partitionBy("walk").orderBy("pos")
+    items = walks.select("walk", F.posexplode("items").alias("pos", "node")).withColumn("from", F.lag("node").over(w))
+    most = arcs.groupBy(c("src").alias("from"), c("dst").alias("node")).agg(F.max("overlap").alias("overlap"))
+    cut = items.join(most, ["from", "node"], "left").join(nodes.select("node", "seq"), "node")
+    piece = F.substring(c("seq"), F.coalesce("overlap", F.lit(0)).cast("int") + 1, F.length("seq"))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("pos", piece.alias("s")))), lambda x: x["s"])
+    return cut.groupBy("walk").agg(F.array_join(ordered, "").alias("seq"))
+
+
 def hamiltonian_matrix(arcs: DataFrame) -> DataFrame:
     """(row, values): the 2n x 2n matrix of arcs (src, dst) over nodes 0 to n - 1: 1000 within a side, across 0 on the diagonal, 10 for an arc and 12 else; row i + n, column j is the arc from i to j."""
     n = arcs.agg(F.coalesce(F.greatest(F.max("src"), F.max("dst")) + 1, F.lit(0))).first()[0]

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from braidwork import session
+from braidwork.functions import seq as S
+from braidwork.operators.components import components
+
 c = F.col
 #: Default parameters of contig breaking.
 BLOCK, SURROUND, GRACE, EVIDENCE, MIN_LENGTH, IGNORE_END, PROPER_ENDS = 32, 500, 700, 2, 1000, 1000, 10
 
+#: Bases of a bin in which breakpoints are compared.
+BIN = 4096
+
 
 def check_lengths(surround: int = SURROUND, grace: int = GRACE) -> None:
     if surround > grace:
@@ -72,11 +78,12 @@ def breakpoints(contigs: DataFrame, alignments: DataFrame, block: int = BLOCK, s
 
 
 def compare_breakpoints(contigs: DataFrame, found: DataFrame, real: DataFrame, block: int = BLOCK) -> DataFrame:
-    """One row of counts: n_found, n_correct, n_wrong, n_wrong_terminal, n_real, n_real_found, and the rates (null where nothing is there to divide by). found in blocks, real (name, start, end) in bases. An interval join on the contig."""
+    """One row of counts: n_found, n_correct, n_wrong, n_wrong_terminal, n_real, n_real_found, and the rates (null where nothing is there to divide by). found in blocks, real (name, start, end) in bases. Intervals of a contig meet in the bins of BIN bases that both touch."""
     f = found.select("name", c("start").alias("fs"), c("end").alias("fe"), (c("start") * block).alias("a"), ((c("end") + 1) * block).alias("b"))
     r = real.select("name", c("start").alias("rs"), c("end").alias("re"))
     meets = (c("rs") <= c("b")) & (c("a") <= c("re"))
-    hits = f.join(r, "name").filter(meets)
+    binned = lambda df, a, b: df.withColumn("bin", F.explode(F.sequence(F.floor(c(a) / BIN), F.floor(F.greatest(c(a), c(b)) / BIN))))
+    hits = binned(f, "a", "b").join(binned(r, "rs", "re"), ["name", "bin"]).filter(meets)
     f_hit = hits.select("name", "fs").distinct().withColumn("hit", F.lit(True))
     r_hit = hits.select("name", "rs", "re").distinct()
     w = Window.partitionBy("name").orderBy("fs")
@@ -193,51 +200,54 @@ def pair_distances(items: DataFrame, group: str, key: str, text: str) -> DataFra
     return left.join(right, group).filter("a < b").select(group, "a", "b", F.levenshtein("x", "y").alias("distance"))
 
 
-def single_linkage_splits(centers: np.ndarray, distances: np.ndarray, most: float = 128) -> tuple[int, np.ndarray]:
-    """The fewest single-linkage clusters, cut top-down, whose sorted centers have gaps of at most `most` each; and the cluster of each item."""
-    n = len(centers)
-    if not n:
-        return 0, np.zeros(0, int)
-    if (np.diff(np.sort(centers)) <= most).all():
-        return 1, np.zeros(n, int)
-    near, tree = np.full(n, np.inf), []
-    inside, parent = np.zeros(n, bool), np.full(n, -1)
-    at = 0
-    for _ in range(n - 1):  # a minimum spanning tree has the merges of single linkage
-        inside[at] = True
-        closer = ~inside & (distances[at] < near)
-        near[closer], parent[closer] = distances[at][closer], at
-        at = int(np.where(inside, np.inf, near).argmin())
-        tree.append((near[at], parent[at], at))
-    tree.sort(key=lambda e: (e[0], e[1], e[2]))
-    for k in range(1, n + 1):
-        label = np.arange(n)
-
-        def find(i):
-            while label[i] != i:
-                label[i] = label[label[i]]
-                i = label[i]
-            return i
-
-        for _, a, b in tree[: n - k]:
-            label[find(a)] = find(b)
-        of = np.array([find(i) for i in range(n)])
-        if all((np.diff(np.sort(centers[of == x])) <= most).all() for x in np.unique(of)):
-            return k, np.unique(of, return_inverse=True)[1]
-    return n, np.arange(n)
-
-
-def split_counts(aligns: DataFrame, most: int = 128) -> DataFrame:
-    """(node, clusters): into how many clusters a node has to be cut, by the distances of its centres.
-
-    single_linkage_splits() with these distances cuts at every gap over most, so the gaps are counted. Centres meet in
-    buckets narrower than most, which have no such gap inside: a node's buckets are compared, not its alignments.
+def spanning_trees(distances: DataFrame, group: str = "node") -> DataFrame:
+    """(group, a, b, distance) of the minimum spanning tree of each group's pairs (group, a, b, distance), ties by a, then b: the merges of single linkage. Each round every part takes its nearest pair to another part, and parts join (Borůvka), so rounds grow with the logarithm of a group."""
+    pairs = session.stored(distances.select(group, F.struct("distance", "a", "b").alias("d")), "pairs")
+    label = session.stored(pairs.select(group, F.explode(F.array("d.a", "d.b")).alias("item")).distinct().withColumn("part", F.struct(group, "item")), "label")
+    tree = None
+    while True:
+        of = lambda side, name: label.select(group, c("item").alias(side), c("part").alias(name))
+        between = pairs.select(group, "d", c("d.a").alias("a"), c("d.b").alias("b")).join(of("a", "x"), [group, "a"]).join(of("b", "y"), [group, "b"]).filter("x <> y")
+        between = session.stored(between.select(group, "d", "x", "y"), "between")
+        if not between.limit(1).count():
+            break
+        ends = between.select(group, "d", c("x").alias("part"), c("y").alias("to")).unionByName(between.select(group, "d", c("y").alias("part"), c("x").alias("to")))
+        nearest = session.stored(ends.groupBy(group, "part").agg(F.min(F.struct("d", "to")).alias("m")).select(group, "part", "m.d", "m.to"), "nearest")
+        chosen = nearest.select(group, "d").distinct()
+        tree = chosen if tree is None else tree.unionByName(chosen)
+        joined = components(nearest.select(c("part").alias("a"), c("to").alias("b"))).select(c("node").alias("part"), "root")
+        old, label = label, session.stored(label.join(joined, "part", "left").select(group, "item", F.coalesce("root", "part").alias("part")), "label")
+        session.drop_stored(old, pairs)
+        pairs = between.select(group, "d")
+        pairs.stored_at = between.stored_at
+    if tree is None:
+        tree = pairs.select(group, "d").limit(0)
+    return tree.select(group, "d.a", "d.b", "d.distance")
+
+
+def split_counts(items: DataFrame, distances: DataFrame, most: float = 128) -> DataFrame:
+    """(node, clusters): the fewest single-linkage clusters by the distances (node, a, b, distance), cut top-down, in each of which the sorted centers of items (node, item, center) have gaps of at most `most`.
+
+    Nodes that hold together as they are need no distances. For the others every cut of their spanning tree is tried
+    at once: cut k leaves out the k - 1 longest merges.
     """
-    x = (c("a_start") + c("a_end")) / 2
-    buckets = aligns.select("node", x.alias("x")).groupBy("node", (F.floor(c("x") / (most / 2)) if most > 0 else c("x")).alias("bucket")).agg(F.min("x").alias("first"), F.max("x").alias("last"))
-    before = F.lag("last").over(Window.partitionBy("node").orderBy("bucket"))
-    cut = c("first").isNotNull() & (before.isNull() | (c("first") - before > most))
-    return buckets.select("node", cut.alias("cut")).groupBy("node").agg(F.count_if("cut").alias("clusters"))
+    ordered = Window.partitionBy("node").orderBy("center")
+    gap = lambda w: c("center") - F.lag("center").over(w) > most
+    whole = items.withColumn("far", F.coalesce(gap(ordered), F.lit(False))).groupBy("node").agg(F.bool_or("far").alias("far"))
+    whole = session.stored(whole, "whole")
+    torn = whole.filter("far").select("node")
+    tree = session.stored(spanning_trees(distances.join(torn, "node", "left_semi")), "tree")
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("distance"), F.desc("a"), F.desc("b")))
+    ranked = tree.select("node", "a", "b", rank.alias("rank"))
+    sizes = items.join(torn, "node", "left_semi").groupBy("node").agg(F.count("*").alias("n"))
+    cuts = sizes.select("node", F.explode(F.sequence(F.lit(2), F.greatest(c("n"), F.lit(2)))).alias("k"))
+    left = ranked.join(cuts, "node").filter("rank >= k")
+    point = lambda item: F.struct("node", c("k").cast("bigint").alias("k"), c(item).alias("item"))
+    part = components(left.select(point("a").alias("a"), point("b").alias("b"))).select(c("node").alias("point"), "root")
+    placed = items.join(cuts, "node").withColumn("point", point("item")).join(part, "point", "left").select("node", "k", "center", F.coalesce("root", "point").alias("part"))
+    torn_cuts = placed.withColumn("far", F.coalesce(gap(Window.partitionBy("node", "k", "part").orderBy("center")), F.lit(False))).groupBy("node", "k").agg(F.bool_or("far").alias("far"))
+    found = torn_cuts.filter("NOT far").groupBy("node").agg(F.min("k").cast("bigint").alias("clusters"))
+    return whole.filter("NOT far").select("node", F.lit(1).cast("bigint").alias("clusters")).unionByName(found)
 
 
 def split_shares(counts: DataFrame) -> DataFrame:
@@ -280,7 +290,31 @@ def to_raw(starts: Column, offset: Column, raw_length: Column) -> Column:
     return F.when(offset >= F.size(starts), raw_length).otherwise(F.get(starts, offset))
 
 
-def mean_shift(slices: DataFrame) -> DataFrame:
-    """(contig, edge, shift): the mean offset change of an edge's read slices, cut towards zero, summed along the contig's edges."""
-    own = slices.groupBy("contig", "edge").agg((F.sum(c("raw") - c("compressed")) / F.count("*")).cast("bigint").alias("own"))
-    return own.select("contig", "edge", F.sum("own").over(Window.partitionBy("contig").orderBy("edge")).alias("shift"))
+def decompress_layout(rows: DataFrame, heads: DataFrame, reads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A layout over homopolymer-compressed reads, as read_layout() and read_layout_heads() give it, over the raw reads (read, seq): rows and heads with raw offsets, lengths and sequences.
+
+    A slice covers the runs of its bases; going back ('-'), its end is where the run after it starts, and a slice from
+    base 0 starts at 1, as in the surveyed tool. A contig's shift grows with each edge by the mean of what its slices
+    have grown by at the next edge's offset (the last: at their ends), cut towards zero; an edge's own lines get the
+    shift before it. Directions other than + and - are an error.
+    """
+    long = F.max("len").over(Window.partitionBy("contig", "edge"))
+    edges = rows.groupBy("contig", "edge").agg(F.first("offset").alias("offset"))
+    edges = edges.withColumn("step", F.lead("offset").over(Window.partitionBy("contig").orderBy("edge")) - c("offset")).drop("offset")
+    s = rows.filter(c("read").isNotNull()).join(reads.select("read", run_starts(c("seq")).alias("starts"), c("seq").alias("raw")), "read").join(edges, ["contig", "edge"]).withColumn("index", F.least(long - 1, F.coalesce("step", long - 1)))
+    known = F.when(c("dir").isin("+", "-"), c("dir")).otherwise(F.raise_error(F.concat(F.lit("unknown read direction: "), "dir")).cast("string"))
+    s = s.withColumn("dir", known)
+    at = lambda i: to_raw(c("starts"), i.cast("int"), F.length("raw"))
+    first, limit = c("at"), c("at") + c("len")
+    grown = F.when(c("dir") == "+", at(first + c("index")) - at(first) - c("index")).otherwise(at(limit) - at(limit - c("index")) + 1 - c("index"))
+    own = s.filter(c("index") < c("len")).groupBy("contig", "edge").agg((F.sum(grown) / F.count("*")).cast("bigint").alias("own"))
+    per = edges.select("contig", "edge").join(own, ["contig", "edge"], "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    shift = per.withColumn("shift", F.sum("own").over(Window.partitionBy("contig").orderBy("edge")) - c("own")).select("contig", "edge", "shift", "own")
+    start = F.when((c("dir") == "-") & (first == 0), F.lit(1)).otherwise(at(first))
+    size = at(limit) - start
+    piece = F.substring(c("raw"), (start + 1).cast("int"), size.cast("int"))
+    slices = s.select("contig", "edge", "place", start.cast("bigint").alias("raw_at"), size.cast("bigint").alias("raw_len"), F.when(c("dir") == "-", S.reverse_complement(piece)).otherwise(piece).alias("raw_seq"))
+    out = rows.join(shift.drop("own"), ["contig", "edge"]).join(slices, ["contig", "edge", "place"], "left")
+    out = out.select("contig", "edge", (c("offset") + c("shift")).alias("offset"), "n1", "d1", "n2", "d2", "place", "read", "dir", (c("raw_at") + c("shift")).alias("at"), c("raw_len").alias("len"), c("raw_seq").alias("seq"))
+    total = shift.groupBy("contig").agg(F.sum("own").alias("total"))
+    return out, heads.join(total, "contig", "left").select("contig", "nodes", (c("length") + F.coalesce("total", F.lit(0))).alias("length"))

@@ -9,6 +9,7 @@ from braidwork.functions import seq as S
 from braidwork.operators import graph as G
 from braidwork.operators import safewalks
 from braidwork.plans.registry import DNA_SQL, dna, query, table
+from braidwork.sources.formats import gfa_bigraph
 
 c = F.col
 
@@ -245,6 +246,47 @@ def s14(spark, sf):
     return p.groupBy(c("unitig").alias("walk")).agg(F.concat(F.min_by("src", "pos"), F.lit("\t"), tail).alias("line"))
 
 
+def segment_graph(spark, sf):
+    """Customers as segments; each has a link to another, with signs and overlaps of its own."""
+    cu = table(spark, sf, "customer")
+    n = cu.agg(F.count("*").alias("n"))
+    segments = cu.select(c("c_custkey").cast("string").alias("name"), F.translate(F.lower("c_mktsegment"), "abcdefghijklmnopqrstuvwxyz", "ACGT" * 6 + "AC").alias("seq"))
+    sign = lambda x: F.when(x, "+").otherwise("-")
+    links = cu.crossJoin(n).select(c("c_custkey").cast("string").alias("src"), sign(c("c_nationkey") % 3 > 0).alias("own"), ((c("c_custkey") * 31 + c("c_nationkey")) % c("n") + 1).cast("string").alias("dst"), sign(c("c_nationkey") % 2 > 0).alias("other"), (c("c_nationkey") % 4).cast("int").alias("overlap"))
+    return gfa_bigraph(segments, links)
+
+
+SEG = """sg AS (SELECT c_custkey::VARCHAR AS name, translate(lower(c_mktsegment), 'abcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTAC') AS seq FROM customer),
+lk AS (SELECT c_custkey || CASE WHEN c_nationkey % 3 > 0 THEN '+' ELSE '-' END AS src, (c_custkey * 31 + c_nationkey) % (SELECT count(*) FROM customer) + 1 || CASE WHEN c_nationkey % 2 > 0 THEN '+' ELSE '-' END AS dst, c_nationkey % 4 AS overlap FROM customer),
+e AS (SELECT src, dst, overlap FROM lk UNION SELECT dst[:-2] || CASE WHEN dst[-1:] = '+' THEN '-' ELSE '+' END, src[:-2] || CASE WHEN src[-1:] = '+' THEN '-' ELSE '+' END, overlap FROM lk),
+ar AS (SELECT DISTINCT src, dst FROM e), v AS (SELECT name || '+' AS node, seq FROM sg UNION ALL SELECT name || '-', reverse(translate(seq, 'ACGT', 'TGCA')) FROM sg),
+od AS (SELECT src AS node, count(*) AS n_out FROM ar GROUP BY src), id AS (SELECT dst AS node, count(*) AS n_in FROM ar GROUP BY dst),
+x AS (SELECT src, dst, n_out, n_in FROM ar JOIN od ON od.node = src JOIN id ON id.node = dst), nx AS (SELECT src AS prev, dst AS node FROM x WHERE n_out = 1 AND n_in = 1),
+ch AS (SELECT node AS unitig, node, 0 AS pos FROM v WHERE node NOT IN (SELECT node FROM nx) UNION ALL SELECT ch.unitig, nx.node, pos + 1 FROM ch JOIN nx ON nx.prev = ch.node),
+lo AS (SELECT node AS s, node FROM v WHERE node NOT IN (SELECT node FROM ch) UNION SELECT s, nx.node FROM lo JOIN nx ON nx.prev = lo.node), cy AS (SELECT DISTINCT min(node) AS unitig FROM lo GROUP BY s),
+cr AS (SELECT unitig, unitig AS node, 0 AS pos FROM cy UNION ALL SELECT unitig, nx.node, pos + 1 FROM cr JOIN nx ON nx.prev = cr.node AND nx.node <> cr.unitig),
+un AS (SELECT * FROM ch UNION ALL SELECT * FROM cr), en AS (SELECT unitig, min_by(node, pos) AS f, max_by(node, pos) AS l, list(node ORDER BY pos) AS items FROM un GROUP BY unitig),
+co AS (SELECT * FROM en WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.dst = f AND x.n_out = 1 AND x.n_in > 1) AND NOT EXISTS (SELECT 1 FROM x WHERE x.src = l AND x.n_in = 1 AND x.n_out > 1)),
+rw AS (SELECT unitig, items AS p, l AS tip FROM co UNION ALL SELECT unitig, list_append(p, x.dst), x.dst FROM rw JOIN x ON x.src = tip AND x.n_out = 1 WHERE NOT list_contains(p, x.dst)),
+rr AS (SELECT unitig, max_by(p, len(p)) AS p FROM rw GROUP BY unitig),
+lw AS (SELECT unitig, items AS p, f AS tip FROM co UNION ALL SELECT unitig, list_prepend(x.src, p), x.src FROM lw JOIN x ON x.dst = tip AND x.n_in = 1 WHERE NOT list_contains(p, x.src)),
+ll AS (SELECT unitig, max_by(p, len(p)) AS p FROM lw GROUP BY unitig),
+om AS (SELECT unitig AS walk, list_concat(ll.p[:len(ll.p) - len(items)], rr.p) AS items FROM co JOIN rr USING (unitig) JOIN ll USING (unitig))"""
+
+
+@query("g16_k9_node_trivial_omnitigs", f"WITH RECURSIVE {SEG} SELECT walk, array_to_string(items, ' ') AS items FROM om")
+def g16(spark, sf):
+    nodes, arcs = segment_graph(spark, sf)
+    return G.node_trivial_omnitigs(nodes, arcs).select("walk", F.array_join("items", " ").alias("items"))
+
+
+@query("s13_spell_variable_overlaps", f"""WITH RECURSIVE {SEG}, ov AS (SELECT src, dst, max(overlap) AS overlap FROM e GROUP BY ALL), i AS (SELECT walk, unnest(items) AS node, unnest(range(0, len(items))) AS pos, items FROM om)
+SELECT walk, string_agg(CASE WHEN pos = 0 THEN v.seq ELSE v.seq[ov.overlap + 1:] END, '' ORDER BY pos) AS seq FROM i JOIN v USING (node) LEFT JOIN ov ON pos > 0 AND ov.src = items[pos] AND ov.dst = i.node GROUP BY walk""")
+def s13(spark, sf):
+    nodes, arcs = segment_graph(spark, sf)
+    return G.spell_nodes(G.node_trivial_omnitigs(nodes, arcs), nodes, arcs)
+
+
 @query("g18_omnitigs")
 def g18(spark, sf):
     """Maximal omnitigs of the strong components of the trade graph between nations' suppliers."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from braidwork import session
 from braidwork.operators import intervals as I
 from braidwork.plans.registry import query, records, dna, table, DNA_SQL
 
@@ -163,14 +164,38 @@ def b9(spark, sf):
     return I.pair_distances(table(spark, sf, "part"), "p_brand", "p_partkey", "p_name")
 
 
-@query("b10_split_counts", f"WITH {NODE} SELECT node, 1 + count(*) FILTER (gap > 128) AS clusters FROM st GROUP BY node")
+def named_aligns(spark, sf):
+    """(node, item, center, text): a node's alignments with the part's name for the reference slice."""
+    start = 100000 + (c("l_partkey") * 7) % 400 + F.when(c("l_quantity") > 40, 1500).otherwise(0)
+    li = table(spark, sf, "lineitem").select(c("l_orderkey").alias("node"), F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("item"), "l_partkey", (start + 512 + (c("l_suppkey") % 3) * 32).cast("double").alias("center"))
+    return li.join(table(spark, sf, "part").select(c("p_partkey").alias("l_partkey"), c("p_name").alias("text")), "l_partkey").drop("l_partkey")
+
+
+#: All cuts of single linkage by thresholds: with the first r pairs of a node by distance, which items hang together; a cut's number is that of its parts, and the fewest parts without a gap count.
+CUTS = """it AS (SELECT l_orderkey AS node, l_linenumber::BIGINT * 100000000000000 + l_partkey * 1000000 + l_suppkey AS item, 100000 + (l_partkey * 7) % 400 + CASE WHEN l_quantity > 40 THEN 1500 ELSE 0 END + 512 + (l_suppkey % 3) * 32 AS center, p_name AS text FROM lineitem JOIN part ON p_partkey = l_partkey),
+fa AS (SELECT node, bool_or(coalesce(far, false)) AS far FROM (SELECT node, center - lag(center) OVER (PARTITION BY node ORDER BY center) > 128 AS far FROM it) GROUP BY node),
+dt AS (SELECT a.node, a.item AS a, b.item AS b, levenshtein(a.text, b.text) AS d FROM it a JOIN it b ON a.node = b.node AND a.item < b.item JOIN fa ON fa.node = a.node AND fa.far),
+rk AS (SELECT node, a, b, row_number() OVER (PARTITION BY node ORDER BY d, a, b) AS r FROM dt), rs AS (SELECT node, unnest(range(0, max(r) + 1)) AS t FROM rk GROUP BY node),
+re AS (SELECT it.node, t, item AS root, item FROM it JOIN rs USING (node) UNION SELECT re.node, re.t, re.root, CASE WHEN rk.a = re.item THEN rk.b ELSE rk.a END FROM re JOIN rk ON rk.node = re.node AND rk.r <= re.t AND (rk.a = re.item OR rk.b = re.item)),
+pa AS (SELECT node, t, item, min(root) AS part FROM re GROUP BY ALL),
+ga AS (SELECT node, t, part, center - lag(center) OVER (PARTITION BY node, t, part ORDER BY center) > 128 AS far FROM pa JOIN it USING (node, item)),
+ct AS (SELECT node, t, count(DISTINCT part) AS k, bool_or(coalesce(far, false)) AS far FROM ga GROUP BY node, t),
+k AS (SELECT node, min(k) AS clusters FROM ct WHERE NOT far GROUP BY node UNION ALL SELECT node, 1 FROM fa WHERE NOT far)"""
+
+
+def clusters(spark, sf):
+    items = session.stored(named_aligns(spark, sf), "items")
+    return I.split_counts(items, I.pair_distances(items, "node", "item", "text"))
+
+
+@query("b10_split_counts", f"WITH RECURSIVE {CUTS} SELECT node, clusters FROM k")
 def b10(spark, sf):
-    return I.split_counts(aligns(spark, sf))
+    return clusters(spark, sf)
 
 
-@query("b11_split_shares", f"WITH {NODE}, k AS (SELECT node, 1 + count(*) FILTER (gap > 128) AS k FROM st GROUP BY node) SELECT count(*) FILTER (k <= 2) * 100.0 / count(*) AS at_most_2, count(*) FILTER (k <= 3) * 100.0 / count(*) AS at_most_3, count(*) FILTER (k <= 4) * 100.0 / count(*) AS at_most_4 FROM k")
+@query("b11_split_shares", f"WITH RECURSIVE {CUTS} SELECT count(*) FILTER (clusters <= 2) * 100.0 / count(*) AS at_most_2, count(*) FILTER (clusters <= 3) * 100.0 / count(*) AS at_most_3, count(*) FILTER (clusters <= 4) * 100.0 / count(*) AS at_most_4 FROM k")
 def b11(spark, sf):
-    return I.split_shares(I.split_counts(aligns(spark, sf)))
+    return I.split_shares(clusters(spark, sf))
 
 
 @query("b12_bucket_coverage", """WITH al AS (SELECT l_suppkey AS contig, l_partkey AS node, (l_orderkey * 37) % 20000 AS a, (l_orderkey * 37) % 20000 + 300 + 2 * l_quantity::BIGINT AS b FROM lineitem),
@@ -182,7 +207,12 @@ def b12(spark, sf):
     return I.bucket_coverage(table(spark, sf, "supplier").select(c("s_suppkey").alias("contig"), F.lit(24000).cast("bigint").alias("len")), al)
 
 
-@query("b13_layers")
+@query("b13_layers", f"""WITH RECURSIVE {SESSIONS}, iv AS (SELECT min_by(a_start, place)::BIGINT AS start, (CASE WHEN session = sessions THEN max(top) ELSE max_by(a_end, place) END)::BIGINT AS "end" FROM ss GROUP BY node, session, sessions),
+o AS (SELECT start, "end", row_number() OVER (ORDER BY start, "end") AS i FROM iv QUALIFY i <= 10),
+g AS (SELECT 0::BIGINT AS i, 0::BIGINT AS start, 0::BIGINT AS "end", 0::BIGINT AS layer, [0::BIGINT] AS ends UNION ALL
+  SELECT i, start, "end", layer, CASE WHEN layer < len(ends) THEN list_transform(ends, lambda x, j: CASE WHEN j = layer + 1 THEN "end" ELSE x END) ELSE list_append(ends, "end") END
+  FROM (SELECT o.i, o.start, o."end", g.ends, coalesce(list_position(list_transform(g.ends, lambda x: x <= o.start - 1), true) - 1, len(g.ends))::BIGINT AS layer FROM g JOIN o ON o.i = g.i + 1))
+SELECT start, "end", layer FROM g WHERE i > 0""")
 def b13(spark, sf):
     return I.layers(I.transitive_intervals(aligns(spark, sf)))
 

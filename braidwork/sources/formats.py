@@ -12,25 +12,27 @@ from braidwork.operators.records import with_ordinal
 c = F.col
 
 
+def marked_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, place, value): the text from one > at the start of a line to the next, without it; file, block and place give the order. Text before the first is an error."""
+    # records are told apart by the line break before their >; only the first of a file still has its own
+    raw = spark.read.option("lineSep", "\n>").text(path).select("value", c("_metadata.file_path").alias("file"), c("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+    raw = raw.filter(F.trim(F.regexp_replace("value", r"\s", "")) != "")
+    raw = raw.withColumn("first", F.row_number().over(Window.partitionBy("file").orderBy("block", "place")) == 1)
+    orphan = F.when(c("first") & ~F.regexp_replace("value", r"^\s+", "").startswith(">"), F.raise_error(F.lit("text before the first record")).cast("string")).otherwise(c("value"))
+    return raw.select("file", "block", "place", F.when(c("first"), F.regexp_replace(orphan, r"^\s*>", "")).otherwise(c("value")).alias("value"))
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(rec_ix, id, desc, seq): multi-line records; rec_ix ascends with the order of the records, files in the order of their names.
 
     A record starts with > at the start of a line; descriptions may hold one. Text before the first record, and a
     record without a sequence, are errors.
     """
-    # records are told apart by the line break before their >; only the first of a file still has its own
-    raw = spark.read.option("lineSep", "\n>").text(path).select("value", c("_metadata.file_path").alias("file"), c("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
-    raw = raw.filter(F.trim(F.regexp_replace("value", r"\s", "")) != "")
-    first = F.row_number().over(Window.partitionBy("file").orderBy("block", "place")) == 1
-    raw = raw.withColumn("first", first)
-    orphan = F.when(c("first") & ~F.ltrim("value").startswith(">"), F.raise_error(F.lit("text before the first record")).cast("string")).otherwise(c("value"))
-    value = F.when(c("first"), F.regexp_replace(orphan, r"^\s*>", "")).otherwise(c("value"))
-    r = raw.select("file", "block", "place", value.alias("value"))
     head = F.regexp_extract("value", r"^([^\r\n]*)", 1)
     seq = F.regexp_replace(F.regexp_replace("value", r"^[^\r\n]*", ""), r"\s", "")
     checked = F.when(seq == "", F.raise_error(F.concat(F.lit("empty record: "), head)).cast("string")).otherwise(seq)
     desc = F.regexp_extract(head, r"^\S+\s+(.*)$", 1)
-    parsed = r.select("file", "block", "place", F.regexp_extract(head, r"^(\S*)", 1).alias("id"), F.when(desc != "", desc).alias("desc"), checked.alias("seq"))
+    parsed = marked_records(spark, path).select("file", "block", "place", F.regexp_extract(head, r"^(\S*)", 1).alias("id"), F.when(desc != "", desc).alias("desc"), checked.alias("seq"))
     return with_ordinal(parsed, "file", "block", "place").select(c("ordinal").alias("rec_ix"), "id", "desc", "seq")
 
 
@@ -152,15 +154,98 @@ def read_node_alignments(spark: SparkSession, path: str) -> DataFrame:
     return t.select("node", decode_alignment(c("token")).alias("alignment"))
 
 
+def layout_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(contig, nodes, length, pos, line) of a layout; a contig is read as one row, so its lines stay together."""
+    head = F.regexp_extract("value", r"^([^\r\n]*)", 1)
+    number = lambda name: F.regexp_extract(head, rf"\b{name}=(\d+)", 1).try_cast("bigint")
+    return marked_records(spark, path).select(F.regexp_extract(head, r"^(\S+)", 1).alias("contig"), number("nodes").alias("nodes"), number("len").alias("length"), F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
+
+
+def read_layout_heads(spark: SparkSession, path: str) -> DataFrame:
+    """(contig, nodes, length)."""
+    return layout_lines(spark, path).filter("pos = 0").select("contig", "nodes", "length")
+
+
 def read_layout(spark: SparkSession, path: str) -> DataFrame:
-    """(contig, edge, offset, n1, d1, n2, d2, read, dir, at, len, seq) of S lines, each with the edge and contig it stands under. A record per contig is read as one row, so lines stay together."""
-    raw = spark.read.option("lineSep", ">").text(path).filter(F.trim("value") != "")
-    lines = raw.select(F.regexp_extract("value", r"^(\S+)", 1).alias("contig"), F.posexplode(F.split("value", r"\r?\n")).alias("pos", "line"))
+    """(contig, edge, offset, n1, d1, n2, d2, place, read, dir, at, len, seq) of S lines, each with the edge (numbered from 1) and contig it stands under; an edge without S lines has one row with nulls."""
     w = Window.partitionBy("contig").orderBy("pos")
-    e = lines.withColumn("edge", F.sum(c("line").startswith("E\t").cast("int")).over(w)).withColumn("head", F.last(F.when(c("line").startswith("E\t"), c("line")), ignorenulls=True).over(w)).filter(c("line").startswith("S\t"))
-    h, s = F.split("head", "\t"), F.split("line", "\t")
+    is_e, is_s = c("line").startswith("E\t"), c("line").startswith("S\t")
+    e = layout_lines(spark, path).withColumn("edge", F.sum(is_e.cast("int")).over(w)).withColumn("head", F.last(F.when(is_e, c("line")), ignorenulls=True).over(w)).filter(is_e | is_s)
+    e = e.withColumn("slices", F.count_if(is_s).over(Window.partitionBy("contig", "edge"))).filter(is_s | (c("slices") == 0))
+    h, s = F.split("head", "\t"), F.split(F.when(is_s, c("line")), "\t")
     g = lambda a, i: F.get(a, F.lit(i))
-    return e.select("contig", "edge", g(h, 1).cast("bigint").alias("offset"), g(h, 2).alias("n1"), g(h, 3).alias("d1"), g(h, 4).alias("n2"), g(h, 5).alias("d2"), g(s, 1).alias("read"), g(s, 2).alias("dir"), g(s, 3).cast("bigint").alias("at"), g(s, 4).cast("bigint").alias("len"), g(s, 5).alias("seq"))
+    return e.select("contig", c("edge").cast("bigint").alias("edge"), g(h, 1).cast("bigint").alias("offset"), g(h, 2).alias("n1"), g(h, 3).alias("d1"), g(h, 4).alias("n2"), g(h, 5).alias("d2"), c("pos").alias("place"), g(s, 1).alias("read"), g(s, 2).alias("dir"), g(s, 3).cast("bigint").alias("at"), g(s, 4).cast("bigint").alias("len"), g(s, 5).alias("seq"))
+
+
+def write_layout(rows: DataFrame, heads: DataFrame, path: str) -> None:
+    """rows as read_layout() gives them and heads (contig, nodes, length) as a layout: a record per contig, fields of its header tab-separated."""
+    s_line = F.when(c("read").isNotNull(), F.concat_ws("\t", F.lit("S"), "read", "dir", c("at").cast("string"), c("len").cast("string"), "seq"))
+    lines = rows.groupBy("contig", "edge").agg(F.first(F.concat_ws("\t", F.lit("E"), c("offset").cast("string"), "n1", "d1", "n2", "d2")).alias("e"), F.transform(F.sort_array(F.collect_list(F.struct("place", s_line.alias("s")))), lambda x: x["s"]).alias("s"))
+    whole = lines.select("contig", "edge", F.array_join(F.concat(F.array("e"), "s"), "\n").alias("text")).groupBy("contig").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("edge", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    head = F.concat_ws("\t", F.concat(F.lit(">"), "contig"), F.concat(F.lit("nodes="), c("nodes").cast("string")), F.concat(F.lit("len="), c("length").cast("string")))
+    heads.join(whole, "contig", "left").select(F.concat_ws("\n", head, "text").alias("value")).write.text(path)
+
+
+def layout_walks(rows: DataFrame) -> DataFrame:
+    """(walk, items): the nodes of each contig of read_layout(), with their directions: the first node of every edge and the second of the last."""
+    edges = rows.select("contig", "edge", F.concat("n1", "d1").alias("a"), F.concat("n2", "d2").alias("b")).distinct()
+    ordered = F.sort_array(F.collect_list(F.struct("edge", "a", "b")))
+    grouped = edges.groupBy(c("contig").alias("walk")).agg(ordered.alias("l"))
+    return grouped.select("walk", F.concat(F.transform("l", lambda x: x["a"]), F.array(F.element_at("l", -1)["b"])).alias("items"))
+
+
+def by_suffix(paths: list[str], suffix: str) -> str:
+    """The first path with that ending."""
+    found = [p for p in paths if p.endswith(suffix)]
+    if not found:
+        raise ValueError(f"no input ends in {suffix}")
+    return found[0]
+
+
+def read_fuzzy_graph(spark: SparkSession, paths: list[str], need_sequences: bool = True) -> dict[str, DataFrame]:
+    """A fuzzy de Bruijn graph of several files, told apart by their endings: node alignments (.3.nodes), reads (.3.reads: read, length, fields), arcs (.dot, each with its mirror; nodes are names with + or -), and sequences (.fa), without which nothing is read unless need_sequences is false."""
+    nodes, reads, dot = (by_suffix(paths, x) for x in (".3.nodes", ".3.reads", ".dot"))
+    fasta = by_suffix(paths, ".fa") if need_sequences else None
+    f = F.split("value", "\t")
+    out = {
+        "nodes": read_node_alignments(spark, nodes),
+        "reads": spark.read.text(reads).select(F.get(f, F.lit(0)).alias("read"), F.get(f, F.lit(1)).try_cast("bigint").alias("length"), F.slice(f, F.lit(3), F.greatest(F.size(f) - 2, F.lit(0))).alias("fields")),
+        "arcs": both_strands(read_dot(spark, dot).withColumn("overlap", F.lit(0))),
+    }
+    return out | ({"sequences": read_fasta(spark, fasta)} if fasta else {})
+
+
+def flipped(node: Column) -> Column:
+    """The other strand of a node name with its sign behind."""
+    name = F.substring(node, F.lit(1), F.length(node) - 1)
+    return F.concat(name, F.when(node.endswith("+"), "-").otherwise("+"))
+
+
+def both_strands(links: DataFrame) -> DataFrame:
+    """(src, dst, overlap) of links (src, own, dst, other, overlap): an arc between signed nodes, and its mirror."""
+    ahead = links.select(F.concat("src", "own").alias("src"), F.concat("dst", "other").alias("dst"), "overlap")
+    return ahead.unionByName(ahead.select(flipped(c("dst")).alias("src"), flipped(c("src")).alias("dst"), "overlap")).distinct()
+
+
+def gfa_bigraph(segments: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """nodes (node, mirror, seq) and arcs (src, dst, overlap): both strands of every segment and link of read_gfa()."""
+    from braidwork.functions.seq import reverse_complement
+
+    node = lambda sign, other, seq: segments.select(F.concat("name", F.lit(sign)).alias("node"), F.concat("name", F.lit(other)).alias("mirror"), seq.alias("seq"))
+    return node("+", "-", c("seq")).unionByName(node("-", "+", reverse_complement(c("seq")))), both_strands(links)
+
+
+def gfa_to_fasta(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(id, seq) of the segments of GFA files, one after the other."""
+    return functools.reduce(DataFrame.unionByName, [read_gfa(spark, p)[0] for p in paths]).select(c("name").alias("id"), "seq")
+
+
+def read_yaml(path: str) -> dict:
+    """A configuration file as a tree; small by nature, and read by the driver alone."""
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        return yaml.safe_load(f)
 
 
 def read_tsplib(spark: SparkSession, path: str) -> DataFrame:
@@ -212,6 +297,28 @@ def metric_rows(lines: DataFrame) -> DataFrame:
     return lines.filter(c("line").contains("&")).select("path", "ord", F.get(f, F.lit(0)).alias("key"), F.slice(f, F.lit(2), F.size(f) - 1).alias("values"))
 
 
+def write_metrics(metrics: DataFrame, path: str) -> None:
+    """Rows (ord, key, values ARRAY) as `key & v1 & v2 \\\\` lines in their order, in one file: a command's metrics are few."""
+    line = F.concat(F.concat_ws(" & ", "key", "values"), F.lit(" \\\\"))
+    metrics.repartition(1).sortWithinPartitions("ord").select(line.alias("value")).write.text(path)
+
+
+def latex_document(title: str, tables: list[tuple[str, list[tuple], str]]) -> str:
+    """A whole document of captioned tables (caption, rows, columns)."""
+    body = "\n".join(f"\\begin{{table}}[ht]\n\\centering\n\\caption{{{caption}}}\n{latex_table(rows, columns)}\\end{{table}}" for caption, rows, columns in tables)
+    return f"\\documentclass{{article}}\n\\title{{{title}}}\n\\begin{{document}}\n\\maketitle\n{body}\n\\end{{document}}\n"
+
+
+def report_rows(lines: DataFrame, skip: int = 8, drop: int = 4, renamed: dict[str, str] | None = None) -> DataFrame:
+    """(path, ord, key, values) of evaluation reports in LaTeX, lines (path, ord, line): rules go, then the first `skip` and last `drop` lines of each; phrases are renamed. A report that isn't there has no rows."""
+    text = F.trim(F.replace(F.trim("line"), F.lit("\\hline"), F.lit("")))
+    for old, new in (renamed or {}).items():
+        text = F.replace(text, F.lit(old), F.lit(new))
+    w = Window.partitionBy("path")
+    placed = lines.withColumns({"line": text, "_i": F.row_number().over(w.orderBy("ord")), "_n": F.count("*").over(w)})
+    return metric_rows(placed.filter((c("_i") > skip) & (c("_i") <= c("_n") - drop)).drop("_i", "_n"))
+
+
 def latex_table(rows: list[tuple], columns: str) -> str:
     """A finished, small table as LaTeX."""
     body = "\n".join(" & ".join(map(str, r)) + r" \\" for r in rows)

@@ -145,6 +145,48 @@ def test_small_formats(spark, tmp_path):
     (tmp_path / "l.lay").write_text(">ctg1 nodes=2 len=9\nE\t0\tN1\t+\tN2\t-\nS\tr1\t+\t0\t5\tACGTA\nE\t4\tN2\t+\tN3\t-\nS\tr2\t-\t3\t2\tAC\n")
     got = S.read_layout(spark, str(tmp_path / "l.lay")).orderBy("edge").collect()
     assert [(r.contig, r.edge, r.n1, r.read, r.len) for r in got] == [("ctg1", 1, "N1", "r1", 5), ("ctg1", 2, "N2", "r2", 2)]
+    heads = S.read_layout_heads(spark, str(tmp_path / "l.lay"))
+    S.write_layout(S.read_layout(spark, str(tmp_path / "l.lay")), heads, str(tmp_path / "again"))
+    again = S.read_layout(spark, str(tmp_path / "again"))
+    assert sorted(map(str, again.collect())) == sorted(map(str, got)) and S.read_layout_heads(spark, str(tmp_path / "again")).collect() == heads.collect()
+    assert [tuple(r) for r in S.layout_walks(again).collect()] == [("ctg1", ["N1+", "N2+", "N3-"])]
     (tmp_path / "t.log").write_text("\tElapsed (wall clock) time (h:mm:ss or m:ss): 1:02.5\n\tMaximum resident set size (kbytes): 77\n\tElapsed (wall clock) time (h:mm:ss or m:ss): 0:01.5\n")
     r = S.time_log(S.read_logs(spark, str(tmp_path / "t.log"))).first()
     assert (r.time, r.mem) == (64.0, 77)
+
+
+def test_gfa_round_trip_and_strands(spark, tmp_path):
+    u = spark.createDataFrame([(0, "ACGT", [("+", 1, "-")]), (1, "GTT", [])], "unitig long, seq string, links array<struct<own:string,target:long,other:string>>")
+    S.write_gfa(u, str(tmp_path / "g"), 3)
+    assert spark.read.text(str(tmp_path / "g")).filter("value LIKE 'H%'").count() == 1
+    segments, links = S.read_gfa(spark, str(tmp_path / "g"))
+    nodes, arcs = S.gfa_bigraph(segments, links)
+    assert {(r.node, r.mirror, r.seq) for r in nodes.collect()} == {("0+", "0-", "ACGT"), ("0-", "0+", "ACGT"), ("1+", "1-", "GTT"), ("1-", "1+", "AAC")}
+    assert {tuple(r) for r in arcs.collect()} == {("0+", "1-", 2), ("1+", "0-", 2)}
+    assert sorted(map(tuple, S.gfa_to_fasta(spark, [str(tmp_path / "g")] * 2).collect())) == [("0", "ACGT")] * 2 + [("1", "GTT")] * 2
+
+
+def test_fuzzy_graph_of_several_files(spark, tmp_path):
+    (tmp_path / "x.3.nodes").write_text("N1\t2\tr1_NC_1_0_5120_F_1_4\tr2_NC_1_5120_0_R_2_4*\n")
+    (tmp_path / "x.3.reads").write_text("r1\t5120\tN1_F\tN2_R\n")
+    (tmp_path / "x.dot").write_text('digraph {\nN1 -> N2 [label="+-:3"]\n}\n')
+    (tmp_path / "x.fa").write_text(">r1\nACGT\n")
+    paths = [str(p) for p in tmp_path.iterdir()]
+    g = S.read_fuzzy_graph(spark, paths)
+    assert g["nodes"].count() == 2 and g["sequences"].count() == 1 and tuple(g["reads"].first()) == ("r1", 5120, ["N1_F", "N2_R"])
+    assert {(r.src, r.dst) for r in g["arcs"].collect()} == {("N1+", "N2-"), ("N2+", "N1-")}
+    with pytest.raises(ValueError, match="3.nodes"):
+        S.read_fuzzy_graph(spark, [p for p in paths if not p.endswith("nodes")])
+    assert "sequences" not in S.read_fuzzy_graph(spark, [p for p in paths if not p.endswith(".fa")], need_sequences=False)
+
+
+def test_documents_and_metrics(spark, tmp_path):
+    m = spark.createDataFrame([(1, "b", ["3", "4"]), (0, "a", ["1", "2"])], "ord int, key string, values array<string>")
+    S.write_metrics(m, str(tmp_path / "m"))
+    lines = spark.read.text(str(tmp_path / "m")).collect()
+    assert [r.value for r in lines] == [r"a & 1 & 2 \\", r"b & 3 & 4 \\"]
+    text = [r"\hline x"] * 2 + [r"\# contigs & 5 \\ \hline", r"N50 & 7 \\"] + ["end"]
+    rows = spark.createDataFrame([("p", i, t) for i, t in enumerate(text)], "path string, ord int, line string")
+    assert [(r.key, r["values"]) for r in S.report_rows(rows, 2, 1, {"contigs": "tigs"}).orderBy("ord").collect()] == [(r"\# tigs", ["5"]), ("N50", ["7"])]
+    doc = S.latex_document("T", [("one", [("a", 1)], "lr")])
+    assert doc.count("tabular") == 2 and r"a & 1 \\" in doc
