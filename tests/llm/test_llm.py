@@ -5,7 +5,9 @@ import zlib
 import numpy as np
 import pytest
 
-from braidwork.llm import ctph, decontaminate, html, langid, lines, minhash, mixing, tokens, toxicity, warc
+from pyspark.sql import functions as F
+
+from braidwork.llm import common, ctph, decontaminate, html, langid, lines, minhash, mixing, tokens, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -23,9 +25,129 @@ def words(r, n, vocabulary=400):
     return " ".join(f"w{r.randrange(vocabulary)}" for _ in range(n))
 
 
+#: Columns of any name and type, some of which an operator uses inside.
+EXTRA = ["timestamp'2020-01-02 03:04:05' AS `a date`", "1.5BD AS score", "'x' AS items", "2 AS n_words", "map('k', 1) AS _weight", "array(named_struct('y', date'2020-01-01')) AS _row", "0.5 AS _probability", "'s' AS _source", "true AS kept", "'q' AS lang_pred", "1 AS node", "'t' AS topic", "3 AS h1", "4 AS starts", "5 AS ends", "6 AS part"]
+
+
+def with_extra(df):
+    return df.selectExpr("*", *EXTRA)
+
+
+def odd_rows(spark, texts):
+    """The texts, and of the first two a repeated row each, a null id with a text, and one without."""
+    df = docs(spark, texts)
+    more = df.filter("doc_id < 2").unionByName(df.limit(1).selectExpr("cast(null as bigint) doc_id", "'no id at all here' text", "lang", "source", "n_chars")).unionByName(df.limit(1).selectExpr("cast(null as bigint) doc_id", "cast(null as string) text", "lang", "source", "n_chars"))
+    return df.unionByName(more)
+
+
+def test_ranges_by_binary_search(spark):
+    r = random.Random(0)
+    at = sorted(r.sample(range(-500, 500), 77))
+    got = spark.range(1200).selectExpr("id - 600 AS v").union(spark.sql("SELECT CAST(NULL AS BIGINT)")).select("v", common.range_index(F.col("v"), at).alias("i")).collect()
+    assert all(x.i == (0 if x.v is None else sum(a <= x.v for a in at)) for x in got)
+
+
+def test_every_operator_takes_odd_rows_and_any_columns(spark, tmp_path):
+    r = random.Random(20)
+    texts = [words(r, 60), words(r, 80), None, "", "12", "a" * 30 + "\n" + words(r, 30)] + [words(r, 40) for _ in range(20)]
+    df = with_extra(odd_rows(spark, texts)).cache()
+    n = len(texts) + 4
+    bench = spark.createDataFrame([(1, texts[0])], "item_id long, text string")
+    assert ctph.edit_study(df).count() == n and ctph.fingerprints(df).count() == n
+    near = minhash.near_duplicates(df).collect()
+    assert len(near) == n and [x.component_id for x in near if x.doc_id is None] == [None, None] and not any(x.kept for x in near if x.doc_id is None)
+    assert langid.identify(df, langid.train(df)).count() == n
+    assert decontaminate.report(df, bench).count() == n
+    assert lines.dedup(df).count() == n
+    assert mixing.mix(df).count() == n
+    assert tokens.round_trip(df).count() == n
+    labels = with_extra(spark.createDataFrame([(i, 1, i % 2) for i in range(9)] + [(None, 1, 1)], "doc_id long, quality int, toxic int"))
+    assert toxicity.score(df, toxicity.train(df, labels)).count() == n
+    for out in (minhash.dedup(df), decontaminate.decontaminate(df, bench), mixing.sample(df)):
+        assert out.schema.simpleString() == df.schema.simpleString()
+        one = out.filter("doc_id = 7").select("`a date`", "score", "items", "_weight", "_row").collect()
+        assert one in ([], df.filter("doc_id = 7").select("`a date`", "score", "items", "_weight", "_row").collect())
+    pages = spark.createDataFrame([(1, "u", "<p>a</p>"), (1, "u", "<p>a</p>"), (None, None, None)], "page_id long, url string, html string").selectExpr("*", "current_timestamp() AS record", "'d' AS digest", "1 AS text")
+    assert html.extract(pages).count() == 3 and warc.archive(pages, str(tmp_path / "w")).count() == 3
+    none = pages.limit(0)
+    assert html.extract(none).count() == 0 and warc.archive(none, str(tmp_path / "v")).count() == 0
+
+
+def test_settings_stay(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    df = docs(spark, ["a b", "c"])
+    tokens.round_trip(df).count()
+    minhash.near_duplicates(df).count()
+    assert spark.conf.get(name) == before
+
+
+def test_very_long_texts(spark):
+    r = random.Random(21)
+    text = " ".join(f"w{r.randrange(10**6)}" for _ in range(400_000)) + "\n" + "The same line again, and again; 12.\n" * 20_000
+    df = docs(spark, [text, text + " tail", "short"])
+    assert {x.doc_id: x.component_id for x in minhash.near_duplicates(df).collect()} == {0: 0, 1: 0, 2: 2}
+    got = {x.doc_id: x for x in ctph.edit_study(df).collect()}
+    assert got[0].near_next > 0.9 and len(got[0].fingerprint) < 2 * ctph.MOST + 20
+    bench = spark.createDataFrame([(1, text[:200])], "item_id long, text string")
+    assert {x.doc_id: x.contaminated for x in decontaminate.report(df, bench).collect()} == {0: True, 1: True, 2: False}
+    assert {x.doc_id: x.n_dropped for x in lines.dedup(df, min_docs=2).collect()} == {0: 20_001, 1: 0, 2: 0}
+    assert langid.identify(df, langid.train(df.withColumn("doc_id", F.col("doc_id") + 3))).count() == 3
+    assert toxicity.score(df, toxicity.train(df, spark.createDataFrame([], "doc_id long, toxic int"))).count() == 3
+    page = "<article>" + "<p>One, two; three.</p>" * 400_000 + "</article>"
+    assert html.main_text(page).count("\n") == 399_999
+
+
 # 1
 
 
+def plain_ratios(found, smooth=0.25, strength=0.5):
+    """The paths at or over the threshold, restated: found is (path, line)."""
+    own = {}
+    for path, line in found:
+        own.setdefault(path, []).append(line)
+    length = {p: sum(map(len, x)) / len(x) for p, x in own.items()}
+    marks = {p: (1 + sum(ch in ".,;:!?…。，、！？" for line in x for ch in line)) / len(x) for p, x in own.items()}
+    score = dict.fromkeys(own, 0.0)
+    for i, (path, _) in enumerate(found):
+        near = [found[max(i - 1, 0)][0], path, path, found[min(i + 1, len(found) - 1)][0]]
+        score[path] += sum(length[p] for p in near) * smooth * sum(marks[p] for p in near) * smooth / len(own[path])
+    mean = sum(score.values()) / len(score)
+    spread = (sum((x - mean) ** 2 for x in score.values()) / len(score)) ** 0.5
+    return {p for p, x in score.items() if x >= strength * spread} or set(score)
+
+
+def test_chosen_paths_match_plain_ratios():
+    r = random.Random(22)
+    for _ in range(40):
+        paths = html.Paths()
+        body = paths.child(0, "body")
+        leaves = [paths.child(paths.child(body, f"div.{k}"), "p") for k in "abcd"]
+        found = [(r.choice(leaves), "x, " * r.randrange(1, 40)) for _ in range(r.randrange(1, 25))]
+        chosen = plain_ratios(found)
+        # a path's container comes with it: here each leaf's own div, which holds nothing else
+        assert html.content(paths, found) == [line for path, line in found if path in chosen]
+
+
+def test_attributes_by_name():
+    line = "Long, long text. It goes on, and on; to the end of it."
+    p = f"<p>{line}</p>" * 3
+    for tag in ('class="content no-sidebar"', 'class="has-sidebar"', 'class="page with-nav"', 'id=x class="site with-header"', 'data-id="search"', 'title="the hidden truth"', "data-x='class=\"ad\"'"):
+        assert html.main_text(f"<div {tag}>{p}</div>").count(line) == 3, tag
+    for tag in ("hidden", 'aria-hidden="true"', "style='color: red; display : none'", "class='sidebar'"):
+        assert html.main_text(f"<div>{p}</div><div {tag}><p>No, no; no.</p></div>").count("No") == 0, tag
+    assert html.main_text(f"<article>{p}<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> is it, is it.</p></article>").endswith("So x=2 is it, is it.")
+
+
+def test_deep_nesting_is_linear():
+    from time import perf_counter
+
+    began = perf_counter()
+    assert html.main_text("<div>a, b. " * 30_000 + "</x>" * 30_000).count("\n") == 29_999
+    assert html.main_text("<div class=ad>a, b. " * 30_000) is not None
+    assert perf_counter() - began < 30
+
+
 def test_pages(spark):
     page = """<!DOCTYPE html><html><head><title>no</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a>menu</a></ul></nav><!-- c -->
     <div class="ad">Buy, now!</div><article><h1>Top &amp; title</h1><p><b>First,  part.<br><p>Second\n part&lt;.</p><p>X.</p><form><p>mail</p></form><aside>side</aside>
@@ -74,6 +196,71 @@ def test_fingerprints(spark):
     assert ctph.edit_study(docs(spark, ["only one"])).first().near_next == 1.0
 
 
+def plain_fingerprint(text):
+    """Byte by byte, from the definition."""
+    data, mask = (text or "").encode(), (1 << 64) - 1
+    if not data:
+        return "1::"
+
+    def stir(h, *steps):
+        for shift, factor in steps:
+            h ^= h >> shift
+            h = h * factor & mask
+        return h
+
+    level = []
+    for i in range(len(data)):
+        h = sum((data[i - j] + 1) * 0x9E3779B97F4A7C15 * pow(0x2545F4914F6CDD1D, j, 1 << 64) for j in range(min(7, i + 1))) & mask
+        h = stir(h, (32, 0xD6E8FEB86659FD93), (32, 1))
+        level.append(min((h & -h).bit_length() - 1 if h & mask else 31, 31))
+    k = max((x for x in range(32) if sum(v >= x for v in level) >= ctph.LEAST), default=0)
+    out = []
+    for size in (k, k + 1):
+        chunks, at = [], 0
+        for i, v in enumerate(level):
+            if v >= size or i == len(data) - 1:
+                h = sum((b + 1) * pow(ctph.STEP, j, 1 << 64) for j, b in enumerate(data[at : i + 1])) & mask
+                chunks.append(stir(h, (29, 0xBF58476D1CE4E5B9)))
+                at = i + 1
+        if len(chunks) > 4 * ctph.LEAST:
+            seen = {}
+            kept = []
+            for h in chunks:
+                seen[h] = seen.get(h, 0) + 1
+                if seen[h] <= ctph.RUN:
+                    kept.append(h)
+            chunks, bits = kept, 0
+            while len(chunks) > ctph.MOST:
+                bits += 1
+                chunks = [h for h in chunks if h % (1 << bits) == 0]
+        signs = ""
+        given = []
+        for h in chunks:
+            given.append(ctph.SIGNS[h >> 58 & 63])
+            if len(given) < 4 or len(set(given[-4:])) > 1:
+                signs += chr(given[-1])
+        out.append(signs)
+    return f"{1 << k}:{out[0]}:{out[1]}"
+
+
+def test_fingerprints_match_a_plain_loop():
+    r = random.Random(23)
+    for text in ["", "a", "abc" * 3, "aaaa" * 50, words(r, 300), words(r, 2000, 10**6), "The same line, again. 12\n" * 300, words(r, 40) + "é中" * 60]:
+        assert ctph.fingerprint(text) == plain_fingerprint(text), text[:30]
+
+
+def test_ranges_of_more_partitions_than_rows(spark):
+    r = random.Random(24)
+    df = docs(spark, [words(r, 20) for _ in range(12)])
+    few = sorted(map(tuple, ctph.edit_study(df).collect()))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "700")
+        assert sorted(map(tuple, ctph.edit_study(df).collect())) == few
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_common_length_by_table():
     r = random.Random(2)
     for _ in range(200):
@@ -134,9 +321,59 @@ def test_near_duplicates_match_all_pairs(spark):
     assert minhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_dedup_never_drops_another_text_of_the_same_id(spark):
+    r = random.Random(25)
+    a, b, x = words(r, 50, 9000), words(r, 50, 9000), words(r, 50, 9000)
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, x), (3, x), (4, x), (None, a), (None, a), (5, None), (6, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((x.doc_id or 0, x.text or "") for x in minhash.dedup(df).collect()))
+    assert got == sorted([(1, a), (2, a), (2, b), (3, x), (0, a), (0, a), (5, ""), (6, "")])
+
+
+def test_many_askers_of_one_block(spark, monkeypatch):
+    """One template with many texts that are not linked, and few asking nodes a task."""
+    r = random.Random(26)
+    base = words(r, 60, 9000).split()
+    texts = []
+    for _ in range(60):
+        t = list(base)
+        for i in range(0, 60, 7):
+            t[(i + r.randrange(3)) % 60] = f"u{r.randrange(10**6)}"
+        texts.append(" ".join(t))
+    texts += texts[:10]
+    monkeypatch.setattr(minhash, "ASKING", 5)
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in minhash.near_duplicates(docs(spark, texts), percent=40).collect()}
+    # at 40 percent the candidates may miss links, so only what is confirmed is compared: no false link
+    want = brute_groups(texts)
+    strict = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in minhash.near_duplicates(docs(spark, texts)).collect()}
+    assert strict == {i: (n, c, i == c) for i, (n, c) in enumerate(want)} and len(got) == len(texts)
+
+
+def test_recall_of_candidates():
+    """Of pairs at 0.8 fewer than one in a million miss."""
+    from math import comb
+
+    miss = sum(comb(minhash.K, i) * 0.8**i * 0.2 ** (minhash.K - i) for i in range(minhash.T))
+    assert miss < 1e-6
+
+
 # 4
 
 
+def test_letters():
+    assert not any(map(langid.has_letter, [None, "", "² ½ ① Ⅷ 12 !?"])) and all(map(langid.has_letter, ["ª", "中", "1 a"]))
+
+
+def test_no_language_is_left_out(spark):
+    r = random.Random(27)
+    names = [f"q{i:03d}" for i in range(230)]
+    rows = [(i, "".join(r.choices("abcdefghij", k=3)) + " " + "".join(chr(0x4E00 + 7 * (i % 230) + k % 5) for k in range(12)), names[i % 230], "s", 0) for i in range(920)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = langid.sample(df, 1500, 300).groupBy("lang").count().collect()
+    assert {x.lang for x in got} == set(names) and sum(x["count"] for x in got) < 600
+
+
 def test_languages(spark):
     r = random.Random(4)
     parts = {"en": ["the", "ing", "th", "and"], "de": ["sch", "ung", "der", "ü"], "fr": ["eau", "ç", "les", "oi"], "es": ["ción", "ñ", "los", "ar"]}
@@ -195,6 +432,46 @@ def test_spans_are_cut(spark):
 # 6
 
 
+def test_runs_over_several_batches(spark):
+    """What add() gives are the keys no earlier batch had; all frames are read at the end, after compactions."""
+    r = random.Random(28)
+    pool = [f"A line that is shared by documents, number {i}" for i in range(40)]
+    runs = lines.LineRuns(spark, fanout=2)
+    batches, frames, seen = [], [], set()
+    for k in range(7):
+        texts = ["\n".join(r.sample(pool, 4)) for _ in range(5)]
+        batches.append([(100 - 10 * k + i, t) for i, t in enumerate(texts)])
+        frames.append(runs.add(spark.createDataFrame(batches[-1], "doc_id long, text string")))
+    for batch, frame in zip(batches, frames):
+        last = {}
+        for i, t in batch:
+            for x in t.split("\n"):
+                last[lines.keys(x)[0]] = max(last.get(lines.keys(x)[0], 0), i)
+        got = {np.array([x.h1, x.h2], "<i8").tobytes(): x.last for x in frame.collect()}
+        assert got == {k: v for k, v in last.items() if k not in seen}
+        seen |= set(last)
+    total = {}
+    for batch in batches:
+        for _, t in batch:
+            for x in t.split("\n"):
+                total[lines.keys(x)[0]] = total.get(lines.keys(x)[0], 0) + 1
+    assert {np.array([x.h1, x.h2], "<i8").tobytes(): x.n for x in runs.totals().collect()} == total
+    assert len(runs.levels) == 2 and len(runs.retired) == 6 and runs.pairs() == sum(total.values())
+    runs.release()
+    assert runs.totals().count() == len(total)
+
+
+def test_hot_lines(spark, monkeypatch):
+    """Hot keys by the broadcast, all others by the join: the same rows."""
+    texts = ["A line in every one of the documents\n" + (f"A line in a few of the documents {i % 7}" if i % 2 else f"A line of one document {i}") for i in range(40)]
+    df = docs(spark, texts)
+    results = []
+    for hot in (1, 3, 10_000):
+        monkeypatch.setattr(lines, "HOT", hot)
+        results.append(sorted(map(tuple, lines.dedup(df).collect())))
+    assert results[0] == results[1] == results[2] and sum(x[2] for x in results[0]) == 39 + sum(max(0, n - 1) for n in [sum(1 for i in range(1, 40, 2) if i % 7 == k) for k in range(7)] if n >= 3)
+
+
 def test_lines_match_brute_force(spark):
     r = random.Random(7)
     pool = [f"A line that many documents share, number {i}" for i in range(9)] + ["short", "", "  É line of twenty chars \t", "Ä" * 20]
@@ -236,6 +513,30 @@ def test_mixing_keeps_every_row_and_all_columns(spark):
     df = docs(spark, [words(r, 50) for _ in range(300)] + [None, ""]).selectExpr("*", "1 AS cell", "'q' AS topic")
     got = mixing.mix(df, share=0.5).collect()
     assert len(got) == 302 and all(0 <= x._probability <= 1 for x in got)
+    # weights row by row, by plain dicts
+    tokens_of = lambda t: max(1, len((t or "").split()))
+    cell = {x.doc_id: (x._source, x._lang, x._topic) for x in got}
+    assert all(x._tokens == tokens_of(x[common.REST].text) and x._source == x[common.REST].source for x in got)
+    total = sum(x._tokens for x in got)
+    want = []
+    for d, power in enumerate(mixing.POWERS.values()):
+        sums = {}
+        for x in got:
+            sums[cell[x.doc_id][d]] = sums.get(cell[x.doc_id][d], 0) + x._tokens
+        raised = {k: v**power for k, v in sums.items()}
+        want.append({k: v / sum(raised.values()) * total for k, v in raised.items()})
+    weight = {x.doc_id: 1.0 for x in got}
+    for _ in range(300):
+        for d in range(3):
+            have = {}
+            for x in got:
+                have[cell[x.doc_id][d]] = have.get(cell[x.doc_id][d], 0) + x._tokens * weight[x.doc_id]
+            for i in weight:
+                weight[i] *= want[d][cell[i][d]] / have[cell[i][d]]
+    assert all(x._weight == pytest.approx(weight[x.doc_id], rel=1e-6) for x in got)
+    c = 0.5 * total / sum(x._tokens * weight[x.doc_id] for x in got)
+    if max(weight.values()) * c < 1:
+        assert all(x._probability == pytest.approx(c * weight[x.doc_id], rel=1e-6) for x in got)
     kept = sum(x._tokens for x in got if x._kept) / sum(x._tokens for x in got)
     assert 0.4 < kept < 0.6
     assert mixing.mix(empty(spark)).count() == 0
@@ -255,7 +556,7 @@ def test_both_forms_of_mixing_give_the_same(spark):
     capped = sum(x._probability == 1 for x in near.values())
     assert 0 < capped < len(rows)
     assert sum(x._probability * x._tokens for x in far.values()) == pytest.approx(0.8 * 3 * len(rows))
-    assert sum(x._weight * x._tokens for x in far.values() if x.source == "b") == pytest.approx(0.5 * 3 * len(rows), rel=1e-8)
+    assert sum(x._weight * x._tokens for x in far.values() if x._source == "b") == pytest.approx(0.5 * 3 * len(rows), rel=1e-8)
 
 
 # 8
@@ -268,8 +569,8 @@ def test_codes_round_trip():
         control, data = tokens.encode_ranks(x)
         assert (tokens.decode_ranks(control, data, n) == x).all()
     block = tokens.write_block([5, 6], [1, 2], np.array([7, 300, 70000], np.uint32))
-    ((ids, sizes, ranks),) = tokens.read_blocks(block + b"\n")
-    assert (ids.tolist(), sizes.tolist(), ranks.tolist()) == ([5, 6], [1, 2], [7, 300, 70000])
+    ((ids, sizes, ranks, before),) = tokens.read_blocks(block + b"\n")
+    assert (ids.tolist(), sizes.tolist(), ranks.tolist(), before) == ([5, 6], [1, 2], [7, 300, 70000], 0)
     with pytest.raises(ValueError):
         list(tokens.read_blocks(block[:-6] + b"x" + block[-5:] + b"\n"))
 
@@ -289,9 +590,68 @@ def test_token_files_match_the_tokenizer(spark):
     assert tokens.round_trip(empty(spark)).count() == 0
 
 
+def test_other_tokenizers_get_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = tokens.public_vocabulary("byte_bpe_50k.json")
+    encoder = tokens.Encoder(open(path, encoding="utf-8").read())
+    t = Tokenizer.from_file(path)
+    texts = ["hello world", "  two  blanks\n\nlines ", "", "don't <|endoftext|> stop", "é中 1234"]
+    assert encoder.encode(texts) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+
+
+def test_token_files_are_cut(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(tokens, "BLOCK_IDS", 40)
+    monkeypatch.setattr(tokens, "FILE_BLOCKS", 2)
+    r = random.Random(29)
+    df = docs(spark, [words(r, r.randrange(60)) for _ in range(50)])
+    stored = tokens.write_tokens(df, str(tmp_path / "t"), tokens.public_vocabulary())
+    assert len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("part")]) > 8
+    got = sorted(map(tuple, tokens.read_tokens(spark, stored).drop("ids").collect()))
+    start = 0
+    for _, at, n, _ in got:
+        assert at == start
+        start += n
+    assert [x[0] for x in got] == list(range(50))
+
+
 # 9
 
 
+def test_gzip_members():
+    import gzip
+
+    parts = [b"", b"x" * 100, bytes(np.random.RandomState(1).randint(0, 256, 1 << 20, dtype=np.uint8)) * 17]
+    data = b"".join(warc.member(x) + b"\0" for x in parts)
+    assert gzip.decompress(data) == b"".join(x + b"\r\n\r\n" for x in parts)
+    assert [x for x in warc.members(data) if x] == [x + b"\r\n\r\n" for x in parts]
+    with pytest.raises(ValueError):
+        list(warc.members(data[:-5]))
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_archives_of_both_versions(spark, tmp_path, version):
+    import gzip
+
+    http = warc.HTTP_HEAD
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.arc").write_bytes(warc.arc_archive([("http://a/", http + b"same"), ("http://b/", http + b"other"), ("http://c/", b"no header")], version))
+    (tmp_path / "in" / "b.arc.gz").write_bytes(gzip.compress(warc.arc_archive([("http://d/", http + b"same")], version)))
+    arcs = warc.read_arc(spark, str(tmp_path / "in"))
+    assert sorted((x.key, x.url) for x in arcs.collect()) == [("a.arc:000000000000", "filedesc://braidwork.arc"), ("a.arc:000000000001", "http://a/"), ("a.arc:000000000002", "http://b/"), ("a.arc:000000000003", "http://c/"), ("b.arc.gz:000000000000", "filedesc://braidwork.arc"), ("b.arc.gz:000000000001", "http://d/")]
+    got = {}
+    for x in warc.convert_archives(arcs).collect():
+        (one,) = warc.parse_warc(bytes(x.record))
+        got[x.key] = one["header"]["warc-type"], one["header"].get("x-refers-to-key"), one["header"]["warc-target-uri"], one["header"]["warc-date"]
+    assert {k: v[:2] for k, v in got.items()} == {"a.arc:000000000000": ("warcinfo", None), "a.arc:000000000001": ("revisit", "b.arc.gz:000000000001"), "a.arc:000000000002": ("response", None), "a.arc:000000000003": ("resource", None), "b.arc.gz:000000000000": ("warcinfo", None), "b.arc.gz:000000000001": ("response", None)}
+    assert got["a.arc:000000000001"][2:] == ("http://a/", "2020-01-01T00:00:00Z")
+    warc.write_warc(warc.convert_archives(arcs), str(tmp_path / "out"))
+    import glob
+
+    whole = b"".join(gzip.decompress(open(p, "rb").read()) for p in sorted(glob.glob(str(tmp_path / "out" / "part*"))))
+    assert len(list(warc.parse_warc(whole))) == 6
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_records(version):
     body = b"<html>\nhttp://x 1.1.1.1 20200101000000 text/html 5\nWARC/1.1\r\n\r\n"
@@ -340,6 +700,38 @@ def test_toxicity(spark):
     assert 0 <= toxicity.score(df.limit(1), none).first().score <= 1
 
 
+def test_toxicity_labels_that_conflict(spark):
+    df = docs(spark, ["scum moron idiot " + "x" * (i + 1) for i in range(40)] + ["good day to all " + "y" * (i + 1) for i in range(40)])
+    lab = spark.createDataFrame([(i, int(i < 40)) for i in range(80)] + [(i, 0) for i in range(40)], "doc_id long, toxic int")
+    one, two = (toxicity.train(df, lab.repartition(k)) for k in (1, 7))
+    assert one.lexicon == two.lexicon and set(one.lexicon) == {"scum", "moron", "idiot"}
+    assert toxicity.score(df, one).collect() == toxicity.score(df, two).collect()
+
+
+def test_pipeline_on_odd_rows_and_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(30)
+    df = with_extra(odd_rows(spark, [words(r, 60) for _ in range(10)] + [None, "", "12"])).withColumn("lang", F.when(F.col("doc_id") == 3, None).otherwise(F.col("lang")))
+    bench = spark.createDataFrame([(1, words(r, 20, 9))], "item_id long, text string")
+    for name, table in (("full", df), ("none", df.limit(0)), ("no lang", df.withColumn("lang", F.lit(None).cast("string")))):
+        at = str(tmp_path / name)
+        table.write.parquet(f"{at}/documents.parquet")
+        bench.write.parquet(f"{at}/benchmark.parquet")
+        docs_, kept = spark.read.parquet(f"{at}/documents.parquet"), []
+        for i, (_, work) in enumerate(corpus_pipeline.STAGES):
+            out = work(spark, docs_, at)
+            out.write.parquet(f"{at}/s{i}")
+            docs_ = spark.read.parquet(f"{at}/s{i}")
+            kept.append(docs_.count())
+            if i < 4:
+                assert docs_.columns == table.columns and docs_.schema.simpleString() == table.schema.simpleString()
+            if i == 0 and name == "full":
+                assert docs_.filter("doc_id = 3").first().lang == "en"
+        # letters: ten texts, two of them twice, and one without an id
+        assert kept[:2] == ([0, 0] if name == "none" else [13, 11])
+
+
 def test_pipeline_on_a_small_corpus(spark, tmp_path):
     import corpus_pipeline
 
