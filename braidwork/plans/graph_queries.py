@@ -274,6 +274,16 @@ ll AS (SELECT unitig, max_by(p, len(p)) AS p FROM lw GROUP BY unitig),
 om AS (SELECT unitig AS walk, list_concat(ll.p[:len(ll.p) - len(items)], rr.p) AS items FROM co JOIN rr USING (unitig) JOIN ll USING (unitig))"""
 
 
+STRONG = EXT.replace(WG, f"{NG}, e AS (SELECT src || ' ' || dst AS edge, src, dst FROM a), deg AS (SELECT node, sum(i)::BIGINT AS n_in, sum(o)::BIGINT AS n_out FROM (SELECT src AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) GROUP BY node)")
+
+
+@query("g14_strong_trivial_omnitigs", f"WITH RECURSIVE {STRONG} SELECT walk, n::BIGINT AS n, items FROM om")
+def g14(spark, sf):
+    """Of the trade graph between nations, which has to be strongly connected."""
+    edges = nation_arcs(spark, sf).select(F.concat_ws(" ", "src", "dst").alias("edge"), "src", "dst")
+    return G.trivial_omnitigs(edges, True).select("walk", F.size("items").cast("bigint").alias("n"), F.array_join("items", ">").alias("items"))
+
+
 @query("g16_k9_node_trivial_omnitigs", f"WITH RECURSIVE {SEG} SELECT walk, array_to_string(items, ' ') AS items FROM om")
 def g16(spark, sf):
     nodes, arcs = segment_graph(spark, sf)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,6 +70,16 @@ def drop_stored(*tables: DataFrame | None) -> None:
             discard(df.sparkSession, path)
 
 
+def memoised(spark: SparkSession, name: str, arguments: dict, build: Callable[[], DataFrame], root: str | None = None) -> DataFrame:
+    """build(), written once for each set of arguments: the path is the key. A table that wasn't written to its end is written anew. root is a folder that all executors share, by default that of the session."""
+    key = hashlib.sha256(json.dumps(arguments, sort_keys=True).encode()).hexdigest()[:32]
+    path = f"{(root or shared_dir(spark)).rstrip('/')}/memo/{name}/{key}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

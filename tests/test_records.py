@@ -109,3 +109,24 @@ def test_resolve_iupac(spark):
 def test_sql_functions(spark):
     S.register(spark)
     assert spark.sql("SELECT hoco('NNAAC') a, revcomp('AAC') b").first() == ("AC", "GTT")
+
+
+def test_memoised_tables(spark, tmp_path):
+    from braidwork import session
+
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.range(3)
+
+    for arguments in ({"a": 1, "b": None}, {"b": None, "a": 1}, {"a": 2}):
+        assert session.memoised(spark, "t", arguments, build, str(tmp_path)).count() == 3
+    assert len(calls) == 2
+
+
+def test_circularise(spark):
+    assert values(spark, ["ACGT", "AC", ""], S.circularise(c("s"), 3, strict=False)) == ["ACGTACG", None, None]
+    with pytest.raises(Exception, match="shorter than"):
+        values(spark, ["AC"], S.circularise(c("s"), 3))
+    assert values(spark, ["acgtß"], S.ascii_upper(c("s"))) == ["ACGTß"]
