@@ -708,6 +708,83 @@ def test_toxicity_labels_that_conflict(spark):
     assert toxicity.score(df, one).collect() == toxicity.score(df, two).collect()
 
 
+def plain_draw(doc_id, text, seed=17):
+    """Spark's chained xxhash64 of an int, a long and a string, as a number under 1."""
+    from xxhash import xxh64_intdigest
+
+    h = xxh64_intdigest(seed.to_bytes(4, "little"), 42)
+    h = xxh64_intdigest(doc_id.to_bytes(8, "little", signed=True), h)
+    h = xxh64_intdigest(text.encode(), h)
+    return h % (1 << 40) / (1 << 40)
+
+
+def test_pipeline_matches_a_plain_version(spark, tmp_path):
+    """The whole of run(), restated in plain Python: languages by the trained model, all pairs, all windows, dict raking, the tokenizer."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    r = random.Random(31)
+    item = words(r, 25, 9000)
+    texts = [words(r, r.randrange(5, 90), 9000) for _ in range(40)]
+    texts += [texts[0], texts[3] + " tail", texts[5].upper(), None, "", "12 34", item, item + " and more. " + texts[7], "Note | of | a | table " + words(r, 30, 9000), "SHOUT IT ALL NOW" + words(r, 1)]
+    rows = [(i, t, "en" if i % 4 else None, f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {x.doc_id: (x.start, x.n_tokens, x.ids_crc32) for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+
+    kept = [(i, t, lang or "en", s) for i, t, lang, s, _ in rows if t and any(map(str.isalpha, t))]
+    label = brute_groups([t for _, t, _, _ in kept], corpus_pipeline.SHINGLE)
+    kept = [x for k, x in enumerate(kept) if label[k][1] == k]
+    clean = []
+    for i, t, lang, s in kept:
+        w = decontaminate.words(t)
+        seq = decontaminate.words(item)
+        grams = {tuple(seq[k : k + 10]) for k in range(len(seq) - 9)}
+        hit = {p for k in range(len(w) - 9) if tuple(w[k : k + 10]) in grams for p in range(k, k + 10)}
+        if len(hit) > corpus_pipeline.MAX_TEST_SHARE * len(w):
+            continue
+        at = [(m.start(), m.end()) for m in decontaminate.WORD.finditer(t.lower().encode())]
+        out, last = b"", 0
+        for p in sorted(hit):
+            if p - 1 not in hit:
+                out += t.encode()[last : at[p][0]]
+            last = at[p][1]
+        clean.append((i, (out + t.encode()[last:]).decode(), lang, s))
+    topic = lambda t: "empty" if not t else "table" if " | " in t else "shout" if 2 * sum("A" <= ch <= "Z" for ch in t) > len(t) else "signs" if 20 * sum(ch in "|*&%#$!" for ch in t) > len(t) else "note" if len(t) < 400 else "prose"
+    cells = {}
+    for i, t, lang, s in clean:
+        cells.setdefault((s, lang, topic(t)), []).append((i, t, max(1, len(t.split()))))
+    size = {k: sum(x[2] for x in v) for k, v in cells.items()}
+    total = sum(size.values())
+    factor = dict.fromkeys(cells, 1.0)
+    for _ in range(400):
+        for d, power in enumerate(mixing.POWERS.values()):
+            sums = {}
+            for k, n in size.items():
+                sums[k[d]] = sums.get(k[d], 0) + n
+            raised = {k: v**power for k, v in sums.items()}
+            have = {}
+            for k, n in size.items():
+                have[k[d]] = have.get(k[d], 0) + n * factor[k]
+            for k in factor:
+                factor[k] *= raised[k[d]] / sum(raised.values()) * total / have[k[d]]
+    full = set()
+    while True:
+        c = (corpus_pipeline.MIX_SHARE * total - sum(size[k] for k in full)) / max(sum(size[k] * factor[k] for k in factor if k not in full), 1e-300)
+        over = {k for k in factor if k not in full and c * factor[k] >= 1}
+        if not over:
+            break
+        full |= over
+    mixed = sorted((i, t) for k, v in cells.items() for i, t, _ in v if plain_draw(i, t) < (1.0 if k in full else c * factor[k]))
+    tokenizer = Tokenizer.from_file(tokens.public_vocabulary())
+    want, start = {}, 0
+    for i, t in mixed:
+        ids = np.array(tokenizer.encode(t, add_special_tokens=False).ids + [2], "<u4")
+        want[i] = (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    assert got == want and 20 < len(got) < len(clean) < len(kept)
+
+
 def test_pipeline_on_odd_rows_and_an_empty_table(spark, tmp_path):
     import corpus_pipeline
 
