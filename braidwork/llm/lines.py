@@ -117,10 +117,19 @@ class LineRuns:
 
     def release(self) -> None:
         """Deletes the runs that were merged into others: no frame of add() may be read after it."""
-        for name in self.retired:
+        self._drop(self.retired)
+        self.retired = []
+
+    def drop(self) -> None:
+        """Deletes all runs, tables and files."""
+        self.release()
+        self._drop(self.names())
+        self.levels = [[]]
+
+    def _drop(self, names: list[str]) -> None:
+        for name in names:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
             common.discard(self.spark, self.paths.pop(name))
-        self.retired = []
 
 
 #: A key in more than 1 / HOT of all (document, key) pairs is hot. There are at most HOT such keys, so they can be broadcast at any size of the corpus.
@@ -183,7 +192,9 @@ def dedup(docs: DataFrame, batches: int = 4, min_docs: int = MIN_DOCS, min_chars
         part = part if low is None else part.filter(F.col("doc_id") >= low)
         runs.add(part if high is None else part.filter(F.col("doc_id") < high))
         runs.release()
-    return drop_lines(docs, runs, min_docs)
+    out = drop_lines(docs, runs, min_docs)
+    runs.drop()  # what is repeated has been written by now
+    return out
 
 
 def op6_lines(spark, sf_dir: str) -> DataFrame:

@@ -459,6 +459,8 @@ def test_runs_over_several_batches(spark):
     assert len(runs.levels) == 2 and len(runs.retired) == 6 and runs.pairs() == sum(total.values())
     runs.release()
     assert runs.totals().count() == len(total)
+    runs.drop()
+    assert runs.totals() is None and not [t for t in spark.catalog.listTables() if t.name.startswith("braidwork_run")]
 
 
 def test_hot_lines(spark, monkeypatch):
