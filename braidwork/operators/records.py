@@ -184,3 +184,14 @@ def assembly_stats(contigs: DataFrame, genome_length: int | None = None) -> Data
         at(0.75).alias("n75"),
         F.try_divide(F.sum(F.col("c") * F.col("len").cast("double") * F.col("len")), F.max(base)).alias("e_size"),
     )
+
+
+def nx_curve(contigs: DataFrame, genome_length: int | None = None) -> DataFrame:
+    """(x, length) for x from 1 to 100 percent: the length of the contig that, longest first, reaches x percent of the genome length (of all contigs, where none is given); percentages that aren't reached are left out."""
+    by_length = contigs.filter(F.length("seq") > 0).groupBy(F.length("seq").alias("length")).agg(F.count("*").alias("c"))
+    own = F.col("length") * F.col("c")
+    running = by_length.withColumn("sum", F.sum(own).over(Window.orderBy(F.desc("length")))).withColumn("total", F.sum(own).over(Window.partitionBy()))  # a row per length
+    base = F.lit(genome_length) if genome_length else F.col("total")
+    percent = lambda x: F.least(F.floor(x * 100 / base), F.lit(100))
+    first, last = percent(F.col("sum") - own) + 1, percent(F.col("sum"))
+    return running.filter(first <= last).select(F.explode(F.sequence(first, last)).alias("x"), F.col("length").cast("bigint").alias("length"))

@@ -220,6 +220,12 @@ def k6_shares(spark, sf):
     return R.contig_shares(records(spark, sf), table(spark, sf, "benchmark").withColumn("seq", c("text")), 5)
 
 
+@query("k7_nx_curve", f"""WITH {DNA_SQL}, l AS (SELECT length(seq) AS len FROM dna), r AS (SELECT len, sum(len) OVER (ORDER BY len DESC RANGE UNBOUNDED PRECEDING) AS s, sum(len) OVER () AS t FROM l)
+SELECT x, max(len)::BIGINT AS length FROM r, (SELECT unnest(range(1, 101)) AS x) WHERE s * 100 >= x * t GROUP BY x""")
+def k7_curve(spark, sf):
+    return R.nx_curve(dna(spark, sf)).select(c("x").cast("bigint").alias("x"), "length")
+
+
 @query("k10_bcalm_to_gfa", """SELECT 'H' || chr(9) || 'VN:Z:1.0' AS line UNION ALL SELECT 'S' || chr(9) || o_orderkey || chr(9) || o_orderpriority FROM orders
 UNION ALL SELECT DISTINCT 'L' || chr(9) || l_orderkey || chr(9) || CASE WHEN l_returnflag = 'R' THEN '-' ELSE '+' END || chr(9) || l_partkey || chr(9) || CASE WHEN l_linestatus = 'F' THEN '-' ELSE '+' END || chr(9) || '4M' FROM lineitem""")
 def k10(spark, sf):
