@@ -159,14 +159,13 @@ def links(docs: DataFrame, nodes: DataFrame, size: int = SHINGLE, percent: int =
     sets = common.stored(full_sets(docs, cands, size), "sets")
     posted = cands.select("node", "score", F.explode("prefix").alias("t"))
     lists = posted.groupBy("t").agg(F.max(F.struct("score", -F.col("node"))).alias("top"), F.count("*").alias("m")).filter("m > 1").select("t", (-F.col("top.col2")).alias("pivot"), "m")
-    stars = posted.join(lists, "t").filter("node <> pivot").select("node", "pivot").distinct()
+    stars = posted.join(lists, "t").filter("node <> pivot").groupBy("node", "pivot").agg(F.max("m").alias("m"))
     signed = nodes.select("node", "tokens")
     stars = stars.join(signed, "node").join(signed.select(F.col("node").alias("pivot"), F.col("tokens").alias("pivot_tokens")), "pivot").filter(F.size(F.array_intersect("tokens", "pivot_tokens")) >= T)
-    stars = common.stored(stars.select("node", "pivot"), "stars")
-    # a pivot of many is held once in each part of its star
-    parts = stars.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    salted = stars.join(parts, "pivot").select("node", "pivot", F.struct("pivot", F.pmod(F.xxhash64("node"), "parts").alias("part")).alias("p"))
-    salted = salted.select("node", "pivot", F.xxhash64("p").alias("g"))
+    stars = common.stored(stars.select("node", "pivot", "m"), "stars")
+    # a pivot of many is held once in each part of its star; the length of a node's list says how many parts (as a power of two) without counting by pivot
+    parts = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("m") / BLOCK, F.lit(1.0))))).cast("bigint")
+    salted = stars.select("node", "pivot", F.xxhash64("pivot", parts, F.pmod(F.xxhash64("node"), parts)).alias("g"))
     first = meet(salted.select("g", F.col("pivot").alias("node")).distinct().withColumn("comp", F.col("node")), salted.select("g", "node", F.col("node").alias("comp")), sets, percent)
     first = components(first)
     # what a posting list still holds apart
