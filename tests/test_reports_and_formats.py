@@ -190,3 +190,9 @@ def test_documents_and_metrics(spark, tmp_path):
     assert [(r.key, r["values"]) for r in S.report_rows(rows, 2, 1, {"contigs": "tigs"}).orderBy("ord").collect()] == [(r"\# tigs", ["5"]), ("N50", ["7"])]
     doc = S.latex_document("T", [("one", [("a", 1)], "lr")])
     assert doc.count("tabular") == 2 and r"a & 1 \\" in doc
+
+
+def test_yaml(tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "c.yml").write_text("reports:\n  a: [1, {b: null}]\n")
+    assert P.expand_matrix(S.read_yaml(str(tmp_path / "c.yml"))["reports"]) == [{"a": 1}, {"a": "b"}]
