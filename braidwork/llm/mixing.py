@@ -24,8 +24,8 @@ NONE = "(none)"
 def topic_of(text: Column) -> Column:
     """A topic by the form of the text alone, where the caller has no better column."""
     size = F.greatest(F.length(text), F.lit(1))
-    signs = size - F.length(F.translate(text, "|*&%#$!", ""))
-    capitals = size - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
+    signs = F.length(F.regexp_replace(text, "[^|*&%#$!]++", ""))
+    capitals = F.length(F.regexp_replace(text, "[^A-Z]++", ""))
     return (
         F.when(text.isNull() | (F.length(text) == 0), "empty")
         .when(text.contains(" | "), "table")
@@ -38,7 +38,8 @@ def topic_of(text: Column) -> Column:
 
 def tokens_of(text: Column) -> Column:
     """Words between blanks, at least 1: a document without words still has a weight."""
-    return F.greatest(F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\S+")), F.lit(1)).cast("bigint")
+    initials = F.regexp_replace(F.coalesce(text, F.lit("")), r"(\S)\S*+\s*+|\s++", "$1")
+    return F.greatest(F.length(initials), F.lit(1)).cast("bigint")
 
 
 def with_cells(docs: DataFrame, topic: Column | None = None, seed: int = 17) -> DataFrame:
