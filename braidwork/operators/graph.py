@@ -265,7 +265,9 @@ def trivial_omnitigs(edges: DataFrame, strongly_connected: bool = False) -> Data
     cores = session.stored(ends.join(tail, "src").join(head, "dst").filter("from_split AND to_join").select(c("unitig").alias("x")), "cores")
     # a unitig's one follower: the extension runs over whole unitigs. Circles of their own have no core to start from
     into, out = ends.select(c("unitig").alias("x"), c("dst").alias("node")), ends.select(c("unitig").alias("y"), c("src").alias("node"))
-    met = into.join(out, "node").join(deg, "node").filter("NOT (n_in = 1 AND n_out = 1)")
+    # nodes with several ways in and out have no such pairs: they leave before the join, which is linear then
+    one_way = deg.filter("(n_in = 1) <> (n_out = 1)")
+    met = session.stored(into.join(one_way, "node").join(out, "node").select("x", "y", "n_in", "n_out"), "met")
     after = orbits(met.filter("n_out = 1").select("x", "y"), cores)
     before = orbits(met.filter("n_in = 1").select(c("y").alias("x"), c("x").alias("y")), cores)
     parts = cores.select("x", F.lit(0).cast("bigint").alias("o"), c("x").alias("unitig")).unionByName(after.select("x", c("p").alias("o"), c("item").alias("unitig"))).unionByName(before.select("x", (-c("p")).alias("o"), c("item").alias("unitig")))
