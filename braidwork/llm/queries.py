@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from braidwork.llm import ctph, decontaminate, hamerly, html, langid, lines, minhash, mixing, tokens, toxicity, warc
+from braidwork.llm import ctph, decontaminate, hamerly, html, langid, lines, minhash, mixing, spelling, tokens, toxicity, warc
 
 QUERIES = {
     "op1_html": html.op1_html,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_tokens": tokens.op8_tokens,
     "op9_warc": warc.op9_warc,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_spelling": spelling.op11_spelling,
     "op12_clusters": hamerly.op12_clusters,
 }
 
@@ -23,5 +24,6 @@ ORACLE_SQL = {
     "op5_decontaminate": decontaminate.OP5_SQL,
     "op6_lines": lines.OP6_SQL,
     "op9_warc": warc.OP9_SQL,
+    "op11_spelling": spelling.OP11_SQL,
     "op12_clusters": hamerly.OP12_SQL,
 }
