@@ -163,12 +163,19 @@ def links(docs: DataFrame, nodes: DataFrame, size: int = SHINGLE, percent: int =
     signed = nodes.select("node", "tokens")
     stars = stars.join(signed, "node").join(signed.select(F.col("node").alias("pivot"), F.col("tokens").alias("pivot_tokens")), "pivot").filter(F.size(F.array_intersect("tokens", "pivot_tokens")) >= T)
     stars = common.stored(stars.select("node", "pivot", "m"), "stars")
-    # a pivot of many is held once in each part of its star; the length of a node's list says how many parts (as a power of two) without counting by pivot
+    first = components(met_pivots(stars, sets, percent))
+    return linked(posted, lists, first, sets, percent, (cands, stars))
+
+
+def met_pivots(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of the nodes and pivots of stars (node, pivot, m). A pivot of many is held once in each part of its star; the length m of a node's list says how many parts (as a power of two) without counting by pivot."""
     parts = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("m") / BLOCK, F.lit(1.0))))).cast("bigint")
     salted = stars.select("node", "pivot", F.xxhash64("pivot", parts, F.pmod(F.xxhash64("node"), parts)).alias("g"))
-    first = meet(salted.select("g", F.col("pivot").alias("node")).distinct().withColumn("comp", F.col("node")), salted.select("g", "node", F.col("node").alias("comp")), sets, percent)
-    first = components(first)
-    # what a posting list still holds apart
+    return meet(salted.select("g", F.col("pivot").alias("node")).distinct().withColumn("comp", F.col("node")), salted.select("g", "node", F.col("node").alias("comp")), sets, percent)
+
+
+def linked(posted: DataFrame, lists: DataFrame, first: DataFrame, sets: DataFrame, percent: int, spent: tuple[DataFrame, ...]) -> DataFrame:
+    """(node, root) of all nodes that have a link: the components `first` (node, root), joined where the posting lists posted (t, node) of lists (t, pivot, m) still hold linked nodes apart. Tables in `spent` are deleted once read."""
     comp = F.coalesce(F.col("root"), F.col("node"))
     placed = posted.select("t", "node").join(first, "node", "left").select("t", "node", comp.alias("comp"))
     split = placed.groupBy("t", "comp").agg(F.count("*").alias("c")).groupBy("t").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps")).filter("comps > 1").select("t", F.col("top.comp").alias("main"))
@@ -186,7 +193,7 @@ def links(docs: DataFrame, nodes: DataFrame, size: int = SHINGLE, percent: int =
     of = first.select(F.col("node").alias("a"), F.col("root").alias("x")), first.select(F.col("node").alias("b"), F.col("root").alias("y"))
     contracted = more.join(of[0], "a", "left").join(of[1], "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
     second = components(contracted).select(F.col("node").alias("root"), F.col("root").alias("higher"))
-    common.drop_stored(cands, sets, stars, apart, home)  # all that follows reads the two tables of components
+    common.drop_stored(*spent, sets, apart, home)  # all that follows reads the two tables of components
     return first.join(second, "root", "full").select(F.coalesce("node", "root").alias("node"), F.coalesce("higher", "root").alias("root")).unionByName(second.select(F.col("root").alias("node"), F.col("higher").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from braidwork.llm import ctph, decontaminate, hamerly, html, langid, lines, minhash, mixing, spelling, tokens, toxicity, warc
+from braidwork.llm import ctph, decontaminate, hamerly, html, langid, lines, minhash, mixing, partenum, spelling, tokens, toxicity, warc
 
 QUERIES = {
     "op1_html": html.op1_html,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_spelling": spelling.op11_spelling,
     "op12_clusters": hamerly.op12_clusters,
+    "op13_partenum": partenum.op13_partenum,
 }
 
 ORACLE_SQL = {
@@ -26,4 +27,5 @@ ORACLE_SQL = {
     "op9_warc": warc.OP9_SQL,
     "op11_spelling": spelling.OP11_SQL,
     "op12_clusters": hamerly.OP12_SQL,
+    "op13_partenum": partenum.OP13_SQL,
 }
