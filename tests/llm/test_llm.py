@@ -123,10 +123,10 @@ def test_chosen_paths_match_plain_ratios():
         paths = html.Paths()
         body = paths.child(0, "body")
         leaves = [paths.child(paths.child(body, f"div.{k}"), "p") for k in "abcd"]
-        found = [(r.choice(leaves), "x, " * r.randrange(1, 40)) for _ in range(r.randrange(1, 25))]
-        chosen = plain_ratios(found)
+        found = [(r.choice(leaves), "x, " * r.randrange(1, 40), 0) for _ in range(r.randrange(1, 25))]
+        chosen = plain_ratios([x[:2] for x in found])
         # a path's container comes with it: here each leaf's own div, which holds nothing else
-        assert html.content(paths, found) == [line for path, line in found if path in chosen]
+        assert html.content(paths, found) == [line for path, line, _ in found if path in chosen]
 
 
 def test_attributes_by_name():
@@ -148,6 +148,77 @@ def test_deep_nesting_is_linear():
     assert perf_counter() - began < 30
 
 
+def test_pages_with_open_ends_take_linear_time():
+    from time import perf_counter
+
+    for piece, times in (("<a ", 350_000), ('<a "', 250_000), ('<a b="', 170_000), ("<!", 500_000), ("<p title='", 100_000), ("<title>", 50_000), ("<script ", 125_000), ("</a ", 250_000), ("<nav>", 50_000), ("<form>", 50_000)):
+        began = perf_counter()
+        html.main_text(piece * times)
+        html.main_text(piece * (times // 10) + ">")
+        assert perf_counter() - began < 8, piece
+
+
+def test_articles_are_not_lost_to_what_stands_around_them():
+    line = "Long, long text. It goes on, and on; to the end of it."
+    p, three = f"<p>{line}</p>", "\n".join([line] * 3)
+    menu = "<ul><li><a href=x>menu</a></ul>"
+    for page in (
+        f"<form id=aspnetForm><div class=top>{menu}</div><div class=c>{p * 3}</div></form>",
+        f"<form id=aspnetForm><article>{p * 3}</article></form><div><p>Foot, foot.</p></div>",
+        f"<body><nav>{menu}<article>{p * 3}</article>",
+        f"<body><nav>{menu}<div>{p * 3}</div>",
+        f"<article>{p}<aside>side{p * 2}</article>",
+        f"<html><head><meta x><title>t</title><body>{p * 3}",
+        f"<body><noscript>{p * 3}",
+    ):
+        assert html.main_text(page) == three, page
+    assert html.main_text(f'<body><p title="a>b>c</p>{p}') == f"b>c\n{line}"
+
+
+def test_comments_bars_and_footers_beside_the_article_lose():
+    line = "Long, long text. It goes on, and on; to the end of it."
+    p = f"<p>{line}</p>"
+    for beside in ("<section id=user-comments>{}</section>", "<div class=comments-area>{}</div>", "<div class=discussion>{}</div>", "<div>{}</div>"):
+        assert html.main_text(f"<article>{p}</article>{beside.format(p * 3)}") == line, beside
+    for beside in ("<div class=cookie-bar>{}</div>", "<div class=sidebar-left>{}</div>", "<div class=site-footer>{}</div>", "<div class=userComments>{}</div>", "<section id=user-comments>{}</section>"):
+        assert html.main_text(f"<div class=story>{p * 3}</div>{beside.format(p)}") == "\n".join([line] * 3), beside
+    links = "".join(f"<p><a href=x>{line}</a></p>" for _ in range(5))
+    assert html.main_text(f"<div class=a>{p * 3}</div><div class=b>{links}</div>") == "\n".join([line] * 3)
+    assert html.main_text(f"<div class=cookie-recipe>{p}</div>") == line
+
+
+def plain_blocks(page):
+    """Lines of a well-formed page of block elements alone, without what is in cut elements, by a stack of names."""
+    import re
+
+    out, stack, text = [], [], ""
+    for piece in re.split(r"(<[^>]*>)", page):
+        if not piece.startswith("<"):
+            text += "" if any(x in html.NEVER for x in stack) else piece
+            continue
+        if line := " ".join(text.split()):
+            out.append(line)
+        text = ""
+        if piece.startswith("</"):
+            stack.pop()
+        else:
+            stack.append(piece[1:-1].split()[0])
+    return out
+
+
+def test_blocks_match_a_plain_stack():
+    r = random.Random(23)
+
+    def element(depth):
+        name = r.choice(["div", "section", "article", "ul", "blockquote", "nav", "aside", "table", "footer", "h2"])
+        inner = "".join(element(depth - 1) if depth and r.random() < 0.7 else f" w{r.randrange(99)}  x, " for _ in range(r.randrange(4)))
+        return f"<{name}>{inner}</{name}>"
+
+    for _ in range(200):
+        page = "<body>" + "".join(element(4) for _ in range(4)) + "</body>"
+        assert [line for _, line, _ in html.blocks(page)[1]] == plain_blocks(page)
+
+
 def test_pages(spark):
     page = """<!DOCTYPE html><html><head><title>no</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a>menu</a></ul></nav><!-- c -->
     <div class="ad">Buy, now!</div><article><h1>Top &amp; title</h1><p><b>First,  part.<br><p>Second\n part&lt;.</p><p>X.</p><form><p>mail</p></form><aside>side</aside>
