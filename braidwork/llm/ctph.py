@@ -1,15 +1,18 @@
 """Context-triggered piecewise hashing.
 
-A rolling hash over 7 bytes marks positions; a position whose hash has k trailing zero bits is a boundary at
-block size 2**k, so boundaries of larger blocks are boundaries of smaller ones. Each chunk gives one of 64 signs.
-A fingerprint is `block:signature:signature of twice the block`. The block is the largest with LEAST chunks or
-more (1 if none has). Fingerprints are compared, where their block sizes are equal or one is twice the other, by
-the edit distance (insertions and deletions) of the signatures of the same block size.
+A rolling hash over 7 bytes marks positions; a position whose hash has k trailing zero bits is a boundary at block
+size 2**k. Chunks end at the first boundary that is a quarter of a block away or more; where none comes for four
+blocks, as in text that repeats itself, at the position of most zero bits there, so that such text has chunks as well
+and the same ones each time. Each chunk gives one of 64 signs. A fingerprint is `block:signature:signature of twice
+the block`; the block is the largest of which the text has LEAST, so texts of about the same length can always be
+compared. Fingerprints are compared, where their block sizes are equal or one is twice the other, by the edit distance
+(insertions and deletions) of the signatures of the same block size.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +21,7 @@ from pyspark.sql import functions as F
 
 from braidwork.llm import common
 
-WINDOW, LEAST, LEVELS = 7, 40, 32
-#: A run of equal signs longer than this is cut to it, and a chunk that comes again more often is left out: repetitive texts keep short signatures.
-RUN = 3
-#: Chunks of a signature at most. Of more (no block size has between LEAST and this), those stay whose hash has the most trailing zero bits.
-MOST = 2048
+WINDOW, LEAST, LEVELS = 7, 64, 32
 SIGNS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 ROLL = np.uint64(0x9E3779B97F4A7C15)
 STEP = 0x5851F42D4C957F2D
@@ -58,30 +57,29 @@ def levels(b: np.ndarray) -> np.ndarray:
     return np.where(low == 0, LEVELS - 1, np.log2(np.maximum(low, 1).astype(np.float64)).astype(np.int8)).astype(np.int8)
 
 
+def cut(level: np.ndarray, size: int) -> np.ndarray:
+    """Positions after the chunks' last bytes at block size 2**size."""
+    n, least, block, most = len(level), max(1, (1 << size) // 4), 1 << size, 4 << size
+    bounds = (np.flatnonzero(level >= size) + 1).tolist()
+    ends, at, i = [], 0, 0
+    while at < n:
+        i = bisect_left(bounds, at + least, i)
+        end = bounds[i] if i < len(bounds) else n
+        if end - at > most:
+            window = level[at + block : at + most]
+            end = at + block + len(window) - int(window[::-1].argmax())
+        ends.append(end)
+        at = end
+    return np.array(ends)
+
+
 def signature(prefix: np.ndarray, down: np.ndarray, ends: np.ndarray) -> str:
-    """prefix[i] is the sum of (byte + 1) * STEP**i before i; ends are the positions after the chunks' last bytes."""
+    """prefix[i] is the sum of (byte + 1) * STEP**i before i."""
     starts = np.concatenate([[0], ends[:-1]])
     h = (prefix[ends] - prefix[starts]) * down[starts]
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    if len(h) > LEAST * 4:
-        order = np.argsort(h, kind="stable")
-        first = np.r_[True, h[order][1:] != h[order][:-1]]
-        place = np.arange(len(h)) - np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
-        again = np.empty(len(h), np.int64)
-        again[order] = place
-        h = h[again < RUN]
-        bits = 0
-        while len(h) > MOST:
-            bits += 1
-            h = h[h & np.uint64((1 << bits) - 1) == 0]
-    sign = (h >> np.uint64(58)).astype(np.int64)
-    if len(sign) > RUN:
-        same = sign[1:] == sign[:-1]
-        run = np.ones(len(sign), bool)
-        run[RUN:] = ~(same[2:] & same[1:-1] & same[:-2])
-        sign = sign[run]
-    return SIGNS[sign].tobytes().decode()
+    return SIGNS[(h >> np.uint64(58)).astype(np.int64)].tobytes().decode()
 
 
 def fingerprint(text: str | None) -> str:
@@ -96,15 +94,9 @@ def fingerprint(text: str | None) -> str:
     with np.errstate(over="ignore"):
         prefix = np.zeros(n + 1, np.uint64)
         np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[:n], out=prefix[1:])
-        at_least = np.cumsum(np.bincount(level, minlength=LEVELS)[::-1])[::-1]
-        k = max(0, int((at_least >= LEAST).sum()) - 1)
-        out = []
-        for size in (k, k + 1):
-            ends = np.flatnonzero(level >= size) + 1
-            if not len(ends) or ends[-1] != n:
-                ends = np.append(ends, n)
-            out.append(signature(prefix, down, ends))
-    return f"{1 << k}:{out[0]}:{out[1]}"
+        k = max(0, (n // LEAST).bit_length() - 1)
+        own, twice = (signature(prefix, down, cut(level, size)) for size in (k, k + 1))
+    return f"{1 << k}:{own}:{twice}"
 
 
 def common_length(a: str, b: str) -> int:
