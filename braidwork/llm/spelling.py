@@ -48,7 +48,8 @@ def partitioned(words: DataFrame, most: int = SUBTREE) -> DataFrame:
     while True:
         prefix = F.substring("word", 1, depth) if depth else F.lit("")
         counts = left.groupBy(prefix.alias("prefix")).agg(F.count("*").alias("c")).filter(F.col("c") > most).select("prefix")
-        dealt = common.stored(left.withColumn("prefix", prefix).join(counts.withColumn("large", F.lit(True)), "prefix", "left").select("word", "n", "large"), "prefixes")
+        # of prefixes of one length, at most one for each `most` words is large
+        dealt = common.stored(left.withColumn("prefix", prefix).join(F.broadcast(counts.withColumn("large", F.lit(True))), "prefix", "left").select("word", "n", "large"), "prefixes")
         small = dealt.filter("large IS NULL").select("word", "n", F.lit(depth).alias("depth"))
         done = small if done is None else done.unionByName(small)
         left = dealt.filter("large").select("word", "n")
