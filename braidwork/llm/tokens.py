@@ -278,20 +278,16 @@ def ranking(tokens: DataFrame, size: int) -> np.ndarray:
     return np.lexsort((np.arange(size), -count)).astype(np.uint32)
 
 
-class Stored:
-    """What write_tokens left: files under path, and the id of each rank."""
-
-    def __init__(self, path: str, id_of: np.ndarray):
-        self.path, self.id_of = path, id_of
-
-
-def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, remembered: int = REMEMBERED) -> Stored:
-    """Tokenizes docs (doc_id, text) and writes the files under path in ascending doc_id order: a task per range of ids, FILE_BLOCKS blocks a file."""
+def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, remembered: int = REMEMBERED) -> None:
+    """Tokenizes docs (doc_id, text) and writes the files to path/blocks in ascending doc_id order: a task per range of ids, FILE_BLOCKS blocks a file. The id of each rank goes to path/ranks, a row per id of the vocabulary; the two are all that a reader needs."""
     spark = docs.sparkSession
     made = tokenize(docs, vocabulary, end_id, remembered)
     kind, size = made.kind, made.size
-    tokens = common.stored(made, "ids")
+    held_at = common.scratch_path(spark, "ids")
+    made.write.option("compression", "zstd").parquet(held_at)
+    tokens = spark.read.schema(made.schema).parquet(held_at)
     id_of = ranking(tokens, size)
+    spark.createDataFrame(list(enumerate(id_of.tolist())), "rank bigint, id bigint").coalesce(1).write.parquet(f"{path}/ranks")
     tokens = tokens.filter("ids IS NOT NULL").select("doc_id", "n", "ids")
     rank_of = np.empty(size, np.uint32)
     rank_of[id_of] = np.arange(size, dtype=np.uint32)
@@ -332,17 +328,21 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
     # ranges are numbered in order, and a range's number is its partition's, so files ascend
     dealt = parts.select("part", "doc_id", "ids").repartitionById(len(at) + 1, "part").sortWithinPartitions("part", "doc_id")
     blocks = dealt.mapInArrow(run, "part bigint, block binary")
-    blocks.select(F.col("block").cast("string").alias("value")).write.option("lineSep", SEPARATOR).option("compression", "none").option("maxRecordsPerFile", FILE_BLOCKS).text(path)
-    return Stored(path, id_of)
+    blocks.select(F.col("block").cast("string").alias("value")).write.option("lineSep", SEPARATOR).option("compression", "none").option("maxRecordsPerFile", FILE_BLOCKS).text(f"{path}/blocks")
+    common.discard(spark, held_at)
 
 
 #: Stands for a null doc_id in files.
 NO_ID = -(1 << 63)
 
 
-def read_tokens(spark: SparkSession, stored: Stored) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 and ids (BINARY, little-endian 32-bit) of every document in the files."""
-    sent = spark.sparkContext.broadcast(stored.id_of)
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and ids (BINARY, little-endian 32-bit) of every document in the files under path, written by any session."""
+    ranks = spark.read.parquet(f"{path}/ranks").collect()  # a row per id of the vocabulary
+    table = np.empty(len(ranks), np.uint32)
+    for r in ranks:
+        table[r["rank"]] = r["id"]
+    sent = spark.sparkContext.broadcast(table)
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids binary"
     arrow = common.arrow_schema(common.T._parse_datatype_string(schema))
 
@@ -360,7 +360,7 @@ def read_tokens(spark: SparkSession, stored: Stored) -> DataFrame:
                     for i in range(0, len(out), common.BATCH_ROWS):
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[i : i + common.BATCH_ROWS]), arrow)], schema=arrow)
 
-    return spark.read.format("binaryFile").load(stored.path).select("content").mapInArrow(run, schema)
+    return spark.read.format("binaryFile").load(f"{path}/blocks").select("content").mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, vocabulary: str | None = None, end_id: int = END_ID, remembered: int = REMEMBERED) -> DataFrame:
@@ -370,8 +370,9 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None, end_id: int = END
     in any order among themselves. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    stored = write_tokens(docs, common.scratch_path(spark, "tokens"), vocabulary or public_vocabulary(), end_id, remembered)
-    return read_tokens(spark, stored)
+    path = common.scratch_path(spark, "tokens")
+    write_tokens(docs, path, vocabulary or public_vocabulary(), end_id, remembered)
+    return read_tokens(spark, path)
 
 
 def op8_tokens(spark, sf_dir: str) -> DataFrame:
