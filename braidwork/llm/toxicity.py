@@ -24,7 +24,7 @@ SECOND_PERSON = frozenset("you your yours yourself yourselves u ur du dich dir d
 LOOKALIKE = str.maketrans("@4013$57!8", "aaoiesstib")
 #: Bounds of the three training samples, rows.
 LEXICON_ROWS, TREE_ROWS, CALIBRATION_ROWS = 15_000, 9_000, 6_000
-#: A lexicon word is in at least so many toxic rows, and its share of toxic rows is so many times its share of the others.
+#: A lexicon word is in at least so many toxic rows, and its share of toxic rows is so many times its share of the others; the model holds so many words at most, those of most weight.
 LEXICON_MIN_ROWS, LEXICON_RATIO, LEXICON_SIZE = 3, 12.0, 4000
 NEAR = 5
 WORD = re.compile(r"[^\W\d_]+")
@@ -101,8 +101,8 @@ def words_of(text: str) -> set[str]:
     return {*WORD.findall(lower), *map(plain, obfuscated(lower))}
 
 
-def learn_lexicon(rows: DataFrame) -> dict[str, float]:
-    """Words of rows (text, toxic) by the log of how much larger their share of toxic rows is. Equal texts of a label count once. Counted on Spark: at most LEXICON_SIZE words reach the driver."""
+def learn_lexicon(rows: DataFrame, size: int = LEXICON_SIZE) -> dict[str, float]:
+    """Words of rows (text, toxic) by the log of how much larger their share of toxic rows is. Equal texts of a label count once. Counted on Spark: at most `size` words reach the driver."""
 
     def run(batches):
         for batch in common.pieces(batches):
@@ -116,7 +116,7 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
     counts = rows.mapInArrow(run, "word string, toxic bigint").groupBy("word").agg(F.sum("toxic").alias("k"), (F.count("*") - F.sum("toxic")).alias("others"))
     ratio = ((F.col("k") + 0.5) / (toxic_rows + 1)) / ((F.col("others") + 0.5) / (clean_rows + 1))
     known = counts.filter((F.col("k") >= LEXICON_MIN_ROWS) & (ratio >= LEXICON_RATIO)).select("word", F.log(ratio).alias("weight"), "k")
-    best = known.orderBy(F.desc(F.col("k") * F.col("weight")), "word").limit(LEXICON_SIZE)
+    best = known.orderBy(F.desc(F.col("k") * F.col("weight")), "word").limit(size)
     return {r["word"]: r["weight"] for r in best.collect()}
 
 
@@ -224,9 +224,9 @@ class Model:
         return np.clip(np.interp(m, xs, ps), 0, 1).tolist()
 
 
-def fit(rows: DataFrame) -> Model:
+def fit(rows: DataFrame, lexicon_size: int = LEXICON_SIZE) -> Model:
     """rows (text, toxic, fold); the fold is 0 for the lexicon, 1 for the trees, 2 for calibration. Tasks make the features, so of a row a few numbers reach the driver."""
-    lexicon = learn_lexicon(rows.filter("fold = 0"))
+    lexicon = learn_lexicon(rows.filter("fold = 0"), lexicon_size)
 
     def make():
         return lambda x: {"x": [features(t, lexicon) for t in x["text"]]}
@@ -238,7 +238,7 @@ def fit(rows: DataFrame) -> Model:
     return Model(lexicon, trees, isotonic(trees.margin(part[1][:, 2:]), part[1][:, 1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, holdout: bool = True, rows: tuple[int, int, int] = (LEXICON_ROWS, TREE_ROWS, CALIBRATION_ROWS)) -> Model:
+def train(docs: DataFrame, labels: DataFrame, holdout: bool = True, rows: tuple[int, int, int] = (LEXICON_ROWS, TREE_ROWS, CALIBRATION_ROWS), lexicon_size: int = LEXICON_SIZE) -> Model:
     """Learns from rows with a text and a toxic label of 0 or 1 (of a doc_id with both, 1); with holdout, not from rows whose crc32(doc_id) mod 5 is 0.
 
     About as many rows as `rows` says are taken for lexicon, trees and calibration, chosen by a hash of the id; the
@@ -252,7 +252,7 @@ def train(docs: DataFrame, labels: DataFrame, holdout: bool = True, rows: tuple[
     cuts = [sum(rows[:i]) / sum(rows) for i in (1, 2)]
     place = F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(1 << 40)) / float(1 << 40)
     fold = F.when(place < cuts[0], 0).when(place < cuts[1], 1).otherwise(2)
-    return fit(docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(ids, "doc_id").select("text", "toxic", fold.alias("fold")))
+    return fit(docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(ids, "doc_id").select("text", "toxic", fold.alias("fold")), lexicon_size)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
