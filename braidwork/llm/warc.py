@@ -120,21 +120,22 @@ def warc_record(arc: dict, key: str = "", refers_to: str | None = None) -> bytes
     http = bool(head)
     kind = "revisit" if refers_to is not None else "warcinfo" if arc["url"].startswith("filedesc:") else "response" if http else "resource"
     block = head if refers_to is not None else arc["body"]
+    digest = base32_sha1(payload)  # part of the id: rows of one key and other payloads are records of their own
     lines = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: {record_id(key or arc['url'] + arc['date'])}",
+        f"WARC-Record-ID: {record_id((key or arc['url'] + arc['date']) + ' ' + digest)}",
         f"WARC-Date: {warc_date(arc['date'])}",
         f"WARC-Target-URI: {arc['url']}",
         f"WARC-IP-Address: {arc['ip']}",
         f"Content-Type: {'application/http; msgtype=response' if http else arc['mime']}",
         f"WARC-Block-Digest: sha1:{base32_sha1(block)}",
-        f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}",
+        f"WARC-Payload-Digest: sha1:{digest}",
         f"X-Payload-Length: {len(payload)}",
         f"X-Row-Key: {key}",
     ]
     if refers_to is not None:
-        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Key: {refers_to}"]
+        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {record_id(refers_to + ' ' + digest)}", f"X-Refers-To-Key: {refers_to}"]
     lines.append(f"Content-Length: {len(block)}")
     return "\r\n".join(lines).encode("utf-8", "surrogateescape") + CRLF * 2 + block
 
@@ -158,6 +159,8 @@ def parse_warc(data: bytes) -> Iterator[dict]:
             at += 4
 
 
+#: A payload of more than one in HOT of all pages is hot: there are fewer than HOT of them. Its pages are dealt to SALTS tasks.
+HOT, SALTS = 1000, 256
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
@@ -171,7 +174,13 @@ def convert_pages(pages: DataFrame, min_bytes: int = 0, version: int = 1) -> Dat
     payload = F.coalesce(F.col("html"), F.lit(""))
     keyed = pages.select("page_id", "url", payload.alias("html"), F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).alias("n"))
     of = keyed.filter((F.col("n") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("copies")).filter("copies > 1")
-    refers = keyed.select("page_id", "digest").join(of, "digest").filter("page_id < response").groupBy(F.col("page_id"), F.col("digest")).agg(F.max("response").alias("response"))
+    ids = keyed.select("page_id", "digest")
+    many = F.col("copies") > ids.count() // HOT
+    hot = F.broadcast(of.filter(many).select("digest", F.lit(True).alias("hot")))
+    dealt = ids.join(hot, "digest", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("page_id"), F.lit(SALTS))).otherwise(0))
+    copies = of.withColumn("salt", F.explode(F.when(many, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    met = dealt.join(copies, ["digest", "salt"])
+    refers = met.filter("page_id < response").groupBy(F.col("page_id"), F.col("digest")).agg(F.max("response").alias("response"))
     joined = keyed.join(refers, ["page_id", "digest"], "left").select("page_id", "url", "html", "response")
 
     def make():

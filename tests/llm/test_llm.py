@@ -634,6 +634,18 @@ def test_both_forms_of_mixing_give_the_same(spark):
 # 8
 
 
+def test_a_very_long_text_in_token_files_archives_and_the_mix(spark, tmp_path):
+    r = random.Random(31)
+    text = " ".join(f"w{r.randrange(10**6)}" for _ in range(300_000))
+    df = docs(spark, [text, "short", None])
+    n = {x.doc_id: x.n_tokens for x in tokens.round_trip(df).collect()}
+    assert n[0] > 300_000 and n[2] == 1
+    assert mixing.mix(df).count() == 3
+    pages = spark.createDataFrame([(1, "u", f"<p>{text}</p>"), (2, "u", f"<p>{text}</p>")], "page_id long, url string, html string")
+    got = {x.page_id: (x.payload_bytes, x.record_type, x.refers_to) for x in warc.archive(pages, str(tmp_path / "w")).collect()}
+    assert got == {1: (len(text) + 7, "revisit", 2), 2: (len(text) + 7, "response", None)}
+
+
 def test_codes_round_trip():
     r = np.random.RandomState(10)
     for n in (0, 1, 3, 4, 1001):
@@ -677,9 +689,10 @@ def test_token_files_are_cut(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(tokens, "FILE_BLOCKS", 2)
     r = random.Random(29)
     df = docs(spark, [words(r, r.randrange(60)) for _ in range(50)])
-    stored = tokens.write_tokens(df, str(tmp_path / "t"), tokens.public_vocabulary())
-    assert len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("part")]) > 8
-    got = sorted(map(tuple, tokens.read_tokens(spark, stored).drop("ids").collect()))
+    tokens.write_tokens(df, str(tmp_path / "t"), tokens.public_vocabulary())
+    assert len([p for p in (tmp_path / "t" / "blocks").iterdir() if p.name.startswith("part")]) > 8
+    # nothing but the folder is needed, in any session
+    got = sorted(map(tuple, tokens.read_tokens(spark.newSession(), str(tmp_path / "t")).drop("ids").collect()))
     start = 0
     for _, at, n, _ in got:
         assert at == start
@@ -744,6 +757,23 @@ def test_archives(spark, tmp_path):
     assert got[1].payload_digest == warc.base32_sha1(b"same")
 
 
+def test_records_of_repeated_ids_and_a_hot_payload(spark):
+    rows = [(i, "u", "hot" if i % 3 == 0 else f"p{i}") for i in range(2000)] + [(7, "u", "hot"), (7, "u", "p7"), (7, "v", "other"), (None, "u", "hot"), (None, "u", "more")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    records = [next(iter(warc.parse_warc(bytes(x.record)))) for x in warc.convert_pages(df).collect()]
+    ids = {}
+    for x in records:
+        h = x["header"]
+        ids.setdefault(h["warc-record-id"], set()).add((h["x-row-key"], h["warc-payload-digest"]))
+        if h["warc-type"] == "revisit":
+            assert h["x-refers-to-key"] == "1998"
+    assert all(len(v) == 1 for v in ids.values())
+    targets = {h["warc-refers-to"] for x in records if (h := x["header"])["warc-type"] == "revisit"}
+    (target,) = targets
+    assert ids[target] == {("1998", "sha1:" + warc.base32_sha1(b"hot"))}
+    assert sum(x["header"]["warc-type"] == "revisit" for x in records) == 667 - 1 + 1
+
+
 # 10
 
 
