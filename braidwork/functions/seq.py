@@ -40,14 +40,15 @@ def circularise(seq: Column, size: int = 1000, strict: bool = True) -> Column:
     return F.when(F.length(seq) < size, short.cast("string")).otherwise(F.concat(seq, F.substring(seq, 1, size)))
 
 
-def resolve_iupac(seq: Column, seed: Column | int = 0) -> Column:
-    """Each ambiguous code becomes one of its bases, chosen by the md5 of seed and 0-based place."""
+def resolve_iupac(seq: Column, seed: Column | int = 0, first: Column | int = 0) -> Column:
+    """Each ambiguous code becomes one of its bases, chosen by the md5 of seed and 0-based place, counted from `first`."""
+    first = F.lit(first) if isinstance(first, int) else first
     seed = F.lit(seed) if isinstance(seed, int) else seed
     options = F.create_map(*[x for k, v in IUPAC.items() for x in (F.lit(k), F.lit(v))])
 
     def pick(c: Column, i: Column) -> Column:
         among = F.try_element_at(options, c)
-        draw = F.conv(F.substring(F.md5(F.concat_ws(":", seed.cast("string"), i.cast("string"))), 1, 8), 16, 10).cast("bigint")
+        draw = F.conv(F.substring(F.md5(F.concat_ws(":", seed.cast("string"), (first + i).cast("string"))), 1, 8), 16, 10).cast("bigint")
         at = (draw % F.length(among)).cast("int") + 1
         return F.when(among.isNull(), c).otherwise(F.substring(among, at, F.lit(1)))
 
@@ -91,6 +92,7 @@ def unescape_url(name: Column) -> Column:
 
 def checksum_url(url: Column) -> Column:
     """The check sum file beside a download; the hg38 folder has a file name of its own."""
+    # a fixed value: a public download folder
     hg38 = "hgdownload.soe.ucsc.edu/goldenPath/hg38/bigZips/"
     beside = F.regexp_replace(url, r"^([^?#]*/)[^/?#]*(.*)$", "$1md5checksums.txt$2")
     return F.when(url.contains(hg38), F.lit(f"http://{hg38}md5sum.txt")).otherwise(beside)
@@ -108,6 +110,7 @@ def scaled_time(base: Column, factor: Column, read_source: Column) -> Column:
 
 def queue_of(minutes: Column, memory_mb: Column) -> Column:
     """The queues that take a job of that length and memory."""
+    # fixed values: names and limits of queues
     long = F.when(minutes <= 4320, "bigmem,aurinko").otherwise("aurinko")
     return F.when(memory_mb >= 250_000, long).when(minutes <= 480, "short,medium,bigmem,aurinko").when(minutes <= 2880, "medium,bigmem,aurinko").otherwise(long)
 

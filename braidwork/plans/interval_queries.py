@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from braidwork import session
 from braidwork.operators import intervals as I
-from braidwork.plans.registry import query, records, dna, table, DNA_SQL
+from braidwork.operators import chunks as C
+from braidwork.plans.registry import DNA_SQL, ORACLES, dna, query, records, table
 
 c = F.col
 
@@ -222,3 +223,13 @@ SELECT rec_ix, len(s) AS runs, list_sum(s)::BIGINT - len(s) AS places, s[1 + len
 def h1(spark, sf):
     d = dna(spark, sf).filter("seq <> ''").select("rec_ix", "seq", I.run_starts(c("seq")).alias("s"))
     return d.select("rec_ix", F.size("s").cast("bigint").alias("runs"), F.aggregate("s", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("places"), I.to_raw(c("s"), F.floor(F.size("s") / 2).cast("int"), F.length("seq")).cast("bigint").alias("middle"))
+
+
+@query("h1_chunked_places", ORACLES["h1_hoco_map"])
+def h1_chunked(spark, sf):
+    """The same over chunks of 97 letters: runs and places summed by chunk, the middle one looked up."""
+    ch = C.chunked(dna(spark, sf).filter("seq <> ''"), 97, 1)
+    found = session.stored(C.runs(ch, 97), "runs")
+    per = found.groupBy("rec_ix").agg(F.sum(F.size("starts")).alias("runs"), F.sum(F.aggregate("starts", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("places"))
+    raw = C.to_raw(per.withColumn("place", F.floor(c("runs") / 2)), found, C.lengths(ch), 97)
+    return raw.select("rec_ix", "runs", "places", c("raw_place").alias("middle"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from braidwork import session
 from braidwork.functions import seq as S
+from braidwork.operators import chunks as C
 from braidwork.operators import records as R
-from braidwork.plans.registry import DNA_SQL, RECORDS_SQL, dna, query, records, table
+from braidwork.plans.registry import DNA_SQL, ORACLES, RECORDS_SQL, dna, query, records, table
 
 c = F.col
 
@@ -241,3 +243,57 @@ def k10(spark, sf):
     links = table(spark, sf, "lineitem").groupBy(c("l_orderkey").alias("unitig")).agg(F.collect_set(link).alias("links"))
     unitigs = table(spark, sf, "orders").select(c("o_orderkey").alias("unitig"), c("o_orderpriority").alias("seq")).join(links, "unitig", "left")
     return gfa_lines(unitigs, 5).select("line")
+
+
+#: Characters of a chunk in the queries below: short, so that documents have many borders.
+PART = 97
+
+
+def whole_again(records_, parts):
+    """Records put together from chunks; those without one are empty."""
+    return records_.select("rec_ix").join(C.joined(parts), "rec_ix", "left").select("rec_ix", F.coalesce("seq", F.lit("")).alias("seq"))
+
+
+@query("f10_chunked_homopolymer", ORACLES["f10_homopolymer"])
+def f10_chunked(spark, sf):
+    r = records(spark, sf)
+    return whole_again(r, C.homopolymer_compress(C.chunked(r, PART, 1)))
+
+
+@query("f11_chunked_reverse_complement", ORACLES["f11_reverse_complement"])
+def f11_chunked(spark, sf):
+    r = dna(spark, sf)
+    return whole_again(r, C.reverse_complement(C.chunked(r, PART, 5), PART, 5))
+
+
+@query("f17_chunked_iupac", ORACLES["f17_resolve_iupac"])
+def f17_chunked(spark, sf):
+    r = records(spark, sf).withColumn("seq", F.regexp_replace(S.ascii_upper(F.coalesce("seq", F.lit(""))), "[^ACGTRYKMSWBDHV]", ""))
+    return whole_again(r, C.resolve_iupac(C.chunked(r, PART, 1), size=PART))
+
+
+@query("f18_chunked_gaps", ORACLES["f18_break_at_gaps"])
+def f18_chunked(spark, sf):
+    """The pieces put together again from their parts."""
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    seq = F.translate(F.regexp_replace(F.lower("seq"), "[^a-z ]", ""), letters, ("ACGT" * 7)[:26] + "N")
+    _, parts = C.break_at_gaps(C.chunked(records(spark, sf).select("rec_ix", seq.alias("seq")), PART, 1), 6, PART)
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("at", "part"))), lambda x: x["part"])
+    return parts.groupBy("rec_ix", "offset").agg(F.array_join(ordered, "").alias("piece"))
+
+
+@query("k1_chunked_kmer_counts", ORACLES["k1_kmer_counts"])
+def k1_chunked(spark, sf):
+    """The overlap is shorter than a window, so those over borders are put together."""
+    return C.kmer_counts(C.chunked(dna(spark, sf), PART, 3), 8, PART, 3)
+
+
+@query("s1_s2_chunked_fasta", f"""WITH {DNA_SQL}, x AS (SELECT *, row_number() OVER (ORDER BY rec_ix) - 1 AS r FROM dna)
+SELECT r AS rec_ix, id, "desc", chunk, seq[97 * chunk + 1:97 * chunk + 97] AS seq, seq[greatest(97 * chunk - 9, 1):97 * chunk] AS before FROM (SELECT *, unnest(range(0, ((length(seq) + 96) // 97)::BIGINT)) AS chunk FROM x)""")
+def s1_chunked(spark, sf):
+    """documents as one FASTA text of lines of 60 letters, read back in splits."""
+    at = session.scratch_path(spark, "fasta")
+    lines = dna(spark, sf).select("rec_ix", F.concat(F.lit(">"), "id", F.lit(" "), "desc", F.lit("\n"), F.regexp_replace("seq", "(.{60})(?=.)", "$1\n")).alias("value"))
+    lines.repartitionByRange("rec_ix").sortWithinPartitions("rec_ix").select("value").write.text(at)
+    heads, chunks = C.read_fasta_chunks(spark, at, PART, 10)
+    return chunks.join(heads, "rec_ix").select("rec_ix", "id", "desc", "chunk", "seq", "before")
