@@ -35,6 +35,8 @@ SHINGLE, PERCENT = 4, 85
 PARTS = 3
 #: Of so many sets at most, by hash of their id, shingles in at least this share count as common.
 SAMPLE_SETS, COMMON_SHARE = 4096, 0.01
+#: Sets that a task remembers to have posted.
+REMEMBERED = 1 << 20
 
 
 def bands(largest: int, percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -94,18 +96,23 @@ def signatures(s: np.ndarray, commons: np.ndarray, percent: int = PERCENT) -> np
     return np.concatenate([np.zeros(0, np.uint64), *(of_band(s, rare, b, k) for b, k in bound if k)])
 
 
+def set_hash(s: np.ndarray) -> tuple[int, int]:
+    h = np.frombuffer(minhash.xxh3_128_digest(s.tobytes()), "<i8")
+    return int(h[0]), int(h[1])
+
+
 def sets_of(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, n, s1, s2) of every row: set size, and the 128-bit hash of the set."""
+    """(doc_id, n, s1, s2, key) of every row: set size, the 128-bit hash of the set, and its key."""
 
     def make():
         def each(rows):
             sets = [minhash.shingles(t, size) for t in rows["text"]]
-            hashes = [np.frombuffer(minhash.xxh3_128_digest(s.tobytes()), "<i8") for s in sets]
-            return {"doc_id": rows["doc_id"], "n": [len(s) for s in sets], "s1": [int(h[0]) for h in hashes], "s2": [int(h[1]) for h in hashes]}
+            hashes = [set_hash(s) for s in sets]
+            return {"doc_id": rows["doc_id"], "n": [len(s) for s in sets], "s1": [h[0] for h in hashes], "s2": [h[1] for h in hashes], "key": [key_of(h[0], len(x)) for h, x in zip(hashes, sets)]}
 
         return each
 
-    return common.map_rows(docs.select("doc_id", "text"), make, "doc_id bigint, n bigint, s1 bigint, s2 bigint")
+    return common.map_rows(docs.select("doc_id", "text"), make, "doc_id bigint, n bigint, s1 bigint, s2 bigint, key bigint")
 
 
 def common_shingles(docs: DataFrame, nodes: DataFrame, size: int) -> np.ndarray:
@@ -123,46 +130,55 @@ def common_shingles(docs: DataFrame, nodes: DataFrame, size: int) -> np.ndarray:
     return np.sort(np.array([r.h for r in found], np.int64).view(np.uint64))
 
 
-def posted(docs: DataFrame, nodes: DataFrame, commons: np.ndarray, size: int, percent: int) -> DataFrame:
-    """(node, n, t): every signature of every node."""
+def key_of(s1: int, n: int) -> int:
+    """What stands for a set of n shingles among signatures: 56 bits of its hash and 8 of its size. Sets that share a key are told apart later."""
+    return (s1 & ~255) | (min(255, int(8 * np.log2(n))) if n else 0)
+
+
+def posted(docs: DataFrame, commons: np.ndarray, size: int, percent: int) -> DataFrame:
+    """(key, t): every signature of every set that can have a link, once or more. Of equal sets a task posts one, so texts needn't be dealt by set."""
 
     def make():
-        seen: set[tuple[int, int]] = set()
+        seen: set[int] = set()
 
         def each(rows):
-            out = {"node": [], "n": [], "ts": []}
-            for node, text in zip(rows["doc_id"], rows["text"]):
+            out = {"key": [], "ts": []}
+            for text in rows["text"]:
                 s = minhash.shingles(text, size)
-                key = node, hash(s.tobytes())
-                if key in seen:  # a row that repeats
+                if not len(s):
+                    continue
+                key = key_of(set_hash(s)[0], len(s))
+                if key in seen:
                     continue
-                if len(seen) > 1 << 20:
+                if len(seen) >= REMEMBERED:
                     seen.clear()
                 seen.add(key)
-                out["node"].append(node)
-                out["n"].append(len(s))
+                out["key"].append(key)
                 out["ts"].append(signatures(s, commons, percent).view(np.int64).tolist())
             return out
 
         return each
 
-    chosen = docs.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    return common.map_rows(chosen, make, "node bigint, n bigint, ts array<bigint>").select("node", "n", F.explode("ts").alias("t"))
+    return common.map_rows(docs.filter("doc_id IS NOT NULL").select("text"), make, "key bigint, ts array<bigint>").select("key", F.explode("ts").alias("t"))
 
 
 def links(docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
-    """(node, root) of the nodes that have a link."""
-    every = posted(docs, nodes, common_shingles(docs, nodes, size), size, percent)
+    """(node, root) of the nodes (node, key, n) that have a link."""
+    every = posted(docs, common_shingles(docs, nodes, size), size, percent)
     of = Window.partitionBy("t")
-    middle = F.min(F.struct(F.abs(F.col("n") - F.col("mean")), "node", "n")).over(of)  # the pivot: a node of about the middle size
-    shared = every.withColumns({"m": F.count("*").over(of), "mean": F.avg("n").over(of)}).filter("m > 1").withColumn("pivot", middle)
-    shared = common.stored(shared.select("t", "node", "n", "m", "pivot.node", "pivot.n").toDF("t", "node", "n", "m", "pivot", "pivot_n"), "shared")
-    sets = common.stored(minhash.full_sets(docs, shared.select("node").distinct(), size), "sets")
+    bucket = F.pmod("key", F.lit(256))
+    middle = F.min(F.struct(F.abs(bucket - F.col("mean")), "key")).over(of)  # the pivot: a set of about the middle size
+    shared = every.withColumns({"m": F.count("*").over(of), "mean": F.avg(bucket).over(of), "low": F.min("key").over(of), "high": F.max("key").over(of)}).filter("low <> high")
+    shared = common.stored(shared.withColumn("pivot", middle["key"]).select("t", "key", "m", "pivot").distinct(), "shared")
+    of_pivot = nodes.select(F.col("key").alias("pivot_key"), F.col("node").alias("pivot"), F.col("n").alias("pivot_n"))
+    pairs = shared.filter(F.col("key") != F.col("pivot")).groupBy("key", F.col("pivot").alias("pivot_key")).agg(F.max("m").alias("m"))
     fit = 100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")
-    stars = common.stored(shared.filter((F.col("node") != F.col("pivot")) & fit).groupBy("node", "pivot").agg(F.max("m").alias("m")), "stars")
+    stars = common.stored(pairs.join(nodes, "key").join(of_pivot, "pivot_key").filter(fit).select("node", "pivot", "m"), "stars")
+    wanted = nodes.join(shared.select("key").distinct(), "key", "left_semi").select("node")
+    sets = common.stored(minhash.full_sets(docs, wanted, size), "sets")
     first = components(minhash.met_pivots(stars, sets, percent))
-    lists = shared.filter("node = pivot").select("t", "pivot", "m").distinct()
-    return minhash.linked(shared, lists, first, sets, percent, (shared, stars))
+    lists = shared.filter(F.col("key") == F.col("pivot")).select("t", F.col("pivot").alias("pivot_key"), "m").join(of_pivot, "pivot_key").groupBy("t").agg(F.min("pivot").alias("pivot"), F.max("m").alias("m"))
+    return minhash.linked(shared.join(nodes, "key").select("t", "node"), lists, first, sets, percent, (shared, stars))
 
 
 def similar_sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -174,8 +190,8 @@ def similar_sets(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
     """
     docs = docs.select("doc_id", "text")
     rows = common.stored(sets_of(docs, size), "sets_of")
-    nodes = common.stored(rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("node")), "nodes")
-    root = links(docs, nodes.select("node").distinct(), size, percent)
+    nodes = common.stored(rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("key").alias("key")), "nodes")
+    root = links(docs, nodes.select("node", "key", "n"), size, percent)
     named = nodes.join(root, "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("of_set"))
     whole = rows.join(named, ["s1", "s2"], "left")
     component = F.when(F.col("n") > 0, F.col("of_set")).otherwise(F.col("doc_id"))
