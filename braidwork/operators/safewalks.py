@@ -1,7 +1,7 @@
-"""Safe walks beyond unitigs, per strong component: omnitigs, macro structures, Hamiltonian preprocessing.
+"""Hamiltonian preprocessing, per strong component.
 
-These algorithms follow single paths and have no relational form: a strong component is one task's group. Components
-over MOST_EDGES edges are refused with an error rather than cut.
+Arcs that every circuit must use are contracted one after the other, in a fixed order: a strong component is one
+task's group. Components over MOST_EDGES edges are refused with an error rather than cut.
 """
 
 from __future__ import annotations
@@ -15,166 +15,6 @@ from braidwork.operators import graph as G
 MOST_EDGES = 5_000
 
 
-class Digraph:
-    """Edges are numbered; a walk is a tuple of edge numbers."""
-
-    def __init__(self, arcs: list[tuple]):
-        self.arcs = arcs
-        self.out: dict = {}
-        self.into: dict = {}
-        for i, (a, b) in enumerate(arcs):
-            self.out.setdefault(a, []).append(i)
-            self.out.setdefault(b, [])
-            self.into.setdefault(b, []).append(i)
-            self.into.setdefault(a, [])
-
-    def detour(self, source, target, not_first: int, not_last: int) -> bool:
-        """Whether a simple path leads from source to target (a circle where they are one node) without not_first as first and not_last as last edge."""
-        firsts = [e for e in self.out[source] if e != not_first]
-        lasts = {self.arcs[e][0] for e in self.into[target] if e != not_last}
-        if any(self.arcs[e][1] == target and e != not_last for e in firsts):
-            return True
-        seen = {self.arcs[e][1] for e in firsts} - {source, target}
-        todo = list(seen)
-        while todo:
-            v = todo.pop()
-            if v in lasts:
-                return True
-            for e in self.out[v]:
-                w = self.arcs[e][1]
-                if w not in seen and w != source and w != target:
-                    seen.add(w)
-                    todo.append(w)
-        return False
-
-    def extends(self, walk: tuple, edge: int) -> bool:
-        """Whether the omnitig walk stays one with edge behind: only what ends before the new edge is tested."""
-        v = self.arcs[edge][0]
-        for i in range(1, len(walk) + 1):
-            u = self.arcs[walk[i - 1]][1]
-            if self.detour(v, u, edge, walk[i - 1]):
-                return False
-        return True
-
-
-def is_part(a: tuple, b: tuple) -> bool:
-    return len(a) <= len(b) and any(b[i : i + len(a)] == a for i in range(len(b) - len(a) + 1))
-
-
-def maximal(walks: list[tuple]) -> list[tuple]:
-    out: list[tuple] = []
-    for w in sorted(set(walks), key=lambda w: (-len(w), w)):
-        if not any(is_part(w, x) for x in out):
-            out.append(w)
-    return sorted(out)
-
-
-def maximal_omnitigs(arcs: list[tuple]) -> list[tuple]:
-    """Of a strongly connected graph, as walks of edge numbers. Omnitigs are closed under subwalks, so they are grown edge by edge. A graph that is one circle has its once-around walk from edge 0."""
-    g = Digraph(arcs)
-    if not arcs:
-        return []
-    if all(len(x) == 1 for x in g.out.values()) and all(len(x) == 1 for x in g.into.values()):
-        walk = [0]
-        while (e := g.out[arcs[walk[-1]][1]][0]) != 0:
-            walk.append(e)
-        return [tuple(walk)]
-    most = 4 * len(arcs)
-    front, done = [(e,) for e in range(len(arcs))], []
-    while front:
-        nxt = []
-        for w in front:
-            grown = [w + (e,) for e in g.out[arcs[w[-1]][1]] if g.extends(w, e)] if len(w) < most else []
-            nxt += grown
-            if not grown:
-                done.append(w)
-        front = nxt
-    return maximal(done)
-
-
-def is_trivial(g: Digraph, walk: tuple) -> bool:
-    """Whether the walk is the univocal extension of an edge: no join before a split inside it."""
-    joins = [i for i in range(1, len(walk)) if len(g.into[g.arcs[walk[i]][0]]) > 1]
-    splits = [i for i in range(1, len(walk)) if len(g.out[g.arcs[walk[i]][0]]) > 1]
-    return not joins or not splits or max(splits) <= min(joins)
-
-
-def macronodes(arcs: list[tuple]) -> dict:
-    """Nodes by the bivalent node (several edges in and out) at their centre: those that reach it while they have one edge out, and those it reaches while they have one edge in."""
-    g = Digraph(arcs)
-    found = {}
-    for v in g.out:
-        if len(g.out[v]) > 1 and len(g.into[v]) > 1:
-            own, todo = {v}, [(v, 0), (v, 1)]
-            while todo:
-                u, ahead = todo.pop()
-                for e in g.out[u] if ahead else g.into[u]:
-                    w = arcs[e][1] if ahead else arcs[e][0]
-                    if w not in own and len(g.into[w] if ahead else g.out[w]) == 1:
-                        own.add(w)
-                        todo.append((w, ahead))
-            found[v] = own
-    return found
-
-
-def microtigs(arcs: list[tuple], walks: list[tuple]) -> dict:
-    """Per macronode, the longest pieces of non-trivial omnitigs inside it."""
-    g = Digraph(arcs)
-    hard = [w for w in walks if not is_trivial(g, w)]
-    out = {}
-    for centre, own in macronodes(arcs).items():
-        pieces = []
-        for w in hard:
-            start = None
-            for i in range(len(w) + 1):
-                inside = i < len(w) and (arcs[w[i]][0] in own or arcs[w[i]][1] in own)
-                if inside and start is None:
-                    start = i
-                if not inside and start is not None:
-                    if i - start > 1:
-                        pieces.append(w[start:i])
-                    start = None
-        out[centre] = maximal(pieces)
-    return out
-
-
-def macrotigs(pieces: dict) -> list[tuple]:
-    """Microtigs joined where one ends with the edge that the next starts with, while there is no choice."""
-    parts = [w for own in pieces.values() for w in own]
-    starts: dict = {}
-    ends: dict = {}
-    for w in parts:
-        starts.setdefault(w[0], []).append(w)
-        ends.setdefault(w[-1], []).append(w)
-    linked = lambda w: len(starts.get(w[-1], [])) == 1 and len(ends[w[-1]]) == 1
-    heads = [w for w in parts if not (len(ends.get(w[0], [])) == 1 and len(starts[w[0]]) == 1)] or parts[:1]
-    out = []
-    for w in heads:
-        walk, used = w, {w}
-        last = w
-        while linked(last) and (nxt := starts[last[-1]][0]) not in used:
-            walk += nxt[1:]
-            used.add(nxt)
-            last = nxt
-        out.append(walk)
-    return maximal(out)
-
-
-def node_safe_walks(arcs: list[tuple]) -> list[tuple]:
-    """Maximal node walks that are in every node-covering circular walk: of a strong graph the node sequences of omnitigs without the ends that some covering walk avoids."""
-    walks = []
-    for w in maximal_omnitigs(arcs):
-        nodes = [arcs[w[0]][0]] + [arcs[e][1] for e in w]
-        g = Digraph(arcs)
-        a, b = 0, len(nodes)
-        while b - a > 1 and len(g.into[nodes[a + 1]]) > 1 and len(g.out[nodes[a]]) > 1:
-            a += 1
-        while b - a > 1 and len(g.out[nodes[b - 2]]) > 1 and len(g.into[nodes[b - 1]]) > 1:
-            b -= 1
-        walks.append(tuple(nodes[a:b]))
-    return maximal(walks)
-
-
 def shrink(arcs: list[tuple]) -> tuple[list[tuple], bool]:
     """Hamiltonian preprocessing: (arcs, possible). A node with one way out (or in) must use it: the arc is contracted, and its rivals go. A node without a way, or a lost strong connection, rules a circuit out."""
     arcs = sorted({(a, b) for a, b in arcs if a != b})
@@ -213,47 +53,6 @@ def per_component(arcs: DataFrame, work, schema: str) -> DataFrame:
     return inside.groupBy("scc").applyInPandas(run, schema)
 
 
-def omnitigs(arcs: DataFrame) -> DataFrame:
-    """(scc, walk, n, nodes): maximal omnitigs of every strong component; nodes joined by blanks."""
-    return per_component(arcs, lambda a, scc: [(scc, i, len(w), " ".join(map(str, [a[w[0]][0]] + [a[e][1] for e in w]))) for i, w in enumerate(maximal_omnitigs(a))], "scc bigint, walk bigint, n bigint, nodes string")
-
-
-def macro_counts(arcs: DataFrame) -> DataFrame:
-    """(scc, macronodes, with_microtigs, macrotigs, edges, most, least): counts of macro structures."""
-
-    def work(a, scc):
-        micro = microtigs(a, maximal_omnitigs(a))
-        macro = macrotigs(micro)
-        n = [len(w) for w in macro]
-        return [(scc, len(micro), sum(bool(x) for x in micro.values()), len(macro), sum(n), max(n, default=0), min(n, default=0))]
-
-    return per_component(arcs, work, "scc bigint, macronodes bigint, with_microtigs bigint, macrotigs bigint, edges bigint, most bigint, least bigint")
-
-
-def omnitigs_per_macrotig(arcs: DataFrame) -> DataFrame:
-    """(scc, macrotig, omnitigs): non-trivial omnitigs that share a step of two edges with a macrotig."""
-
-    def work(a, scc):
-        walks = maximal_omnitigs(a)
-        g = Digraph(a)
-        hard = [set(zip(w, w[1:])) for w in walks if not is_trivial(g, w)]
-        return [(scc, i, sum(bool(set(zip(m, m[1:])) & w) for w in hard)) for i, m in enumerate(macrotigs(microtigs(a, walks)))]
-
-    return per_component(arcs, work, "scc bigint, macrotig bigint, omnitigs bigint")
-
-
-def node_safe_counts(arcs: DataFrame) -> DataFrame:
-    """(scc, walks, longer, non_trivial): node-safe walks, those of over 2 nodes, those with a join before a split."""
-
-    def work(a, scc):
-        g = Digraph(a)
-        walks = node_safe_walks(a)
-        hard = lambda w: any(len(g.into[x]) > 1 and any(len(g.out[y]) > 1 for y in w[i:-1]) for i, x in enumerate(w[1:-1], 1))
-        return [(scc, len(walks), sum(len(w) > 2 for w in walks), sum(map(hard, walks)))]
-
-    return per_component(arcs, work, "scc bigint, walks bigint, longer bigint, non_trivial bigint")
-
-
 def preprocess(arcs: DataFrame) -> DataFrame:
     """(scc, nodes, arcs, nodes_left, arcs_left, possible, nodes_removed, arcs_removed): sizes before and after, removed in percent."""
 

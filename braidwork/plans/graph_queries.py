@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from braidwork import session
 from braidwork.functions import seq as S
 from braidwork.operators import graph as G
-from braidwork.operators import safewalks
 from braidwork.plans.registry import DNA_SQL, dna, query, table
 from braidwork.sources.formats import gfa_bigraph
 
@@ -295,29 +294,3 @@ SELECT walk, string_agg(CASE WHEN pos = 0 THEN v.seq ELSE v.seq[ov.overlap + 1:]
 def s13(spark, sf):
     nodes, arcs = segment_graph(spark, sf)
     return G.spell_nodes(G.node_trivial_omnitigs(nodes, arcs), nodes, arcs)
-
-
-@query("g18_omnitigs")
-def g18(spark, sf):
-    """Maximal omnitigs of the strong components of the trade graph between nations' suppliers."""
-    return safewalks.omnitigs(nation_arcs(spark, sf))
-
-
-@query("g20_g22_macro_structures")
-def g20(spark, sf):
-    return safewalks.macro_counts(nation_arcs(spark, sf))
-
-
-@query("g19_omnitigs_per_macrotig")
-def g19(spark, sf):
-    return safewalks.omnitigs_per_macrotig(nation_arcs(spark, sf))
-
-
-@query("g29_node_safe_walks")
-def g29(spark, sf):
-    return safewalks.node_safe_counts(nation_arcs(spark, sf))
-
-
-@query("g30_g32_hamiltonian_preprocessing")
-def g30(spark, sf):
-    return safewalks.preprocess(nation_arcs(spark, sf))
