@@ -23,7 +23,7 @@ MAX_TEST_SHARE = 0.5
 #: Expected share of the tokens that the mix keeps.
 MIX_SHARE = 0.75
 #: Words that a token worker remembers: workers outlive the stage, and the other stages need memory too.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 _last_stage: list[str] = []
 
