@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from braidwork import session
 from braidwork.functions import seq as S
 from braidwork.operators import records as R
 
@@ -259,3 +260,14 @@ def kmer_counts(chunks: DataFrame, k: int, size: int = SIZE, overlap: int = OVER
 def resolve_iupac(chunks: DataFrame, seed_column: str = "rec_ix", size: int = SIZE) -> DataFrame:
     """(rec_ix, chunk, seq) with each ambiguous code as one of its bases, drawn by seed and place in the record as for whole records."""
     return chunks.select("rec_ix", "chunk", S.resolve_iupac(c("seq"), c(seed_column), c("chunk") * size).alias("seq"))
+
+
+def slices(chunks: DataFrame, wanted: DataFrame, size: int = SIZE) -> DataFrame:
+    """wanted (rec_ix, start, end, any others) with text: the characters from start to before end, as far as the record goes (null where it has none of them). A slice meets only the chunks it lies in."""
+    first, last = F.floor(c("start") / size), F.floor((c("end") - 1) / size)
+    asked = session.stored(wanted.withColumn("_slice", F.monotonically_increasing_id()), "wanted")
+    places = asked.filter("end > start").select("_slice", "rec_ix", "start", "end", F.explode(F.sequence(first, last)).alias("chunk"))
+    low, high = F.greatest(c("start") - c("chunk") * size, F.lit(0)), F.least(c("end") - c("chunk") * size, F.lit(size))
+    part = F.substring(c("seq"), (low + 1).cast("int"), (high - low).cast("int"))
+    met = places.join(chunks.select("rec_ix", "chunk", "seq"), ["rec_ix", "chunk"]).groupBy("_slice").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk", part.alias("part")))), lambda x: x["part"]), "").alias("text"))
+    return asked.join(met, "_slice", "left").select(*wanted.columns, F.nullif("text", F.lit("")).alias("text"))

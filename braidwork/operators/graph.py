@@ -6,6 +6,7 @@ Chains are followed by pointer doubling: the number of joins grows with the loga
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -194,14 +195,26 @@ def circles(links: DataFrame) -> DataFrame:
 
 
 def unitigs(edges: DataFrame) -> DataFrame:
-    """(edge, unitig, pos): maximal walks whose inner nodes have one edge in and one out; named by their first edge, a circle by its least."""
-    one = degrees(edges).filter("n_in = 1 AND n_out = 1").select("node")
-    before = edges.select(c("edge").alias("prev"), c("dst").alias("node")).join(one, "node")
-    links = session.stored(edges.select("edge", c("src").alias("node")).join(before, "node", "left").select("edge", "prev"), "prev")
-    straight, round_ = ranked(links)
+    """(edge, unitig, pos): maximal walks whose inner nodes have one edge in and one out; named by their first edge, a circle by its least.
+
+    Edges between nodes with a choice are unitigs of their own and take no part in what follows. The others get
+    numbers, which the rounds of doubling join on; names come back at the end.
+    """
+    one = session.stored(degrees(edges).filter("n_in = 1 AND n_out = 1").select("node", F.lit(True).alias("one")), "one_way")
+    of = lambda end: one.select(c("node").alias(end), c("one").alias(f"one_{end}"))
+    flagged = session.stored(edges.select("edge", "src", "dst").join(of("src"), "src", "left").join(of("dst"), "dst", "left").withColumn("no", F.monotonically_increasing_id()), "flagged")
+    alone = flagged.filter("one_src IS NULL AND one_dst IS NULL").select("edge", c("edge").alias("unitig"), F.lit(0).cast("bigint").alias("pos"))
+    chain = flagged.filter("one_src OR one_dst")
+    before = chain.filter("one_dst").select(c("no").alias("prev"), c("dst").alias("node"))
+    inner = chain.filter("one_src").select(c("no").alias("edge"), c("src").alias("node")).join(before, "node").select("edge", "prev")
+    heads = chain.filter("one_src IS NULL").select(c("no").alias("edge"), F.lit(None).cast("bigint").alias("prev"))
+    straight, round_ = ranked(session.stored(heads.unionByName(inner), "prev"))
+    name = lambda no, as_: chain.select(c("no").alias(no), c("edge").alias(as_))
+    named = straight.select(c("edge").alias("no"), "head", "pos").join(name("no", "edge"), "no").join(name("head", "unitig"), "head").select("edge", "unitig", "pos")
     if round_.limit(1).count():
-        straight = straight.unionByName(circles(round_.select("edge", "prev")))
-    return straight.select("edge", c("head").alias("unitig"), "pos")
+        again = round_.select(c("edge").alias("no"), "prev").join(name("no", "edge"), "no").join(name("prev", "before"), "prev").select("edge", c("before").alias("prev"))
+        named = named.unionByName(circles(session.stored(again, "round")).select("edge", c("head").alias("unitig"), "pos"))
+    return alone.unionByName(named)
 
 
 def walks_of(placed: DataFrame, walk: str = "unitig") -> DataFrame:
@@ -328,6 +341,42 @@ def canonical_walks(walks: DataFrame, mirror) -> DataFrame:
     return walks.withColumn("items", F.least(c("items"), back)).groupBy("items").agg(F.min("walk").alias("walk")).select("walk", "items")
 
 
+def least_rotation(items: list) -> int:
+    """Where the least rotation of a list starts; one pass over it twice."""
+    n = len(items)
+    i, j, k = 0, 1, 0
+    while i < n and j < n and k < n:
+        a, b = items[(i + k) % n], items[(j + k) % n]
+        if a == b:
+            k += 1
+            continue
+        if a > b:
+            i += k + 1
+        else:
+            j += k + 1
+        if i == j:
+            j += 1
+        k = 0
+    return min(i, j)
+
+
+def canonical_circles(walks: DataFrame, mirror) -> DataFrame:
+    """(walk, items): circular walks (walk, items) turned to the least rotation of their own or their mirror's items, so walks that are the same circle have the same items, wherever they were opened and in whichever direction. mirror maps an item column."""
+    kind = dict(walks.dtypes)["walk"]
+    item = walks.schema["items"].dataType.elementType.simpleString()
+    back = F.reverse(F.transform("items", mirror))
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for own, other in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                turned = [(x[k:] + x[:k]) for x in (own, other) for k in (least_rotation(x),)]
+                out.append(min(turned))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, batch.schema.field(1).type)], names=["walk", "items"])
+
+    return walks.select("walk", "items", back.alias("back")).mapInArrow(run, f"walk {kind}, items array<{item}>")
+
+
 def remove_subwalks(walks: DataFrame) -> DataFrame:
     """walks (walk, items) that are in no other: a walk is in another where all its items meet it at one shift. Of equal walks the least id stays.
 

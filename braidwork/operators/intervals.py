@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from braidwork import session
 from braidwork.functions import seq as S
+from braidwork.operators import chunks as C
 from braidwork.operators.components import components
 
 c = F.col
@@ -255,12 +256,34 @@ def split_shares(counts: DataFrame) -> DataFrame:
     return counts.agg(*[F.try_divide(F.count_if(c("clusters") <= k) * 100.0, F.count("*")).alias(f"at_most_{k}") for k in (2, 3, 4)])
 
 
+def slice_distances(aligns: DataFrame, chunks: DataFrame, size: int) -> DataFrame:
+    """(node, a, b, distance): edit distances of all pairs of a node's alignments (node, item, rec_ix, start, end, forward) on a reference in chunks of `size`: of backward ones the slice is complemented, not turned, as in the surveyed tool."""
+    cut = C.slices(chunks, aligns, size)
+    text = F.coalesce(F.when(c("forward"), c("text")).otherwise(S.complement(c("text"))), F.lit(""))
+    return pair_distances(session.stored(cut.select("node", "item", text.alias("slice")), "slices"), "node", "item", "slice")
+
+
+def coverage_stretches(contigs: DataFrame, aligns: DataFrame, size: int = 128) -> DataFrame:
+    """(contig, first, last, nodes): stretches of buckets, from the first of a contig to its last, with the number of distinct nodes that have an alignment over each whole bucket. A node's alignments are merged to islands; an island is two events, and events of a bucket are summed before the sweep."""
+    low, high = F.floor(c("a_start") / size) + 1, F.floor((c("a_end") - 1) / size)
+    own = aligns.select("contig", "node", low.alias("low"), high.alias("high")).filter("high >= low")
+    of = Window.partitionBy("contig", "node").orderBy("low", "high")
+    before = F.max("high").over(of.rowsBetween(Window.unboundedPreceding, -1))
+    island = own.withColumn("anew", F.coalesce((c("low") > before + 1).cast("int"), F.lit(1))).withColumn("island", F.sum("anew").over(of))
+    islands = island.groupBy("contig", "node", "island").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    events = islands.select("contig", F.explode(F.array(F.struct(c("low").alias("at"), F.lit(1).alias("d")), F.struct((c("high") + 1).alias("at"), F.lit(-1).alias("d")))).alias("e")).select("contig", "e.at", "e.d")
+    spine = contigs.select("contig", (F.floor((c("len") - 1) / size) + 2).alias("n"))
+    events = events.join(spine, "contig").filter("at < n").unionByName(spine.select("contig", F.lit(0).cast("bigint").alias("at"), F.lit(0).alias("d"), "n"))
+    at = events.groupBy("contig", "n", "at").agg(F.sum("d").alias("d"))
+    along = Window.partitionBy("contig").orderBy("at")
+    swept = at.filter("d <> 0 OR at = 0").select("contig", c("at").alias("first"), (F.coalesce(F.lead("at").over(along), c("n")) - 1).alias("last"), F.sum("d").over(along).alias("nodes"))
+    return swept.select("contig", "first", "last", "nodes")
+
+
 def bucket_coverage(contigs: DataFrame, aligns: DataFrame, size: int = 128) -> DataFrame:
-    """(contig, bucket, nodes) for every bucket of every contig: distinct nodes with an alignment over the whole bucket."""
-    first, last = F.floor(c("a_start") / size) + 1, F.floor((c("a_end") - 1) / size)
-    covered = aligns.filter(last >= first).select("contig", "node", F.explode(F.sequence(first, last)).alias("bucket")).groupBy("contig", "bucket").agg(F.count_distinct("node").alias("nodes"))
-    spine = contigs.select("contig", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((c("len") - 1) / size) + 1)).alias("bucket"))
-    return spine.join(covered, ["contig", "bucket"], "left").select("contig", "bucket", F.coalesce("nodes", F.lit(0)).alias("nodes"))
+    """(contig, bucket, nodes) for every bucket of every contig: the stretches bucket by bucket."""
+    swept = coverage_stretches(contigs, aligns, size)
+    return swept.select("contig", F.explode(F.sequence("first", "last")).alias("bucket"), "nodes")
 
 
 def layers(intervals: DataFrame, first: int = 10) -> DataFrame:
