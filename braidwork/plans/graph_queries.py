@@ -119,20 +119,55 @@ def g11_stats(spark, sf):
     return G.walk_stats(lengths(spark, sf))
 
 
-WALK = "wk AS (SELECT rec_ix AS walk, list_transform(range(0, (length(seq) // 9)::BIGINT), lambda i: seq[9 * i + 1:9 * i + 9]) AS items FROM dna WHERE length(seq) >= 9)"
+def walk_sql(n: int) -> str:
+    return f"wk AS (SELECT rec_ix AS walk, list_transform(range(0, ((length(seq) + {n - 1}) // {n})::BIGINT), lambda i: seq[{n} * i + 1:{n} * i + {n}]) AS items, \"desc\" AS lang FROM dna WHERE seq <> '')"
 
 
-def dna_walks(spark, sf):
-    items = F.regexp_extract_all(c("seq"), F.lit(".{9}"), F.lit(0))
+MIRROR = "list_reverse(list_transform(items, lambda s: reverse(translate(s, 'ACGT', 'TGCA'))))"
+
+
+def dna_walks(spark, sf, n=9):
+    """documents as walks over pieces of n letters, the last one shorter."""
+    items = F.regexp_extract_all(c("seq"), F.lit(f".{{1,{n}}}"), F.lit(0))
     return dna(spark, sf).select(c("rec_ix").alias("walk"), items.alias("items"), c("desc").alias("lang")).filter(F.size("items") > 0)
 
 
-@query("g12_remove_reverse_complements", f"""WITH {DNA_SQL}, {WALK}, x AS (SELECT walk, items FROM wk UNION ALL SELECT walk + 1000000, list_reverse(list_transform(items, lambda s: reverse(translate(s, 'ACGT', 'TGCA')))) FROM wk),
-k AS (SELECT walk, least(items, list_reverse(list_transform(items, lambda s: reverse(translate(s, 'ACGT', 'TGCA'))))) AS items FROM x) SELECT min(walk) AS walk, items FROM k GROUP BY items""")
+@query("g12_remove_reverse_complements", f"""WITH {DNA_SQL}, {walk_sql(9)}, x AS (SELECT 2 * walk AS walk, items FROM wk UNION ALL SELECT 2 * walk + 1, {MIRROR} FROM wk),
+k AS (SELECT walk, least(items, {MIRROR}) AS items FROM x) SELECT min(walk) AS walk, items FROM k GROUP BY items""")
 def g12(spark, sf):
+    """Every walk beside its mirror."""
     w = dna_walks(spark, sf).drop("lang")
-    back = w.select((c("walk") + 1000000).alias("walk"), F.reverse(F.transform("items", S.reverse_complement)).alias("items"))
-    return G.canonical_walks(w.unionByName(back), S.reverse_complement)
+    back = w.select((2 * c("walk") + 1).alias("walk"), F.reverse(F.transform("items", S.reverse_complement)).alias("items"))
+    return G.canonical_walks(w.withColumn("walk", 2 * c("walk")).unionByName(back), S.reverse_complement)
+
+
+TURNED = f"""tu AS (SELECT walk, lang, CASE WHEN walk % 2 = 1 THEN {MIRROR} ELSE items END AS items FROM (SELECT walk, lang, list_concat(items[walk % len(items) + 1:], items[:walk % len(items)]) AS items FROM wk)),
+ca AS (SELECT walk, lang, least(list_min(list_transform(range(0, len(items)), lambda k: list_concat(items[k + 1:], items[:k]))), list_min(list_transform(range(0, len(items)), lambda k: list_concat(back[k + 1:], back[:k])))) AS items
+  FROM (SELECT *, {MIRROR} AS back FROM tu))"""
+
+
+def turned_walks(spark, sf):
+    """Walks as circles opened elsewhere, every second one in the other direction."""
+    w = dna_walks(spark, sf, 60)
+    k = (c("walk") % F.size("items")).cast("int")
+    turned = F.concat(F.slice("items", k + 1, F.size("items")), F.slice("items", F.lit(1), k))
+    w = w.withColumn("items", turned)
+    return w.withColumn("items", F.when(c("walk") % 2 == 1, F.reverse(F.transform("items", S.reverse_complement))).otherwise(c("items")))
+
+
+@query("g12_canonical_circles", f"WITH {DNA_SQL}, {walk_sql(60)}, {TURNED} SELECT walk, array_to_string(items, ' ') AS items FROM ca")
+def g12_circles(spark, sf):
+    return G.canonical_circles(turned_walks(spark, sf).drop("lang"), S.reverse_complement).select("walk", F.array_join("items", " ").alias("items"))
+
+
+@query("g26_compare_circles", f"""WITH {DNA_SQL}, {walk_sql(60)}, {TURNED}, x AS (SELECT DISTINCT items FROM ca WHERE lang <> 'fr'),
+y AS (SELECT DISTINCT least(list_min(list_transform(range(0, len(items)), lambda k: list_concat(items[k + 1:], items[:k]))), list_min(list_transform(range(0, len(items)), lambda k: list_concat(back[k + 1:], back[:k])))) AS items FROM (SELECT items, lang, {MIRROR} AS back FROM wk) WHERE lang <> 'es')
+SELECT (SELECT count(*) FROM (FROM x EXCEPT FROM y)) AS only_a, (SELECT count(*) FROM (FROM y EXCEPT FROM x)) AS only_b, (SELECT count(*) FROM (FROM x INTERSECT FROM y)) AS "both" """)
+def g26_circles(spark, sf):
+    """Two sets of circular contigs that overlap, one of them turned and mirrored."""
+    a = turned_walks(spark, sf).filter("lang <> 'fr'").drop("lang")
+    b = dna_walks(spark, sf, 60).filter("lang <> 'es'").drop("lang")
+    return G.compare_walks(G.canonical_circles(a, S.reverse_complement), G.canonical_circles(b, S.reverse_complement))
 
 
 EXT = UNI + """, ft AS (SELECT unitig, min_by(e.src, pos) AS src, max_by(e.dst, pos) AS dst, max_by(un.edge, pos) AS last, string_agg(un.edge, '>' ORDER BY pos) AS inner_items, count(*) AS n FROM un JOIN e USING (edge) GROUP BY unitig),
@@ -183,7 +218,7 @@ def g25(spark, sf):
     return G.remove_subwalks(w).select("walk", F.size("items").cast("bigint").alias("n"))
 
 
-@query("g26_compare_walks", f"""WITH {DNA_SQL}, {WALK.replace("AS items FROM", 'AS items, "desc" AS lang FROM')}, a AS (SELECT DISTINCT items FROM wk WHERE lang <> 'fr'), b AS (SELECT DISTINCT items FROM wk WHERE lang <> 'es')
+@query("g26_compare_walks", f"""WITH {DNA_SQL}, {walk_sql(9)}, a AS (SELECT DISTINCT items FROM wk WHERE lang <> 'fr'), b AS (SELECT DISTINCT items FROM wk WHERE lang <> 'es')
 SELECT (SELECT count(*) FROM (FROM a EXCEPT FROM b)) AS only_a, (SELECT count(*) FROM (FROM b EXCEPT FROM a)) AS only_b, (SELECT count(*) FROM (FROM a INTERSECT FROM b)) AS "both" """)
 def g26(spark, sf):
     """Two contig sets that overlap: the documents but for one language each."""

@@ -203,9 +203,14 @@ def b11(spark, sf):
 v AS (SELECT contig, bucket, count(DISTINCT node) AS nodes FROM (SELECT contig, node, unnest(range(a // 128 + 1, (b - 1) // 128 + 1)) AS bucket FROM al) GROUP BY ALL)
 SELECT contig, bucket, coalesce(nodes, 0) AS nodes FROM (SELECT s_suppkey AS contig, unnest(range(0, 189)) AS bucket FROM supplier) LEFT JOIN v USING (contig, bucket)""")
 def b12(spark, sf):
+    return I.bucket_coverage(*coverage_tables(spark, sf))
+
+
+def coverage_tables(spark, sf):
+    """Suppliers as contigs, their lines as alignments of parts."""
     start = (c("l_orderkey") * 37) % 20000
     al = table(spark, sf, "lineitem").select(c("l_suppkey").alias("contig"), c("l_partkey").alias("node"), start.alias("a_start"), (start + 300 + 2 * c("l_quantity").cast("bigint")).alias("a_end"))
-    return I.bucket_coverage(table(spark, sf, "supplier").select(c("s_suppkey").alias("contig"), F.lit(24000).cast("bigint").alias("len")), al)
+    return table(spark, sf, "supplier").select(c("s_suppkey").alias("contig"), F.lit(24000).cast("bigint").alias("len")), al
 
 
 @query("b13_layers", f"""WITH RECURSIVE {SESSIONS}, iv AS (SELECT min_by(a_start, place)::BIGINT AS start, (CASE WHEN session = sessions THEN max(top) ELSE max_by(a_end, place) END)::BIGINT AS "end" FROM ss GROUP BY node, session, sessions),
@@ -233,3 +238,24 @@ def h1_chunked(spark, sf):
     per = found.groupBy("rec_ix").agg(F.sum(F.size("starts")).alias("runs"), F.sum(F.aggregate("starts", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("places"))
     raw = C.to_raw(per.withColumn("place", F.floor(c("runs") / 2)), found, C.lengths(ch), 97)
     return raw.select("rec_ix", "runs", "places", c("raw_place").alias("middle"))
+
+
+@query("b9_reference_slices", f"""WITH {DNA_SQL}, al AS (SELECT l_orderkey AS node, l_linenumber::BIGINT * 100000000000000 + l_partkey * 1000000 + l_suppkey AS item, l_partkey % 200 AS rec_ix, (l_orderkey * 37) % 300 AS s, l_quantity > 25 AS fw FROM lineitem WHERE l_discount > 0.07),
+x AS (SELECT node, item, CASE WHEN fw THEN t ELSE translate(t, 'ACGT', 'TGCA') END AS t FROM (SELECT node, item, fw, seq[s + 1:s + 40] AS t FROM al JOIN dna USING (rec_ix)))
+SELECT a.node, a.item AS a, b.item AS b, levenshtein(a.t, b.t)::INT AS distance FROM x a JOIN x b ON a.node = b.node AND a.item < b.item""")
+def b9_slices(spark, sf):
+    """Orders as nodes; the lines of theirs that are much reduced are alignments on documents, of 40 letters each, of which the slices are cut from chunks of 97."""
+    item = c("l_linenumber").cast("bigint") * 100000000000000 + c("l_partkey") * 1000000 + c("l_suppkey")
+    start = (c("l_orderkey") * 37) % 300
+    al = table(spark, sf, "lineitem").filter("l_discount > 0.07").select(c("l_orderkey").alias("node"), item.alias("item"), (c("l_partkey") % 200).alias("rec_ix"), start.alias("start"), (start + 40).alias("end"), (c("l_quantity") > 25).alias("forward"))
+    return I.slice_distances(al, C.chunked(dna(spark, sf), 97, 1), 97)
+
+
+@query("b12_coverage_stretches", """WITH al AS (SELECT l_suppkey AS contig, l_partkey AS node, (l_orderkey * 37) % 20000 AS a, (l_orderkey * 37) % 20000 + 300 + 2 * l_quantity::BIGINT AS b FROM lineitem),
+v AS (SELECT contig, bucket, count(DISTINCT node) AS nodes FROM (SELECT contig, node, unnest(range(a // 128 + 1, (b - 1) // 128 + 1)) AS bucket FROM al) GROUP BY ALL),
+e AS (SELECT contig, bucket, coalesce(nodes, 0) AS nodes FROM (SELECT s_suppkey AS contig, unnest(range(0, 189)) AS bucket FROM supplier) LEFT JOIN v USING (contig, bucket)),
+g AS (SELECT *, sum((nodes IS DISTINCT FROM prev)::INT) OVER (PARTITION BY contig ORDER BY bucket) AS k FROM (SELECT *, lag(nodes) OVER (PARTITION BY contig ORDER BY bucket) AS prev FROM e))
+SELECT contig, min(bucket) AS first, max(bucket) AS last, any_value(nodes) AS nodes FROM g GROUP BY contig, k""")
+def b12_stretches(spark, sf):
+    contigs_, al = coverage_tables(spark, sf)
+    return I.coverage_stretches(contigs_, al)
