@@ -95,14 +95,32 @@ def cut_reads(records: DataFrame, coverage: float, shortest: int, longest: int,
 SLICE = 1 << 20
 
 
-def kmer_table(records: DataFrame, k: int) -> DataFrame:
-    """(kmer, n): the distinct k-mers of each batch of records with their counts there, to be summed. Windows of code points are counted as fixed-size values, so no k-mer becomes a string before it is counted."""
+def distinct_windows(points: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct windows of k code points that start at `starts`, as rows, and how often each comes. Where the letters there allow, a window is packed into one integer."""
+    letters, coded = np.unique(points, return_inverse=True)
+    bits = max(1, (len(letters) - 1).bit_length())
+    if bits * k <= 64:
+        packed = np.zeros(len(starts), np.uint64)
+        for j in range(k):
+            packed = packed << np.uint64(bits) | coded[starts + j].astype(np.uint64)
+        values, n = np.unique(packed, return_counts=True)
+        shifts = np.array([bits * (k - 1 - j) for j in range(k)], np.uint64)
+        return letters[(values[:, None] >> shifts & np.uint64((1 << bits) - 1)).astype(np.int64)], n
+    windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(points, k)[starts])
+    values, n = np.unique(windows.view(f"V{windows.itemsize * k}").ravel(), return_counts=True)
+    return np.frombuffer(values.tobytes(), points.dtype).reshape(-1, k), n
+
+
+def strings_of(rows: np.ndarray) -> pa.Array:
+    """Rows of code points as strings, by one encoding of all of them."""
+    data = rows.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+    sizes = (1 + (rows >= 0x80).astype(np.int32) + (rows >= 0x800) + (rows >= 0x10000)).sum(1)
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), len(rows), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
+
 
-    def count(points: np.ndarray, starts: np.ndarray) -> tuple[list[str], np.ndarray]:
-        windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(points, k)[starts])
-        values, n = np.unique(windows.view(f"V{windows.itemsize * k}").ravel(), return_counts=True)
-        code = "utf-32-le" if points.itemsize == 4 else "ascii"
-        return [v.tobytes().decode(code, "surrogatepass" if points.itemsize == 4 else "strict") for v in values], n
+def kmer_table(records: DataFrame, k: int) -> DataFrame:
+    """(kmer, n): the distinct k-mers of each batch of records with their counts there, to be summed. Windows are counted as integers where they fit, so no k-mer becomes a string before it is counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,8 +138,8 @@ def kmer_table(records: DataFrame, k: int) -> DataFrame:
                         good[max(end - k + 1, 0) : end] = False  # windows that would reach into the next sequence
                     places = np.flatnonzero(good)
                     for i in range(0, len(places), SLICE):
-                        kmers, n = count(points, places[i : i + SLICE])
-                        yield pa.RecordBatch.from_arrays([pa.array(kmers, pa.string()), pa.array(n, pa.int64())], names=["kmer", "n"])
+                        kmers, n = distinct_windows(points, places[i : i + SLICE], k)
+                        yield pa.RecordBatch.from_arrays([strings_of(kmers), pa.array(n, pa.int64())], names=["kmer", "n"])
                     held, size = [], 0
 
     return records.select("seq").mapInArrow(run, "kmer string, n bigint")

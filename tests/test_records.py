@@ -125,8 +125,24 @@ def test_memoised_tables(spark, tmp_path):
     assert len(calls) == 2
 
 
-def test_circularise(spark):
+def test_circularise_where_not_strict(spark):
     assert values(spark, ["ACGT", "AC", ""], S.circularise(c("s"), 3, strict=False)) == ["ACGTACG", None, None]
     with pytest.raises(Exception, match="shorter than"):
         values(spark, ["AC"], S.circularise(c("s"), 3))
     assert values(spark, ["acgtß"], S.ascii_upper(c("s"))) == ["ACGTß"]
+
+
+@pytest.mark.parametrize("letters", ["ACGT", "aé中", "xyz😀", "".join(map(chr, range(0x100, 0x900)))])
+@pytest.mark.parametrize("k", [1, 5, 12])
+def test_windows_as_integers_and_as_rows(letters, k):
+    import numpy as np
+
+    r = random.Random(k)
+    text = "".join(r.choices(letters, k=400))
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    rows, n = R.distinct_windows(points, np.arange(len(text) - k + 1), k)
+    want = {}
+    for i in range(len(text) - k + 1):
+        want[text[i : i + k]] = want.get(text[i : i + k], 0) + 1
+    assert dict(zip(R.strings_of(rows).to_pylist(), n.tolist())) == want
+
