@@ -232,18 +232,21 @@ def g27(spark, sf):
     return G.walk_ends(G.walks_of(G.unitigs(e)), e)
 
 
-@query("g28_random_graph", """WITH RECURSIVE sd AS (SELECT unnest(range(11, 31)) AS seed), dr AS (SELECT seed, i, ('0x' || md5(seed || ':' || i)[1:8])::BIGINT % 40 AS src, ('0x' || md5(seed || ':' || i)[9:16])::BIGINT % 40 AS dst FROM sd, range(0, 320) t(i)),
-u AS (SELECT seed, src, dst, min(i) AS i FROM dr WHERE src <> dst GROUP BY seed, src, dst), k AS (SELECT seed, src, dst FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY i) AS r FROM u) WHERE r <= 160),
+@query("g28_random_graph", """WITH RECURSIVE sz AS (SELECT count(*)::BIGINT AS n FROM supplier), sd AS (SELECT unnest(range(11, 31)) AS seed),
+dr AS (SELECT seed, n, i, ('0x' || md5(seed || ':' || i)[1:8])::BIGINT % n AS src, ('0x' || md5(seed || ':' || i)[9:16])::BIGINT % n AS dst FROM sd, (SELECT n, unnest(range(0, 20 * n)) AS i FROM sz)),
+u AS (SELECT seed, n, src, dst, min(i) AS i FROM dr WHERE src <> dst GROUP BY ALL), k AS (SELECT seed, src, dst FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY i) AS r FROM u) WHERE r <= 10 * n),
 rc AS (SELECT seed, src AS a, dst AS b FROM k UNION SELECT rc.seed, rc.a, k.dst FROM rc JOIN k ON k.seed = rc.seed AND k.src = rc.b),
-ok AS (SELECT seed FROM rc GROUP BY seed HAVING count(*) = 1600)
+ok AS (SELECT seed FROM rc GROUP BY seed HAVING count(*) = (SELECT n * n FROM sz))
 SELECT src, dst FROM k WHERE seed = (SELECT min(seed) FROM ok)""")
 def g28(spark, sf):
-    return G.random_strong_arcs(spark, 40, 4.0, 11)
+    """A random graph with a node for each supplier."""
+    return G.random_strong_arcs(spark, table(spark, sf, "supplier").count(), 10.0, 11)
 
 
-@query("g31_unhamiltonian", "SELECT * FROM (VALUES (0::BIGINT, 1::BIGINT), (1, 0), (1, 2), (2, 1)) t(src, dst)")
+@query("g31_unhamiltonian", "SELECT n_nationkey::BIGINT AS graph, src, dst FROM nation, (VALUES (0::BIGINT, 1::BIGINT), (1, 0), (1, 2), (2, 1)) t(src, dst)")
 def g31(spark, sf):
-    return G.unhamiltonian(spark)
+    """A dummy graph for each nation."""
+    return table(spark, sf, "nation").select(c("n_nationkey").cast("bigint").alias("graph")).crossJoin(F.broadcast(G.unhamiltonian(spark)))  # four rows
 
 
 NG = "a AS (SELECT DISTINCT c_nationkey::BIGINT AS src, s_nationkey::BIGINT AS dst FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE c_nationkey <> s_nationkey)"
