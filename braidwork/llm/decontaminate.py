@@ -185,33 +185,40 @@ def automaton_of(key: str, block: list[tuple[int, list[bytes]]], window: int) ->
 
 
 FOUND = "n_words bigint, starts array<bigint>, ends array<bigint>, items array<bigint>"
+CLEAN = ", clean string"
 
 
-def scan_block(rows: DataFrame, block: list[tuple[int, list[bytes]]], window: int, keep: tuple[str, ...]) -> DataFrame:
-    """FOUND and the columns in keep for every row of rows (text, …): hit word spans and items of one block. The broadcast holds at most BLOCK_WORDS words, or one item."""
+def scan_block(rows: DataFrame, block: list[tuple[int, list[bytes]]], window: int, keep: tuple[str, ...], cut: bool = False) -> DataFrame:
+    """FOUND and the columns in keep for every row of rows (text, …): hit word spans and items of one block; with cut also `clean`, the text without the spans. The broadcast holds at most BLOCK_WORDS words, or one item."""
     sent, key = rows.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
     def make():
         automaton = automaton_of(key, sent.value, window)
 
         def each(rows):
-            out = {k: [] for k in ("n_words", "starts", "ends", "items")}
+            out = {k: [] for k in ("n_words", "starts", "ends", "items", "clean")}
             for text in rows["text"]:
                 seq = words(text)
                 spans, found = automaton.scan(seq)
-                out["n_words"].append(len(seq))
-                out["starts"].append([a for a, _ in spans])
-                out["ends"].append([b for _, b in spans])
-                out["items"].append(sorted(found))
+                add(out, text, len(seq), spans, found, cut)
             return out
 
         return each
 
-    return common.map_rows(rows, make, FOUND, keep=keep, read=("text",))
+    return common.map_rows(rows, make, FOUND + CLEAN * cut, keep=keep, read=("text",))
 
 
-def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, text, n_words, starts and ends (hit word spans), items, and the other columns of docs packed, for every row of docs.
+def add(out: dict[str, list], text: str | None, n_words: int, spans: list[tuple[int, int]], items: Iterable[int], cut: bool) -> None:
+    out["n_words"].append(n_words)
+    out["starts"].append([a for a, _ in spans])
+    out["ends"].append([b for _, b in spans])
+    out["items"].append(sorted(items))
+    if cut:
+        out["clean"].append(without(text, spans) if spans else text)
+
+
+def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, cut: bool = False) -> DataFrame:
+    """doc_id, text, n_words, starts and ends (hit word spans), items, and the other columns of docs packed, for every row of docs; with cut, `clean` (the text without the spans, made in the same pass) in place of text.
 
     A null or empty text has no words; items without words are never found; with an empty benchmark nothing is
     hit; rows that repeat an id, and those with a null one, get a row each. One block of items takes one pass without
@@ -219,12 +226,12 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     documents by the hash of the text.
     """
     rows = common.packed(docs, "doc_id", "text")
-    keep = ("doc_id", "text", common.REST)
+    keep = ("doc_id", common.REST) if cut else ("doc_id", "text", common.REST)
     blocks = item_blocks(benchmark, block_words)
     first = next(blocks, [])
     second = next(blocks, None)
     if second is None:
-        return scan_block(rows, first, window, keep)
+        return scan_block(rows, first, window, keep, cut)
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
     texts, hits = rows.select("text", digest.alias("h")), []
     for block in itertools.chain([first, second], blocks):
@@ -235,18 +242,14 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
     def make():
         def each(rows):
-            out = {k: [] for k in ("n_words", "starts", "ends", "items")}
+            out = {k: [] for k in ("n_words", "starts", "ends", "items", "clean")}
             for text, a, b, items in zip(rows["text"], rows["all_starts"], rows["all_ends"], rows["all_items"]):
-                spans = merged(sorted(zip(a or [], b or [])))
-                out["n_words"].append(len(words(text)))
-                out["starts"].append([x for x, _ in spans])
-                out["ends"].append([x for _, x in spans])
-                out["items"].append(sorted(set(items or [])))
+                add(out, text, len(words(text)), merged(sorted(zip(a or [], b or []))), set(items or []), cut)
             return out
 
         return each
 
-    return common.map_rows(joined, make, FOUND, keep=keep, read=("text", "all_starts", "all_ends", "all_items"))
+    return common.map_rows(joined, make, FOUND + CLEAN * cut, keep=keep, read=("text", "all_starts", "all_ends", "all_items"))
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -286,25 +289,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     n_chars, where there is such a column, follows the text. Null and empty texts stay as they are; repeated rows and
     null ids are treated like any others; an empty table gives none.
     """
-    found = scan_documents(docs, benchmark, window)
+    found = scan_documents(docs, benchmark, window, cut=True)
     hit = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("bigint"), lambda a, x: a + x)
     rule = hit <= F.col("n_words") * F.lit(max_share)
     if max_words is not None:
         rule &= hit <= max_words
-
-    def make():
-        def each(rows):
-            spans = ([*zip(a, b)] for a, b in zip(rows["starts"], rows["ends"]))
-            return {"clean": [without(t, s) if s else t for t, s in zip(rows["text"], spans)]}
-
-        return each
-
-    cut = common.map_rows(found.filter(rule), make, "clean string", keep=("doc_id", "starts", common.REST), read=("text", "starts", "ends"))
     own = {"doc_id": F.col("doc_id"), "text": F.col("clean")}
     if "n_chars" in docs.columns:
         given = F.col(common.REST).getField("n_chars")
         own["n_chars"] = F.when(F.size("starts") > 0, F.length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(given)
-    return common.unpacked(cut, docs.columns, own)
+    return common.unpacked(found.filter(rule), docs.columns, own)
 
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:
