@@ -99,3 +99,10 @@ def range_index(column: Column, at: list[int]) -> Column:
     cuts_ = F.expr(f"array({', '.join(f'{x}L' if x > -(1 << 63) else 'long(-9223372036854775808)' for x in at)})")
     powers = F.array(*(F.lit(1 << k) for k in reversed(range(len(at).bit_length()))))
     return F.aggregate(powers, F.lit(0), lambda place, p: F.when(F.get(cuts_, place + p - 1) <= column, place + p).otherwise(place))
+
+
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of the driver as a table, by way of Arrow: no Python worker has to start for them on the executors."""
+    arrow = arrow_schema(T._parse_datatype_string(schema))
+    columns = zip(*rows) if rows else [()] * len(arrow)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow), schema)

@@ -97,7 +97,7 @@ def shares_table(sums: DataFrame, target: dict[str, float] | None, power: float)
     if target is None:
         raised = sums.select("value", F.pow(F.col("n").cast("double"), F.lit(power)).alias("raised"))
     else:
-        given = sums.sparkSession.createDataFrame([(k, float(v)) for k, v in target.items()], "value string, given double")
+        given = common.local_table(sums.sparkSession, [(k, float(v)) for k, v in target.items()], "value string, given double")
         joined = sums.join(given, "value", "left")
         known, rest = joined.agg(F.sum("given"), F.sum(F.when(F.col("given").isNull(), F.col("n")))).first()
         left = max(0.0, 1.0 - (known or 0.0)) if rest else 0.0
@@ -131,7 +131,7 @@ def rake_table(cells: DataFrame, targets: list[dict[str, float] | DataFrame], pa
         return out.select(*columns, "n", F.exp(sum((F.col(f"log{d}") for d in columns[1:]), F.col(f"log{columns[0]}"))).alias("factor"))
 
     for d, target in zip(columns, targets):
-        share = target if isinstance(target, DataFrame) else spark.createDataFrame([(k, float(v)) for k, v in target.items()], "value string, share double")
+        share = target if isinstance(target, DataFrame) else common.local_table(spark, [(k, float(v)) for k, v in target.items()], "value string, share double")
         share = share.select(F.col("value").alias(d), (F.col("share") * total).alias("want"), F.lit(0.0).alias(f"log{d}"), F.lit(0.0).alias("off"))
         table, path = write(share)
         tables.append(table)
@@ -213,7 +213,7 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, sha
     if small:
         factor = rake(rows, wanted)
         p = calibrated(rows, factor, share)
-        weights = F.broadcast(spark.createDataFrame([(*r[:3], float(f), float(q)) for r, f, q in zip(rows, factor, p)], "_source string, _lang string, _topic string, _weight double, _probability double"))
+        weights = F.broadcast(common.local_table(spark, [(*r[:3], float(f), float(q)) for r, f, q in zip(rows, factor, p)], "_source string, _lang string, _topic string, _weight double, _probability double"))
     else:
         raked = common.stored(rake_table(cells, wanted), "raked")
         weights = calibrated_table(raked, share).select("_source", "_lang", "_topic", F.col("factor").alias("_weight"), "_probability")

@@ -287,7 +287,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
     made.write.option("compression", "zstd").parquet(held_at)
     tokens = spark.read.schema(made.schema).parquet(held_at)
     id_of = ranking(tokens, size)
-    spark.createDataFrame(list(enumerate(id_of.tolist())), "rank bigint, id bigint").coalesce(1).write.parquet(f"{path}/ranks")
+    common.local_table(spark, list(enumerate(id_of.tolist())), "rank bigint, id bigint").coalesce(1).write.parquet(f"{path}/ranks")
     tokens = tokens.filter("ids IS NOT NULL").select("doc_id", "n", "ids")
     rank_of = np.empty(size, np.uint32)
     rank_of[id_of] = np.arange(size, dtype=np.uint32)
