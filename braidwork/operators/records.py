@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from braidwork import session
 from braidwork.functions import seq as S
 
 
@@ -38,11 +39,12 @@ def uniquify(records: DataFrame) -> DataFrame:
 
 
 def with_ordinal(df: DataFrame, *order: str, parts: int | None = None) -> DataFrame:
-    """df with ordinal, the 0-based position in ascending order: range partitions are counted first, then numbered within."""
+    """df with ordinal, the 0-based position in ascending order: range partitions are counted first, then numbered within. They are written once: dealt again, ranges would be cut by another sample."""
     n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
     # the id holds the partition number above bit 33; ids ascend with the order
     dealt = dealt.withColumns({"_part": F.shiftright("_place", 33), "_at": F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))})
+    dealt = session.stored(dealt, "dealt")
     sizes = dealt.groupBy("_part").agg(F.count("*").alias("n"))
     before = sizes.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))  # a row per partition
     return dealt.join(F.broadcast(before), "_part").withColumn("ordinal", F.col("_before") + F.col("_at")).drop("_place", "_part", "_at", "_before")

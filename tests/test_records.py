@@ -88,6 +88,13 @@ def test_ordinals_and_downsampling(spark):
     assert len(a) == 123 and {r.rec_ix for r in a} == {r.rec_ix for r in b}
 
 
+def test_ordinals_of_more_rows_than_a_sample_holds(spark):
+    df = spark.range(60_000).select(c("id").alias("rec_ix"), c("id").cast("string").alias("id")).repartition(5)
+    got = R.with_ordinal(df, "rec_ix")
+    assert (got.count(), got.filter("ordinal <> rec_ix").count()) == (60_000, 0)
+    assert R.uniquify(df).filter("id <> concat(rec_ix, '_', rec_ix)").count() == 0
+
+
 def test_cut_reads_come_from_the_reference(spark):
     text = "".join(random.Random(3).choices("ACGT", k=2000))
     df = spark.createDataFrame([(0, "ref", text)], "rec_ix long, id string, seq string")
