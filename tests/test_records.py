@@ -153,3 +153,8 @@ def test_windows_as_integers_and_as_rows(letters, k):
         want[text[i : i + k]] = want.get(text[i : i + k], 0) + 1
     assert dict(zip(R.strings_of(rows).to_pylist(), n.tolist())) == want
 
+
+
+def test_downsampling_of_more_rows_than_a_sample_holds(spark):
+    df = spark.range(60_000).select(c("id").alias("rec_ix"), c("id").cast("string").alias("id")).repartition(5)
+    assert R.downsample(df, 0.3).count() == 18_000
