@@ -151,7 +151,7 @@ def f22(spark, sf):
 def f23(spark, sf):
     factor = F.when(c("l_discount") > 0, c("l_discount"))
     source = F.when(c("l_returnflag") == "R", "hisim_x").otherwise("real")
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", S.scaled(F.floor("l_extendedprice"), F.when(factor.isNotNull(), factor * c("l_extendedprice") / F.floor("l_extendedprice"))).alias("mem"), S.scaled_time(c("l_quantity"), factor, source).alias("time"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", S.scaled(c("l_extendedprice"), factor).alias("mem"), S.scaled_time(c("l_quantity"), factor, source).alias("time"))
 
 
 @query("f24_queues", """SELECT CASE WHEN o_totalprice >= 250000 THEN CASE WHEN t <= 4320 THEN 'bigmem,aurinko' ELSE 'aurinko' END WHEN t <= 480 THEN 'short,medium,bigmem,aurinko'

@@ -158,3 +158,13 @@ def test_windows_as_integers_and_as_rows(letters, k):
 def test_downsampling_of_more_rows_than_a_sample_holds(spark):
     df = spark.range(60_000).select(c("id").alias("rec_ix"), c("id").cast("string").alias("id")).repartition(5)
     assert R.downsample(df, 0.3).count() == 18_000
+
+
+def test_scaled_memory_is_rounded_once(spark, tmp_path):
+    from braidwork.plans import catalog
+
+    # the last ones: a whole product, and a share of the whole price first would fall below it
+    rows = [(1, 1, 100.75, 0.04, 3.0, "N"), (2, 1, 10.5, 0.0, 3.0, "R"), (3, 1, 40962.5, 0.08, 20.0, "N"), (4, 1, 84087.5, 0.08, 5.0, "N")]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_extendedprice double, l_discount double, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.l_orderkey: r.mem for r in catalog.queries()["f23_scaling"](spark, str(tmp_path)).collect()}
+    assert got == {k: int(d * p) if d else int(p) for k, _, p, d, _, _ in rows}
