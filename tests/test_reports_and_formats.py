@@ -196,3 +196,12 @@ def test_yaml(tmp_path):
     pytest.importorskip("yaml")
     (tmp_path / "c.yml").write_text("reports:\n  a: [1, {b: null}]\n")
     assert P.expand_matrix(S.read_yaml(str(tmp_path / "c.yml"))["reports"]) == [{"a": 1}, {"a": "b"}]
+
+
+def test_metric_of_lines_at_one_place_is_that_of_the_first(spark, tmp_path):
+    from braidwork.plans import catalog
+
+    rows = [(i, 1, 5, "A", float(q)) for i in range(50) for q in ((7, 9) if i % 2 else (9, 7))]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string, l_quantity double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.source: r.value for r in catalog.queries()["r15_metric_pairs"](spark, str(tmp_path)).filter("title = 'A/R'").collect()}
+    assert got == {i: "7/N/A" if i % 2 else "9/N/A" for i in range(50)}
