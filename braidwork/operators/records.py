@@ -147,6 +147,59 @@ def kmer_table(records: DataFrame, k: int) -> DataFrame:
     return records.select("seq").mapInArrow(run, "kmer string, n bigint")
 
 
+def record_kmers(records: DataFrame, k: int) -> DataFrame:
+    """(rec_ix, kmer, m): the distinct k-mers of each record and how often it has them; no row where it is shorter than k. A long record gives a k-mer once for each SLICE of its places.
+
+    Records of a batch are counted together: letters are coded, and record and window are one integer where they fit.
+    """
+    kind = dict(records.dtypes)["rec_ix"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size = [], 0
+            for i in range(batch.num_rows + 1):
+                seq = batch.column(1)[i].as_py() if i < batch.num_rows else None
+                if seq and len(seq) >= k:
+                    held.append((i, seq))
+                    size += len(seq)
+                if not held or size < SLICE and i < batch.num_rows:
+                    continue
+                text = "".join(x for _, x in held)
+                points = np.frombuffer(text.encode("ascii"), np.uint8) if text.isascii() else np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+                lengths = np.array([len(x) for _, x in held])
+                good = np.ones(len(points), bool)
+                for end in np.cumsum(lengths):
+                    good[max(end - k + 1, 0) : end] = False  # windows that would reach into the next record
+                owner = np.repeat(np.arange(len(held)), lengths)
+                places = np.flatnonzero(good)
+                rows = pa.array([j for j, _ in held], pa.int64())
+                for a in range(0, len(places), SLICE):
+                    of, kmers, m = owned_windows(points, owner, places[a : a + SLICE], k)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows.take(pa.array(of))), strings_of(kmers), pa.array(m, pa.int64())], names=["rec_ix", "kmer", "m"])
+                held, size = [], 0
+
+    return records.select("rec_ix", "seq").mapInArrow(run, f"rec_ix {kind}, kmer string, m bigint")
+
+
+def owned_windows(points: np.ndarray, owner: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """distinct_windows() by owner of their start: (owner, window, count)."""
+    letters, coded = np.unique(points, return_inverse=True)
+    bits = max(1, (len(letters) - 1).bit_length())
+    who = owner[starts].astype(np.uint64)
+    if bits * k + int(who.max()).bit_length() > 64:
+        # windows get numbers first
+        windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(points, k)[starts])
+        values, code = np.unique(windows.view(f"V{windows.itemsize * k}").ravel(), return_inverse=True)
+        packed, n = np.unique(who * np.uint64(len(values)) + code.astype(np.uint64), return_counts=True)
+        return (packed // len(values)).astype(np.int64), np.frombuffer(values.tobytes(), points.dtype).reshape(-1, k)[(packed % len(values)).astype(np.int64)], n
+    packed = who
+    for j in range(k):
+        packed = packed << np.uint64(bits) | coded[starts + j].astype(np.uint64)
+    values, n = np.unique(packed, return_counts=True)
+    shifts = np.array([bits * (k - 1 - j) for j in range(k)], np.uint64)
+    return (values >> np.uint64(bits * k)).astype(np.int64) if bits * k < 64 else np.zeros(len(values), np.int64), letters[(values[:, None] >> shifts & np.uint64((1 << bits) - 1)).astype(np.int64)], n
+
+
 def kmer_counts(records: DataFrame, k: int, symmetric: bool = False) -> DataFrame:
     """(kmer, n); symmetric counts a k-mer and its reverse complement as one: after counting, so each distinct k-mer is turned once."""
     counts = kmer_table(records, k).groupBy("kmer").agg(F.sum("n").alias("n"))
@@ -160,9 +213,9 @@ def kmer_histogram(counts: DataFrame, cap: int = 10_000, weighted: bool = False)
 
 
 def kmer_profile(records: DataFrame, counts: DataFrame, k: int) -> DataFrame:
-    """(rec_ix, n_kmers, total): of each record's k-mers the number and the sum of their counts."""
-    each = records.select("rec_ix", F.explode(S.kmers(F.col("seq"), k)).alias("kmer"))
-    own = each.groupBy("rec_ix", "kmer").agg(F.count("*").alias("m"))
+    """(rec_ix, n_kmers, total): of each record's k-mers the number and the sum of their counts. Counts are written first: where they are few, Spark sends them to the records' tasks and no k-mer is shuffled."""
+    counts = session.stored(counts, "counts")
+    own = record_kmers(records, k)
     return own.join(counts, "kmer").groupBy("rec_ix").agg(F.sum("m").alias("n_kmers"), F.sum(F.col("m") * F.col("n")).alias("total"))
 
 
@@ -182,8 +235,9 @@ def kmer_validation(contigs: DataFrame, reference: DataFrame, k: int) -> DataFra
 
 def contig_shares(contigs: DataFrame, reference: DataFrame, k: int) -> DataFrame:
     """One row: n_contigs, and in percent exact (contigs all of whose k-mers are in the reference) and aligned (contigs of which some are). Contigs shorter than k count as neither."""
-    known = kmer_table(reference, k).select("kmer").distinct().withColumn("known", F.lit(True))
-    own = contigs.select("rec_ix", F.explode(S.kmers(F.col("seq"), k)).alias("kmer")).distinct()
+    known = session.stored(kmer_table(reference, k).select("kmer").distinct().withColumn("known", F.lit(True)), "known")
+    # a k-mer that comes once for each slice of a long record is either known each time or not
+    own = record_kmers(contigs, k)
     per = own.join(known, "kmer", "left").groupBy("rec_ix").agg(F.count("*").alias("n"), F.count("known").alias("m"))
     met = per.agg(F.count_if(F.col("m") == F.col("n")).alias("e"), F.count_if(F.col("m") > 0).alias("al"))
     every = contigs.agg(F.count("*").alias("n_contigs"))

@@ -168,3 +168,12 @@ def test_scaled_memory_is_rounded_once(spark, tmp_path):
     spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_extendedprice double, l_discount double, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {r.l_orderkey: r.mem for r in catalog.queries()["f23_scaling"](spark, str(tmp_path)).collect()}
     assert got == {k: int(d * p) if d else int(p) for k, _, p, d, _, _ in rows}
+
+
+@pytest.mark.parametrize("k", [1, 3, 9, 40])
+def test_kmers_of_records(spark, k, monkeypatch):
+    r = random.Random(k)
+    texts = ["".join(r.choices(s, k=r.randrange(60))) for s in ("ACGT", "AC", "abcdefghijklmnopqrstuvwxyz \n", "é😀x") for _ in range(5)] + ["", None, "A" * 50]
+    df = spark.createDataFrame([(7 * i, t) for i, t in enumerate(texts)], "rec_ix long, seq string").coalesce(1)
+    want = Counter((7 * i, t[j : j + k]) for i, t in enumerate(texts) if t for j in range(len(t) - k + 1))
+    assert {(x.rec_ix, x.kmer): x.m for x in R.record_kmers(df, k).collect()} == want
