@@ -10,7 +10,9 @@ Results don't depend on the size of the chunks, 1 included. Null sequences are e
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,24 +24,41 @@ from braidwork.operators import records as R
 c = F.col
 SIZE, OVERLAP = 1 << 20, 64
 SCHEMA = "rec_ix bigint, chunk bigint, before string, seq string, after string"
+#: Rows and characters (places) of a batch that a task hands back: short chunks go many at a time, long ones don't fill its memory.
+BATCH_ROWS, BATCH_SIZE = 8192, 1 << 22
 
 
 def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
 
+def _batched(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Rows as batches; the last column of a row tells its size."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1])
+        if len(held) >= BATCH_ROWS or size >= BATCH_SIZE:
+            yield _batch(held, names, kinds)
+            held, size = [], 0
+    if held:
+        yield _batch(held, names, kinds)
+
+
 def chunked(records: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """The chunks of records (rec_ix, seq). One scan of each."""
-    names, kinds = ["rec_ix", "chunk", "before", "seq", "after"], [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+    names, kinds = ["rec_ix", "chunk", "before", "after", "seq"], [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
 
-    def run(batches):
+    def cut(batches):
         for batch in batches:
             for rec, cell in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = cell.as_py() or ""
-                step = max(1, (1 << 22) // size)
-                starts = range(0, len(text), size)
-                for k in range(0, len(starts), step):
-                    yield _batch([(rec, a // size, text[max(a - overlap, 0) : a], text[a : a + size], text[a + size : a + size + overlap]) for a in starts[k : k + step]], names, kinds)
+                for a in range(0, len(text), size):
+                    yield rec, a // size, text[max(a - overlap, 0) : a], text[a + size : a + size + overlap], text[a : a + size]
+
+    def run(batches):
+        for batch in _batched(cut(batches), names, kinds):
+            yield batch.select(["rec_ix", "chunk", "before", "seq", "after"])
 
     return records.select(c("rec_ix").cast("bigint"), "seq").mapInArrow(run, SCHEMA)
 
@@ -47,20 +66,18 @@ def chunked(records: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> Dat
 def rechunked(fragments: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """The chunks of records given as fragments (rec_ix, offset, seq) of any lengths that cover each record once. A group is put together from what lies in one chunk and its overlaps."""
 
-    def run(batches):
+    def cut(batches):
         for batch in batches:
             for rec, at, cell in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 text = cell.as_py() or ""
                 first, last = max(at - overlap, 0) // size, (at + len(text) - 1 + overlap) // size
-                rows = []
                 for i in range(first, last + 1) if text else ():
                     low, high = max(i * size - overlap, at), min((i + 1) * size + overlap, at + len(text))
                     if low < high:
-                        rows.append((rec, i, low, text[low - at : high - at]))
-                    if len(rows) == 4096:
-                        yield _batch(rows, ["rec_ix", "chunk", "at", "part"], [pa.int64(), pa.int64(), pa.int64(), pa.string()])
-                        rows = []
-                yield _batch(rows, ["rec_ix", "chunk", "at", "part"], [pa.int64(), pa.int64(), pa.int64(), pa.string()])
+                        yield rec, i, low, text[low - at : high - at]
+
+    def run(batches):
+        return _batched(cut(batches), ["rec_ix", "chunk", "at", "part"], [pa.int64(), pa.int64(), pa.int64(), pa.string()])
 
     parts = fragments.select(c("rec_ix").cast("bigint"), c("offset").cast("bigint"), "seq").mapInArrow(run, "rec_ix bigint, chunk bigint, at bigint, part string")
     whole = parts.groupBy("rec_ix", "chunk").agg(F.min("at").alias("low"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "part"))), lambda x: x["part"]), "").alias("text"))
@@ -190,17 +207,27 @@ def homopolymer_compress(chunks: DataFrame) -> DataFrame:
 
 def runs(chunks: DataFrame, size: int = SIZE) -> DataFrame:
     """(rec_ix, chunk, first, starts): the 0-based places, in the raw record, of the runs that start in each chunk, and how many runs start before it: what the compressed place `first` + i is in the raw sequence. A leading run of N counts. Needs an overlap of 1."""
-    schema = pa.schema([("rec_ix", pa.int64()), ("chunk", pa.int64()), ("starts", pa.list_(pa.int64()))])
-    run = re.compile(r"(.)\1*", re.S)
-
     def each(batches):
         for batch in batches:
-            for rec, chunk, before, cell in zip(*(batch.column(i) for i in range(4))):
-                text, last, at = cell.as_py(), before.as_py()[-1:], chunk.as_py() * size
-                starts = [at + m.start() for m in run.finditer(text) if m.start() or m[1] != last]
-                yield pa.RecordBatch.from_arrays([pa.array([rec.as_py()], pa.int64()), pa.array([chunk.as_py()], pa.int64()), pa.array([starts], schema.field(2).type)], schema=schema)
-
-    found = chunks.select("rec_ix", "chunk", "before", "seq").mapInArrow(each, "rec_ix bigint, chunk bigint, starts array<bigint>")
+            rows, held, n = [], [], 0
+            for i in range(batch.num_rows + 1):
+                if held and (n >= BATCH_SIZE or i == batch.num_rows):
+                    ends = np.concatenate([[0], np.cumsum([len(x) for x in held])]).astype(np.int32)
+                    starts = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(held)))
+                    at = pa.array(rows, pa.int64())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), starts], names=["rec_ix", "chunk", "starts"])
+                    rows, held, n = [], [], 0
+                if i < batch.num_rows:
+                    last, text = batch.column(2)[i].as_py()[-1:], batch.column(3)[i].as_py()
+                    points = np.frombuffer((last + text).encode("utf-32-le", "surrogatepass"), "<u4")
+                    own = np.flatnonzero(points[1:] != points[:-1]) + (0 if last else 1)
+                    own = own if last or not text else np.concatenate([[0], own])
+                    rows.append(i)
+                    held.append(own.astype(np.int64) + batch.column(1)[i].as_py() * size)
+                    n += len(own)
+
+    # written, as it is read twice
+    found = session.stored(chunks.select("rec_ix", "chunk", "before", "seq").mapInArrow(each, "rec_ix bigint, chunk bigint, starts array<bigint>"), "starts")
     before = F.sum(F.size("starts")).over(Window.partitionBy("rec_ix").orderBy("chunk"))
     counts = found.select("rec_ix", "chunk", (before - F.size("starts")).alias("first"))
     return found.join(counts, ["rec_ix", "chunk"])
@@ -219,8 +246,8 @@ def to_raw(places: DataFrame, found: DataFrame, raw: DataFrame, size: int = SIZE
     return known.unionByName(beyond)
 
 
-def break_at_gaps(chunks: DataFrame, min_length: int, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
-    """(rec_ix, offset, length) of the pieces between runs of N or -, upper case, of min_length or more, and (rec_ix, offset, at, part): their parts, chunk by chunk, with their places in the record.
+def gap_parts(chunks: DataFrame, min_length: int, size: int = SIZE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rec_ix, offset, part) of the pieces that lie inside a chunk; (rec_ix, offset, length) of those over borders, and (rec_ix, offset, at, part), their parts. Pieces are what break_at_gaps() tells. Parts are found once and written.
 
     A part that starts right at its chunk's border goes on a piece where the character before is no gap; which one is
     told by the last part that starts anew, over the parts at borders alone. Another character than ACGTN- fails the
@@ -229,27 +256,46 @@ def break_at_gaps(chunks: DataFrame, min_length: int, size: int = SIZE) -> tuple
     piece = re.compile("[^N-]+")
     names, kinds = ["rec_ix", "at", "end", "anew", "ends", "part"], [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.string()]
 
-    def run(batches):
+    unknown = re.compile("[^ACGTN-]")
+
+    def cut(batches):
         for batch in batches:
-            for rec, chunk, before, cell, after in zip(*(batch.column(i) for i in range(5))):
-                text = cell.as_py().upper()
-                if re.search("[^ACGTN-]", text):
+            for rec, chunk, before, text, after in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                text = text.upper()
+                if unknown.search(text):
                     raise ValueError("unknown character")
-                at = chunk.as_py() * size
-                left, right = before.as_py()[-1:].upper() not in ("", "N", "-"), after.as_py()[:1].upper() not in ("", "N", "-")
-                found = [(rec.as_py(), at + m.start(), at + m.end(), not (m.start() == 0 and left), not (m.end() == len(text) and right), m[0]) for m in piece.finditer(text)]
-                yield _batch([x for x in found if not (x[3] and x[4]) or x[2] - x[1] >= min_length], names, kinds)
+                at = chunk * size
+                left, right = before[-1:].upper() not in ("", "N", "-"), after[:1].upper() not in ("", "N", "-")
+                for m in piece.finditer(text):
+                    anew, ends = not (m.start() == 0 and left), not (m.end() == len(text) and right)
+                    if not (anew and ends) or m.end() - m.start() >= min_length:
+                        yield rec, at + m.start(), at + m.end(), anew, ends, m[0]
+
+    def run(batches):
+        return _batched(cut(batches), names, kinds)
 
-    parts = chunks.mapInArrow(run, "rec_ix bigint, at bigint, end bigint, anew boolean, ends boolean, part string")
+    parts = session.stored(chunks.mapInArrow(run, "rec_ix bigint, at bigint, end bigint, anew boolean, ends boolean, part string"), "parts")
     whole = c("anew") & c("ends")
     on_border = parts.filter(~whole).select("rec_ix", "at", "end", "anew")
     start = F.last(F.when(c("anew"), c("at")), ignorenulls=True).over(Window.partitionBy("rec_ix").orderBy("at"))
     named = on_border.withColumn("offset", start)
     pieces = named.groupBy("rec_ix", "offset").agg(F.sum(c("end") - c("at")).alias("length")).filter(c("length") >= min_length)
     border_parts = parts.filter(~whole).join(named.select("rec_ix", "at", "offset").join(pieces.select("rec_ix", "offset"), ["rec_ix", "offset"], "left_semi"), ["rec_ix", "at"])
-    own = parts.filter(whole)
-    every = own.select("rec_ix", c("at").alias("offset"), (c("end") - c("at")).alias("length")).unionByName(pieces)
-    return every, own.select("rec_ix", c("at").alias("offset"), "at", "part").unionByName(border_parts.select("rec_ix", "offset", "at", "part"))
+    return parts.filter(whole).select("rec_ix", c("at").alias("offset"), "part"), pieces, border_parts.select("rec_ix", "offset", "at", "part")
+
+
+def break_at_gaps(chunks: DataFrame, min_length: int, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
+    """(rec_ix, offset, length) of the pieces between runs of N or -, upper case, of min_length or more, and (rec_ix, offset, at, part): their parts, chunk by chunk, with their places in the record."""
+    own, pieces, parts = gap_parts(chunks, min_length, size)
+    every = own.select("rec_ix", "offset", F.length("part").cast("bigint").alias("length")).unionByName(pieces)
+    return every, own.select("rec_ix", "offset", c("offset").alias("at"), "part").unionByName(parts)
+
+
+def gap_pieces(chunks: DataFrame, min_length: int, size: int = SIZE) -> DataFrame:
+    """(rec_ix, offset, piece) of break_at_gaps(): only pieces over borders are put together from parts."""
+    own, _, parts = gap_parts(chunks, min_length, size)
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("at", "part"))), lambda x: x["part"])
+    return own.withColumnRenamed("part", "piece").unionByName(parts.groupBy("rec_ix", "offset").agg(F.array_join(ordered, "").alias("piece")))
 
 
 def kmer_counts(chunks: DataFrame, k: int, size: int = SIZE, overlap: int = OVERLAP, symmetric: bool = False) -> DataFrame:

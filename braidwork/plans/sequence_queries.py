@@ -277,9 +277,7 @@ def f18_chunked(spark, sf):
     """The pieces put together again from their parts."""
     letters = "abcdefghijklmnopqrstuvwxyz "
     seq = F.translate(F.regexp_replace(F.lower("seq"), "[^a-z ]", ""), letters, ("ACGT" * 7)[:26] + "N")
-    _, parts = C.break_at_gaps(C.chunked(records(spark, sf).select("rec_ix", seq.alias("seq")), PART, 1), 6, PART)
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("at", "part"))), lambda x: x["part"])
-    return parts.groupBy("rec_ix", "offset").agg(F.array_join(ordered, "").alias("piece"))
+    return C.gap_pieces(C.chunked(records(spark, sf).select("rec_ix", seq.alias("seq")), PART, 1), 6, PART)
 
 
 @query("k1_chunked_kmer_counts", ORACLES["k1_kmer_counts"])

@@ -1,6 +1,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +119,19 @@ def test_fasta_in_splits(spark, tmp_path, split):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
         spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+
+
+def test_short_chunks_go_back_many_at_a_time():
+    """A batch per chunk costs more than the chunk's work."""
+    rows = [(1, k, "A" * 97) for k in range(10_000)]
+    names, kinds = ["rec_ix", "chunk", "seq"], [pa.int64(), pa.int64(), pa.string()]
+    assert [b.num_rows for b in C._batched(iter(rows), names, kinds)] == [C.BATCH_ROWS, 10_000 - C.BATCH_ROWS]
+    long = [(1, k, "A" * C.BATCH_SIZE) for k in range(3)]
+    assert [b.num_rows for b in C._batched(iter(long), names, kinds)] == [1, 1, 1]
+
+
+@pytest.mark.parametrize("size", [1, 2, 5])
+def test_gap_pieces_are_those_of_whole_records(spark, size):
+    r = spark.createDataFrame([(1, "ACGTNNACG-TTTT"), (2, "NNN"), (3, ""), (4, "acgtacgtacgt")], "rec_ix long, seq string")
+    got = C.gap_pieces(C.chunked(r, size, 1), 3, size)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, R.break_at_gaps(r, 3).collect()))
