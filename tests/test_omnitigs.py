@@ -53,3 +53,20 @@ def test_a_loop_is_a_circle(spark):
     df = spark.createDataFrame([(3, 3), (3, 3)], "src long, dst long")
     assert [tuple(x) for x in O.omnitigs(df).collect()] == [(3, 0, 1, "3 3")]
     assert len(set(G.tarjan([3], [3]).values())) == 1
+
+
+def test_rows_and_tables_search_alike(spark, monkeypatch):
+    """Nodes reached are rows in large components alone."""
+    r = random.Random(5)
+    parts = {100 * i: component(r, 100 * i, 8, 12) for i in range(3)}
+    df = spark.createDataFrame([x for p in parts.values() for x in p], "src long, dst long")
+    written = []
+    stored = O.session.stored
+    monkeypatch.setattr(O.session, "stored", lambda df, label="table": written.append(label) or stored(df, label))
+    rows = sorted(map(tuple, O.omnitigs(df).collect()))
+    assert "front" not in written
+    monkeypatch.setattr(O, "ROW_LETTERS", 2)
+    assert sorted(map(tuple, O.omnitigs(df).collect())) == rows
+    monkeypatch.setattr(O, "TASK_LETTERS", 3)
+    assert sorted(map(tuple, O.omnitigs(df).collect())) == rows
+    assert "front" in written
