@@ -95,17 +95,39 @@ def cut_reads(records: DataFrame, coverage: float, shortest: int, longest: int,
 
 #: Places of a sequence that are counted together: bounds a task's memory where sequences are long.
 SLICE = 1 << 20
+#: Bits of a packed window up to which counts are an array of all windows.
+DENSE_BITS = 20
+#: k-mers with counts that are sent to the records' tasks as a table, at most.
+PROFILE_KMERS = 1 << 17
+
+
+def coded_letters(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct code points in ascending order, and the place of each point among them."""
+    if points.dtype != np.uint8:
+        return np.unique(points, return_inverse=True)
+    letters = np.flatnonzero(np.bincount(points, minlength=256)).astype(np.uint8)
+    place = np.zeros(256, np.uint8)
+    place[letters] = np.arange(len(letters))
+    return letters, place[points]
 
 
 def distinct_windows(points: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct windows of k code points that start at `starts`, as rows, and how often each comes. Where the letters there allow, a window is packed into one integer."""
-    letters, coded = np.unique(points, return_inverse=True)
+    letters, coded = coded_letters(points)
     bits = max(1, (len(letters) - 1).bit_length())
     if bits * k <= 64:
-        packed = np.zeros(len(starts), np.uint64)
-        for j in range(k):
-            packed = packed << np.uint64(bits) | coded[starts + j].astype(np.uint64)
-        values, n = np.unique(packed, return_counts=True)
+        if bits * k <= 62:
+            packed = packed_windows(coded[starts[0] : starts[-1] + k], bits, k)[starts - starts[0]].astype(np.uint64)
+        else:
+            packed = np.zeros(len(starts), np.uint64)
+            for j in range(k):
+                packed = packed << np.uint64(bits) | coded[starts + j].astype(np.uint64)
+        if bits * k <= DENSE_BITS:
+            every = np.bincount(packed.astype(np.int64))
+            values = np.flatnonzero(every).astype(np.uint64)
+            n = every[every > 0]
+        else:
+            values, n = np.unique(packed, return_counts=True)
         shifts = np.array([bits * (k - 1 - j) for j in range(k)], np.uint64)
         return letters[(values[:, None] >> shifts & np.uint64((1 << bits) - 1)).astype(np.int64)], n
     windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(points, k)[starts])
@@ -183,7 +205,7 @@ def record_kmers(records: DataFrame, k: int) -> DataFrame:
 
 def owned_windows(points: np.ndarray, owner: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """distinct_windows() by owner of their start: (owner, window, count)."""
-    letters, coded = np.unique(points, return_inverse=True)
+    letters, coded = coded_letters(points)
     bits = max(1, (len(letters) - 1).bit_length())
     who = owner[starts].astype(np.uint64)
     if bits * k + int(who.max()).bit_length() > 64:
@@ -212,9 +234,83 @@ def kmer_histogram(counts: DataFrame, cap: int = 10_000, weighted: bool = False)
     return counts.groupBy(m).agg((F.sum("n") if weighted else F.count("*")).alias("kmers"))
 
 
+def packed_windows(coded: np.ndarray, bits: int, k: int) -> np.ndarray:
+    """The windows of k codes that start at every place, as integers."""
+    out = np.zeros(max(len(coded) - k + 1, 0), np.int64)
+    for j in range(k):
+        out = out << bits | coded[j : j + len(out)]
+    return out
+
+
+def looked_up(records: DataFrame, few: pa.Table, letters: str, bits: int, k: int) -> DataFrame:
+    """(rec_ix, n_kmers, total) of records with k-mers in the table few (kmer, n) over `letters`; bits tell a letter."""
+    kind = dict(records.dtypes)["rec_ix"]
+    known = np.frombuffer("".join(few["kmer"].to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, k)
+    alphabet = np.frombuffer(letters.encode("utf-32-le", "surrogatepass"), np.uint32)
+    keys = np.zeros(len(known), np.int64)
+    for j in range(k):
+        keys = keys << bits | np.searchsorted(alphabet, known[:, j])
+    order = np.argsort(keys)
+    keys, counts = keys[order], few["n"].to_numpy()[order]
+    if bits * k <= DENSE_BITS:
+        every = np.zeros(1 << bits * k, np.int64)
+        every[keys] = counts
+        keys, counts = None, every  # 0 where a window has none
+    sent = records.sparkSession.sparkContext.broadcast((keys, counts, alphabet))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, alphabet = sent.value
+        ascii_place = np.full(256, 255, np.uint8)
+        ascii_place[alphabet[alphabet < 128]] = np.flatnonzero(alphabet < 128)
+        for batch in batches:
+            n_kmers, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            held, size = [], 0
+            for i in range(batch.num_rows + 1):
+                seq = batch.column(1)[i].as_py() if i < batch.num_rows else None
+                if seq and len(seq) >= k:
+                    held.append((i, seq))
+                    size += len(seq)
+                if not held or not len(alphabet) or size < SLICE and i < batch.num_rows:
+                    continue
+                text = "".join(x for _, x in held)
+                narrow = text.isascii() and len(alphabet) < 255
+                points = np.frombuffer(text.encode("ascii"), np.uint8) if narrow else np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+                lengths = np.array([len(x) for _, x in held])
+                owner = np.repeat(np.array([j for j, _ in held]), lengths)
+                ends = np.repeat(np.cumsum(lengths), lengths)
+                for a in range(0, len(points) - k + 1, SLICE):
+                    part = points[a : a + SLICE + k - 1]
+                    at = ascii_place[part] if narrow else np.minimum(np.searchsorted(alphabet, part), len(alphabet) - 1)
+                    strange = at == 255 if narrow else alphabet[at] != part
+                    windows = packed_windows(np.where(strange, 0, at), bits, k)
+                    good = np.arange(a + k, a + k + len(windows)) <= ends[a : a + len(windows)]
+                    if strange.any():
+                        before = np.concatenate([[0], np.cumsum(strange)])
+                        good &= before[k:] == before[:-k]
+                    if keys is None:
+                        value = np.where(good, counts[windows], 0)
+                    else:
+                        place = np.minimum(np.searchsorted(keys, windows), len(keys) - 1)
+                        value = np.where(good & (keys[place] == windows), counts[place], 0)
+                    own = owner[a : a + len(windows)]
+                    first = np.flatnonzero(np.diff(own, prepend=-1))
+                    n_kmers[own[first]] += np.add.reduceat((value > 0).astype(np.int64), first)
+                    total[own[first]] += np.add.reduceat(value, first)
+                held, size = [], 0
+            some = np.flatnonzero(n_kmers)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), pa.array(n_kmers[some]), pa.array(total[some])], names=["rec_ix", "n_kmers", "total"])
+
+    return records.select("rec_ix", "seq").mapInArrow(run, f"rec_ix {kind}, n_kmers bigint, total bigint")
+
+
 def kmer_profile(records: DataFrame, counts: DataFrame, k: int) -> DataFrame:
-    """(rec_ix, n_kmers, total): of each record's k-mers the number and the sum of their counts. Counts are written first: where they are few, Spark sends them to the records' tasks and no k-mer is shuffled."""
+    """(rec_ix, n_kmers, total): of each record's k-mers the number and the sum of their counts. Counts are written first: up to PROFILE_KMERS of them go to the records' tasks as a table, where windows are looked up, so no k-mer becomes a row; more are joined."""
     counts = session.stored(counts, "counts")
+    few = counts.select("kmer", "n").limit(PROFILE_KMERS + 1).toArrow()
+    letters = sorted({x for kmer in few["kmer"].to_pylist() for x in kmer})
+    bits = max(1, (len(letters) - 1).bit_length())
+    if few.num_rows <= PROFILE_KMERS and bits * k <= 62:
+        return looked_up(records, few, "".join(letters), bits, k).groupBy("rec_ix").agg(F.sum("n_kmers").alias("n_kmers"), F.sum("total").alias("total"))
     own = record_kmers(records, k)
     return own.join(counts, "kmer").groupBy("rec_ix").agg(F.sum("m").alias("n_kmers"), F.sum(F.col("m") * F.col("n")).alias("total"))
 

@@ -177,3 +177,20 @@ def test_kmers_of_records(spark, k, monkeypatch):
     df = spark.createDataFrame([(7 * i, t) for i, t in enumerate(texts)], "rec_ix long, seq string").coalesce(1)
     want = Counter((7 * i, t[j : j + k]) for i, t in enumerate(texts) if t for j in range(len(t) - k + 1))
     assert {(x.rec_ix, x.kmer): x.m for x in R.record_kmers(df, k).collect()} == want
+
+
+def test_profiles_look_up_few_counts(spark, monkeypatch):
+    """Rows are those of the join, also of slices, letters without counts and records with the same number."""
+    r = random.Random(3)
+    seqs = ["".join(r.choice("ACGTé") for _ in range(n)) for n in (0, 3, 4, 5, 40, 90)] + ["xxACGTxx", None]
+    df = spark.createDataFrame(list(enumerate(seqs)) + [(4, "ACGTACGT")], "rec_ix long, seq string")
+    counts = R.kmer_counts(df.filter("rec_ix < 6"), 4)
+    joins, own = [], R.record_kmers
+    monkeypatch.setattr(R, "record_kmers", lambda *a: joins.append(1) or own(*a))
+    monkeypatch.setattr(R, "SLICE", 7)
+    got = sorted(map(tuple, R.kmer_profile(df, counts, 4).collect()))
+    assert not joins and len(got) == 5
+    monkeypatch.setattr(R, "DENSE_BITS", 0)
+    assert sorted(map(tuple, R.kmer_profile(df, counts, 4).collect())) == got and not joins
+    monkeypatch.setattr(R, "PROFILE_KMERS", 3)
+    assert sorted(map(tuple, R.kmer_profile(df, counts, 4).collect())) == got and joins
