@@ -38,7 +38,7 @@ def numbered(arcs: DataFrame) -> tuple[DataFrame, DataFrame]:
     names = session.stored(with_ordinal(nodes, "node").select(c("ordinal").alias("no"), "node"), "nodes")
     no = lambda end: names.select(c("node").alias(end), c("no").alias(f"{end}_no"))
     plain = session.stored(arcs.join(no("src"), "src").join(no("dst"), "dst").select(c("src_no").alias("src"), c("dst_no").alias("dst")), "plain")
-    inside = G.induced(plain, G.strong_components(plain).select("node", "scc"), "scc").select("scc", "src", "dst")
+    inside = G.induced(plain, session.stored(G.strong_components(plain).select("node", "scc"), "scc"), "scc").select("scc", "src", "dst")
     return session.stored(with_ordinal(inside, "scc", "src", "dst").select(c("ordinal").alias("edge"), "scc", "src", "dst"), "numbered"), names
 
 
