@@ -88,9 +88,10 @@ def r14(spark, sf):
 q AS (SELECT source, title, x, y FROM (SELECT DISTINCT source FROM v), (VALUES ('A/R', 'A', 'R'), ('N/A', 'N', 'A')) g(title, x, y))
 SELECT q.source, title, coalesce(a.value, 'N/A') || '/' || coalesce(b.value, 'N/A') AS value FROM q LEFT JOIN v a ON a.source = q.source AND a.key = x LEFT JOIN v b ON b.source = q.source AND b.key = y""")
 def r15(spark, sf):
-    """Of lines at the same place, the one that stands first in its file counts."""
-    at = F.struct(c("l_linenumber") * 1000000 + c("l_partkey"), -c("_metadata.row_index"))
-    rows = table(spark, sf, "lineitem").select(c("l_orderkey").alias("source"), at.alias("ord"), c("l_returnflag").alias("key"), c("l_quantity").cast("bigint").cast("string").alias("value"))
+    """Of lines at the same place, the one that stands first counts: in the first file by name, and there in the first row."""
+    first = F.struct(-(c("l_linenumber") * 1000000 + c("l_partkey")).alias("place"), c("_metadata.file_path"), c("_metadata.row_index"))
+    lines = table(spark, sf, "lineitem").select(c("l_orderkey").alias("source"), c("l_returnflag").alias("key"), first.alias("first"), c("l_quantity").cast("bigint").cast("string").alias("value"))
+    rows = lines.groupBy("source", "key").agg(F.min_by("value", "first").alias("value"), F.lit(0).alias("ord"))
     return P.metric_pairs(rows, [("A", "R"), ("N", "A")])
 
 

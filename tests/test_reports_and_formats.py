@@ -205,3 +205,16 @@ def test_metric_of_lines_at_one_place_is_that_of_the_first(spark, tmp_path):
     spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string, l_quantity double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {r.source: r.value for r in catalog.queries()["r15_metric_pairs"](spark, str(tmp_path)).filter("title = 'A/R'").collect()}
     assert got == {i: "7/N/A" if i % 2 else "9/N/A" for i in range(50)}
+
+
+def test_of_lines_at_the_same_place_the_first_file_by_name_counts(spark, tmp_path):
+    from braidwork.plans import catalog
+
+    line = "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_returnflag string, l_quantity double"
+    files = ([(9, 1, 1, "A", 1.0), (7, 1, 5, "A", 20.0), (7, 2, 1, "R", 3.0)], [(7, 1, 5, "A", 30.0), (7, 2, 0, "R", 4.0), (9, 1, 1, "A", 2.0), (9, 1, 1, "A", 5.0)])
+    for k, rows in enumerate(files):
+        spark.createDataFrame(rows, line).coalesce(1).write.parquet(str(tmp_path / f"{k}"))
+        (tmp_path / "lineitem.parquet").mkdir(exist_ok=True)
+        next((tmp_path / f"{k}").glob("part-*.parquet")).rename(tmp_path / "lineitem.parquet" / f"part-{k}.parquet")
+    got = {(r.source, r.title): r.value for r in catalog.queries()["r15_metric_pairs"](spark, str(tmp_path)).collect()}
+    assert got == {(7, "A/R"): "20/3", (7, "N/A"): "N/A/20", (9, "A/R"): "1/N/A", (9, "N/A"): "N/A/1"}
