@@ -205,8 +205,8 @@ def homopolymer_compress(chunks: DataFrame) -> DataFrame:
     return chunks.select("rec_ix", "chunk", cut.alias("seq"))
 
 
-def runs(chunks: DataFrame, size: int = SIZE) -> DataFrame:
-    """(rec_ix, chunk, first, starts): the 0-based places, in the raw record, of the runs that start in each chunk, and how many runs start before it: what the compressed place `first` + i is in the raw sequence. A leading run of N counts. Needs an overlap of 1."""
+def runs(chunks: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
+    """(rec_ix, chunk, first, n, places) and (rec_ix, chunk, starts), both written: how many runs start before each chunk and in it, and the sum of their 0-based places in the raw record; and their places in the chunk, so that the compressed place `first` + i is `starts[i]` of that chunk. A leading run of N counts. Needs an overlap of 1."""
     def each(batches):
         for batch in batches:
             rows, held, n = [], [], 0
@@ -223,26 +223,28 @@ def runs(chunks: DataFrame, size: int = SIZE) -> DataFrame:
                     own = np.flatnonzero(points[1:] != points[:-1]) + (0 if last else 1)
                     own = own if last or not text else np.concatenate([[0], own])
                     rows.append(i)
-                    held.append(own.astype(np.int64) + batch.column(1)[i].as_py() * size)
+                    held.append(own.astype(np.int32))
                     n += len(own)
 
-    # written, as it is read twice
-    found = session.stored(chunks.select("rec_ix", "chunk", "before", "seq").mapInArrow(each, "rec_ix bigint, chunk bigint, starts array<bigint>"), "starts")
-    before = F.sum(F.size("starts")).over(Window.partitionBy("rec_ix").orderBy("chunk"))
-    counts = found.select("rec_ix", "chunk", (before - F.size("starts")).alias("first"))
-    return found.join(counts, ["rec_ix", "chunk"])
-
-
-def to_raw(places: DataFrame, found: DataFrame, raw: DataFrame, size: int = SIZE) -> DataFrame:
-    """places (rec_ix, place, any others), 0-based in compressed records, with raw_place, through runs() and lengths(); a place after the last run is the raw length. Chunks and places meet in blocks of `size` compressed places, of which a chunk touches two at most."""
-    held = found.filter(F.size("starts") > 0).withColumn("block", F.explode(F.array_distinct(F.array(F.floor(c("first") / size), F.floor((c("first") + F.size("starts") - 1) / size)))))
-    asked = places.withColumn("block", F.floor(c("place") / size))
-    hit = asked.join(held.drop("chunk"), ["rec_ix", "block"], "left").filter(c("starts").isNull() | c("place").between(c("first"), c("first") + F.size("starts") - 1))
-    at = F.get("starts", (c("place") - c("first")).cast("int"))
+    found = session.stored(chunks.select("rec_ix", "chunk", "before", "seq").mapInArrow(each, "rec_ix bigint, chunk bigint, starts array<int>"), "starts")
+    n = F.size("starts").cast("bigint")
+    counts = found.select("rec_ix", "chunk", n.alias("n"), (F.aggregate("starts", F.lit(0).cast("bigint"), lambda a, x: a + x) + n * c("chunk") * size).alias("places"))
+    first = F.sum("n").over(Window.partitionBy("rec_ix").orderBy("chunk")) - c("n")
+    return session.stored(counts.select("rec_ix", "chunk", first.alias("first"), "n", "places"), "runs"), found
+
+
+def to_raw(places: DataFrame, found: tuple[DataFrame, DataFrame], raw: DataFrame, size: int = SIZE) -> DataFrame:
+    """places (rec_ix, place, any others), 0-based in compressed records, with raw_place, through runs() and lengths(); a place after the last run is the raw length. Chunks and places meet in blocks of `size` compressed places, of which a chunk touches two at most; only a place's own chunk meets its starts."""
+    counts, starts = found
+    last = c("_first") + c("_n") - 1
+    held = counts.filter("n > 0").select("rec_ix", c("chunk").alias("_chunk"), c("first").alias("_first"), c("n").alias("_n"))
+    held = held.withColumn("_block", F.explode(F.array_distinct(F.array(F.floor(c("_first") / size), F.floor(last / size)))))
+    hit = places.withColumn("_block", F.floor(c("place") / size)).join(held, ["rec_ix", "_block"]).filter(c("place").between(c("_first"), last))
+    at = F.get("_starts", (c("place") - c("_first")).cast("int")) + c("_chunk") * size
     # places beyond the last run have no chunk, in a block that others may have
-    known = hit.filter("starts IS NOT NULL").select(*places.columns, at.alias("raw_place"))
-    total = found.groupBy("rec_ix").agg(F.sum(F.size("starts")).alias("n")).join(raw, "rec_ix")
-    beyond = places.join(total, "rec_ix").filter(c("place") >= c("n")).select(*places.columns, c("length").alias("raw_place"))
+    known = hit.join(starts.select("rec_ix", c("chunk").alias("_chunk"), c("starts").alias("_starts")), ["rec_ix", "_chunk"]).select(*places.columns, at.alias("raw_place"))
+    total = counts.groupBy("rec_ix").agg(F.sum("n").alias("_total")).join(raw, "rec_ix")
+    beyond = places.join(total, "rec_ix").filter(c("place") >= c("_total")).select(*places.columns, c("length").alias("raw_place"))
     return known.unionByName(beyond)
 
 

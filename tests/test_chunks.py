@@ -135,3 +135,12 @@ def test_gap_pieces_are_those_of_whole_records(spark, size):
     r = spark.createDataFrame([(1, "ACGTNNACG-TTTT"), (2, "NNN"), (3, ""), (4, "acgtacgtacgt")], "rec_ix long, seq string")
     got = C.gap_pieces(C.chunked(r, size, 1), 3, size)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, R.break_at_gaps(r, 3).collect()))
+
+
+def test_runs_are_counted_apart_from_their_starts(spark):
+    chunks = C.chunked(spark.createDataFrame([(1, "AACCA"), (2, "NNA")], "rec_ix long, seq string"), 2, 1)
+    counts, starts = C.runs(chunks, 2)
+    assert sorted(map(tuple, counts.select("rec_ix", "chunk", "first", "n", "places").collect())) == [(1, 0, 0, 1, 0), (1, 1, 1, 1, 2), (1, 2, 2, 1, 4), (2, 0, 0, 1, 0), (2, 1, 1, 1, 2)]
+    assert all(r.starts == [0] for r in starts.collect()) and dict(starts.dtypes)["starts"] == "array<int>"
+    plan = C.to_raw(counts.selectExpr("rec_ix", "first AS place").distinct(), (counts, starts), C.lengths(chunks), 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("array<int>") == 1  # starts are read once
